@@ -1,6 +1,9 @@
 """The registered queries of this folder and the SQL of those that SQL can express."""
 
-from quarryloom.llm import bpe
+from quarryloom.llm import bpe, decontaminate
 
-QUERIES = {"op8_bpe": bpe.op8_bpe}
+QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op8_bpe": bpe.op8_bpe,
+}
 ORACLE: dict[str, str] = {}
