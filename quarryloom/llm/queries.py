@@ -1,9 +1,10 @@
 """The registered queries of this folder and the SQL of those that SQL can express."""
 
-from quarryloom.llm import bpe, decontaminate
+from quarryloom.llm import bpe, decontaminate, suffix_dedup
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLE: dict[str, str] = {}
