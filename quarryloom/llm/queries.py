@@ -1,10 +1,11 @@
 """The registered queries of this folder and the SQL of those that SQL can express."""
 
-from quarryloom.llm import bpe, decontaminate, suffix_dedup
+from quarryloom.llm import bpe, decontaminate, near_dedup, suffix_dedup
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLE: dict[str, str] = {}
