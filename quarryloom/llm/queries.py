@@ -1,15 +1,17 @@
 """The registered queries of this folder and the SQL of those that SQL can express."""
 
-from quarryloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup, url_rules
+from quarryloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_warc": warc.op5_warc,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLE = {
     "op3_url_rules": url_rules.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
