@@ -1,6 +1,6 @@
 """The registered queries of this folder and the SQL of those that SQL can express."""
 
-from quarryloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup, toxicity, url_rules, warc
+from quarryloom.llm import bpe, decontaminate, html_text, near_dedup, quality, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
+    "op9_html_text": html_text.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE = {
