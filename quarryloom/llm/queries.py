@@ -1,6 +1,6 @@
 """The registered queries of this folder and the SQL of those that SQL can express."""
 
-from quarryloom.llm import bpe, decontaminate, html_text, near_dedup, quality, suffix_dedup, toxicity, url_rules, warc
+from quarryloom.llm import bpe, decontaminate, html_text, license_scan, near_dedup, quality, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_html_text": html_text.op9_html_text,

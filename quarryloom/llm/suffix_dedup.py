@@ -248,8 +248,8 @@ def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot
     return out.unionByName(_again(single.withColumn("e", F.col("s")), counted, ["key"], keep_first))
 
 
-def _cut(carried: list[str], length: int):
-    """Removes the covered bytes; a character cut in two goes whole where text is wanted."""
+def _cut(carried: list[str], length: int, as_text: bool):
+    """Removes the covered bytes; where text is wanted, what is left of characters that were cut goes with them."""
 
     def run(batches):
         for b in tb.slices(batches):
@@ -266,13 +266,13 @@ def _cut(carried: list[str], length: int):
                 removed.append(sum(j - i for i, j in merged))
                 spans.append([{"start": i, "end": j} for i, j in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*carried, "kept", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*carried, "kept", "n_removed", "spans"])
 
     return run
 
 
-def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", columns: list[str] | None = None, **options) -> DataFrame:
-    """Adds kept (the remaining bytes), n_removed and spans (removed byte ranges) to `columns` of docs (all by default)."""
+def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", columns: list[str] | None = None, as_text: bool = False, **options) -> DataFrame:
+    """Adds kept (the remaining bytes, or with as_text their characters), n_removed and spans (removed byte ranges) to `columns` of docs (all by default)."""
     from pyspark.sql import types as T
 
     columns = list(docs.columns if columns is None else columns)
@@ -283,9 +283,9 @@ def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", columns
     base = base.drop("ord")
     touched, rest = maybe_among(base, "rid", ranges.select("rid"))
     touched, rest = touched.join(ranges, "rid", "left"), rest.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-    added = T.StructType.fromDDL("kept binary, n_removed long, spans array<struct<start:long,end:long>>")
+    added = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, n_removed long, spans array<struct<start:long,end:long>>")
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in fields.items()] + added.fields)
-    out = touched.unionByName(rest).mapInArrow(_cut(list(fields.values()), options.get("length", LENGTH)), schema)
+    out = touched.unionByName(rest).mapInArrow(_cut(list(fields.values()), options.get("length", LENGTH), as_text), schema)
     return out.select(*(F.col(n).alias(c) for c, n in fields.items()), "kept", "n_removed", "spans")
 
 
