@@ -1,4 +1,7 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from quarryloom.operators import retrieval
+
+_AREAS = [retrieval]
+QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
+ORACLE = {k: v for area in _AREAS for k, v in area.ORACLE.items()}
