@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from quarryloom.operators import chunking, retrieval
+from quarryloom.operators import chunking, queryprep, retrieval
 
-_AREAS = [chunking, retrieval]
+_AREAS = [chunking, queryprep, retrieval]
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLE = {k: v for area in _AREAS for k, v in area.ORACLE.items()}
