@@ -13,8 +13,8 @@ all five trees miss it once in a million times. Then:
   whole family, in blocks of bounded size, by an inverted index over the shingles, which gives exact overlaps and emits
   one link per member and component instead of all pairs.
 
-Every link is confirmed on the full sets; signatures only discard pairs that they estimate more than a quarter below the
-threshold. Components come from all links.
+Every link is confirmed on the full sets; signatures only discard pairs that they estimate four standard
+deviations or more below the threshold. Components come from all links.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Rows are not merged: repeated rows
 get the same component. Documents that share an id count as one document. Rows with a null id take no part: their component is null and they are kept.
@@ -115,7 +115,9 @@ def _likely(percent: int):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
             least = np.minimum(np.asarray(b.column("n_a")), np.asarray(b.column("n_b")))
             most = np.maximum(np.asarray(b.column("n_a")), np.asarray(b.column("n_b")))
-            ok = (100 * least >= percent * most) & ((least < 64) | ((x == y).mean(axis=1) * 100 >= percent - 25))
+            # Four standard deviations or more of what the bins, fewer in small sets, can err by.
+            margin = np.where(least < 64, 100, np.where(least < 256, 22, 16))
+            ok = (100 * least >= percent * most) & ((x == y).mean(axis=1) * 100 >= percent - margin)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in "ab"], ["a", "b"])
 
     return run
@@ -176,7 +178,7 @@ def candidates(reps: DataFrame, *, trees: int, branches: int, depth: int, last_d
             rows = _children(rows, branches)
         if level > depth:
             rows = rows.select("id", "node").distinct()
-        rows = saved(rows.select("id", "node"), "paths")
+        rows = rows.select("id", "node")
         full = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         rows = saved(rows.join(full, "node"), "nodes")
         ids = F.array_sort(F.collect_set("id"))
