@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from quarryloom.llm import textbytes as tb
 
-TRAIN_DOCUMENTS, TRAIN_CHARS, MIN_DOCUMENTS, EPOCHS, FOLDS = 8_000, 24_000_000, 4, 150, 5
+TRAIN_DOCUMENTS, TRAIN_CHARS, MIN_DOCUMENTS, EPOCHS, FOLDS = 4_000, 10_000_000, 4, 150, 5
 #: Lengths in bytes of word beginnings that are features beside the word.
 PREFIXES = (4, 6)
 _LOWER = tb.lower_table()
