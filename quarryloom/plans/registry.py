@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from quarryloom.operators import chunking, queryprep, retrieval, sourcing
+from quarryloom.operators import chunking, evidence, fingerprints, queryprep, retrieval, sourcing
 
-_AREAS = [chunking, queryprep, retrieval, sourcing]
+_AREAS = [chunking, evidence, fingerprints, queryprep, retrieval, sourcing]
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLE = {k: v for area in _AREAS for k, v in area.ORACLE.items()}
