@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from quarryloom.operators import chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing
+from quarryloom.operators import chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store, traces
 
-_AREAS = [chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing]
+_AREAS = [chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store, traces]
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLE = {k: v for area in _AREAS for k, v in area.ORACLE.items()}
