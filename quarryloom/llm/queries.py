@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE = {
+    "op1_quality": quality.ORACLE,
     "op3_url_rules": url_rules.ORACLE,
     "op5_warc": warc.ORACLE,
 }
