@@ -3,6 +3,7 @@ results late, and every ranking ends with the id, so results are the same in any
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,18 +162,21 @@ def dense_filtered(spark, d):
     return top_k(dense_scores(query_vectors(spark, d), table(spark, d, "embeddings").join(english, "vec_id", "left_semi")), 10)
 
 
-def dense_lsh(spark, d, planes: int = 8, tables: int = 24):
+def dense_lsh(spark, d, planes: int = 6, tables: int = 60):
     """Approximate neighbours: sign patterns of random hyperplanes as join keys, then exact scores. The planes depend on
-    the width alone."""
+    the width alone; the keys of an Arrow batch come from one matrix product. Recall against the exact form is tested."""
     import numpy as np
 
     vectors = table(spark, d, "embeddings")
-    width = len(vectors.select("embedding").first()[0])
-    normal = np.random.default_rng(7).normal(size=(tables, planes, width)).round(4)
-    centre = vectors.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
-    moved = vectors.join(F.broadcast(centre)).withColumn("c", F.zip_with("embedding", "centre", lambda x, m: x - m))
-    bits = [F.concat(*[F.when(dot(F.col("c"), F.array(*map(F.lit, row.tolist()))) > 0, "1").otherwise("0") for row in t]) for t in normal]
-    keyed = moved.select("vec_id", F.posexplode(F.array(*bits)).alias("t", "key"))
+
+    @F.pandas_udf("array<long>")
+    def keys(v: pd.Series) -> pd.Series:
+        m = np.stack(v.to_numpy()).astype(float)
+        normal = np.random.default_rng(7).normal(size=(m.shape[1], tables * planes))
+        bits = (m @ normal > 0).reshape(len(m), tables, planes)
+        return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2)))
+
+    keyed = vectors.select("vec_id", F.posexplode(keys("embedding")).alias("t", "key"))
     asked = keyed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "t", "key")
     pairs = keyed.join(small(asked), ["t", "key"]).select("query_id", F.col("vec_id").alias("doc_id")).distinct()
     q = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
