@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryloom.llm import textbytes as tb
+
 CHUNK_CHARS, OVERLAP_CHARS = 65536, 2048
 _encodings: dict = {}
 
@@ -62,19 +64,24 @@ def _row(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """Adds `ids`: the token ids of `text` as little-endian unsigned 32-bit integers in one binary value."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, with_decoded: bool = False) -> DataFrame:
+    """Adds `ids`: the token ids of `text` as little-endian unsigned 32-bit integers in one binary value. with_decoded also
+    adds what `decode` would, in the same pass."""
     from pyspark.sql import types as T
 
     plain = df.withColumn("_long", F.coalesce(F.length(text) > chunk_chars, F.lit(False)))
-    names = [c for c in df.columns if c != "ids"]
-    out_schema = T.StructType([df.schema[c] for c in names] + [T.StructField("ids", T.BinaryType())])
+    added = ["ids", "decoded"] if with_decoded else ["ids"]
+    names = [c for c in df.columns if c not in added]
+    out_schema = T.StructType([df.schema[c] for c in names] + [T.StructField(c, T.BinaryType()) for c in added])
 
     def short(batches):
         enc = encoding(ranks_path, pattern)
-        for b in batches:
-            ids = pa.array([_row(enc.encode_ordinary(t or "")) for t in b.column(text).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [ids], [*names, "ids"])
+        for b in tb.slices(batches, column=text):
+            ids = [enc.encode_ordinary(t or "") for t in b.column(text).to_pylist()]
+            out = [pa.array([_row(i) for i in ids], pa.binary())]
+            if with_decoded:
+                out.append(pa.array([enc.decode_bytes(i) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + out, [*names, *added])
 
     def cut(batches):
         for b in batches:
@@ -121,7 +128,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text",
     pieces = pre.groupBy("_key").applyInPandas(join_pieces, "_key string, start long, part string")
     coded = pieces.repartition("_key", "start").mapInArrow(encode_piece, "_key string, start long, piece_ids binary")
     ids = coded.groupBy("_key").applyInPandas(join_ids, "_key string, ids binary")
-    return done.unionByName(long.join(ids, "_key").select(*names, "ids"))
+    rest = long.join(ids, "_key").select(*names, "ids")
+    return done.unionByName(decode(rest, ranks_path, pattern) if with_decoded else rest)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
@@ -132,7 +140,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids: str = "ids") ->
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
-        for b in batches:
+        for b in tb.slices(batches, column=ids):
             out = pa.array([enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [out], [*names, "decoded"])
 
@@ -148,7 +156,6 @@ def public_ranks() -> tuple[str, str]:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = encode(docs, *public_ranks()).drop("text")
-    return decode(coded, *public_ranks()).select(
+    return encode(docs, *public_ranks(), with_decoded=True).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -52,12 +52,12 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
-def slices(batches, limit: int = SLICE_BYTES):
-    """Record batches cut so that each holds about `limit` bytes of its `text` column, or one row that is longer."""
+def slices(batches, limit: int = SLICE_BYTES, column: str = "text"):
+    """Record batches cut so that each holds about `limit` bytes of a string or binary column, or one row that is longer."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = texts(batch.column("text"))
+        _, offsets = texts(batch.column(column))
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
