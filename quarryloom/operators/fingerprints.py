@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,32 +43,28 @@ def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
     return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= near).distinct()
 
 
-def group_near(prints: DataFrame, near: int = NEAR, rounds: int = 30) -> DataFrame:
+def group_near(prints: DataFrame, near: int = NEAR) -> DataFrame:
     """(doc_id, kept): the smallest id of each group of prints that near pairs connect stays. Labels spread over the pairs
     of different prints until none changes."""
     kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     pairs = near_pairs(prints, near).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint() if _folder(prints) else None
+    _set_checkpoints(prints)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = kinds.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         least = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
         new = label.join(least, label.id == least.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label")).checkpoint()
         changed = not new.exceptAll(label).isEmpty()
         label = new
-        if not changed:
-            break
     return prints.join(kinds, ["hi", "lo"]).join(label, "id").select("doc_id", (F.col("doc_id") == F.col("label")).alias("kept"))
 
 
-def _folder(df: DataFrame) -> bool:
-    """Makes sure that checkpoints have a folder; the session's own setting goes first."""
+def _set_checkpoints(df: DataFrame) -> None:
+    """Gives checkpoints a folder where the session has none yet; its own setting goes first."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return True
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def post_dedup(results: DataFrame, near: int = NEAR_IN_RESULTS) -> DataFrame:
