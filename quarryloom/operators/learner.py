@@ -225,6 +225,13 @@ def fast_quiz(spark, d):
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("quiz"))
 
 
+def fast_summary(spark, d):
+    """The first sentence of each of a query's five best documents as key points, with their sources."""
+    text = table(spark, d, "documents").select("doc_id", F.concat(F.lit("- "), F.trim(F.get(F.split("text", r"[.\n]", 2), F.lit(0))), F.lit(" ("), F.col("source"), F.lit(")")).alias("point"))
+    rows = _bm25(spark, d, 5).join(text, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "point"))).alias("p"))
+    return rows.select("query_id", F.concat(F.lit("Key points:\n"), F.array_join(F.transform("p", lambda x: x["point"]), "\n")).alias("summary"))
+
+
 def feedback(spark, d) -> DataFrame:
     """Clicks and errors as ratings up and down."""
     return table(spark, d, "events").where("event_type IN ('click', 'error')").select("event_id", "user_id", F.when(F.col("event_type") == "click", "up").otherwise("down").alias("rating"), "ts")
@@ -311,6 +318,7 @@ QUERIES = {
     "latest_outcomes": latest_outcomes,
     "sample_questions": sample_questions,
     "fast_quiz": fast_quiz,
+    "fast_summary": fast_summary,
     "feedback_stats": lambda s, d: feedback(s, d).groupBy("user_id").agg(F.count_if(F.col("rating") == "up").alias("up"), F.count_if(F.col("rating") == "down").alias("down"), F.round(F.avg((F.col("rating") == "up").cast("int")), 6).alias("share")),
     "feedback_recent": lambda s, d: feedback(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "rating"),
     "conversation_list": conversation_list,
@@ -356,6 +364,7 @@ ORACLE = {
     "latest_outcomes": f"WITH {_QUIZ} SELECT conv_id, string_agg(score::VARCHAR, ',' ORDER BY no DESC) AS outcomes FROM (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY no DESC) <= 2) GROUP BY 1",
     "sample_questions": f"WITH {_SQ} SELECT * FROM sq",
     "fast_quiz": f"WITH {_SQ} SELECT query_id, string_agg(pos::VARCHAR || '. ' || substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 30), chr(10) ORDER BY pos) AS quiz FROM sq JOIN documents d ON d.doc_id = sq.doc_id GROUP BY 1",
+    "fast_summary": f"WITH {bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 5) SELECT query_id, 'Key points:' || chr(10) || string_agg('- ' || trim(regexp_split_to_array(text, '[.\\n]')[1], ' ') || ' (' || source || ')', chr(10) ORDER BY rank) AS summary FROM r JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1",
     "feedback_stats": f"WITH {_FB} SELECT user_id, count_if(rating = 'up')::BIGINT AS up, count_if(rating = 'down')::BIGINT AS down, round(avg((rating = 'up')::INT), 6) AS share FROM fb GROUP BY 1",
     "feedback_recent": f"WITH {_FB} SELECT event_id, user_id, rating FROM fb ORDER BY ts DESC, event_id DESC LIMIT 20",
     "conversation_list": "WITH c AS (SELECT conv_id % 5 AS user, conv_id, count(*) AS n_turns, substr(min_by(text, turn), 1, 40) AS title FROM conversations GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY user ORDER BY conv_id DESC) AS place FROM c QUALIFY place <= 20",

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quarryloom.operators.chunking import IMAGES_SQL, image_marks, images, split_window
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
+from quarryloom.streaming.runs import folder
 
 QUESTION_WORDS = "题|习题|exercise|exam|quiz|test|题库|练习"
 
@@ -93,16 +94,33 @@ def json_lines(spark, d) -> DataFrame:
     return parsed.where("r.id IS NOT NULL").select("r.*")
 
 
-def json_sink(spark, d) -> DataFrame:
-    """Events written as JSON lines, appended in two runs, and read again."""
-    import uuid
+#: Keys whose values an audit log must not show.
+SECRET_KEYS = "(?i)key|token|secret|password"
+
+
+def masked(entries: Column) -> Column:
+    return F.transform_values(entries, lambda k, v: F.when(k.rlike(SECRET_KEYS), F.lit("***")).otherwise(v))
+
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+def audit_sink(spark, d) -> DataFrame:
+    """Calls with their arguments, secret ones masked, appended as JSON lines and read again."""
+    path = folder(spark, "audit")
+    args = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("api_key"), F.md5(F.col("event_type").cast("binary"))))
+    table(spark, d, "events").select("event_id", masked(args).alias("args")).write.mode("append").json(path)
+    back = spark.read.schema("event_id long, args map<string,string>").json(path)
+    return back.select("event_id", F.element_at("args", "k").alias("k"), F.element_at("args", "api_key").alias("api_key"))
 
-        folder = tempfile.mkdtemp(prefix="spark-sink-")
-    path = f"{folder}/sink-{uuid.uuid4().hex}"
+
+def metrics_sink(spark, d) -> DataFrame:
+    """Counts by type, one JSON line each, read again."""
+    path = folder(spark, "metrics")
+    table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max("value"), 2).alias("largest")).write.mode("append").json(path)
+    return spark.read.schema("event_type string, n long, largest double").json(path)
+
+
+def json_sink(spark, d) -> DataFrame:
+    """Events written as JSON lines, appended in two runs, and read again."""
+    path = folder(spark, "sink")
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     e.where("event_id % 2 = 0").write.mode("append").json(path)
     e.where("event_id % 2 = 1").write.mode("append").json(path)
@@ -125,6 +143,8 @@ QUERIES = {
     "trace_scan": json_lines,
     "image_index": lambda s, d: images(s, d).groupBy(F.substring_index("image_id", "_", 1).alias("collection")).agg(F.count("*").alias("n_images"), F.max("page").alias("last_page")),
     "trace_sink": json_sink,
+    "audit_sink": audit_sink,
+    "metrics_sink": metrics_sink,
 }
 _P = "pieces AS (SELECT doc_id, (k / 800)::INT AS piece FROM (SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 800)) AS k FROM documents))"
 _F = f"{CHUNKS_SQL}, files AS (SELECT doc_id, sha256(text) AS file_hash, lang AS collection FROM chunks), man AS (SELECT doc_id, file_hash, collection, 2 AS version, CASE WHEN doc_id % 6 = 0 THEN 'failed' ELSE 'success' END AS status FROM files WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY file_hash, collection ORDER BY doc_id) = 1)"
@@ -143,5 +163,7 @@ ORACLE = {
     "collection_stats": f"WITH {_P} SELECT lang AS collection, count(*) AS chunks, count(DISTINCT p.doc_id) AS documents FROM pieces p JOIN documents d ON d.doc_id = p.doc_id GROUP BY 1",
     "trace_scan": "SELECT event_id AS id, event_type AS stage FROM events WHERE event_id % 9 <> 0",
     "image_index": f"WITH {IMAGES_SQL} SELECT string_split(image_id, '_')[1] AS collection, count(*) AS n_images, max(page) AS last_page FROM images GROUP BY 1",
+    "audit_sink": "SELECT event_id, json_extract_string(props, '$.k') AS k, '***' AS api_key FROM events",
+    "metrics_sink": "SELECT event_type, count(*) AS n, round(max(value), 2) AS largest FROM events GROUP BY 1",
     "trace_sink": "SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1",
 }
