@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import textbytes as tb
 from quarryloom.llm.components import components
-from quarryloom.llm.storage import maybe_among, saved
+from quarryloom.llm.storage import maybe_among, saved, temporary
 
 WORDS, PERCENT = 5, 80
 TREES, BRANCHES, DEPTH, LAST_DEPTH, SMALL = 5, 2, 3, 6, 24
@@ -214,11 +214,20 @@ def candidates(reps: DataFrame, *, trees: int, branches: int, depth: int, last_d
 
 def links(reps: DataFrame, texts: DataFrame, *, words: int, percent: int, trees: int = TREES, branches: int = BRANCHES, depth: int = DEPTH, last_depth: int = LAST_DEPTH, small: int = SMALL) -> DataFrame:
     """(a, b) of linked sets, enough of them to connect what is connected. reps: id, n, sig; texts: id, text."""
-    pairs, family = candidates(reps, trees=trees, branches=branches, depth=depth, last_depth=last_depth, small=small)
-    stars = family.where("centre != id").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
-    pairs = pairs.unionByName(stars).distinct()
+    spark = reps.sparkSession
     side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
-    likely = saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a long, b long"), "likely")
+    with temporary(spark) as keep:
+        pairs, family = candidates(reps, trees=trees, branches=branches, depth=depth, last_depth=last_depth, small=small)
+        family = keep(family, "families")
+        stars = family.where("centre != id").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
+        pairs = pairs.unionByName(stars).distinct()
+        likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a long, b long"), "likely")
+    with temporary(spark) as keep:
+        return keep(_confirm(likely, family, reps, texts, words=words, percent=percent), "links")
+
+
+def _confirm(likely: DataFrame, family: DataFrame, reps: DataFrame, texts: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """Links among the likely pairs, then between members outside their family's component and the family."""
     needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(family.select("id")).distinct()
     some = maybe_among(texts, "id", needed)[0].join(needed, "id")
     shingled = saved(some.mapInArrow(_shingled(words), "id long, shingles binary"), "sets")
@@ -240,7 +249,7 @@ def links(reps: DataFrame, texts: DataFrame, *, words: int, percent: int, trees:
     ask_rows = named.where("asking").withColumn("x", own("ask_blocks")).withColumn("y", spread("all_blocks"))
     blocks = all_rows.select(*columns).unionByName(ask_rows.select(*columns))
     second = blocks.groupBy("centre", "x", "y").applyInPandas(_family_links(percent), "a long, b long")
-    return first.unionByName(saved(second, "links"))
+    return first.unionByName(second)
 
 
 def mark(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, **options) -> DataFrame:
@@ -264,7 +273,8 @@ def mark(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each component: that with the smallest id, once. Rows with a null id stay."""
-    marked = saved(mark(docs, doc_id=doc_id, **options), "marked")
+    with temporary(docs.sparkSession) as keep:
+        marked = keep(mark(docs, doc_id=doc_id, **options), "marked")
     gone = marked.where("NOT kept").select(F.col(doc_id).alias("_gone")).distinct()
     again = marked.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_again"))
     maybe, rest = maybe_among(docs, doc_id, gone.unionByName(again.withColumnRenamed("_again", "_gone")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,13 +19,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_open: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once and read back, so that later jobs neither repeat nor depend on what made them."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables saved inside are deleted at the end, but for those saved by the function that this gives."""
+    _open.append(mine := [])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _open.pop()
+        try:
+            return saved(df, name)
+        finally:
+            _open.append(mine)
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in mine:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def maybe_among(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """(rows of `df` whose `column` may be in `ids`, rows for which it is not). `ids` has one column without nulls. A
     bitmap of a fixed number of bits, at most bits/64 rows whatever the input, is broadcast; a join of the first part

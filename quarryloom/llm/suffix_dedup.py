@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import anchors
 from quarryloom.llm import textbytes as tb
-from quarryloom.llm.storage import maybe_among, saved
+from quarryloom.llm.storage import maybe_among, saved, temporary
 
 LENGTH, HOT_RUNS, PIECE = 400, 128, 16
 BLOCK_BYTES = 2 << 20
@@ -278,8 +278,9 @@ def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", columns
     columns = list(docs.columns if columns is None else columns)
     fields = {c: f"_c{i}" for i, c in enumerate(columns)}
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in fields.items()))
-    ranges = repeated(base.select("rid", "ord", "text"), **options)
-    ranges = saved(ranges.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
+    with temporary(docs.sparkSession) as keep:
+        ranges = repeated(base.select("rid", "ord", "text"), **options)
+        ranges = keep(ranges.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
     base = base.drop("ord")
     touched, rest = maybe_among(base, "rid", ranges.select("rid"))
     touched, rest = touched.join(ranges, "rid", "left"), rest.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
