@@ -5,6 +5,8 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from quarryloom.plans import registry
@@ -19,10 +21,10 @@ def duck(sf_dir):
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return "null"
-    if isinstance(value, bool):
-        return str(value)
+    if isinstance(value, bool | np.bool_):
+        return str(bool(value))
     if hasattr(value, "__float__") and not isinstance(value, str):
         return str(round(float(value), 5))
     return str(value)
