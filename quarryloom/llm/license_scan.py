@@ -89,6 +89,8 @@ class Scanner:
             for b in same:
                 hit.update(range(b.a, b.a + b.size))
             low, high = same[0].b, same[-1].b + same[-1].size
+            if low >= len(words(first)):
+                continue  # it begins on a later line, which starts a block of its own
             inside = {j for b in same for j in range(b.b, b.b + b.size)}
             missing = [w for i, w in enumerate(template) if i not in hit]
             extra = [own[j] for j in range(low, high) if j not in inside]

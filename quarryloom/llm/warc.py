@@ -191,6 +191,8 @@ class WarcReader(DataSourceReader):
         held, size = [], 0
         with store.open_input_file(partition.value) as stream:
             for row in (_gzip_records if partition.value.endswith(".gz") else _plain_records)(stream, wanted):
+                if row["record_type"] == "revisit":
+                    row["payload"] = None
                 held.append({k: row.get(k) for k in _ARROW.names})
                 size += 500 + len(row.get("payload") or b"")
                 if size > 4 << 20:
