@@ -7,7 +7,11 @@ size is spread over all tasks. A class is valid if it holds two tokens or more a
 host's pages (three at least). The valid classes, nested by their paths, are the template. What it leaves are slots. A
 slot's place in the template tells what it is: inside an article (or main) element it is text; without such elements, any
 slot of the body is. Menus, headers, footers, asides, forms, scripts, adverts, notices and comments are known by element
-or by words of their class, id or role, at any depth. Constant text of the template outside an article is dropped.
+or by words of their class, id or role, at any depth. Constant text of the template outside an article is dropped. Inside
+one, the innermost element around all its slots is the article proper: constant text around it is dropped, and so are its
+block children, and block elements with a class, id or role of their own at any depth, that hold no slot. Constant text
+beside a slot stays. Where words would leave an article without any slot, though it has some, the words are not followed.
+An article without slots, as on a host of copies, is read by its elements.
 
 Null and empty html gives an empty text. A page alone on its host has no template and is read by its elements alone. Null
 urls share the host ''. Unclosed elements end with what encloses them. Rows pass through one by one; columns named like
@@ -73,10 +77,13 @@ def _is_junk(hints: str, in_article: bool) -> bool:
 
 
 class _Open:
-    __slots__ = ("name", "path", "junk", "article")
+    """An open element. hard: whether it is junk whatever the words say that stand on elements inside its article."""
 
-    def __init__(self, name, path, junk, article):
+    __slots__ = ("name", "path", "junk", "article", "hard", "hints", "parent")
+
+    def __init__(self, name, path, junk, article, hard=False, hints="", parent=None):
         self.name, self.path, self.junk, self.article = name, path, junk, article
+        self.hard, self.hints, self.parent = hard, hints, parent
 
 
 def _events(page: str):
@@ -106,12 +113,15 @@ def _events(page: str):
         top = stack[-1]
         hints = " ".join(x.strip("\"'") for x in _HINT.findall(m["attrs"])) if m["attrs"] else ""
         path = f"{top.path}/{name}.{hints}" if len(stack) < 40 else top.path
-        junk = name in BOILERPLATE or (name == "header" and not top.article) or bool(hints and name not in ("html", "body") and _is_junk(hints, top.article))
+        element = name in BOILERPLATE or (name == "header" and not top.article)
+        junk = element or bool(hints and name not in ("html", "body") and _is_junk(hints, top.article))
+        hard = element or (junk and not top.article)
         article = name in ARTICLE and not junk
         # An article opens afresh, whatever was left unclosed before it, unless it stands in one already.
         yield "tag", name, _Open(name, path, junk, article)
         if name not in VOID and not m["attrs"].endswith("/"):
-            stack.append(_Open(name, path, junk or (top.junk and not (article and not top.article)), article or top.article))
+            afresh = article and not top.article
+            stack.append(_Open(name, path, junk or (top.junk and not afresh), article or top.article, hard or (top.hard and not afresh), hints, top))
 
 
 def tokens(page: str) -> dict[int, int]:
@@ -127,24 +137,67 @@ def tokens(page: str) -> dict[int, int]:
     return count
 
 
+def _article(nodes: list[tuple[str, _Open | None]], template: set[int]) -> list[str]:
+    """The text nodes of an article that are text by its template. nodes: without what is junk by element; None: a break."""
+
+    def varies(value: str, where: _Open) -> bool:
+        plain = " ".join(value.split())
+        return bool(plain) and _hash("text", where.path, plain) not in template
+
+    by_words = [x for x in nodes if x[1] is None or not x[1].junk]
+    if not template:
+        return [value for value, _ in by_words]
+    for held in (by_words, nodes):
+        direct = {where for value, where in held if where is not None and varies(value, where)}
+        if direct:
+            break
+    else:
+        return [value for value, _ in by_words]
+    # Elements with a slot below them, by what encloses them.
+    live, below = set(), {}
+    for x in direct:
+        while x is not None and x not in live:
+            live.add(x)
+            below.setdefault(x.parent, []).append(x)
+            x = x.parent
+    inner = below[None][0]
+    while inner not in direct and len(below[inner]) == 1:
+        inner = below[inner][0]
+    stays = {inner: True, None: False}
+
+    def is_text(x: _Open) -> bool:
+        chain = []
+        while x not in stays:
+            chain.append(x)
+            x = x.parent
+        for y in reversed(chain):
+            unit = y.name not in INLINE and (y.parent is inner or bool(y.hints))
+            stays[y] = stays[y.parent] and (y in live or not unit)
+        return stays[chain[0] if chain else x]
+
+    return [value for value, where in held if where is None or is_text(where)]
+
+
 def slots(page: str, template: set[int]) -> str:
     """The main text of a page: its slots in order, without what the template says is not text."""
     inside, anywhere, has_article = [], [], False
     for kind, value, where in _events(page):
         if kind != "text":
             if value not in INLINE:
-                inside.append(" ")
+                inside.append((" ", None))
                 anywhere.append(" ")
             has_article = has_article or (kind == "tag" and where.article)
             continue
-        if where.junk:
+        if where.hard:
             continue
         value = html.unescape(value)
         if where.article:
-            inside.append(value)
+            inside.append((value, where))
+        if where.junk:
+            continue
         plain = " ".join(value.split())
         anywhere.append(" " if plain and _hash("text", where.path, plain) in template else value)
-    return " ".join("".join(inside if has_article else anywhere).split())
+    return " ".join("".join(_article(inside, template) if has_article else anywhere).split())
 
 
 def _count(batches):

@@ -243,6 +243,22 @@ def test_html_extraction(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_decides_inside_articles(spark):
+    """Site text in main under unlisted classes goes; article text under a listed word stays where nothing else varies."""
+    strip = "<div class='zq7'><p>Follow <b>us</b> daily</p></div>"
+    body = "<div class='zq8'><h1>Head {0}</h1><p>Text {0}</p><div class='zq9'><p>Ring the desk</p></div><p>End {0}</p></div>"
+    page = f"<body><main>Site slogan{strip}<div>{body}</div><div class='share'>told {{0}} times</div></main></body>"
+    listed = "<body><article><div class='xx'>Our paper</div><div class='notice'><p>Notice {0} of the court</p></div><nav>n {0}</nav></article></body>"
+    copies = "<body><article><h1>Same</h1><p>copy</p></article></body>"
+    rows = [(i, "http://a/", page.format(i)) for i in range(4)] + [(10 + i, "http://b/", listed.format(i)) for i in range(4)] + [(20 + i, "http://c/", copies) for i in range(4)]
+    rows.append((30, "http://d/", page.format(7)))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[2] == "Head 2 Text 2 End 2"
+    assert got[12] == "Notice 2 of the court"
+    assert got[21] == "Same copy"
+    assert got[30] == "Site slogan Follow us daily Head 7 Text 7 Ring the desk End 7"
+
+
 def test_html_against_the_given_pages(spark, sf_dir):
     import html
     import re
