@@ -2,9 +2,11 @@
 
 A document is a bag of sentences. The score of a sentence is the logistic of a bias and its words' weights; that of a
 document is the noisy-or of its sentences, so one offending sentence suffices. Weights are trained from document labels
-alone, on at most `train_documents` labelled documents (the positives first to half of that, chosen by a hash of the id),
-which bounds what the driver holds. Words are candidates for a weight if they, or their beginnings, stand in `min_documents`
-training documents or more. Scoring is one map over all whole texts; sentences with high scores are returned with their places.
+alone, on all labelled documents and their whole texts. Spark counts the documents of each word; words are candidates for a
+weight if they, or their beginnings, stand in `min_documents` training documents or more and with positives more often than
+chance allows. A sentence is then known by its candidates alone, so the driver gets how often each set of them stands in
+negative documents, and the sets of each positive one, equal ones once: no texts. Scoring is one map over all whole texts;
+sentences with high scores are returned with their places.
 
 Null and empty texts have no sentences and score 0. Repeated rows score alike; extra columns pass through `score`, columns
 named score and sentences are replaced. Without positive labels all weights are 0. Rows whose id or label is null are not
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryloom.llm import textbytes as tb
+from quarryloom.llm.storage import saved, temporary
 
-TRAIN_DOCUMENTS, TRAIN_CHARS, MIN_DOCUMENTS, EPOCHS, FOLDS = 4_000, 10_000_000, 4, 150, 5
+MIN_DOCUMENTS, EPOCHS, FOLDS = 4, 150, 5
 #: Lengths in bytes of word beginnings that are features beside the word.
 PREFIXES = (4, 6)
 _LOWER = tb.lower_table()
@@ -72,60 +75,113 @@ class Model:
         return -np.expm1(np.bincount(bags.owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=bags.n))
 
 
-def train(bags: Bags, label: np.ndarray, *, min_documents: int = MIN_DOCUMENTS, epochs: int = EPOCHS) -> Model:
-    """Gradient ascent on the noisy-or likelihood; a word starts from the log odds of the documents that have it."""
-    flat, owner = bags.word.ravel(), np.repeat(bags.document, bags.word.shape[1]).astype(np.int32)
-    order = np.argsort(flat, kind="stable")
-    word, owner = flat[order], owner[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
-    word, owner = word[new], owner[new]
-    words, start = np.unique(word, return_index=True)
-    count = np.diff(np.append(start, len(word)))
-    positive = np.add.reduceat(label[owner], start) if len(start) else start.astype(float)
-    total, of = label.sum(), len(label)
-    if not total or total == of:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -8.0)
-    rate, base = (positive + 1) / (count + 2), (total + 1) / (of + 2)
-    # Only words whose share of positives is above the usual by more than chance allows can make a sentence offend.
-    z = (positive - count * base) / np.sqrt(count * base * (1 - base))
-    good = (count >= min_documents) & (z > 3) & (words != 0)
-    words = words[good]
-    weights = 0.4 * np.log(rate / (1 - rate) / (base / (1 - base)))[good]
+def _count(batches):
+    """Words of labelled documents: in how many, and in how many positive ones; 0 stands for all documents."""
+    for b in tb.slices(batches):
+        bags = Bags(*tb.texts(b.column("text")))
+        label = np.asarray(b.column("_y"), dtype=np.int64)
+        flat, owner = bags.word.ravel(), np.repeat(bags.document, bags.word.shape[1])
+        order = np.argsort(flat, kind="stable")
+        word, owner = flat[order], owner[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+        new &= word != 0
+        word, owner = word[new], owner[new]
+        words, start = np.unique(word, return_index=True)
+        count = np.diff(np.append(start, len(word)))
+        positive = np.add.reduceat(label[owner], start) if len(start) else start
+        columns = (np.append(words.view(np.int64), 0), np.append(count, len(label)), np.append(positive, label.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64), pa.int64()) for x in columns], ["word", "n", "positive"])
+
+
+def _sets(shared):
+    """Sentences as sets of candidates (their numbers as bytes): those of each positive document, and the negatives' by set."""
+    kind = pa.list_(pa.struct([("s", pa.binary()), ("n", pa.int64())]))
+
+    def run(batches):
+        words = shared.value
+        for b in tb.slices(batches):
+            bags = Bags(*tb.texts(b.column("text")))
+            label = np.asarray(b.column("_y"), dtype=np.int64)
+            flat = bags.word.ravel()
+            at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+            known = np.flatnonzero(words[at] == flat)
+            at, sentence = at[known].astype(np.int32), np.searchsorted(bags.first, known // bags.word.shape[1], "right") - 1
+            order = np.lexsort((at, sentence))
+            at, sentence = at[order], sentence[order]
+            which, start = np.unique(sentence, return_index=True)
+            plain = np.bincount(bags.owner, minlength=bags.n) - np.bincount(bags.owner[which], minlength=bags.n)
+            held: list[dict[bytes, int]] = [{} for _ in range(bags.n)]
+            for i in np.flatnonzero(plain):
+                held[i][b""] = int(plain[i])
+            for i, low, high in zip(bags.owner[which], start, np.append(start[1:], len(at))[: len(start)], strict=True):
+                one = at[low:high].tobytes()
+                held[i][one] = held[i].get(one, 0) + 1
+            negative: dict[bytes, int] = {}
+            for i in np.flatnonzero(label == 0):
+                for k, n in held[i].items():
+                    negative[k] = negative.get(k, 0) + n
+            out = [(0, [{"s": k, "n": 1}], n) for k, n in negative.items()]
+            out += [(1, [{"s": k, "n": n} for k, n in sorted(held[i].items())], 1) for i in np.flatnonzero(label) if held[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], kind), pa.array([x[2] for x in out], pa.int64())], ["y", "bag", "c"])
+
+    return run
+
+
+def train(words: np.ndarray, weights: np.ndarray, bags: pa.Table, *, epochs: int = EPOCHS) -> Model:
+    """Gradient ascent on the noisy-or likelihood from the given weights. bags: y, bag, c, as `_sets` gives them, equal ones summed."""
+    bag = bags.column("bag").combine_chunks()
+    if isinstance(bag, pa.ChunkedArray):
+        bag = pa.concat_arrays(bag.chunks) if bag.num_chunks else pa.array([], bag.type)
+    entries, owner = bag.flatten(), np.repeat(np.arange(len(bag)), np.diff(np.asarray(bag.offsets)))
+    coded = entries.field("s").dictionary_encode()
+    sets, code = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+    at = np.frombuffer(b"".join(sets), np.int32)
+    of = np.repeat(np.arange(len(sets)), [len(x) // 4 for x in sets])
+    y, times = (np.asarray(bags.column(c)) for c in ("y", "c"))
+    times = times[owner] * np.asarray(entries.field("n")).astype(float)
+    positive = y[owner] == 1
+    absent = np.bincount(code[~positive], weights=times[~positive], minlength=len(sets))
+    code, owner, times = code[positive], owner[positive], times[positive]
+    owner = np.unique(owner, return_inverse=True)[1]
+    inside = np.asarray(entries.field("n"))[positive].astype(float)
     bias = -6.0
-    if not len(words):
-        return Model(words, weights, bias)
-    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-    known = np.flatnonzero(words[at] == flat)
-    at, sentence = at[known], np.searchsorted(bags.first, known // bags.word.shape[1], "right") - 1
-    y = label[bags.owner].astype(bool)
     moment, second = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for k in range(1, epochs + 1):
-        p = logistic(np.bincount(sentence, weights=weights[at], minlength=len(bags.first)) + bias)
-        whole = np.maximum(-np.expm1(np.bincount(bags.owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=bags.n)), 1e-9)[bags.owner]
-        slope = np.where(y, p * (1 - whole) / whole, -p)
-        grad = np.append(np.bincount(at, weights=slope[sentence], minlength=len(words)) - 0.05 * weights, slope.sum())
+        p = logistic(np.bincount(of, weights=weights[at], minlength=len(sets)) + bias)
+        q = p[code]
+        whole = np.maximum(-np.expm1(np.bincount(owner, weights=inside * np.log1p(-np.minimum(q, 1 - 1e-12)))), 1e-9)[owner]
+        slope = np.bincount(code, weights=times * q * (1 - whole) / whole, minlength=len(sets)) - absent * p
+        grad = np.append(np.bincount(at, weights=slope[of], minlength=len(words)) - 0.05 * weights, slope.sum())
         moment, second = 0.9 * moment + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = 0.15 * moment / (1 - 0.9**k) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
         weights, bias = np.maximum(weights + step[:-1], 0.0), min(bias + step[-1], -3.0)
     return Model(words, weights, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_documents: int = TRAIN_DOCUMENTS, train_chars: int = TRAIN_CHARS, **options) -> Model:
-    """Trains on a sample of labelled documents of bounded number and size. Labels: doc_id, label; the greatest counts."""
-    chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y"))
-    order = [F.xxhash64("_id"), "_id"]
-    positives = chosen.where("_y = 1").orderBy(*order).limit(train_documents // 2)
-    sample = positives.unionByName(chosen.where("_y = 0").orderBy(*order).limit(train_documents - train_documents // 2))
-    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
-    held, size = [], 0
-    # The rows come in the order of a hash, partition by partition, until the bound on their size is reached.
-    for r in found.select("_y", "text", *[c.alias("_o") for c in [F.xxhash64("_id")]]).orderBy("_o", "text").limit(2 * train_documents).toLocalIterator():
-        size += len(r["text"])
-        if size > train_chars:
-            break
-        held.append((r["text"], r["_y"]))
-    return train(Bags(*tb.texts(pa.array([t for t, _ in held], pa.string()))), np.array([y for _, y in held], float), **options)
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", min_documents: int = MIN_DOCUMENTS, **options) -> Model:
+    """Trains on all labelled documents. Labels: doc_id, label (1 or 0); the greatest counts."""
+    chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y")).where("_y IN (0, 1)")
+    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "_id").select("_y", "text")
+    with temporary(docs.sparkSession):
+        found = saved(found, "labelled")
+        counts = saved(found.mapInArrow(_count, "word long, n long, positive long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")), "words")
+        whole = counts.where("word = 0").first()
+        if whole is None or whole.positive in (0, whole.n):
+            return Model(np.zeros(0, np.uint64), np.zeros(0), -8.0)
+        # Only words whose share of positives is above the usual by more than chance allows can make a sentence offend.
+        base = (whole.positive + 1) / (whole.n + 2)
+        z = (F.col("positive") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
+        good = counts.where((F.col("word") != 0) & (F.col("n") >= min_documents) & (z > 3)).toArrow()
+        words, n, positive = (np.asarray(good.column(c)) for c in ("word", "n", "positive"))
+        order = np.argsort(words.view(np.uint64))
+        words, rate = words.view(np.uint64)[order], ((positive + 1) / (n + 2))[order]
+        # A word starts from the log odds of the documents that have it.
+        weights = 0.4 * np.log(rate / (1 - rate) / (base / (1 - base)))
+        if not len(words):
+            return Model(words, weights, -6.0)
+        sets = found.mapInArrow(_sets(docs.sparkSession.sparkContext.broadcast(words)), "y int, bag array<struct<s:binary,n:long>>, c long")
+        return train(words, weights, sets.groupBy("y", "bag").agg(F.sum("c").alias("c")).orderBy("y", "bag").toArrow(), **options)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, sentence_score: float = 0.5) -> DataFrame:

@@ -297,6 +297,20 @@ def test_toxicity_held_out(spark):
     assert (none.score < 0.5).all() and toxicity.score(d.where("false"), model).count() == 0
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """A word that only late positives have is learnt, whatever the number of documents and the length of one of them."""
+    order = [r.id for r in spark.range(5200).orderBy(F.xxhash64("id"), "id").collect()]
+    rows, labels = [(order[0], "plain" + " " * 10_000_001)], [(order[0], 0)]
+    for k, i in enumerate(order[1:]):
+        toxic = k % 2
+        rows.append((i, f"word{k % 7} here. " + ("lout" if toxic and k > 4600 else "wretch" if toxic else "friend")))
+        labels.append((i, toxic))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new = spark.createDataFrame([(1, "A lout."), (2, "A friend."), (3, "The wretch")], "doc_id long, text string")
+    assert [r.score >= 0.5 for r in toxicity.score(new, model).orderBy("doc_id").collect()] == [True, False, True]
+
+
 def test_license_scan(spark):
     text = "intro\nReleased under the MIT License.\nmore\n\nlicensed under the apache license version 2.0\nSome licence of ours\nLicensed under CC BY-SA 4.0.\nAll rights reserved."
     d = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "no notice", "x")], "doc_id long, text string, findings string")
