@@ -18,8 +18,9 @@ corpus into independent parts:
 With keep="first" a window is removed if an equal one begins earlier (by `order`, row, position); with keep="none" if an
 equal one begins anywhere else. Matches never cross documents; windows are judged on the input.
 
-Null texts are empty; texts shorter than `length` keep all bytes. Repeated rows are copies like any other. The input must
-read the same again (a table or file), as its rows are numbered by place. A null `order` stands before all others.
+Null texts are empty; texts shorter than `length` keep all bytes. Repeated rows are copies like any other. Rows are
+numbered by place once and saved with their numbers, which all later jobs read, so none has to number them alike again.
+A null `order` stands before all others.
 """
 
 from __future__ import annotations
@@ -279,6 +280,7 @@ def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", columns
     fields = {c: f"_c{i}" for i, c in enumerate(columns)}
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in fields.items()))
     with temporary(docs.sparkSession) as keep:
+        base = keep(base, "numbered")
         ranges = repeated(base.select("rid", "ord", "text"), **options)
         ranges = keep(ranges.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
     base = base.drop("ord")

@@ -99,6 +99,24 @@ def test_suffix_dedup(spark, tmp_path, options, keep):
         assert got.n_removed[i] == sum(f)
 
 
+def test_suffix_dedup_when_file_splits_change(spark, tmp_path, monkeypatch):
+    """Splits that differ between jobs, as with executors that come late, move no range to another text."""
+    random.seed(6)
+    rows = ["".join(random.choice("abcdefgh") for _ in range(random.randint(200, 900))) for _ in range(60)]
+    rows += [random.choice(rows)[:150] + "".join(random.choice("xyz") for _ in range(100)) for _ in range(60)]
+    d = table(spark, tmp_path, list(enumerate(rows)), "doc_id long, text string", parts=9)
+    name, saved = "spark.sql.files.maxPartitionBytes", suffix_dedup.saved
+    before = spark.conf.get(name)
+    monkeypatch.setattr(suffix_dedup, "saved", lambda *a: (saved(*a), spark.conf.set(name, "2k"))[0])
+    try:
+        got = suffix_dedup.dedup(d, columns=["doc_id"], keep="none", length=60).toPandas().set_index("doc_id")
+    finally:
+        spark.conf.set(name, before)
+    data, flags = brute.removed(rows, 60, False)
+    for i, (b, f) in enumerate(zip(data, flags, strict=True)):
+        assert bytes(got.kept[i]) == bytes(x for x, m in zip(b, f, strict=True) if not m)
+
+
 def test_suffix_dedup_documents(spark, docs, texts):
     got = suffix_dedup.dedup(docs, columns=["doc_id", "kept", "score"], as_text=True)
     assert got.count() == len(texts) + 2
