@@ -1,7 +1,9 @@
 """License scans by conditional compression.
 
 A native filter picks the lines of a text that speak of licences, rights or permission; each starts a candidate block of
-the lines from there to a blank line or until it is longer than the longest template. Every block is compressed by
+the lines from there to a blank line or until it is longer than the longest template. Blocks start also on the lines
+before it, back to a blank line or by as much text, if words of a template begin there; they count if they are confirmed
+and reach the trigger. Text of the same lines before and after a confirmed notice is scanned for others. Every block is compressed by
 zstandard alone and with each template as a raw dictionary; the relative reduction in size ranks the templates. The best
 ones are confirmed word by word: the template's words have to stand in the block in order, up to `max_differences` of them.
 The differing words are returned, so an exact notice is told from an altered one, and blocks that no template explains
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TRIGGER = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribution and use|public domain|all warranties"
+_TRIGGER = re.compile(TRIGGER)
 MAX_DIFFERENCES, BEST = 0.1, 3
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 #: Wordings of common notices.
@@ -56,22 +59,73 @@ class Scanner:
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=d) for k, d in made.items()}
         self.longest = max(map(len, templates.values()))
 
-    def blocks(self, lines: list[str], at: list[int]):
-        """(line, text) of candidate blocks; a trigger line inside a block that was confirmed is not looked at again."""
-        for k in at:
-            taken, size = [], 0
-            for line in lines[k:]:
-                if taken and (not line.strip() or size > self.longest):
-                    break
-                taken.append(line)
-                size += len(line) + 1
-            yield k, "\n".join(taken)
-
-    def scan(self, block: str) -> tuple[dict, int]:
-        """The finding for a block and how many of its lines it explains."""
+    def block(self, lines: list[str]) -> str:
+        taken, size = [], 0
+        for line in lines:
+            if taken and (not line.strip() or size > self.longest):
+                break
+            taken.append(line)
+            size += len(line) + 1
+        return "\n".join(taken)
+
+    def begun(self, line: str) -> list[str]:
+        """Templates of which two neighbouring words, or the first word at its end, stand in a line."""
+        own = words(line)
+        pairs = set(zip(own, own[1:], strict=False))
+        return [k for k, t in self.templates.items() if own and (own[-1] == t[0] or not pairs.isdisjoint(zip(t, t[1:], strict=False)))]
+
+    def within(self, text: str, line: int) -> list[dict]:
+        """Confirmed notices in a part of a line, in order."""
+        found, parts = [], [(0, text)]
+        while parts:
+            at, part = parts.pop()
+            if not _TRIGGER.search(part):
+                continue
+            one, _, low, high, rank = self.scan(part)
+            if rank is not None:
+                found.append((at + low, {"line": line, **one}))
+                parts += [(at, part[:low]), (at + high, part[high:])]
+        return [f for _, f in sorted(found, key=lambda x: x[0])]
+
+    def notices(self, lines: list[str], k: int, explained: int) -> tuple[list[dict], int]:
+        """Findings for the trigger line k, and the first line after those that they explain."""
+        starts, size, s = [], 0, k - 1
+        while s >= explained and s >= 0 and lines[s].strip() and size <= self.longest:
+            starts.append(s)
+            size += len(lines[s]) + 1
+            s -= 1
+        best = unknown = None
+        for s in [k, *starts]:
+            only = None if s == k else self.begun(lines[s])
+            if only == []:
+                continue
+            block = self.block(lines[s:])
+            one, n, low, high, rank = self.scan(block, only)
+            if rank is None:
+                unknown = unknown or one
+            elif s + n > k and (best is None or rank > best[0]):
+                best = (rank, s, block, one, n, low, high)
+        if best is None:
+            return [{"line": k, **unknown}], k + 1
+        _, s, block, one, n, low, high = best
+        found = [*self.within(block[:low], s), {"line": s, **one}]
+        at = s + n - 1
+        while _TRIGGER.search(rest := block[high:].split("\n", 1)[0]):
+            block = self.block([rest, *lines[at + 1 :]])
+            one, n, low, high, rank = self.scan(block)
+            if rank is None:
+                break
+            found += [*self.within(block[:low], at), {"line": at, **one}]
+            at += n - 1
+        return found, at + 1
+
+    def scan(self, block: str, only: list[str] | None = None) -> tuple[dict, int, int, int, tuple | None]:
+        """The finding for a block, how many of its lines it explains, the place of its words and its rank; none if unknown."""
         first = block.split("\n", 1)[0]
         ranked = []
         for k, template in self.templates.items():
+            if only is not None and k not in only:
+                continue
             # A block is measured over as much of it as the template could fill.
             part = block[: max(len(first), 2 * sum(map(len, template)))].encode()
             plain, given = len(self.plain.compress(part)), len(self.given[k].compress(part))
@@ -98,17 +152,13 @@ class Scanner:
                 continue
             rank = (agreed, -len(missing) - len(extra), reduction)
             if best is None or rank > best[0]:
-                best = (rank, {"license": k, "reduction": round(reduction, 6), "exact": not missing and not extra, "missing": missing, "extra": extra}, high)
+                best = (rank, {"license": k, "reduction": round(reduction, 6), "exact": not missing and not extra, "missing": missing, "extra": extra}, low, high)
         if best is None:
             top = max(ranked, key=lambda x: (x[0], x[1]))
-            return {"license": None, "reduction": round(top[0], 6), "exact": False, "missing": [], "extra": []}, 1
-        used = n = 0
-        for line in block.split("\n"):
-            used += len(words(line))
-            n += 1
-            if used >= best[2]:
-                break
-        return best[1], n
+            return {"license": None, "reduction": round(top[0], 6), "exact": False, "missing": [], "extra": []}, 1, 0, 0, None
+        places = [m.span() for m in _WORD.finditer(block)]
+        low, high = places[best[2]][0], places[best[3] - 1][1]
+        return best[1], block.count("\n", 0, high) + 1, low, high, best[0]
 
 
 def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -127,13 +177,12 @@ def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | Non
         for b in batches:
             out = []
             for c in b.column("candidates").to_pylist():
-                found, explained = [], -1
-                for k, block in scanner.blocks(c["lines"], c["at"]) if c else ():
+                found, explained = [], 0
+                for k in c["at"] if c else ():
                     if k < explained:
                         continue
-                    one, n = scanner.scan(block)
-                    explained = k + n
-                    found.append({"line": k, **one})
+                    more, explained = scanner.notices(c["lines"], k, explained)
+                    found += more
                 out.append(found)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in fields.values()), pa.array(out, arrow)], [*fields.values(), "findings"])
 

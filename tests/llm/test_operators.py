@@ -338,3 +338,10 @@ def test_license_scan(spark):
     changed = license_scan.TEMPLATES["MIT-text"].replace("free of charge", "for a fee")
     one = license_scan.scan(spark.createDataFrame([(1, changed)], "doc_id long, text string")).first().findings[0]
     assert one.license == "MIT-text" and not one.exact and "for" in one.extra
+
+
+def test_license_scan_wrapped_header_and_two_notices_on_a_line(spark):
+    header = "intro\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    rows = [(1, header), (2, "Licensed under CC BY 4.0. Some words. All rights reserved. More."), (3, "All rights reserved. Licensed under CC BY 4.0.")]
+    got = {r.doc_id: [(f.line, f.license, f.exact) for f in r.findings] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(2, "GPL-3.0-header", True)], 2: [(0, "CC-BY-4.0", True), (0, "proprietary", True)], 3: [(0, "proprietary", True), (0, "CC-BY-4.0", True)]}
