@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import CHINESE_STOPWORDS, ENGLISH_STOPWORDS, WORD, normalised, words
-from quarryloom.operators.retrieval import DENSE_SQL, _dense, queries_of, small
+from quarryloom.operators.retrieval import dense_search, queries_of, small
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
 FILTER = r"([\p{L}\p{N}_]+):(\S+)"
@@ -36,10 +36,14 @@ def parse_filters(query: Column) -> tuple[Column, Column]:
     return joined, F.trim(F.regexp_replace(F.regexp_replace(query, FILTER, ""), r"\s+", " "))
 
 
-def keywords(query: Column, most: int = 20, least: int = 2) -> Column:
-    """Words in order, each once whatever its case, in lower case, without stop words."""
-    found = F.transform(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_]+[-\p{L}\p{N}_]*"), F.lit(0)), F.lower)
-    return F.slice(F.array_distinct(F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*ENGLISH_STOPWORDS, *CHINESE_STOPWORDS))), 1, most)
+def keywords(query: Column, most: int = 20) -> Column:
+    """Words in order as they are first written, each once whatever its case, without stop words. Runs of Chinese characters
+    are words of their own."""
+    # Only the letters and digits outside of Chinese continue a word.
+    found = F.regexp_extract_all(query, F.lit(r"[\x{4e00}-\x{9fff}]+|[\p{L}\p{N}_&&[^\x{4e00}-\x{9fff}]][-\p{L}\p{N}_&&[^\x{4e00}-\x{9fff}]]*"), F.lit(0))
+    lower = F.transform(found, F.lower)
+    first = F.filter(found, lambda w, i: (F.array_position(lower, F.lower(w)) == i + 1) & ~F.lower(w).isin(*ENGLISH_STOPWORDS, *CHINESE_STOPWORDS))
+    return F.slice(first, 1, most)
 
 
 def match_filters(filters: dict, columns: dict[str, Column]) -> Column:
@@ -121,16 +125,24 @@ def merge_filters(spark, d):
     return _filtered_queries(spark, d).select("query_id", F.element_at(merged, "collection").alias("collection"), F.size(merged).alias("n_filters"))
 
 
-def semantic_cache(spark, d):
-    """Vectors divisible by 20 ask; the others are cached answers with the time of the event of the same number. A hit is
-    the most similar entry of 0.6 or more of the same label that not older than the newest event less a month."""
+#: Fixed value: how like a question has to be to one that was answered before, as a cosine.
+CACHE_SIMILARITY = 0.92
+#: The vectors at hand are random, their nearest entries at 0.2 to 0.4.
+CACHE_SIMILARITY_HERE = 0.25
+
+
+def semantic_cache(spark, d, least: float = CACHE_SIMILARITY):
+    """Vectors divisible by 20 ask; the others are cached answers with the time of the event of the same number. A hit is the
+    most similar entry of the same label that is not older than the newest event less a month, if its cosine is `least`
+    or more. Entries that are too old or of another label are out before any is compared."""
     v = table(spark, d, "embeddings")
     ev = table(spark, d, "events").select(F.col("event_id").alias("vec_id"), F.col("ts").cast("timestamp").alias("at"))
     now = table(spark, d, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 30 DAYS")).alias("oldest"))
-    entry = v.where("vec_id % 20 <> 0").join(ev, "vec_id").join(F.broadcast(now)).where("at >= oldest").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("entry_label"))
-    hits = _dense(spark, d, 20).join(entry, "doc_id").join(v.select(F.col("vec_id").alias("query_id"), "label"), "query_id").where("label = entry_label AND score >= 0.6")
-    best = hits.groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("entry"), F.max("score").alias("score"))
-    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")).join(best, "query_id", "left").select("query_id", "entry", "score", F.col("entry").isNotNull().alias("hit"))
+    # The newest time is one row.
+    entries = v.where("vec_id % 20 <> 0").join(ev, "vec_id").join(F.broadcast(now)).where("at >= oldest").select(*v.columns)
+    asking = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    best = dense_search(asking, entries, 1, group="label").where(2 * F.col("score") - 1 >= least).select("query_id", F.col("doc_id").alias("entry"), "score")
+    return asking.select("query_id").join(best, "query_id", "left").select("query_id", "entry", "score", F.col("entry").isNotNull().alias("hit"))
 
 
 def cache_evict(spark, d, keep: int = 500):
@@ -217,7 +229,7 @@ QUERIES = {
     "match_skill": match_skill,
     "focus_excerpt": focus_excerpt,
     "query_flags": query_flags,
-    "semantic_cache_lookup": semantic_cache,
+    "semantic_cache_lookup": lambda s, d: semantic_cache(s, d, CACHE_SIMILARITY_HERE),
     "cache_evict": cache_evict,
     "cache_exact_key": lambda s, d: table(s, d, "documents").groupBy(F.md5(normalised(F.col("text")).cast("binary")).alias("key")).agg(F.count("*").alias("uses"), F.min("doc_id").alias("first_doc")).where("uses > 1"),
     "similar_questions": similar_questions,
@@ -236,7 +248,7 @@ def _rules_sql(rules, default, text="text") -> str:
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 ORACLE = {
     "parse_query_filters": f"WITH {_FQ} SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'collection=web' WHEN 1 THEN 'doc_type=pdf;tags=x,y,z' WHEN 2 THEN 'lang=en;source_path=/data' ELSE '' END AS filters, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS rest FROM fq",
-    "query_keywords": f"WITH k AS (SELECT item_id AS query_id, i, w, row_number() OVER (PARTITION BY item_id, w ORDER BY i) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+[-\\p{{L}}\\p{{N}}_]*')) AS w0, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+[-\\p{{L}}\\p{{N}}_]*'), 1) AS i, lower(w0) AS w FROM benchmark) WHERE length(w) >= 2 AND w NOT IN ({_STOP})) SELECT b.item_id AS query_id, coalesce(ks, '') AS keywords FROM benchmark b LEFT JOIN (SELECT query_id, array_to_string(list(w ORDER BY i)[1:20], ' ') AS ks FROM k WHERE n = 1 GROUP BY query_id) x ON x.query_id = b.item_id",
+    "query_keywords": f"WITH k AS (SELECT item_id AS query_id, i, w0, w, row_number() OVER (PARTITION BY item_id, w ORDER BY i) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+[-\\p{{L}}\\p{{N}}_]*')) AS w0, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+[-\\p{{L}}\\p{{N}}_]*'), 1) AS i, lower(w0) AS w FROM benchmark) WHERE w NOT IN ({_STOP})) SELECT b.item_id AS query_id, coalesce(ks, '') AS keywords FROM benchmark b LEFT JOIN (SELECT query_id, array_to_string(list(w0 ORDER BY i)[1:20], ' ') AS ks FROM k WHERE n = 1 GROUP BY query_id) x ON x.query_id = b.item_id",
     "match_filters": f"WITH {CHUNKS_SQL} SELECT doc_id, source_path FROM chunks WHERE contains(source_path, 'src1') AND lang = 'en' AND source_type = 'slide'",
     "store_filters": "SELECT doc_id, lang, source, n_chars FROM documents WHERE ((lang = 'en' AND n_chars >= 500 AND n_chars < 3000) OR source IN ('src3', 'src4')) AND doc_id <> 7",
     "merge_filters": "SELECT item_id AS query_id, 'given' AS collection, CASE item_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 1 ELSE 3 END AS n_filters FROM benchmark",
@@ -247,7 +259,7 @@ ORACLE = {
     "match_skill": "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'quiz_drill' WHEN contains(lower(text), 'and') THEN 'exam_prep' WHEN contains(lower(text), 'of') THEN 'review' WHEN contains(lower(text), 'que') THEN 'summary' END AS skill FROM conversations WHERE role = 'user'",
     "focus_excerpt": f"WITH q AS (SELECT item_id AS doc_id, list_max(list_transform({_WORDS}, lambda w: {{'n': length(w), 'w': w}})).w AS term FROM benchmark), t AS (SELECT d.doc_id, d.text, coalesce(term, substr(source, 4, 9)) AS term FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id), a AS (SELECT *, instr(lower(text), lower(term)) AS pos FROM t) SELECT doc_id, CASE WHEN length(text) <= 420 THEN text WHEN pos > 0 AND length(term) > 0 THEN substr(text, greatest(pos - 210, 1), 420) ELSE substr(text, 1, 210) || ' ... ' || right(text, 210) END AS excerpt FROM a",
     "query_flags": "WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 6 AND before > 0 AS needs_rewrite, length(text) <= 200 AND NOT regexp_matches(text, '[?？]') AS fast_path FROM t WHERE role = 'user'",
-    "semantic_cache_lookup": f"WITH {DENSE_SQL.replace('@k', '20')}, h AS (SELECT query_id, doc_id AS entry, score FROM dense n JOIN embeddings q ON q.vec_id = n.query_id JOIN embeddings e ON e.vec_id = n.doc_id JOIN events v ON v.event_id = n.doc_id WHERE n.doc_id % 20 <> 0 AND q.label = e.label AND score >= 0.6 AND v.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1) SELECT vec_id AS query_id, entry, score, entry IS NOT NULL AS hit FROM embeddings LEFT JOIN h ON h.query_id = vec_id WHERE vec_id % 20 = 0",
+    "semantic_cache_lookup": f"WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, e.vec_id AS entry, round(greatest(0.0, (1 + list_cosine_similarity(q.v, e.v)) / 2), 6) AS score FROM u q JOIN u e ON e.label = q.label JOIN events n ON n.event_id = e.vec_id WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0 AND n.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) = 1) SELECT vec_id AS query_id, entry, score, entry IS NOT NULL AS hit FROM embeddings LEFT JOIN (SELECT * FROM h WHERE 2 * score - 1 >= {CACHE_SIMILARITY_HERE}) h ON h.query_id = vec_id WHERE vec_id % 20 = 0",
     "cache_evict": "SELECT floor(value * 10)::BIGINT AS entry, count(*) AS uses FROM events GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 500",
     "cache_exact_key": "SELECT md5(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, count(*) AS uses, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "similar_questions": f"WITH q AS (SELECT conv_id, turn, {_WORDS} AS w, conv_id % 5 AS user, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id DESC, turn DESC) AS n FROM conversations WHERE role = 'user'), s AS (SELECT a.user, a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS overlap FROM q a JOIN q b ON a.user = b.user AND b.n = 1 WHERE a.n BETWEEN 2 AND 101) SELECT user, conv_id, turn, overlap, row_number() OVER (PARTITION BY user ORDER BY overlap DESC, conv_id, turn) AS rank FROM s WHERE overlap > 0 QUALIFY rank <= 3",

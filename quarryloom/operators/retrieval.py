@@ -3,15 +3,23 @@ results late, and every ranking ends with the id, so results are the same in any
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import cosine, dot, terms
+from quarryloom.operators import bm25
+from quarryloom.operators.bm25 import B, K1
+from quarryloom.sources.shared import new_path
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 
-K1, B, RRF_K = 1.5, 0.75, 60
+RRF_K = 60
+#: Bytes of query vectors that go to the tasks at once.
+QUERY_BYTES = 32 << 20
 #: Sides of at most so many characters or rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -26,50 +34,59 @@ def term_frequencies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(terms(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("dl"))
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl, df, idf, n_docs, avg_dl): the index."""
-    coded = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    stats = coded.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    tf = coded.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # The statistics are one row.
-    return tf.join(df, "term").join(F.broadcast(stats)).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) of every document that has a term of the query. Only terms of some query are counted."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    asked_terms = small(asked.select("term").distinct())
-    coded = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    stats = coded.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    tf = coded.select("doc_id", "dl", F.explode("t").alias("term")).join(asked_terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = small(asked).join(tf.join(df, "term"), "term").join(F.broadcast(stats))
-    part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
 def top_k(hits: DataFrame, k: int, *by: Column, group: list[str] | None = None, name: str = "rank") -> DataFrame:
     order = Window.partitionBy(*(group or ["query_id"])).orderBy(*(by or (F.desc("score"), F.col("doc_id"))))
     return hits.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) with score (1 + cosine) / 2. Queries go to the vectors in one broadcast if they are few,
-    else by blocks of queries that are joined to all vectors."""
-    unit = lambda d, i, v, n: d.select(F.col(i).alias(n), F.transform(v, lambda x: x.cast("double")).alias(f"v_{n}"), F.sqrt(dot(F.col(v), F.col(v))).alias(f"n_{n}"))
-    q, d = unit(queries, "query_id", "embedding", "query_id"), unit(vectors, "vec_id", "embedding", "doc_id")
-    pairs = d.crossJoin(small(q))
-    cos = dot(F.col("v_query_id"), F.col("v_doc_id")) / F.nullif(F.col("n_query_id") * F.col("n_doc_id"), F.lit(0.0))
-    return pairs.select("query_id", "doc_id", F.round(F.greatest(F.lit(0.0), (1 + F.coalesce(cos, F.lit(0.0))) / 2), 6).alias("score"))
+def _unit(column: pa.ListArray) -> np.ndarray:
+    """Vectors of an Arrow column as rows of length one; a vector of zeros stays."""
+    m = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(shared, k: int, group: str | None):
+    def run(batches):
+        asking, q, kinds = shared.value
+        for whole in batches:
+            step = max(1, bm25.HELD_SCORES // max(len(asking), 1))
+            for low in range(0, whole.num_rows, step):
+                b = whole.slice(low, step)
+                ids, v = np.asarray(b.column("vec_id")), _unit(b.column("embedding"))
+                labels = np.asarray(b.column(group).to_pylist(), dtype=object) if group else np.zeros(len(ids), object)
+                for g in dict.fromkeys(labels.tolist()):
+                    rows, columns = np.flatnonzero(labels == g), np.flatnonzero(kinds == g)
+                    if len(columns):
+                        score = np.round(np.maximum((1 + v[rows] @ q[columns].T) / 2, 0.0), 6)
+                        r, c = bm25.best(score, ids[rows], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(asking[columns[c]], pa.int64()), pa.array(ids[rows][r], pa.int64()), pa.array(score[r, c])], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, *, group: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k nearest vectors of each query by score (1 + cosine) / 2; with `group`, a column
+    of both, among those of the query's group. Exact: blocks of queries of bounded size go to every task, which multiplies
+    them with its vectors and hands on its k best for each query. queries: query_id, embedding; vectors: vec_id, embedding."""
+    columns = [group] if group else []
+    first = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select("query_id", "embedding", *columns)
+    n, width = first.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(1, -(-n * width * 8 // query_bytes))
+    out = None
+    for i in range(blocks):
+        block = first.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        held = block.column("embedding").combine_chunks() if block.num_rows else pa.array([], pa.list_(pa.float32()))
+        held = pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+        q = _unit(held) if len(held) else np.zeros((0, width))
+        kinds = np.asarray(block.column(group).to_pylist(), dtype=object) if group else np.zeros(len(held), object)
+        shared = vectors.sparkSession.sparkContext.broadcast((np.asarray(block.column("query_id"), dtype=np.int64), q, kinds))
+        hits = vectors.where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding", *columns).mapInArrow(_nearest(shared, k, group), "query_id long, doc_id long, score double")
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, k)
 
 
 def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -84,7 +101,7 @@ def interleave(ranked: DataFrame) -> DataFrame:
 
 
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), x))))
+    return F.when(x.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), x)))))
 
 
 # --- queries ---------------------------------------------------------------------------------------------------------
@@ -120,24 +137,27 @@ dense_all AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(greatest(0.
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense_all) WHERE rank <= @k)"""
 
 
-def _bm25(spark, d, k=10, **o):
-    return top_k(bm25_scores(queries_of(spark, d), table(spark, d, "documents"), **o), k)
+def _bm25(spark, d, k=10, docs=None, **o):
+    return bm25.search(queries_of(spark, d), bm25.forward(table(spark, d, "documents") if docs is None else docs), k, **o)
 
 
-def _dense(spark, d, k=10):
-    return top_k(dense_scores(query_vectors(spark, d), table(spark, d, "embeddings")), k)
+def _dense(spark, d, k=10, vectors=None):
+    return dense_search(query_vectors(spark, d), table(spark, d, "embeddings") if vectors is None else vectors, k)
 
 
-def _lists(spark, d):
+def _lists(spark, d, docs=None, vectors=None):
     """Two ranked lists for the queries 0, 20, 40 and so on that have both an item and a vector: sparse and dense."""
-    sparse = _bm25(spark, d, 20).select("query_id", "doc_id", "rank", F.lit(0).alias("list_no"))
-    dense = _dense(spark, d, 20).select("query_id", "doc_id", "rank", F.lit(1).alias("list_no"))
+    sparse = _bm25(spark, d, 20, docs).select("query_id", "doc_id", "rank", F.lit(0).alias("list_no"))
+    dense = _dense(spark, d, 20, vectors).select("query_id", "doc_id", "rank", F.lit(1).alias("list_no"))
     return sparse.unionByName(dense)
 
 
 LISTS_SQL = BM25_TOP_SQL.replace("@k", "20") + ", " + DENSE_SQL.replace("@k", "20") + ", lists AS (SELECT query_id, doc_id, rank, 0 AS list_no FROM sparse UNION ALL SELECT query_id, doc_id, rank, 1 FROM dense)"
 
 
+LISTS_EN_SQL = LISTS_SQL.replace("FROM documents", "FROM documents WHERE lang = 'en'").replace("FROM unit q, unit d WHERE", "FROM unit q, unit d WHERE d.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND")
+
+
 def bm25_with_text(spark, d):
     return _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "score", "rank", "text")
 
@@ -151,22 +171,35 @@ def rrf_weighted(spark, d):
     return top_k(rrf(_lists(spark, d).withColumn("weight", weight)), 10)
 
 
-def hybrid_search(spark, d):
-    fused = rrf(_lists(spark, d).withColumn("weight", F.when(F.col("list_no") == 0, 0.5).otherwise(0.5)))
-    kept = fused.join(chunks(spark, d).select("doc_id", "lang", "source_type"), "doc_id").where("lang = 'en'")
-    return top_k(kept, 10).select("query_id", "doc_id", "score", "rank", "source_type")
+def hybrid_search(spark, d, threshold: float = 0.7):
+    """English documents alone are ranked by terms and by vectors; the two lists are fused, the best 20 of them scored anew
+    where query and document have vectors, and those below the threshold dropped, unless that leaves a query nothing. A
+    document without a second score keeps its place behind those that have one."""
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    vectors = table(spark, d, "embeddings")
+    english = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    fused = top_k(rrf(_lists(spark, d, docs, english).withColumn("weight", F.lit(0.5))), 20, name="fused_rank")
+    again = with_vectors(fused, vectors, "left").withColumn("second", F.round(sigmoid(dot(F.col("qv"), F.col("dv"))), 6))
+    passing = F.max((F.col("second") >= threshold).cast("int")).over(Window.partitionBy("query_id"))
+    kept = again.withColumn("passing", F.coalesce(passing, F.lit(0))).where((F.col("passing") == 0) | (F.col("second") >= threshold))
+    ranked = top_k(kept, 10, F.desc_nulls_last("second"), F.col("fused_rank"))
+    return ranked.join(chunks(spark, d).select("doc_id", "source_type"), "doc_id").select("query_id", "doc_id", "score", "second", "rank", "source_type")
+
+
+def with_vectors(hits: DataFrame, vectors: DataFrame, how: str = "inner") -> DataFrame:
+    """hits with the vectors qv of the query and dv of the document."""
+    q = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return hits.join(q, "query_id", how).join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")), "doc_id", how)
 
 
 def dense_filtered(spark, d):
     english = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
-    return top_k(dense_scores(query_vectors(spark, d), table(spark, d, "embeddings").join(english, "vec_id", "left_semi")), 10)
+    return _dense(spark, d, 10, table(spark, d, "embeddings").join(english, "vec_id", "left_semi"))
 
 
 def dense_lsh(spark, d, planes: int = 6, tables: int = 60):
     """Approximate neighbours: sign patterns of random hyperplanes as join keys, then exact scores. The planes depend on
     the width alone; the keys of an Arrow batch come from one matrix product. Recall against the exact form is tested."""
-    import numpy as np
-
     vectors = table(spark, d, "embeddings")
 
     @F.pandas_udf("array<long>")
@@ -187,9 +220,7 @@ def dense_lsh(spark, d, planes: int = 6, tables: int = 60):
 
 def rerank_scores(spark, d):
     """The inner product with the query vector stands for an outside model's score."""
-    base = _dense(spark, d, 20)
-    v = table(spark, d, "embeddings")
-    pairs = base.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id").join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")), "doc_id")
+    pairs = with_vectors(_dense(spark, d, 20), table(spark, d, "embeddings"))
     scored = pairs.select("query_id", "doc_id", F.col("score").alias("original_score"), F.round(sigmoid(dot(F.col("qv"), F.col("dv"))), 6).alias("score"))
     return top_k(scored, 10)
 
@@ -202,7 +233,6 @@ def rerank_threshold(spark, d, threshold: float = 0.7):
 
 def mmr(hits: DataFrame, lam: float = 0.7, k: int = 10) -> DataFrame:
     """hits: query_id, doc_id, score, embedding; at most a few dozen per query. Greedy trade of relevance for diversity."""
-    import numpy as np
 
     def pick(pdf):
         pdf = pdf.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
@@ -235,17 +265,44 @@ def multi_query_merge(spark, d):
 def resolve_parent(spark, d):
     hits = _bm25(spark, d).join(chunks(spark, d).select("doc_id", "parent_id"), "doc_id")
     first = top_k(hits, 1, F.col("rank"), group=["query_id", "parent_id"], name="n").drop("n")
-    text = table(spark, d, "documents").select(F.col("doc_id").alias("parent_doc"), F.substring("text", 1, 80).alias("parent_text"))
+    text = table(spark, d, "documents").select(F.col("doc_id").alias("parent_doc"), F.col("text").alias("parent_text"))
     return first.withColumn("parent_doc", F.col("parent_id") * 4).join(text, "parent_doc", "left").select("query_id", "doc_id", "parent_id", "rank", "parent_text")
 
 
+def stored(spark, d, docs: DataFrame, change=None) -> DataFrame:
+    """Terms of an index of `docs` that is written to the shared folder, changed there and read back."""
+    path = new_path(spark, "bm25")
+    bm25.create(docs, path)
+    if change:
+        change(path)
+    return bm25.vocabulary(bm25.load(spark, path)).withColumn("idf", F.round("idf", 6))
+
+
+def bm25_add(spark, d):
+    """English documents are indexed; then the German ones and every English one with an even id are added."""
+    docs = table(spark, d, "documents")
+    return stored(spark, d, docs.where("lang = 'en'"), lambda path: bm25.add(docs.where("lang = 'de' OR (lang = 'en' AND doc_id % 2 = 0)"), path)).select("term", "df", "idf")
+
+
+def bm25_remove(spark, d):
+    gone = table(spark, d, "labels").where("quality = 0").select("doc_id")
+    return stored(spark, d, table(spark, d, "documents"), lambda path: bm25.remove(gone, path)).select("term", "df", "idf")
+
+
+def corpus_stats(spark, d):
+    index = bm25.forward(table(spark, d, "documents"))
+    size = index.agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_dl"), F.sum(F.size("terms")).alias("n_postings"))
+    # One row each.
+    return size.join(F.broadcast(index.select(F.explode("terms").alias("term")).distinct().agg(F.count("*").alias("n_terms"))))
+
+
 QUERIES = {
     "tokenize": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(terms(F.col("text")), " ").alias("terms")),
-    "term_stats": lambda s, d: term_frequencies(table(s, d, "documents")).groupBy("doc_id").agg(F.sum("tf").alias("doc_length"), F.count("*").alias("unique_terms"), F.max("tf").alias("max_tf")),
-    "corpus_stats": lambda s, d: postings(table(s, d, "documents")).groupBy("n_docs", F.round("avg_dl", 6).alias("avg_dl")).agg(F.countDistinct("term").alias("n_terms"), F.count("*").alias("n_postings")),
-    "bm25_index": lambda s, d: postings(table(s, d, "documents")).groupBy("term").agg(F.first("df").alias("df"), F.round(F.first("idf"), 6).alias("idf"), F.sum("tf").alias("cf"), F.min("doc_id").alias("first_doc")),
-    "bm25_add": lambda s, d: postings(table(s, d, "documents").where("lang = 'en'").unionByName(table(s, d, "documents").where("lang = 'de'")).dropDuplicates(["doc_id"])).groupBy("term").agg(F.first("df").alias("df"), F.round(F.first("idf"), 6).alias("idf")),
-    "bm25_remove": lambda s, d: postings(table(s, d, "documents").join(table(s, d, "labels").where("quality = 0").select("doc_id").distinct(), "doc_id", "left_anti")).groupBy("term").agg(F.first("df").alias("df"), F.round(F.first("idf"), 6).alias("idf")),
+    "term_stats": lambda s, d: bm25.forward(table(s, d, "documents")).where("dl > 0").select("doc_id", F.col("dl").alias("doc_length"), F.size("terms").cast("long").alias("unique_terms"), F.array_max("tfs").cast("long").alias("max_tf")),
+    "corpus_stats": corpus_stats,
+    "bm25_index": lambda s, d: stored(s, d, table(s, d, "documents")),
+    "bm25_add": bm25_add,
+    "bm25_remove": bm25_remove,
     "bm25_topk": lambda s, d: _bm25(s, d),
     "bm25_with_text": bm25_with_text,
     "dense_topk": lambda s, d: _dense(s, d),
@@ -280,9 +337,14 @@ ORACLE = {
     "rrf": f"WITH {LISTS_SQL}, fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL) {_TOP}",
     "rrf_weighted": f"WITH {LISTS_SQL}, fused AS (SELECT query_id, doc_id, round(sum(CASE list_no WHEN 0 THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (60 + rank)), 9) AS score FROM lists GROUP BY ALL) {_TOP}",
     "interleave": f"WITH {LISTS_SQL}, f AS (SELECT query_id, doc_id, min(rank * 2 + list_no) AS place FROM lists GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS rank FROM f",
-    "hybrid_search": f"WITH {CHUNKS_SQL}, {LISTS_SQL}, fused AS (SELECT query_id, doc_id, source_type, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM lists JOIN chunks USING (doc_id) WHERE lang = 'en' GROUP BY ALL) {_TOP.replace('doc_id, score,', 'doc_id, source_type, score,', 1)}",
+    "hybrid_search": f"""WITH {CHUNKS_SQL}, {LISTS_EN_SQL}, fused AS (SELECT query_id, doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL),
+f20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS fused_rank FROM fused QUALIFY fused_rank <= 20),
+sc AS (SELECT f.*, CASE WHEN q.v IS NOT NULL AND e.v IS NOT NULL THEN round(1 / (1 + exp(-greatest(-20.0, least(20.0, list_dot_product(q.v, e.v))))), 6) END AS second FROM f20 f LEFT JOIN unit q ON q.vec_id = f.query_id LEFT JOIN unit e ON e.vec_id = f.doc_id),
+kp AS (SELECT * FROM sc QUALIFY coalesce(max((second >= 0.7)::INT) OVER (PARTITION BY query_id), 0) = 0 OR second >= 0.7),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC NULLS LAST, fused_rank) AS rank FROM kp QUALIFY rank <= 10)
+SELECT query_id, rk.doc_id, score, second, rank, source_type FROM rk JOIN chunks c ON c.doc_id = rk.doc_id""",
     "rerank_scores": f"WITH {DENSE_SQL.replace('@k', '20')}{_RERANK} SELECT query_id, doc_id, original_score, score, rank FROM reranked",
     "rerank_threshold": f"WITH {DENSE_SQL.replace('@k', '20')}{_RERANK} SELECT query_id, doc_id, original_score, score, rank FROM reranked QUALIFY score >= 0.7 OR count_if(score >= 0.7) OVER (PARTITION BY query_id) = 0",
     "multi_query_merge": f"WITH {BM25_TOP_SQL.replace('@k', '10')}, fused AS (SELECT query_id // 4 AS query_id, doc_id, max(score) AS score FROM sparse GROUP BY ALL) {_TOP}",
-    "resolve_parent": f"WITH {BM25_TOP_SQL.replace('@k', '10')} SELECT query_id, s.doc_id, s.doc_id // 4 AS parent_id, rank, substr(p.text, 1, 80) AS parent_text FROM sparse s LEFT JOIN documents p ON p.doc_id = (s.doc_id // 4) * 4 QUALIFY row_number() OVER (PARTITION BY query_id, s.doc_id // 4 ORDER BY rank) = 1",
+    "resolve_parent": f"WITH {BM25_TOP_SQL.replace('@k', '10')} SELECT query_id, s.doc_id, s.doc_id // 4 AS parent_id, rank, p.text AS parent_text FROM sparse s LEFT JOIN documents p ON p.doc_id = (s.doc_id // 4) * 4 QUALIFY row_number() OVER (PARTITION BY query_id, s.doc_id // 4 ORDER BY rank) = 1",
 }

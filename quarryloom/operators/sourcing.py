@@ -1,4 +1,4 @@
-"""Source-aware search: budgets by source, per-source ranking, units, backfill, order of presentation."""
+"""Source-aware search: budgets by source, each source searched on its own, units, backfill, order of presentation."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of, top_k
+from quarryloom.operators import bm25
+from quarryloom.operators.retrieval import bm25_sql, queries_of
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 
 #: Weights of the sources by task, how far to overfetch, and their order by evidence profile.
@@ -19,7 +20,8 @@ WEIGHTS = {
 OVERFETCH = {"question_bank": 2, "slide": 2, "textbook": 4}
 ORDERS = {"knowledge_query": ["textbook", "slide", "question_bank"], "review_summary": ["slide", "textbook", "question_bank"], "quiz_generator": ["question_bank", "textbook", "slide"], "quiz_evaluator": ["question_bank", "textbook", "slide"]}
 TASKS = list(WEIGHTS)
-MOST = 40
+#: The order in which sources fill up what budgets have left over.
+FILLING = ["question_bank", "slide", "textbook"]
 
 
 def weight_table(spark) -> DataFrame:
@@ -61,14 +63,23 @@ def budgets(spark, d) -> DataFrame:
     return allocate_budget(normalize_weights(spark, d))
 
 
-def hits(spark, d, k: int = MOST) -> DataFrame:
-    return _bm25(spark, d, k).join(chunks(spark, d).select("doc_id", "source_type", "parent_id"), "doc_id")
+def per_source(spark, d) -> DataFrame:
+    """Hits of each source, searched on its own, as many as its budget times its overfetch."""
+    index = bm25.forward(chunks(spark, d), carry=("source_type", "parent_id"))
+    budget = budgets(spark, d).withColumn("raw_k", F.col("budget") * F.greatest("overfetch", F.lit(1)))
+    most = budget.agg(F.coalesce(F.max("raw_k"), F.lit(1))).first()[0]
+    found = bm25.search(queries_of(spark, d), index, most, group="source_type").withColumnRenamed("rank", "source_rank")
+    parents = chunks(spark, d).select("doc_id", "parent_id")
+    return found.join(budget.select("query_id", "source_type", "budget", "raw_k"), ["query_id", "source_type"]).where("source_rank <= raw_k").join(parents, "doc_id")
 
 
-def per_source(spark, d) -> DataFrame:
-    """Hits ranked inside their source; the budget of the query's task and source decides how many stay."""
-    ranked = top_k(hits(spark, d), MOST, group=["query_id", "source_type"], name="source_rank")
-    return ranked.join(budgets(spark, d), ["query_id", "source_type"]).where("source_rank <= budget").select("query_id", "source_type", "doc_id", "score", "source_rank", "budget")
+def everywhere(spark, d) -> DataFrame:
+    """Hits over all sources at once, as many as results are wanted, for queries that are not limited to some sources."""
+    index = bm25.forward(table(spark, d, "documents"))
+    wanted = tasks(spark, d).where("NOT no_slides").select("query_id", "k")
+    most = wanted.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
+    found = bm25.search(queries_of(spark, d).join(wanted.select("query_id"), "query_id", "left_semi"), index, most)
+    return found.join(wanted, "query_id").where("rank <= k").join(chunks(spark, d).select("doc_id", "source_type", "parent_id"), "doc_id")
 
 
 def collapse(rows: DataFrame) -> DataFrame:
@@ -76,53 +87,73 @@ def collapse(rows: DataFrame) -> DataFrame:
     return rows.where("source_type = 'textbook'").groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.count("*").alias("support"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("chunks"))
 
 
-def units(spark, d) -> DataFrame:
+def units(rows: DataFrame) -> DataFrame:
     """Answer units: parents of textbook hits, and the other hits as they are."""
-    rows = hits(spark, d)
     parents = collapse(rows).select("query_id", F.concat(F.lit("p"), F.col("parent_id")).alias("unit"), F.lit("textbook").alias("source_type"), "score", "support", "chunks")
     flat = rows.where("source_type <> 'textbook'").select("query_id", F.concat(F.lit("c"), F.col("doc_id")).alias("unit"), "source_type", "score", F.lit(1).cast("long").alias("support"), F.col("doc_id").cast("string").alias("chunks"))
     return parents.unionByName(flat)
 
 
-def coalesce_units(spark, d) -> DataFrame:
-    """Units with equal text are one: here units of one source with equal first 60 characters of their first chunk."""
-    text = table(spark, d, "documents").select(F.col("doc_id").alias("first"), F.trim(F.substring("text", 1, 60)).alias("body"))
-    first = F.substring_index("chunks", ",", 1).cast("long")
-    u = units(spark, d).withColumn("first", first).join(text, "first")
-    return u.groupBy("query_id", "source_type", F.md5(F.col("body").cast("binary")).alias("body")).agg(F.max("score").alias("score"), F.sum("support").alias("support"), F.min("unit").alias("unit"))
-
-
 def chosen(spark, d) -> DataFrame:
-    """The units within budget."""
-    ranked = top_k(units(spark, d), MOST, F.desc("score"), F.col("unit"), group=["query_id", "source_type"], name="source_rank")
+    """The best units of each source within its budget."""
+    ranked = units(per_source(spark, d)).withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source_type").orderBy(F.desc("score"), "unit")))
     return ranked.join(budgets(spark, d).select("query_id", "source_type", "budget", "k", "place"), ["query_id", "source_type"]).where("source_rank <= budget")
 
 
-def backfill(spark, d) -> DataFrame:
-    """Where the budgets leave fewer than k units, the best others follow."""
-    have = chosen(spark, d).select("query_id", "unit", "score", F.lit(0).alias("late"))
-    rest = units(spark, d).join(have.select("query_id", "unit"), ["query_id", "unit"], "left_anti").select("query_id", "unit", "score", F.lit(1).alias("late"))
-    ranked = top_k(have.unionByName(rest), MOST, F.col("late"), F.desc("score"), F.col("unit"))
-    return ranked.join(tasks(spark, d).select("query_id", "k"), "query_id").where("rank <= k").select("query_id", "unit", "score", "late", "rank")
+def filled(spark, d) -> DataFrame:
+    """The chosen units, and where they are fewer than k those of a search over all sources that are not among them, source
+    by source; late says which."""
+    have = chosen(spark, d).select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(0).alias("late"))
+    lacking = tasks(spark, d).select("query_id", "k").join(have.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (F.col("k") - F.coalesce("n", F.lit(0))).alias("lacking")).where("lacking > 0")
+    more = units(everywhere(spark, d)).join(have.select("query_id", "unit"), ["query_id", "unit"], "left_anti").join(lacking, "query_id")
+    turn = F.array_position(F.array(*map(F.lit, FILLING)), F.col("source_type"))
+    more = more.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(turn, F.desc("score"), "unit"))).where("n <= lacking")
+    return have.unionByName(more.select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(1).alias("late")))
+
 
+def coalesced(spark, d, rows: DataFrame) -> DataFrame:
+    """Units of the same chunks and the same text are one, with the better score and support. The text of a textbook unit is
+    its parent's where there is one, else its first chunk's."""
+    text = table(spark, d, "documents").select(F.col("doc_id").alias("shown"), F.md5(F.trim("text").cast("binary")).alias("body"))
+    first = F.substring_index("chunks", ",", 1).cast("long")
+    parent = F.when(F.col("source_type") == "textbook", F.substring("unit", 2, 20).cast("long") * 4)
+    own = rows.withColumn("shown", first).join(text, "shown", "left").drop("shown").withColumn("shown", parent).join(text.withColumnRenamed("body", "above"), "shown", "left").drop("shown")
+    key = ["query_id", "chunks", F.coalesce("above", "body").alias("body")]
+    return own.groupBy(*key).agg(F.min("unit").alias("unit"), F.min_by("source_type", "unit").alias("source_type"), F.max("score").alias("score"), F.max("support").alias("support"))
+
+
+def coalesce_units(spark, d) -> DataFrame:
+    """The units of the sources and those of a search over all of them, brought together."""
+    both = units(per_source(spark, d)).unionByName(units(everywhere(spark, d)))
+    return coalesced(spark, d, both).select("query_id", "unit", "source_type", "body", "score", "support")
 
-def presentation(spark, d) -> DataFrame:
+
+def presented(rows: DataFrame, spark, d) -> DataFrame:
+    """Units in the order of sources that suits the task."""
+    place = tasks(spark, d).select("query_id", "task", "k").join(F.broadcast(weight_table(spark).select("task", "source_type", "place")), "task")
     order = Window.partitionBy("query_id").orderBy("place", F.desc("score"), "unit")
-    return chosen(spark, d).withColumn("position", F.row_number().over(order)).select("query_id", "unit", "source_type", "score", "position")
+    return rows.join(place, ["query_id", "source_type"]).withColumn("position", F.row_number().over(order))
+
+
+def source_aware_search(spark, d) -> DataFrame:
+    """Each source searched on its own, units within budgets, gaps filled from all sources, duplicates joined, the k best
+    shown in the order of the task."""
+    best = coalesced(spark, d, filled(spark, d)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "unit"))).join(tasks(spark, d).select("query_id", "k"), "query_id").where("rank <= k").drop("k", "rank")
+    return presented(best, spark, d).select("query_id", "task", "position", "unit", "source_type", "score")
 
 
 QUERIES = {
     "normalize_weights": lambda s, d: normalize_weights(s, d).select("query_id", "source_type", "weight"),
     "allocate_budget": lambda s, d: budgets(s, d).select("query_id", "source_type", "k", "budget"),
     "overfetch": lambda s, d: budgets(s, d).select("query_id", "source_type", (F.col("budget") * F.col("overfetch")).alias("raw_k")),
-    "per_source_topk": per_source,
-    "collapse_to_parent": lambda s, d: collapse(hits(s, d)),
-    "flat_units": lambda s, d: units(s, d).where("source_type <> 'textbook'"),
+    "per_source_topk": lambda s, d: per_source(s, d).where("source_rank <= budget").select("query_id", "source_type", "doc_id", "score", "source_rank", "budget"),
+    "collapse_to_parent": lambda s, d: collapse(per_source(s, d)),
+    "flat_units": lambda s, d: units(per_source(s, d)).where("source_type <> 'textbook'"),
     "coalesce_units": coalesce_units,
-    "backfill": backfill,
-    "presentation_order": presentation,
-    "routing_stats": lambda s, d: units(s, d).cube("source_type", (F.col("support") > 1).alias("several")).agg(F.count("*").alias("n_units"), F.round(F.avg("score"), 6).alias("avg_score")),
-    "source_aware_search": lambda s, d: presentation(s, d).join(tasks(s, d).select("query_id", "task", "k"), "query_id").where("position <= k").select("query_id", "task", "position", "unit", "source_type", "score"),
+    "backfill": lambda s, d: filled(s, d).select("query_id", "unit", "source_type", "score", "late"),
+    "presentation_order": lambda s, d: presented(chosen(s, d).drop("place", "k"), s, d).select("query_id", "unit", "source_type", "score", "position"),
+    "routing_stats": lambda s, d: units(per_source(s, d)).cube("source_type", (F.col("support") > 1).alias("several")).agg(F.count("*").alias("n_units"), F.round(F.avg("score"), 6).alias("avg_score")),
+    "source_aware_search": source_aware_search,
 }
 _T = "(VALUES " + ", ".join(f"('{t}', '{s}', {w}::DOUBLE, {OVERFETCH[s]}, {ORDERS[t].index(s)})" for t, ws in WEIGHTS.items() for s, w in ws.items()) + ") w(task, source_type, weight, overfetch, place)"
 _TASKS = "tasks AS (SELECT item_id AS query_id, CASE item_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TASKS)) + " END AS task, (item_id % 10 + 2)::INT AS k, item_id % 7 = 0 AS no_slides FROM benchmark)"
@@ -132,20 +163,31 @@ b2 AS (SELECT *, CASE WHEN k >= ns THEN greatest(fl, 1) ELSE fl END AS base FROM
 b3 AS (SELECT *, k - sum(base) OVER (PARTITION BY query_id) AS missing, row_number() OVER (PARTITION BY query_id ORDER BY round(quota - fl, 9) DESC, place) AS rk,
   coalesce(sum(base - 1) OVER (PARTITION BY query_id ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM b2),
 budgets AS (SELECT query_id, task, k, source_type, overfetch, place, (base + CASE WHEN rk <= missing THEN 1 ELSE 0 END - CASE WHEN missing < 0 THEN greatest(0, least(base - 1, -missing - later)) ELSE 0 END)::INT AS budget FROM b3)"""
-_H = f"{CHUNKS_SQL}, {bm25_sql()}, hits AS (SELECT query_id, doc_id, score, source_type, parent_id FROM bm25 JOIN chunks USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {MOST})"
-_U = f"""{_H}, units AS (SELECT query_id, 'p' || parent_id::VARCHAR AS unit, 'textbook' AS source_type, max(score) AS score, count(*) AS support, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM hits WHERE source_type = 'textbook' GROUP BY query_id, parent_id
-UNION ALL SELECT query_id, 'c' || doc_id::VARCHAR, source_type, score, 1, doc_id::VARCHAR FROM hits WHERE source_type <> 'textbook')"""
-_C = f"{_U}, {_B}, chosen AS (SELECT u.*, k, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY score DESC, unit) AS source_rank FROM units) u JOIN budgets b ON b.query_id = u.query_id AND b.source_type = u.source_type WHERE source_rank <= budget AND budget > 0), shown AS (SELECT query_id, unit, source_type, score, k, row_number() OVER (PARTITION BY query_id ORDER BY place, score DESC, unit) AS position FROM chosen)"
+_UNITS = """SELECT query_id, 'p' || parent_id::VARCHAR AS unit, 'textbook' AS source_type, max(score) AS score, count(*) AS support, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM @h WHERE source_type = 'textbook' GROUP BY query_id, parent_id
+UNION ALL SELECT query_id, 'c' || doc_id::VARCHAR, source_type, score, 1, doc_id::VARCHAR FROM @h WHERE source_type <> 'textbook'"""
+_H = f"""{CHUNKS_SQL}, {bm25_sql()}, {_B}, found AS (SELECT query_id, doc_id, score, source_type, parent_id FROM bm25 JOIN chunks USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY score DESC, doc_id) AS source_rank FROM found),
+hits AS (SELECT r.*, budget FROM ranked r JOIN budgets b ON b.query_id = r.query_id AND b.source_type = r.source_type WHERE source_rank <= budget * greatest(overfetch, 1)),
+units AS ({_UNITS.replace('@h', 'hits')})"""
+_C = f"""{_H}, chosen AS (SELECT u.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY score DESC, unit) AS unit_rank FROM units) u JOIN budgets b ON b.query_id = u.query_id AND b.source_type = u.source_type WHERE unit_rank <= budget),
+wide AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM found) f JOIN tasks t ON t.query_id = f.query_id WHERE NOT no_slides AND rank <= k),
+wide_units AS ({_UNITS.replace('@h', 'wide')}),
+lacking AS (SELECT t.query_id, k - count(unit) AS lacking FROM tasks t LEFT JOIN chosen c ON c.query_id = t.query_id GROUP BY t.query_id, k),
+more AS (SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY w.query_id ORDER BY CASE source_type WHEN 'question_bank' THEN 1 WHEN 'slide' THEN 2 ELSE 3 END, score DESC, unit) AS n FROM wide_units w WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = w.query_id AND c.unit = w.unit)) x JOIN lacking l ON l.query_id = x.query_id WHERE n <= lacking),
+filled AS (SELECT query_id, unit, source_type, score, support, chunks, 0 AS late FROM chosen UNION ALL SELECT x.query_id, unit, source_type, score, support, chunks, 1 FROM more x)"""
+_MERGED = """SELECT query_id, chunks, coalesce(md5(trim(p.text, ' ')), md5(trim(d.text, ' '))) AS body, min(unit) AS unit, min_by(source_type, unit) AS source_type, max(score) AS score, max(support) AS support
+FROM (@u) u LEFT JOIN documents d ON d.doc_id = string_split(chunks, ',')[1]::BIGINT LEFT JOIN documents p ON source_type = 'textbook' AND p.doc_id = CASE WHEN source_type = 'textbook' THEN substr(unit, 2)::BIGINT * 4 END GROUP BY 1, 2, 3"""
+_SHOWN = f"JOIN (SELECT query_id, t.task, k, source_type, place FROM tasks t JOIN {_T} ON w.task = t.task) p ON p.query_id = s.query_id AND p.source_type = s.source_type"
 ORACLE = {
     "normalize_weights": f"WITH {_NW} SELECT query_id, source_type, weight FROM nw",
     "allocate_budget": f"WITH {_B} SELECT query_id, source_type, k, budget FROM budgets WHERE budget > 0",
     "overfetch": f"WITH {_B} SELECT query_id, source_type, budget * overfetch AS raw_k FROM budgets WHERE budget > 0",
-    "per_source_topk": f"WITH {_H}, {_B} SELECT h.query_id, h.source_type, doc_id, score, source_rank, budget FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY score DESC, doc_id) AS source_rank FROM hits) h JOIN budgets b ON b.query_id = h.query_id AND b.source_type = h.source_type WHERE source_rank <= budget",
-    "collapse_to_parent": f"WITH {_H} SELECT query_id, parent_id, max(score) AS score, count(*) AS support, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM hits WHERE source_type = 'textbook' GROUP BY query_id, parent_id",
-    "flat_units": f"WITH {_U} SELECT * FROM units WHERE source_type <> 'textbook'",
-    "coalesce_units": f"WITH {_U} SELECT query_id, source_type, md5(trim(substr(text, 1, 60), ' ')) AS body, max(score) AS score, sum(support) AS support, min(unit) AS unit FROM units JOIN documents ON doc_id = string_split(chunks, ',')[1]::BIGINT GROUP BY query_id, source_type, 3",
-    "backfill": f"WITH {_C}, a AS (SELECT u.query_id, u.unit, u.score, CASE WHEN c.unit IS NULL THEN 1 ELSE 0 END AS late FROM units u LEFT JOIN chosen c ON c.query_id = u.query_id AND c.unit = u.unit), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, score DESC, unit) AS rank FROM a) SELECT r.* FROM r JOIN tasks t ON t.query_id = r.query_id WHERE rank <= k",
-    "presentation_order": f"WITH {_C} SELECT query_id, unit, source_type, score, position FROM shown",
-    "routing_stats": f"WITH {_U} SELECT source_type, support > 1 AS several, count(*) AS n_units, round(avg(score), 6) AS avg_score FROM units GROUP BY CUBE (source_type, support > 1)",
-    "source_aware_search": f"WITH {_C} SELECT s.query_id, task, position, unit, source_type, score FROM shown s JOIN tasks t ON t.query_id = s.query_id WHERE position <= t.k",
+    "per_source_topk": f"WITH {_H} SELECT query_id, source_type, doc_id, score, source_rank, budget FROM hits WHERE source_rank <= budget",
+    "collapse_to_parent": f"WITH {_H} SELECT query_id, substr(unit, 2)::BIGINT AS parent_id, score, support, chunks FROM units WHERE source_type = 'textbook'",
+    "flat_units": f"WITH {_H} SELECT * FROM units WHERE source_type <> 'textbook'",
+    "coalesce_units": f"WITH {_C}, m AS ({_MERGED.replace('@u', 'SELECT * FROM units UNION ALL SELECT * FROM wide_units')}) SELECT query_id, unit, source_type, body, score, support FROM m",
+    "backfill": f"WITH {_C} SELECT query_id, unit, source_type, score, late FROM filled",
+    "presentation_order": f"WITH {_C} SELECT s.query_id, unit, s.source_type, score, row_number() OVER (PARTITION BY s.query_id ORDER BY p.place, score DESC, unit) AS position FROM chosen s {_SHOWN}",
+    "routing_stats": f"WITH {_H} SELECT source_type, support > 1 AS several, count(*) AS n_units, round(avg(score), 6) AS avg_score FROM units GROUP BY CUBE (source_type, support > 1)",
+    "source_aware_search": f"WITH {_C}, m AS ({_MERGED.replace('@u', 'SELECT * FROM filled')}), s AS (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY score DESC, unit) AS rank FROM m) SELECT s.query_id, task, row_number() OVER (PARTITION BY s.query_id ORDER BY p.place, score DESC, unit) AS position, unit, s.source_type, score FROM s {_SHOWN} WHERE rank <= k",
 }

@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 SOURCE_TYPES = ["textbook", "slide", "question_bank"]
 
 
+#: Tables of texts of up to so many bytes are dealt evenly over the cores; see `table`.
+SPREAD_BYTES, TEXTS = 64 << 20, {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A file of one row group is read by one task, whatever the number of cores; texts in so small a table are
+    dealt out again before work starts on them. Greater tables are left as their files split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and df._jdf.queryExecution().analyzed().stats().sizeInBytes() <= SPREAD_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

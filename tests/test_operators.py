@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryloom.functions.tokens import cosine, terms
-from quarryloom.operators import chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store
+from quarryloom.operators import bm25, chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store
 from quarryloom.streaming import streams
 
 
@@ -23,10 +23,61 @@ def test_terms_have_chinese_bigrams(spark):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "apple banana apple"), (2, "banana cherry"), (3, None)], "doc_id long, text string").na.fill("")
     q = spark.createDataFrame([(7, "Apple")], "query_id long, query string")
-    got = retrieval.bm25_scores(q, docs).collect()
+    index = bm25.forward(docs)
+    got = bm25.search(q, index, 5).collect()
     avg = 5 / 3
     want = math.log(1 + (3 - 1 + 0.5) / 1.5) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / avg))
-    assert [(r.query_id, r.doc_id) for r in got] == [(7, 1)] and abs(got[0].score - want) < 1e-5
+    assert [(r.query_id, r.doc_id, r.rank) for r in got] == [(7, 1, 1)] and abs(got[0].score - want) < 1e-5
+    assert bm25.search(q, index.where("doc_id > 9"), 5).count() == bm25.search(q.where("query_id > 9"), index, 5).count() == 0
+
+
+def test_bm25_blocks_and_groups(spark):
+    """Queries in one block or in many, and the best of each group, against a plain ranking."""
+    random.seed(2)
+    text = lambda n: " ".join(random.choice("red green blue grey pink cyan".split()) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(random.randint(0, 12)), f"g{i % 3}") for i in range(80)], "doc_id long, text string, g string")
+    q = spark.createDataFrame([(i, text(3)) for i in range(20)] + [(50, ""), (51, None), (None, "red")], "query_id long, query string")
+    index = bm25.forward(docs, carry=("g",))
+    whole = sorted(tuple(r) for r in bm25.search(q, index, 1000).select("query_id", "doc_id", "score").collect())
+    got = sorted(tuple(r) for r in bm25.search(q, index, 4, group="g", asked_terms=7).select("query_id", "g", "rank", "doc_id", "score").collect())
+    want = []
+    for i in range(20):
+        for g in range(3):
+            hits = sorted((-s, d) for k, d, s in whole if k == i and d % 3 == g)[:4]
+            want += [(i, f"g{g}", n, d, -s) for n, (s, d) in enumerate(hits, 1)]
+    assert got == sorted(want)
+
+
+def test_bm25_stored_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(1, "apple banana"), (2, "banana cherry"), (3, "cherry cherry")], "doc_id long, text string")
+    state = lambda: {r.doc_id: dict(zip(r.terms, r.tfs, strict=True)) for r in bm25.load(spark, path).collect()}
+    bm25.create(docs, path)
+    bm25.add(spark.createDataFrame([(2, "plum"), (4, "apple apple")], "doc_id long, text string"), path)
+    assert state() == {1: {"apple": 1, "banana": 1}, 2: {"plum": 1}, 3: {"cherry": 2}, 4: {"apple": 2}}
+    bm25.remove(spark.createDataFrame([(1,), (3,), (77,)], "doc_id long"), path)
+    assert state() == {2: {"plum": 1}, 4: {"apple": 2}}
+    bm25.add(spark.createDataFrame([(1, "fig")], "doc_id long, text string"), path)
+    assert state() == {1: {"fig": 1}, 2: {"plum": 1}, 4: {"apple": 2}}
+    assert {r.term: (r.df, r.cf) for r in bm25.vocabulary(bm25.load(spark, path)).collect()} == {"fig": (1, 1), "plum": (1, 1), "apple": (1, 2)}
+
+
+def test_dense_search_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 5))
+    v[7] = 0
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    asking = vectors.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for group, size in ((None, 1 << 20), ("label", 200)):
+        got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.dense_search(asking, vectors, 3, group=group, query_bytes=size).collect()}
+        for q in range(20):
+            score = np.round((1 + unit @ unit[q]) / 2, 6)
+            order = [i for i in np.lexsort((np.arange(90), -score)) if group is None or i % 2 == q % 2][:3]
+            assert [got[q, n + 1] for n in range(3)] == [(i, score[i]) for i in order]
 
 
 def test_rrf_does_not_depend_on_the_order_of_lists(spark):
