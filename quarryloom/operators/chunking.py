@@ -246,35 +246,51 @@ def normalize_math(text: Column) -> Column:
 
 # --- queries ---------------------------------------------------------------------------------------------------------
 
-#: Documents as a question bank: each line is a numbered question with options and an answer.
-BANK = "Question {0}. {1}\nA. {2}\nB. {3}\nAnswer: {2}"
-
-
 def question_bank(spark, d) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("length(t) > 20")
+    """Documents as question banks: each line is a question, begun in one of five ways; two of three have options, and every
+    other one an explanation."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("length(trim(t)) > 0")
     no = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     word = lambda k: F.concat(F.lit("w"), F.coalesce(F.regexp_replace(F.get(F.split("t", " "), F.lit(k)), "[^A-Za-z]", ""), F.lit("")))
-    q = lines.withColumn("no", no).select("doc_id", "no", F.concat(F.lit("Question "), F.col("no"), F.lit(". "), F.substring("t", 1, 60), F.lit("\nA. "), word(0), F.lit("\nB. "), word(1), F.lit("\nAnswer: "), word(0), F.lit("\n")).alias("q"))
+    begun = F.when(F.col("no") % 5 == 0, F.concat(F.lit("("), F.col("no"), F.lit(") "))).when(F.col("no") % 5 == 1, F.concat(F.lit("Question "), F.col("no"), F.lit(". "))).when(F.col("no") % 5 == 2, F.concat(F.lit("["), F.col("no"), F.lit("] "))).when(F.col("no") % 5 == 3, F.concat(F.col("no"), F.lit(") "))).otherwise(F.concat(F.lit("第"), F.col("no"), F.lit("题 ")))
+    options = F.when(F.col("no") % 3 > 0, F.concat(F.lit("\nA. "), word(0), F.lit("\nB. "), word(1))).otherwise("")
+    why = F.when(F.col("no") % 2 == 0, F.concat(F.lit("\nExplanation: see "), word(1))).otherwise("")
+    q = lines.withColumn("no", no).select("doc_id", "no", F.concat(begun, F.regexp_replace("t", r"^\s+|\s+$", ""), options, F.lit("\nAnswer: "), word(0), why, F.lit("\n")).alias("q"))
     return q.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "q"))), lambda s: s["q"]), "").alias("text"))
 
 
-BANK_SQL = r"""lines AS (SELECT doc_id, line, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE length(t) > 20),
+BANK_SQL = r"""lines AS (SELECT doc_id, line, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE length(trim(t, ' ')) > 0),
 q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS no, t FROM lines),
-parsed AS (SELECT doc_id, no, trim(regexp_replace(substr(t, 1, 60), '\s+$', '')) AS body, 'w' || regexp_replace(string_split(t, ' ')[1], '[^A-Za-z]', '', 'g') AS a, 'w' || coalesce(regexp_replace(string_split(t, ' ')[2], '[^A-Za-z]', '', 'g'), '') AS b FROM q)"""
+parsed AS (SELECT doc_id, no, regexp_replace(t, '^\s+|\s+$', '', 'g') AS body, 'w' || regexp_replace(string_split(t, ' ')[1], '[^A-Za-z]', '', 'g') AS a, 'w' || coalesce(regexp_replace(string_split(t, ' ')[2], '[^A-Za-z]', '', 'g'), '') AS b FROM q)"""
+
+
+#: How questions of a bank begin, their answers, explanations and options, and words that tell how hard they are.
+QUESTION = r"第?\s*[一二三四五六七八九十百0-9]+\s*[题.|、：:]|[0-9]+\s*[.)．、]|\(\s*[0-9]+\s*\)|\[\s*[0-9]+\s*\]|Question\s+[0-9]+"
+ANSWER = r"(?:答案|Answer|正确答案|参考答案)\s*[:：]\s*"
+EXPLANATION = r"(?:解析|解答|Explanation|详解|分析)\s*[:：]\s*"
+OPTION = r"(?m)^\s*([A-Fa-f])\s*[.．)）、:：]\s*(.+)$"
+LEVELS = [(1, "基础|简单|basic|easy"), (2, "理解|掌握|understand"), (3, "应用|分析|综合|apply|analyze"), (4, "设计|优化|design|advanced"), (5, "拓展|研究|前沿|research")]
 
 
 def parse_questions(banks: DataFrame) -> DataFrame:
-    """Numbered questions of a text with body, options, answer, type and difficulty."""
-    blocks = banks.select("doc_id", F.posexplode(F.filter(F.split("text", r"(?i)(?:^|\n)\s*(?=Question\s+[0-9]+|[0-9]+\s*[.)．、]|第\s*[0-9一二三四五六七八九十百]+\s*[题.|、：:])"), lambda b: F.length(F.trim(b)) > 0)).alias("index", "block"))
-    options = F.regexp_extract_all("block", F.lit(r"(?m)^\s*([A-Fa-f])\s*[.．)）、:：]\s*(.+)$"), F.lit(1))
-    values = F.regexp_extract_all("block", F.lit(r"(?m)^\s*([A-Fa-f])\s*[.．)）、:：]\s*(.+)$"), F.lit(2))
-    answer = F.trim(F.regexp_extract("block", r"(?i)(?:^|\n)\s*(?:答案|Answer|正确答案|参考答案)\s*[:：]\s*([^\n]*)", 1))
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("block", r"(?is)\n\s*(?:答案|Answer|正确答案|参考答案)\s*[:：].*$", ""), r"(?m)^\s*[A-Fa-f]\s*[.．)）、:：]\s*.+$", ""), r"(?i)^\s*(?:Question\s+[0-9]+|[0-9]+)\s*[.)．、]?\s*", "")
-    kind = F.when(F.size(options) > 0, "choice").when(F.col("block").rlike(r"_{3,}|（\s*）"), "fill_blank").when(F.col("block").rlike("简答|论述|分析|说明|阐述"), "short_answer").otherwise("unknown")
+    """Numbered questions of a text with body, options, answer, explanation, type and difficulty. What stands before the
+    first number is no question."""
+    parts = F.split("text", rf"(?i)(?:^|\n)\s*(?={QUESTION})")
+    blocks = F.filter(F.transform(parts, lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b.rlike(f"(?i)^(?:{QUESTION})"))
+    b = banks.select("doc_id", F.posexplode(blocks).alias("index", "block"))
+    names, values = (F.regexp_extract_all("block", F.lit(OPTION), F.lit(k)) for k in (1, 2))
+    answer = F.trim(F.regexp_extract("block", rf"(?i)(?:^|\n)\s*{ANSWER}([^\n]*)", 1))
+    explained = F.trim(F.regexp_extract("block", rf"(?is)(?:^|\n)\s*{EXPLANATION}(.*?)(?=\n\s*(?:答案|解析|第|[0-9]+[.)．])|\z)", 1))
+    body = F.regexp_replace("block", rf"(?is)\n\s*(?:{ANSWER}|{EXPLANATION}).*$", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*[A-Fa-f]\s*[.．)）、:：]\s*.+$", ""), rf"(?i)^\s*(?:{QUESTION})\s*[.)．、]?\s*", "")
+    kind = F.when(F.size(names) > 0, "choice").when(F.col("block").rlike(r"_{3,}|（\s*）"), "fill_blank").when(F.col("block").rlike("简答|论述|分析|说明|阐述"), "short_answer").otherwise("unknown")
     level = F.lit(None).cast("int")
-    for n, pattern in ((1, "基础|简单|basic|easy"), (2, "理解|掌握|understand"), (3, "应用|分析|综合|apply|analyze"), (4, "设计|优化|design|advanced"), (5, "拓展|研究|前沿|research")):
+    for n, pattern in LEVELS:
         level = F.when(F.lower("block").rlike(pattern), n).otherwise(level)
-    return blocks.select("doc_id", "index", F.trim(F.regexp_replace(body, r"\s+$", "")).alias("question"), F.array_join(options, ",").alias("options"), F.array_join(values, "|").alias("choices"), answer.alias("answer"), kind.alias("question_type"), F.coalesce(level, F.lit(3)).alias("difficulty"))
+    return b.select(
+        "doc_id", "index", F.trim(F.regexp_replace(body, r"\s+$", "")).alias("question"), F.array_join(names, ",").alias("options"), F.array_join(values, "|").alias("choices"), answer.alias("answer"),
+        explained.alias("explanation"), kind.alias("question_type"), F.coalesce(level, F.lit(3)).alias("difficulty"),
+    )
 
 
 def _noisy(spark, d):
@@ -283,11 +299,12 @@ def _noisy(spark, d):
 
 def image_marks(spark, d) -> DataFrame:
     """Texts with image references: every third document refers to two images of its source."""
-    mark = F.concat(F.substring("text", 1, 40), F.lit(" [IMAGE: "), F.col("source"), F.lit("_1] "), F.substring("text", 41, 40), F.lit(" [IMAGE: "), F.col("source"), F.lit("_9]"))
-    return table(spark, d, "documents").select("doc_id", "source", F.when(F.pmod("doc_id", F.lit(3)) == 0, mark).otherwise(F.substring("text", 1, 80)).alias("text"))
+    rest = F.substring("text", F.lit(41), F.greatest(F.length("text") - 40, F.lit(0)))
+    mark = F.concat(F.substring("text", 1, 40), F.lit(" [IMAGE: "), F.col("source"), F.lit("_1] "), rest, F.lit(" [IMAGE: "), F.col("source"), F.lit("_9]"))
+    return table(spark, d, "documents").select("doc_id", "source", F.when(F.pmod("doc_id", F.lit(3)) == 0, mark).otherwise(F.col("text")).alias("text"))
 
 
-IMAGES_SQL = "marked AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) || ' [IMAGE: ' || source || '_1] ' || substr(text, 41, 40) || ' [IMAGE: ' || source || '_9]' ELSE substr(text, 1, 80) END AS text FROM documents), images AS (SELECT source || '_' || k::VARCHAR AS image_id, k AS page FROM (SELECT DISTINCT source FROM documents), (VALUES (1), (2)) v(k))"
+IMAGES_SQL = "marked AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) || ' [IMAGE: ' || source || '_1] ' || substr(text, 41) || ' [IMAGE: ' || source || '_9]' ELSE text END AS text FROM documents), images AS (SELECT source || '_' || k::VARCHAR AS image_id, k AS page FROM (SELECT DISTINCT source FROM documents), (VALUES (1), (2)) v(k))"
 
 
 def images(spark, d) -> DataFrame:
@@ -313,7 +330,7 @@ def document_summary(spark, d):
 
 def _prefixed(spark, d):
     c = chunks(spark, d)
-    return c.select("doc_id", F.concat(F.lit("["), F.concat_ws(" > ", "source", "lang", F.regexp_extract("source_path", r"([^/]+)$", 1)), F.lit("] "), F.substring("text", 1, 100)).alias("text"))
+    return c.select("doc_id", F.concat(F.lit("["), F.concat_ws(" > ", "source", "lang", F.regexp_extract("source_path", r"([^/]+)$", 1)), F.lit("] "), F.col("text")).alias("text"))
 
 
 def _docs(s, d):
@@ -338,7 +355,7 @@ QUERIES = {
     "chapter": lambda s, d: _docs(s, d).select("doc_id", F.trim(F.regexp_replace(F.regexp_extract(F.substring("text", 1, 300), CHAPTER, 0), r"\s+", " ")).alias("chapter"), difficulty(F.col("text")).alias("difficulty"), F.col("text").rlike(f"(?s){FORMULA}").alias("has_formula")),
     "context_prefix": lambda s, d: _prefixed(s, d).select("doc_id", "text", F.regexp_replace("text", r"^\[[^\]]*\] ", "").alias("stripped")),
     "detect_sections": lambda s, d: detect_sections(_docs(s, d).unionByName(_docs(s, d).select((-F.col("doc_id") - 1).alias("doc_id"), F.regexp_replace("text", "\n", "\n## ").alias("text"), "lang", "source", "n_chars"))),
-    "normalize_math": lambda s, d: _docs(s, d).select("doc_id", normalize_math(F.concat(F.substring("text", 1, 50), F.lit(r" \(a × b\) ≤ α "), F.substring("text", 51, 50))).alias("text")),
+    "normalize_math": lambda s, d: _docs(s, d).select("doc_id", normalize_math(F.concat(F.substring("text", 1, 50), F.lit(r" \(a × b\) ≤ α "), F.substring("text", F.lit(51), F.greatest(F.length("text") - 50, F.lit(0))))).alias("text")),
     "image_refs": image_refs,
     "caption_join": caption_join,
     "document_summary": document_summary,
@@ -359,6 +376,12 @@ def _content_sql(t: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(substr({t}, 1, 400), '(?i){p}') THEN '{n}'" for n, p in CONTENT_TYPES) + f" WHEN regexp_matches({t}, '(?s)\\$\\$?.+?\\$\\$?') AND length({t}) < 400 THEN 'formula' ELSE 'concept' END"
 
 
+def _math_sql(x: str) -> str:
+    for a, b in MATH_SYMBOLS.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 _CLEAN_SQL = "html"
 for _p, _b in (("─{10,}.*?(?:Page [0-9]+|Footer|Section [0-9]+|©|Confidential).*?─{10,}", ""), ("─{10,}", ""), ("<!--.*?-->", ""), ("<[^>]+>", ""), (" {2,}", " "), ("\\n{3,}", "\n\n"), ("[ \\t]+\\n", "\n"), ("^\\s+|\\s+$", "")):
     _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '{_p}', '{_b}', '{'gis' if 'Page' in _p else 'gs'}')"
@@ -370,13 +393,17 @@ ORACLE = {
     "parent_child": f"WITH {_windows_sql(2400, 2200).replace('piece,', 'parent,').replace('text FROM (', 'parent_text FROM (')} SELECT doc_id, parent, (k / 800)::INT AS child, substr(parent_text, k::INT + 1, 1000) AS text FROM (SELECT doc_id, parent, parent_text, unnest(generate_series(0, greatest(length(parent_text) - 1, 0), 800)) AS k FROM pieces)",
     "chunk_id": f"WITH {_windows_sql()} SELECT doc_id, piece, doc_id::VARCHAR || '_' || lpad(piece::VARCHAR, 4, '0') || '_' || substr(sha256(text), 1, 8) AS chunk_id FROM pieces",
     "inherit_metadata": f"WITH {CHUNKS_SQL}, {_windows_sql()} SELECT p.doc_id, piece, source_type, source AS collection, upper(lang) AS label FROM pieces p JOIN chunks c ON c.doc_id = p.doc_id",
-    "parse_questions": f"WITH {BANK_SQL} SELECT doc_id, (no - 1)::INT AS index, body AS question, 'A,B' AS options, a || '|' || b AS choices, a AS answer, 'choice' AS question_type, CASE WHEN regexp_matches(lower(t), '拓展|研究|前沿|research') THEN 5 ELSE 3 END AS difficulty FROM parsed JOIN q USING (doc_id, no)",
+    "parse_questions": f"""WITH {BANK_SQL} SELECT doc_id, (no - 1)::INT AS index, body AS question, CASE WHEN no % 3 > 0 THEN 'A,B' ELSE '' END AS options, CASE WHEN no % 3 > 0 THEN a || '|' || b ELSE '' END AS choices, a AS answer,
+ CASE WHEN no % 2 = 0 THEN 'see ' || b ELSE '' END AS explanation, CASE WHEN no % 3 > 0 THEN 'choice' WHEN regexp_matches(body, '_{{3,}}') THEN 'fill_blank' ELSE 'unknown' END AS question_type,
+ CASE {' '.join(f"WHEN regexp_matches(lower(body || ' ' || a || ' ' || b), '{p}') THEN {n}" for n, p in reversed(LEVELS))} ELSE 3 END AS difficulty FROM parsed""",
+    "normalize_math": f"""WITH m AS (SELECT doc_id, string_split(substr(text, 1, 50) || ' $a × b$ ≤ α ' || substr(text, 51), '$') AS p FROM documents)
+SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 1 THEN {_math_sql('x')} ELSE x END), '$') AS text FROM m""",
     "clean_rules": f"SELECT page_id, {_CLEAN_SQL} AS text FROM pages",
     "enrich_title": f"SELECT doc_id, {_title_sql('text')} AS title FROM documents",
     "enrich_tags": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({', '.join(_TAG_SQL)})))[1:10], '|') AS tags FROM documents",
     "content_type": f"SELECT page_id, {_content_sql('html')} AS content_type FROM pages UNION ALL SELECT doc_id, {_content_sql('text')} FROM documents",
     "chapter": f"SELECT doc_id, trim(regexp_replace(regexp_extract(substr(text, 1, 300), '{CHAPTER}', 0), '\\s+', ' ', 'g')) AS chapter, CASE WHEN regexp_matches(substr(text, 1, 400), '(?i){HARD}') THEN 'hard' WHEN regexp_matches(substr(text, 1, 400), '(?i){MEDIUM}') THEN 'medium' ELSE 'basic' END AS difficulty, regexp_matches(text, '(?s)\\$\\$?.+?\\$\\$?') AS has_formula FROM documents",
-    "context_prefix": f"WITH {CHUNKS_SQL}, p AS (SELECT doc_id, '[' || source || ' > ' || lang || ' > ' || regexp_extract(source_path, '([^/]+)$', 1) || '] ' || substr(text, 1, 100) AS text, substr(text, 1, 100) AS stripped FROM chunks) SELECT * FROM p",
+    "context_prefix": f"WITH {CHUNKS_SQL}, p AS (SELECT doc_id, '[' || source || ' > ' || lang || ' > ' || regexp_extract(source_path, '([^/]+)$', 1) || '] ' || text AS text, text AS stripped FROM chunks) SELECT * FROM p",
     "detect_sections": r"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, replace(text, chr(10), chr(10) || '## ') FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM d),
 f AS (SELECT doc_id, line, t, CASE WHEN regexp_matches(t, '^#{1,6}\s') THEN length(regexp_extract(t, '^(#{1,6})\s', 1)) WHEN regexp_matches(t, '^第[一二三四五六七八九十百0-9]+章') THEN 1

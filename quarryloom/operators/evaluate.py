@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of
+from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of, small
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
 K = 10
@@ -34,20 +34,19 @@ def metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int =
 # --- queries ---------------------------------------------------------------------------------------------------------
 
 
-def relevance(spark, d) -> DataFrame:
-    """A document is relevant to an item if its text has the first 40 characters of the item's: found by cutting both at
-    places that do not depend on where the text stands (spaces), so this is an equi-join on 6-word windows."""
-    w = lambda c: F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " ")
-    six = lambda c, i: F.array_join(F.slice(c, i + 1, 6), " ")
-    items = queries_of(spark, d).select("query_id", six(w(F.col("query")), F.lit(2)).alias("six"))
-    docs = table(spark, d, "documents").select("doc_id", w(F.col("text")).alias("w")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 6, F.lit(0))), lambda i: six(F.col("w"), i))).alias("six"))
-    return docs.join(F.broadcast(items) if items.count() <= 20_000 else items, "six").select("query_id", "doc_id").distinct()
+def relevance(spark, d, window: int = 6) -> DataFrame:
+    """A document is relevant to an item if they share `window` words in a row (all words, if it has fewer), wherever these
+    stand: an equi-join on the windows of both."""
+    w = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
+    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - window, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, window), " ")))
+    exploded = lambda df, key, text: df.select(key, w(F.col(text)).alias("w")).where("size(w) > 0").select(key, F.explode(windows(F.col("w"))).alias("window"))
+    items = exploded(queries_of(spark, d), "query_id", "query")
+    return exploded(table(spark, d, "documents"), "doc_id", "text").join(small(items), "window").select("query_id", "doc_id").distinct()
 
 
-_W = "string_split(lower(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
-REL_SQL = f"""six AS (SELECT item_id AS query_id, array_to_string({_W.format('text')}[3:8], ' ') AS s FROM benchmark),
-dw AS (SELECT doc_id, {_W.format('text')} AS w FROM documents), ds AS (SELECT doc_id, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 6, 0))) AS i FROM dw)),
-rel AS (SELECT DISTINCT query_id, doc_id FROM ds JOIN six ON six.s = ds.s)"""
+_W = "list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_WINDOWS = "(SELECT id, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT id, w, unnest(generate_series(0, greatest(len(w) - 6, 0))) AS i FROM (SELECT @id AS id, @w AS w FROM @t) WHERE len(w) > 0))".replace("@w", _W)
+REL_SQL = f"""rel AS (SELECT DISTINCT q.id AS query_id, d.id AS doc_id FROM {_WINDOWS.replace('@id', 'item_id').replace('@t', 'benchmark')} q JOIN {_WINDOWS.replace('@id', 'doc_id').replace('@t', 'documents')} d ON d.s = q.s)"""
 
 
 def _metrics_sql(run: str, name: str, k: int = K) -> str:

@@ -152,7 +152,7 @@ def quiz_texts(spark, d) -> DataFrame:
     """Each conversation as a quiz: its user turns are questions, the assistant's next turns answers."""
     t = turns(spark, d).withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
     no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    line = lambda c: F.substring(F.regexp_replace(c, r"\s+", " "), 1, 40)
+    line = lambda c: F.regexp_replace(c, r"\s+", " ")
     q = t.withColumn("no", no).select("conv_id", "no", F.concat(F.lit("Q"), F.col("no"), F.lit(". "), line(F.col("text")), F.lit("\nAnswer: "), line(F.coalesce("next", F.lit("none"))), F.lit("\n")).alias("b"))
     return q.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "b"))), lambda x: x["b"]), "").alias("text"))
 
@@ -220,7 +220,7 @@ def sample_questions(spark, d):
 
 
 def fast_quiz(spark, d):
-    text = table(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30).alias("t"))
+    text = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
     rows = sample_questions(spark, d).join(text, "doc_id").select("query_id", "pos", F.concat(F.col("pos"), F.lit(". "), F.col("t")).alias("line"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("quiz"))
 
@@ -339,7 +339,7 @@ nodes AS (SELECT *, CASE WHEN idle_days < 0.5 OR abs(mastery - round(mastery * e
 _EXT = """t AS (SELECT * FROM conversations WHERE role = 'user'), tp AS (SELECT conv_id, list_sort(list(DISTINCT w))[1:5] AS topics FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM t) WHERE length(w) >= 9 GROUP BY 1),
 ex AS (SELECT q.conv_id, n_questions, questions, topics FROM (SELECT conv_id, count(*) AS n_questions, array_to_string(list(substr(text, 1, 30) ORDER BY turn)[1:3], '|') AS questions FROM t GROUP BY 1) q LEFT JOIN tp ON tp.conv_id = q.conv_id)"""
 _ONT = "ont AS (SELECT a.n_name AS concept, CASE WHEN b.n_nationkey < a.n_nationkey THEN 'prerequisite' ELSE 'subtopic' END AS relation, b.n_name AS target, b.n_nationkey AS pos FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name), nm AS (SELECT n_name AS target, round(avg(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END), 6) AS mastery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), onm AS (SELECT ont.*, mastery FROM ont LEFT JOIN nm ON nm.target = ont.target)"
-_QUIZ = "qz AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS no, trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40), ' ') AS question, trim(substr(regexp_replace(coalesce(nx, 'none'), '\\s+', ' ', 'g'), 1, 40), ' ') AS answer FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE role = 'user'), gr AS (SELECT conv_id, no, CASE WHEN no % 4 = 0 THEN 0 WHEN no % 2 = 0 OR lower(question) = lower(answer) THEN 100 ELSE 60 END AS score FROM qz)"
+_QUIZ = "qz AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS no, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS question, trim(regexp_replace(coalesce(nx, 'none'), '\\s+', ' ', 'g'), ' ') AS answer FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE role = 'user'), gr AS (SELECT conv_id, no, CASE WHEN no % 4 = 0 THEN 0 WHEN no % 2 = 0 OR lower(question) = lower(answer) THEN 100 ELSE 60 END AS score FROM qz)"
 _SQ = f"{bm25_sql()}, h AS (SELECT *, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS bank FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30), hb AS (SELECT *, sum(bank) OVER (PARTITION BY query_id) AS n_bank FROM h), sq AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS pos, doc_id, CASE WHEN n_bank >= 3 THEN 'bank' ELSE 'general' END AS kind FROM hb WHERE n_bank < 3 OR bank = 1 QUALIFY pos <= 6)"
 _FB = "fb AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'up' ELSE 'down' END AS rating, ts FROM events WHERE event_type IN ('click', 'error'))"
 ORACLE = {
@@ -363,7 +363,7 @@ ORACLE = {
     "grade_batch": f"WITH {_QUIZ}, b AS (SELECT conv_id, round_even(avg(score), 0)::INT AS score, array_to_string(list_sort(list(DISTINCT score)), ',') AS scores FROM gr GROUP BY 1) SELECT *, CASE WHEN score >= 90 THEN 'correct' WHEN score >= 60 THEN 'partial' ELSE 'incorrect' END AS verdict FROM b",
     "latest_outcomes": f"WITH {_QUIZ} SELECT conv_id, string_agg(score::VARCHAR, ',' ORDER BY no DESC) AS outcomes FROM (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY no DESC) <= 2) GROUP BY 1",
     "sample_questions": f"WITH {_SQ} SELECT * FROM sq",
-    "fast_quiz": f"WITH {_SQ} SELECT query_id, string_agg(pos::VARCHAR || '. ' || substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 30), chr(10) ORDER BY pos) AS quiz FROM sq JOIN documents d ON d.doc_id = sq.doc_id GROUP BY 1",
+    "fast_quiz": f"WITH {_SQ} SELECT query_id, string_agg(pos::VARCHAR || '. ' || regexp_replace(text, '\\s+', ' ', 'g'), chr(10) ORDER BY pos) AS quiz FROM sq JOIN documents d ON d.doc_id = sq.doc_id GROUP BY 1",
     "fast_summary": f"WITH {bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 5) SELECT query_id, 'Key points:' || chr(10) || string_agg('- ' || trim(regexp_split_to_array(text, '[.\\n]')[1], ' ') || ' (' || source || ')', chr(10) ORDER BY rank) AS summary FROM r JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1",
     "feedback_stats": f"WITH {_FB} SELECT user_id, count_if(rating = 'up')::BIGINT AS up, count_if(rating = 'down')::BIGINT AS down, round(avg((rating = 'up')::INT), 6) AS share FROM fb GROUP BY 1",
     "feedback_recent": f"WITH {_FB} SELECT event_id, user_id, rating FROM fb ORDER BY ts DESC, event_id DESC LIMIT 20",
