@@ -5,7 +5,9 @@ that the pushed predicates (on record_type, record_id, target_uri, refers_to, pa
 IN, prefix, comparison, null tests) reject are skipped unread: plain files are hopped over by Content-Length, gzip members
 by their `sl` extra field, which this writer sets; foreign members without it are inflated and dropped. The option
 payload=false skips payloads of all records. `df.write.format("warc")` writes one gzip member per record and lists the
-files of the successful tasks in a manifest, so files of lost attempts are never read.
+files of the successful tasks in a manifest of its own, so files of lost attempts are never read. Appending adds a
+manifest; overwriting drops those that were there, with their files, once the new one is written. A folder without
+manifests, of archives from elsewhere, is read whole; where there are manifests, only the files that they list.
 
 Records need record_id, target_uri, payload (binary), record_type (response or revisit), refers_to, payload_digest
 (hex SHA-1 of the whole payload) and payload_bytes. A null payload counts as empty. A revisit stores the HTTP header with the
@@ -32,7 +34,7 @@ _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST, REVISIT_FROM_BYTES = "_files", 1000
+MANIFEST, REVISIT_FROM_BYTES = "_files-", 1000
 
 
 def _header(fields: list[tuple[str, str | None]]) -> bytes:
@@ -162,6 +164,21 @@ def _test(f):
     return lambda row: row[name] is not None and test(row[name], f.value)
 
 
+def _store(path: str):
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _listing(store, root: str) -> tuple[set[str], dict[str, set[str]] | None]:
+    """The archives in a folder, and those that each of its manifests lists; None if it has no manifests."""
+    names = [i.path for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    listed = {}
+    for path in names:
+        if path.rpartition("/")[2].startswith(MANIFEST):
+            with store.open_input_stream(path) as lines:
+                listed[path] = {f"{root}/{x}" for x in lines.read().decode().split("\n") if x}
+    return {x for x in names if x.endswith((".warc", ".warc.gz"))}, listed or None
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() == "true"
@@ -175,19 +192,17 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        found = {i.path for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.path.endswith((".warc", ".warc.gz"))}
-        if store.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as lines:
-                found &= {f"{root}/{x}" for x in lines.read().decode().split("\n")}
-        return [InputPartition(x) for x in sorted(found)] or [InputPartition(None)]
+        store, root = _store(self.path)
+        found, listed = _listing(store, root)
+        files = found if listed is None else found & set().union(*listed.values())
+        return [InputPartition(x) for x in sorted(files)] or [InputPartition(None)]
 
     def read(self, partition):
         if partition.value is None:
             return
         tests = [_test(f) for f in self.filters]
         wanted = lambda row: (1 + self.payload) * all(t(row) for t in tests)
-        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
+        store, _ = _store(self.path)
         held, size = [], 0
         with store.open_input_file(partition.value) as stream:
             for row in (_gzip_records if partition.value.endswith(".gz") else _plain_records)(stream, wanted):
@@ -208,11 +223,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path, self.level = options["path"], int(options.get("level", 1))
+    def __init__(self, options, overwrite):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 1)), overwrite
 
     def _store(self):
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        store, root = _store(self.path)
         store.create_dir(root, recursive=True)
         return store, root
 
@@ -227,8 +242,13 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         store, root = self._store()
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        found, before = _listing(store, root)
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}") as out:
             out.write("\n".join(m.name for m in messages if m is not None).encode())
+        if self.overwrite:
+            new = {f"{root}/{m.name}" for m in messages if m is not None}
+            for path in [*(before or {}), *sorted((found if before is None else set().union(*before.values())) & found - new)]:
+                store.delete_file(path)
 
     def abort(self, messages):
         store, root = self._store()
@@ -249,7 +269,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
