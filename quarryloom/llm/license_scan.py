@@ -1,32 +1,34 @@
 """License scans by conditional compression.
 
-A native filter picks the lines of a text that speak of licences, rights or permission; each starts a candidate block of
-the lines from there to a blank line or until it is longer than the longest template. Blocks start also on the lines
-before it, back to a blank line or by as much text, if words of a template begin there; they count if they are confirmed
-and reach the trigger. Text of the same lines before and after a confirmed notice is scanned for others. Every block is compressed by
-zstandard alone and with each template as a raw dictionary; the relative reduction in size ranks the templates. The best
-ones are confirmed word by word: the template's words have to stand in the block in order, up to `max_differences` of them.
-The differing words are returned, so an exact notice is told from an altered one, and blocks that no template explains
-are reported as unknown.
-
-Null and empty texts have no blocks. Templates are a small fixed set, held in the code or given by the caller; repeated
-rows and extra columns pass through, a column named findings is replaced. Ties go to the template whose words agree best,
-then to the smaller id.
+A native filter picks the lines of a text that speak of licences, rights or permission; each starts a candidate block. A
+block is as long as the longest template may be with all its permitted differences, blank lines included, so no notice
+ends beyond it. Blocks start also on the lines above a trigger, as far as a template that begins there could reach it,
+if words of a template begin there; they count if they are confirmed and reach the trigger. Text of the same lines before
+and after a confirmed notice is scanned for others. Every block is compressed by zstandard alone and with each template as
+a raw dictionary; the relative reduction in size ranks the templates. In that order they are confirmed word by word: the
+template's words have to stand in the block in order, up to `max_differences` of them. Only templates of which too few
+words stand in the block at all are left out. The differing words are returned, so an exact notice is told from an altered
+one, and blocks that no template explains are reported as unknown.
+
+Null and empty texts have no blocks. Templates are a small fixed set, held in the code or given by the caller, of any
+length; repeated rows and extra columns pass through, a column named findings is replaced. Ties go to the template whose
+words agree best, then to the smaller id.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRIGGER = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribution and use|public domain|all warranties"
+TRIGGER = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribution and use|public domain|warrant"
 _TRIGGER = re.compile(TRIGGER)
-MAX_DIFFERENCES, BEST = 0.1, 3
+MAX_DIFFERENCES = 0.1
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 #: Wordings of common notices.
 TEMPLATES = {
@@ -35,8 +37,48 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -57,15 +99,21 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3)
         made = {k: zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in sorted(templates.items())}
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=d) for k, d in made.items()}
-        self.longest = max(map(len, templates.values()))
+        self.bags = {k: Counter(v) for k, v in self.templates.items()}
+        #: No notice has more words than this.
+        self.reach = int(max(map(len, self.templates.values())) * (1 + MAX_DIFFERENCES)) + 1
 
     def block(self, lines: list[str]) -> str:
-        taken, size = [], 0
+        """As many lines as a notice that begins in the first of them may fill."""
+        taken, size, room = [], 0, self.reach
         for line in lines:
-            if taken and (not line.strip() or size > self.longest):
+            if size > room:
                 break
             taken.append(line)
-            size += len(line) + 1
+            n = len(words(line))
+            size += n
+            if len(taken) == 1:
+                room += n
         return "\n".join(taken)
 
     def begun(self, line: str) -> list[str]:
@@ -90,9 +138,10 @@ class Scanner:
     def notices(self, lines: list[str], k: int, explained: int) -> tuple[list[dict], int]:
         """Findings for the trigger line k, and the first line after those that they explain."""
         starts, size, s = [], 0, k - 1
-        while s >= explained and s >= 0 and lines[s].strip() and size <= self.longest:
-            starts.append(s)
-            size += len(lines[s]) + 1
+        while s >= explained and s >= 0 and size <= self.reach:
+            if lines[s].strip():
+                starts.append(s)
+                size += len(words(lines[s]))
             s -= 1
         best = unknown = None
         for s in [k, *starts]:
@@ -127,13 +176,16 @@ class Scanner:
             if only is not None and k not in only:
                 continue
             # A block is measured over as much of it as the template could fill.
-            part = block[: max(len(first), 2 * sum(map(len, template)))].encode()
+            part = block[: max(len(first), 2 * (sum(map(len, template)) + len(template)))].encode()
             plain, given = len(self.plain.compress(part)), len(self.given[k].compress(part))
             ranked.append((1 - given / plain, k))
-        best = None
-        for reduction, k in sorted(ranked, key=lambda x: (-x[0], x[1]))[:BEST]:
+        best, own = None, words(block)
+        bag = Counter(own)
+        for reduction, k in sorted(ranked, key=lambda x: (-x[0], x[1])):
             template = self.templates[k]
-            own = words(block)
+            # Words that the block lacks are missing whatever the order; too many of them settle it.
+            if sum((self.bags[k] - bag).values()) > MAX_DIFFERENCES * len(template):
+                continue
             match = difflib.SequenceMatcher(None, template, own[: 2 * len(template) + len(words(first))], autojunk=False)
             same = [b for b in match.get_matching_blocks() if b.size]
             if not same:
