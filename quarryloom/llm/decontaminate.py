@@ -6,13 +6,17 @@ some item, so a match of `window` words or more marks those words. An item short
 one window of its own.
 
 Items are read by the driver only in blocks of at most `block_chars` characters (a larger single item is a block of
-its own); every block passes over all documents, so any number of items is matched and nothing grows with the input.
+its own), whose automata are kept in flat arrays; every block passes over all documents, so any number of items is matched.
+After every `CHAIN` blocks the documents are saved, so that no task holds more automata than that at once.
 Null texts have no words. Items whose id or text is null are left out. Rows of documents pass through one by one, so
 repeated rows, null ids and other columns stay; columns `n_words`, `spans` and `items` are replaced.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryloom.llm import textbytes as tb
+from quarryloom.llm.storage import saved
 
-WINDOW, BLOCK_CHARS = 13, 4_000_000
+WINDOW, BLOCK_CHARS, CHAIN = 13, 1_000_000, 4
 _LOWER = tb.lower_table()
 
 
@@ -33,69 +38,91 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return tb.span_hash(tb.prefix_hash(flat), start, end), tb.by_text(number, len(offsets) - 1), start - offsets[number], end - offsets[number]
 
 
+class _Growing:
+    """A generalised suffix automaton while words are added to it."""
+
+    def __init__(self):
+        self.next, self.link, self.length = [{}], [-1], [0]
+
+    def add(self, last: int, c: int) -> int:
+        """The state of the word sequence that led to `last`, followed by c."""
+        if c in self.next[last]:
+            q = self.next[last][c]
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
+        new = self._state({}, 0, self.length[last] + 1)
+        p = last
+        while p != -1 and c not in self.next[p]:
+            self.next[p][c] = new
+            p = self.link[p]
+        if p != -1:
+            q = self.next[p][c]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
+        return new
+
+    def _state(self, follow: dict, link: int, length: int) -> int:
+        self.next.append(follow)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.length) - 1
+
+    def _clone(self, p: int, c: int, q: int) -> int:
+        copy = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1)
+        while p != -1 and self.next[p].get(c) == q:
+            self.next[p][c] = copy
+            p = self.link[p]
+        self.link[q] = copy
+        return copy
+
+
 class Automaton:
-    """Suffix automaton over the word sequences of several items, with the items in which each window occurs."""
+    """Suffix automaton over the word sequences of several items, with the items in which each window occurs, in arrays:
+    transitions in order of state and word, items by state."""
 
     def __init__(self, sequences: list[np.ndarray], names: list, window: int):
         self.window, self.names = window, names
         self.vocabulary = np.unique(np.concatenate(sequences)) if sequences else np.zeros(0, np.uint64)
+        self.width = max(len(self.vocabulary), 1)
         coded = [np.searchsorted(self.vocabulary, s).tolist() for s in sequences]
-        self.next, self.link, self.length = [{}], [-1], [0]
+        made = _Growing()
         for s in coded:
             last = 0
             for c in s:
-                last = self._extend(last, c)
+                last = made.add(last, c)
+        self.link, self.length = array("i", made.link), array("i", made.length)
+        self.steps = array("q", (v * self.width + c for v, follow in enumerate(made.next) for c in sorted(follow)))
+        self.targets = array("i", (follow[c] for follow in made.next for c in sorted(follow)))
         by_length = sorted(range(len(self.length)), key=self.length.__getitem__)
         #: The suffix of exactly `window` words of each state, where it has that many.
-        self.cut = [-1] * len(self.length)
+        self.cut = array("i", [-1]) * len(self.length)
         for v in by_length:
             if self.length[v] >= window:
                 self.cut[v] = v if self.length[self.link[v]] < window else self.cut[self.link[v]]
-        self.items: list[set] = [set() for _ in self.length]
         #: (words, item) of the short items that end at a state.
         self.short: dict[int, set] = {}
+        ends = set()
         for k, s in enumerate(coded):
             v = 0
             for i, c in enumerate(s):
-                v = self.next[v][c]
+                v = made.next[v][c]
                 if i + 1 >= window:
-                    self.items[self.cut[v]].add(k)
+                    ends.add((self.cut[v], k))
             if 0 < len(s) < window:
                 self.short.setdefault(v, set()).add((len(s), k))
-        self.nearest_short = [-1] * len(self.length)
+        found = np.array(sorted(ends), np.int64).reshape(-1, 2)
+        self.first_item = array("i", np.searchsorted(found[:, 0], np.arange(len(self.length) + 1)).tolist())
+        self.item = array("i", found[:, 1].tolist())
+        self.nearest_short = array("i", [-1]) * len(self.length)
         for v in by_length[1:]:
             self.nearest_short[v] = v if v in self.short else self.nearest_short[self.link[v]]
         self.shortest = min([window, *(len(s) for s in coded if len(s))])
-        pairs = [np.array(s[:-1], np.int64) * len(self.vocabulary) + np.array(s[1:], np.int64) for s in coded if len(s) > 1]
+        pairs = [np.array(s[:-1], np.int64) * self.width + np.array(s[1:], np.int64) for s in coded if len(s) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
 
-    def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
-            q = self.next[last][c]
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
-        new = len(self.length)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        p = last
-        while p != -1 and c not in self.next[p]:
-            self.next[p][c] = new
-            p = self.link[p]
-        if p != -1:
-            q = self.next[p][c]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
-        return new
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        copy = len(self.length)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
-            p = self.link[p]
-        self.link[q] = copy
-        return copy
+    def step(self, v: int, c: int) -> int:
+        """The state after the word c, or -1."""
+        key = v * self.width + c
+        at = bisect_left(self.steps, key)
+        return self.targets[at] if at < len(self.steps) and self.steps[at] == key else -1
 
     def runs(self, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the words, and starts and ends of the stretches of a text whose neighbouring words all stand
@@ -108,7 +135,7 @@ class Automaton:
         joined = np.zeros(len(word) + 1, bool)
         both = np.flatnonzero(known[:-1] & known[1:]) + 1
         if len(self.pairs):
-            pair = code[both - 1] * len(self.vocabulary) + code[both]
+            pair = code[both - 1] * self.width + code[both]
             near = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             joined[both[self.pairs[near] == pair]] = True
         joined[bounds] = False
@@ -120,22 +147,23 @@ class Automaton:
     def walk(self, code: list[int]):
         """(position after the last word, words of the window, item numbers) of every window that occurs."""
         v = matched = 0
-        step, link, length, window = self.next, self.link, self.length, self.window
         for i, c in enumerate(code, 1):
-            while v and c not in step[v]:
-                v = link[v]
-                matched = length[v]
-            if c in step[v]:
-                v = step[v][c]
-                matched += 1
-            if matched >= window:
-                yield i, window, self.items[self.cut[v]]
+            new = self.step(v, c)
+            while new < 0 and v:
+                v = self.link[v]
+                matched = self.length[v]
+                new = self.step(v, c)
+            if new >= 0:
+                v, matched = new, matched + 1
+            if matched >= self.window:
+                state = self.cut[v]
+                yield i, self.window, self.item[self.first_item[state] : self.first_item[state + 1]]
             u = self.nearest_short[v]
             while u > 0:
                 for words, k in self.short[u]:
                     if words <= matched:
                         yield i, words, (k,)
-                u = self.nearest_short[link[u]] if link[u] > 0 else -1
+                u = self.nearest_short[self.link[u]] if self.link[u] > 0 else -1
 
 
 def blocks(items: DataFrame, item_id: str, text: str, block_chars: int):
@@ -162,7 +190,9 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     extra = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(id_field.dataType))]
     out_schema = T.StructType([docs.schema[c] for c in carried] + extra)
     out = docs.select(*carried, F.lit(0).cast("long").alias("n_words"), F.lit([]).cast(T.ArrayType(span)).alias("spans"), F.lit([]).cast(T.ArrayType(id_field.dataType)).alias("items"))
-    for block in blocks(items, item_id, item_text, block_chars):
+    for k, block in enumerate(blocks(items, item_id, item_text, block_chars)):
+        if k and k % CHAIN == 0:
+            out = saved(out, "matched")
         hashes, bounds, _, _ = normalised(pa.array([t for _, t in block], pa.string()))
         machine = Automaton([hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], [i for i, _ in block], window)
         out = out.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(machine), text, carried), out_schema)

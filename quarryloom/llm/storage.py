@@ -3,50 +3,64 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where none is set, as in tests, a temporary folder takes its place."""
+    """The session's spark.checkpoint.dir. Only where none is set and all runs on one machine, as in tests, a temporary
+    folder takes its place; on a cluster, executors could not read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-_open: list[list[str]] = []
+def file_row() -> Column:
+    """A number for each row of a scan of files that no way of splitting them changes: of its file and its place there.
+    Only for tables read from files, not for what is computed from several."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
+#: The paths that the innermost `temporary` of this thread has to delete.
+_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once and read back, so that later jobs neither repeat nor depend on what made them."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if (mine := _open.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
-    """Tables saved inside are deleted at the end, but for those saved by the function that this gives."""
-    _open.append(mine := [])
+    """Tables saved inside, by the same thread, are deleted at the end, but for those saved by the function that this
+    gives: these go with the `temporary` around it, or stay if there is none."""
+    outer, mine = _open.get(), []
+    token = _open.set(mine)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        _open.pop()
+        inner = _open.set(outer)
         try:
             return saved(df, name)
         finally:
-            _open.append(mine)
+            _open.reset(inner)
 
     try:
         yield keep
     finally:
-        _open.pop()
+        _open.reset(token)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in mine:
             folder = jvm.org.apache.hadoop.fs.Path(path)
