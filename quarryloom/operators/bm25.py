@@ -11,9 +11,11 @@ document was removed, or added again, later.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -26,7 +28,7 @@ K1, B = 1.5, 0.75
 ASKED_TERMS, HELD_SCORES = 500_000, 1 << 21
 
 
-def forward(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def forward(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), tokens: Callable[[Column], Column] = terms) -> DataFrame:
     """(doc_id, dl, terms, tfs, carried columns): each document's length, its different terms and how often it has them."""
     fields = [T.StructField("doc_id", docs.schema[doc_id].dataType)] + [docs.schema[c] for c in carry]
     added = T.StructType.fromDDL("dl long, terms array<string>, tfs array<int>").fields
@@ -44,7 +46,7 @@ def forward(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carr
                 [*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, term), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))], [*names, "dl", "terms", "tfs"]
             )
 
-    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, terms(F.col(text)).alias("_t"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), *carry, tokens(F.col(text)).alias("_t"))
     return base.mapInArrow(run, T.StructType(fields + added))
 
 
@@ -136,7 +138,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[keep], column[keep]
 
 
-def _score(shared, k: int, k1: float, b_: float, group: str | None):
+def _score(shared, k: int, k1: float, b_: float, group: str | None, weigh: bool):
     def run(batches):
         queries, words, idf, start, asking, average = shared.value
         known = pa.array(words, pa.string())
@@ -148,7 +150,7 @@ def _score(shared, k: int, k1: float, b_: float, group: str | None):
                 at, row, place = _places(b.column("terms"), known)
                 tf = np.asarray(b.column("tfs").flatten(), dtype=float)[place]
                 dl = np.asarray(b.column("dl"), dtype=float)[row]
-                part = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * dl / average))
+                part = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * dl / average)) if weigh else np.ones(len(at))
                 # Every posting counts for each query that has its term.
                 n = size[at]
                 which = asking[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -169,12 +171,13 @@ def _score(shared, k: int, k1: float, b_: float, group: str | None):
     return run
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, *, k1: float = K1, b: float = B, group: str | None = None, asked_terms: int = ASKED_TERMS) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, k: int, *, k1: float = K1, b: float = B, group: str | None = None, tokens: Callable[[Column], Column] = terms, weigh: bool = True, asked_terms: int = ASKED_TERMS) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query that have a term of it; with `group`, a column
     of the index, the k best of each group. queries: query_id, query. Ids are whole numbers; queries without terms and
-    documents without text have no hits."""
+    documents without text have no hits. Without `weigh` the score is how many of a query's different terms a document has.
+    tokens: how queries are cut into terms, as the texts of the index were."""
     spark = index.sparkSession
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).where("query_id IS NOT NULL").distinct()
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where("query_id IS NOT NULL").distinct()
     blocks = max(1, -(-asked.count() // asked_terms))
     fields = [T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())] + ([index.schema[group]] if group else [])
     out = None
@@ -194,7 +197,7 @@ def search(queries: DataFrame, index: DataFrame, k: int, *, k1: float = K1, b: f
         df = np.array([counted[t]["n"] if t in counted else 0 for t in range(len(words))], float)
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         shared = sc.broadcast((ids, words.to_pylist(), idf, start, query[order], max(length / max(n_docs, 1), 1e-9)))
-        hits = index.select("doc_id", "dl", "terms", "tfs", *([group] if group else [])).mapInArrow(_score(shared, k, k1, b, group), T.StructType(fields))
+        hits = index.select("doc_id", "dl", "terms", "tfs", *([group] if group else [])).mapInArrow(_score(shared, k, k1, b, group, weigh), T.StructType(fields))
         out = hits if out is None else out.unionByName(hits)
     order = Window.partitionBy("query_id", *([group] if group else [])).orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import CHINESE_STOPWORDS, ENGLISH_STOPWORDS, WORD, normalised, words
+from quarryloom.operators import bm25
 from quarryloom.operators.retrieval import dense_search, queries_of, small
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
@@ -17,12 +18,18 @@ CHAT = "^(你好|hi|hello|谢谢|感谢|再见|bye|帮助|help|/help)$"
 ROUTES = [("general_chat", CHAT), ("quiz_request", "出题|练习|测[试验]|quiz|做题|习题|考[试题]|模拟|生成.*题|来.*道题|出.*道"), ("concept_review", "复习|总结|考点|review|归纳|梳理|重点|回顾|知识点"), ("deep_understanding", "解释|为什么|原理|详细|如何|怎[么样]|区别|对比|比较|举例|深入")]
 PLANS = [
     ("general_chat", 1.0, CHAT),
-    ("document_ingest", 1.0, "导入知识库|导入.*知识库|入库|上传.*课件|上传.*资料|ingest|import"),
+    ("document_ingest", 1.0, r"导入知识库|导入.*知识库|入库|上传.*课件|上传.*资料|ingest|import|\.pdf|\.pptx"),
     ("quiz_evaluator", 1.0, "判分|评分|批改|评判|评估答案|帮我判|检查答案|我的答案是|请帮我判"),
-    ("quiz_generator", 1.0, "出题|做题|练习|习题|刷题|测验|生成.*题|quiz"),
-    ("review_summary", 1.0, "复习|总结|考点|回顾|梳理"),
-    ("knowledge_query", 0.92, "解释|讲解|说明|为什么|原理|怎么理解|如何理解|介绍|概述|简述|流程|讲讲|聊聊|区别|对比|比较|分析|是什么"),
+    ("quiz_generator", 1.0, r"出题|做题|练习|习题|刷题|测验|来\s*(?:[0-9]+|[一二两三四五六七八九十])?\s*道(?:选择|填空|简答|SQL)?题|出\s*(?:[0-9]+|[一二两三四五六七八九十])?\s*道(?:选择|填空|简答|SQL)?题|生成.*题|quiz"),
+    ("review_summary", 1.0, "复习|总结(?:一下)?(?:.*?(?:要点|重点))?|考点|回顾|梳理|复习摘要|复习重点|考试复习|期末复习"),
+    ("knowledge_query", 0.92, "解释|讲解|说明|为什么|原理|怎么理解|如何理解|详细介绍|详细解释|介绍(?:一下)?|概述|简述|流程|讲讲|聊聊|区别|对比|比较|分析|是什么"),
 ]
+#: From which confidence on a tool is forced or advised, and the words between the steps of a request.
+FORCE, ADVISE, STEPS = 0.88, 0.72, "再|然后|接着|最后"
+#: Words of requests in turns that have none; one is put behind each user turn.
+REQUESTS = ["", "?", " 请解释三次握手", " 先复习第三章，然后出 5 道选择题", " 来三道填空题，难度4", " 帮我判分", " 上传 notes.pdf", " 总结考点再做题"]
+#: Triggers of skills in the order in which they are tried.
+TRIGGERS = [("quiz_drill", "刷题"), ("quiz_drill", "出 5 道"), ("exam_prep", "考点"), ("exam_prep", "复习"), ("concept_review", "解释"), ("grading", "判分")]
 SEQUENCE = "then|finally|然后|接着|最后"
 
 
@@ -165,19 +172,49 @@ def similar_questions(spark, d, most: int = 3):
 
 
 def search_sessions(spark, d, most: int = 5):
-    """Conversations by how many of the words of a query (the first turn of every tenth) they contain."""
-    q = turns(spark, d).where("turn = 0 AND conv_id % 10 = 0").select(F.col("conv_id").alias("query_id"), F.explode(F.slice(words(F.col("text")), 1, 8)).alias("word"))
-    has = turns(spark, d).select("conv_id", F.explode(words(F.col("text"))).alias("word")).distinct()
-    hits = has.join(q, "word").where("conv_id <> query_id").groupBy("query_id", "conv_id").agg(F.count("*").alias("hits"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "conv_id"))).where(F.col("rank") <= most)
+    """Conversations by how many of the words of a query they contain. Every conversation whose number is divisible by 20
+    asks with the whole of its first turn; its own place is left out."""
+    t = turns(spark, d)
+    asked = t.where("conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query")).select(F.col("conv_id").alias("query_id"), "query")
+    index = bm25.forward(t.groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")), doc_id="conv_id", tokens=words)
+    found = bm25.search(asked, index, most + 1, tokens=words, weigh=False).where("doc_id <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= most).select("query_id", F.col("doc_id").alias("conv_id"), F.col("score").cast("long").alias("hits"), "rank")
+
+
+def requests(spark, d) -> DataFrame:
+    """User turns with a request behind them that depends on their place."""
+    tail = F.element_at(F.array(*map(F.lit, REQUESTS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REQUESTS))) + 1).cast("int"))
+    return user_turns(spark, d).withColumn("text", F.concat("text", tail))
+
+
+_REQ = "req AS (SELECT conv_id, turn, text || CASE (conv_id + turn) % " + str(len(REQUESTS)) + " " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REQUESTS)) + " END AS text FROM conversations WHERE role = 'user')"
+
+
+def planned(text: Column) -> tuple[Column, Column]:
+    """(intent, confidence) of a message: the first rule that fits, else a question, else chat."""
+    asks = text.rlike("[?？]")
+    return by_rules(F.trim(text), [(n, p) for n, _, p in PLANS], F.when(asks, "knowledge_query").otherwise("general_chat")), by_rules(F.trim(text), [(str(c), p) for _, c, p in PLANS], F.when(asks, "0.55").otherwise("0.0")).cast("double")
+
+
+def plan_task(spark, d) -> DataFrame:
+    """The intent of each request, how sure it is, what that means for tools, and the intents of its steps: where a word for
+    the next step parts a request into two or more tasks, chat left out, it is composite."""
+    intent, confidence = planned(F.col("text"))
+    mode = F.when(F.col("intent") == "general_chat", "pass_through").when(F.col("intent") == "knowledge_query", "advisory").when(F.col("confidence") >= FORCE, "force_tool").when(F.col("confidence") >= ADVISE, "advisory").otherwise("pass_through")
+    segments = F.filter(F.transform(F.split("text", STEPS), F.trim), lambda x: F.length(x) > 0)
+    steps = F.filter(F.transform(segments, lambda x: planned(x)[0]), lambda x: x != "general_chat")
+    out = requests(spark, d).select("conv_id", "turn", intent.alias("intent"), confidence.alias("confidence"), steps.alias("s")).withColumn("mode", mode)
+    return out.select("conv_id", "turn", "intent", "confidence", "mode", F.when(F.size("s") > 1, F.array_join("s", ">")).otherwise("").alias("steps"))
 
 
 def match_skill(spark, d):
-    """The first trigger (a word of a small list, by its place) that a turn contains."""
-    triggers = [("quiz_drill", "the"), ("exam_prep", "and"), ("review", "of"), ("summary", "que")]
-    t = F.lower("text")
-    skill = F.coalesce(*[F.when(F.contains(t, F.lit(w)), F.lit(s)) for s, w in triggers])
-    return user_turns(spark, d).select("conv_id", "turn", skill.alias("skill"))
+    """The skill of the first trigger, in their order, that a request contains in lower case."""
+    table_ = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(TRIGGERS)], "place int, skill string, trigger string")
+    t = requests(spark, d)
+    # The triggers are a few rows.
+    hit = t.join(F.broadcast(table_), F.contains(F.lower(t.text), F.lower("trigger"))).groupBy("conv_id", "turn").agg(F.min_by("skill", "place").alias("skill"))
+    return t.select("conv_id", "turn").join(hit, ["conv_id", "turn"], "left")
 
 
 def split_sequence(spark, d):
@@ -224,7 +261,7 @@ QUERIES = {
     "merge_filters": merge_filters,
     "route_intent": lambda s, d: turns(s, d).select("conv_id", "turn", by_rules(F.col("text"), ROUTES, F.lit("deep_understanding")).alias("intent")),
     "route_by_vector": route_by_vector,
-    "plan_task": lambda s, d: user_turns(s, d).select("conv_id", "turn", by_rules(F.trim("text"), [(n, p) for n, _, p in PLANS], F.when(F.col("text").rlike("[?？]"), "knowledge_query").otherwise("general_chat")).alias("intent"), by_rules(F.trim("text"), [(str(c), p) for _, c, p in PLANS], F.when(F.col("text").rlike("[?？]"), "0.55").otherwise("0.0")).cast("double").alias("confidence")),
+    "plan_task": plan_task,
     "split_sequence": split_sequence,
     "match_skill": match_skill,
     "focus_excerpt": focus_excerpt,
@@ -245,6 +282,11 @@ def _rules_sql(rules, default, text="text") -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i){p}') THEN '{n}'" for n, p in rules) + f" ELSE {default} END"
 
 
+def _plan_sql(text: str, what: int) -> str:
+    asks = f"CASE WHEN regexp_matches({text}, '[?？]') THEN '{('knowledge_query', '0.55')[what]}' ELSE '{('general_chat', '0.0')[what]}' END"
+    return _rules_sql([((n, str(c))[what], p) for n, c, p in PLANS], asks, f"trim({text}, ' ')")
+
+
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 ORACLE = {
     "parse_query_filters": f"WITH {_FQ} SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'collection=web' WHEN 1 THEN 'doc_type=pdf;tags=x,y,z' WHEN 2 THEN 'lang=en;source_path=/data' ELSE '' END AS filters, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS rest FROM fq",
@@ -254,16 +296,17 @@ ORACLE = {
     "merge_filters": "SELECT item_id AS query_id, 'given' AS collection, CASE item_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 1 ELSE 3 END AS n_filters FROM benchmark",
     "route_intent": f"SELECT conv_id, turn, {_rules_sql(ROUTES, repr('deep_understanding'))} AS intent FROM conversations",
     "route_by_vector": "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), s AS (SELECT e.vec_id, p.label, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) AS sim FROM e JOIN p ON p.i = e.i WHERE vec_id % 10 = 0 GROUP BY ALL) SELECT vec_id, CASE WHEN sim >= 0.75 THEN label ELSE -1 END AS label, sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) = 1",
-    "plan_task": f"SELECT conv_id, turn, {_rules_sql([(n, p) for n, _, p in PLANS], chr(39).join(['CASE WHEN regexp_matches(text, ', '[?？]', ') THEN ', 'knowledge_query', ' ELSE ', 'general_chat', ' END']), 'trim(text)')} AS intent, ({_rules_sql([(str(c), p) for _, c, p in PLANS], chr(39).join(['CASE WHEN regexp_matches(text, ', '[?？]', ') THEN ', '0.55', ' ELSE ', '0.0', ' END']), 'trim(text)')})::DOUBLE AS confidence FROM conversations WHERE role = 'user'",
+    "plan_task": f"""WITH {_REQ}, p AS (SELECT conv_id, turn, {_plan_sql('text', 0)} AS intent, ({_plan_sql('text', 1)})::DOUBLE AS confidence, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '{STEPS}'), lambda x: trim(x, ' ')), lambda x: length(x) > 0), lambda x: {_plan_sql('x', 0)}), lambda x: x <> 'general_chat') AS s FROM req)
+SELECT conv_id, turn, intent, confidence, CASE WHEN intent = 'general_chat' THEN 'pass_through' WHEN intent = 'knowledge_query' THEN 'advisory' WHEN confidence >= {FORCE} THEN 'force_tool' WHEN confidence >= {ADVISE} THEN 'advisory' ELSE 'pass_through' END AS mode, CASE WHEN len(s) > 1 THEN array_to_string(s, '>') ELSE '' END AS steps FROM p""",
     "split_sequence": f"WITH s AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', ' then '), '{SEQUENCE}'), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS p FROM conversations WHERE role = 'user') SELECT conv_id, turn, (generate_subscripts(p, 1) - 1)::INT AS pos, unnest(p) AS segment FROM s",
-    "match_skill": "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'quiz_drill' WHEN contains(lower(text), 'and') THEN 'exam_prep' WHEN contains(lower(text), 'of') THEN 'review' WHEN contains(lower(text), 'que') THEN 'summary' END AS skill FROM conversations WHERE role = 'user'",
+    "match_skill": f"WITH {_REQ} SELECT conv_id, turn, CASE {' '.join(f"WHEN contains(lower(text), '{t.lower()}') THEN '{k}'" for k, t in TRIGGERS)} END AS skill FROM req",
     "focus_excerpt": f"WITH q AS (SELECT item_id AS doc_id, list_max(list_transform({_WORDS}, lambda w: {{'n': length(w), 'w': w}})).w AS term FROM benchmark), t AS (SELECT d.doc_id, d.text, coalesce(term, substr(source, 4, 9)) AS term FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id), a AS (SELECT *, instr(lower(text), lower(term)) AS pos FROM t) SELECT doc_id, CASE WHEN length(text) <= 420 THEN text WHEN pos > 0 AND length(term) > 0 THEN substr(text, greatest(pos - 210, 1), 420) ELSE substr(text, 1, 210) || ' ... ' || right(text, 210) END AS excerpt FROM a",
     "query_flags": "WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 6 AND before > 0 AS needs_rewrite, length(text) <= 200 AND NOT regexp_matches(text, '[?？]') AS fast_path FROM t WHERE role = 'user'",
     "semantic_cache_lookup": f"WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, e.vec_id AS entry, round(greatest(0.0, (1 + list_cosine_similarity(q.v, e.v)) / 2), 6) AS score FROM u q JOIN u e ON e.label = q.label JOIN events n ON n.event_id = e.vec_id WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0 AND n.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) = 1) SELECT vec_id AS query_id, entry, score, entry IS NOT NULL AS hit FROM embeddings LEFT JOIN (SELECT * FROM h WHERE 2 * score - 1 >= {CACHE_SIMILARITY_HERE}) h ON h.query_id = vec_id WHERE vec_id % 20 = 0",
     "cache_evict": "SELECT floor(value * 10)::BIGINT AS entry, count(*) AS uses FROM events GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 500",
     "cache_exact_key": "SELECT md5(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, count(*) AS uses, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "similar_questions": f"WITH q AS (SELECT conv_id, turn, {_WORDS} AS w, conv_id % 5 AS user, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id DESC, turn DESC) AS n FROM conversations WHERE role = 'user'), s AS (SELECT a.user, a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS overlap FROM q a JOIN q b ON a.user = b.user AND b.n = 1 WHERE a.n BETWEEN 2 AND 101) SELECT user, conv_id, turn, overlap, row_number() OVER (PARTITION BY user ORDER BY overlap DESC, conv_id, turn) AS rank FROM s WHERE overlap > 0 QUALIFY rank <= 3",
-    "search_sessions": "WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w0, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS wall FROM conversations), o AS (SELECT conv_id, word, min(i) AS i FROM (SELECT conv_id, unnest(wall) AS word, generate_subscripts(wall, 1) AS i FROM w WHERE turn = 0 AND conv_id % 10 = 0) GROUP BY ALL), q AS (SELECT conv_id AS query_id, word FROM o QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i) <= 8), has AS (SELECT DISTINCT conv_id, unnest(w0) AS word FROM w), h AS (SELECT query_id, conv_id, count(*) AS hits FROM has JOIN q USING (word) WHERE conv_id <> query_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, conv_id) AS rank FROM h QUALIFY rank <= 5",
+    "search_sessions": "WITH f AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(min_by(text, turn)), '[\\p{L}\\p{N}_]+'))) AS word FROM conversations WHERE conv_id % 20 = 0 GROUP BY conv_id), has AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM conversations), h AS (SELECT f.conv_id AS query_id, has.conv_id, count(*) AS hits FROM has JOIN f ON f.word = has.word WHERE f.conv_id <> has.conv_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, conv_id) AS rank FROM h QUALIFY rank <= 5",
     "topic_history": "SELECT topic, count(DISTINCT conv_id) AS sessions, max(conv_id) AS last_conv FROM (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS topic FROM conversations WHERE role = 'user') WHERE length(topic) > 5 GROUP BY topic ORDER BY sessions DESC, topic LIMIT 10",
     "recent_sessions": "SELECT conv_id % 5 AS user, conv_id, count(*) AS n_turns, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id DESC) AS rank FROM conversations GROUP BY conv_id QUALIFY rank <= 5",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarryloom.operators.evidence import INJECTIONS, redact, risk
+from quarryloom.operators.evidence import HIGH_RISK, INJECTIONS, MEDIUM_RISK, SECRETS, filter_injection, redact, risk
 from quarryloom.operators.learner import GAIN, LOSS, ORACLE as LEARNER_SQL
 from quarryloom.streaming.runs import drained, source
 
@@ -39,7 +39,7 @@ def stream_sessions(spark, d):
 
 
 def stream_audit(spark, d):
-    text = F.regexp_replace(redact(F.col("text")), "(?i)" + INJECTIONS[1], "[FILTERED]")
+    text = filter_injection(redact(F.col("text")))
     s = source(spark, d, "conversations").select("conv_id", "turn", risk(F.col("text")).alias("risk"), F.md5(text.cast("binary")).alias("digest"))
     return drained(s, "audit", "append")
 
@@ -163,13 +163,16 @@ QUERIES = {
     "stream_audit": stream_audit,
 }
 _RED = "text"
-for _p in (r"(?i)(?:api[_-]?key|secret|token)\s*[:=]\s*\S{8,}", r"(?i)(?:password|passwd|密码)\s*[:=：]\s*\S{4,}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}", r"(?:sk-|pk-|Bearer\s+)[A-Za-z0-9]{20,}"):
+for _p in SECRETS:
     _RED = f"regexp_replace({_RED}, '{_p}', '[REDACTED]', 'g')"
+_RED = f"substr({_RED}, 1, 2000)"
+for _p in INJECTIONS:
+    _RED = f"regexp_replace({_RED}, '{_p}', '[FILTERED]', 'gi')"
 ORACLE = {
     "stream_ingest": "SELECT lang, count(DISTINCT sha256(text)) AS documents, count(DISTINCT sha256(text)) AS hashes FROM documents GROUP BY 1",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, k",
     "stream_counters": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding_counters": "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, value FROM events, (VALUES (0), (1)) v(k)) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY w.start, event_type",
     "stream_mastery": LEARNER_SQL["mastery_update"],
-    "stream_audit": f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)jailbreak|DAN\\s+mode|Do\\s+Anything\\s+Now') THEN 'high' ELSE 'low' END AS risk, md5({_RED}) AS digest FROM conversations",
+    "stream_audit": f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i){'|'.join(HIGH_RISK)}') THEN 'high' WHEN regexp_matches(text, '(?i){MEDIUM_RISK}') THEN 'medium' ELSE 'low' END AS risk, md5({_RED}) AS digest FROM conversations",
 }
