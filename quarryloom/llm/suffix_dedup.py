@@ -4,37 +4,41 @@ A passage of `length` bytes that occurs twice has the same anchor (see `anchors`
 so only suffixes that begin in windows of one anchor can share `length` bytes. This splits the suffix array of the
 corpus into independent parts:
 
-1. Every text is cut into runs of windows with one anchor; equal runs are counted by hash before anything moves. All
-   windows of a run that occurs again are repeated.
+1. Every text is cut into runs of windows with one anchor. Runs whose anchor stands nowhere else go; of the others,
+   equal ones are counted by hash before any text moves. All windows of a run that occurs again are repeated.
 2. Anchors with several different runs remain. One copy of each of their runs is fetched, and the runs of an anchor
    are brought together in blocks of bounded size. In a block, the suffixes at the anchors are sorted and their longest
    common prefixes, and those of the reversed texts before the anchors, say which windows can have a partner at all.
    The suffixes at these windows are sorted by their first `length` bytes; among equal ones the previous smaller
    positions give the earlier matches.
-3. An anchor with more than `hot_runs` different runs is not brought together: its runs are cut into pieces of
-   `piece` windows, equal ones counted by hash, and the pieces that share all but their ends into single windows,
-   counted in the same way. So no group, however large, meets in one task.
+3. An anchor with more than `hot_runs` different runs is not brought together: its runs are cut into `pieces` of so
+   many windows, equal ones counted by hash, the pieces that share all but their ends into smaller ones and these into
+   single windows, counted in the same way. So no group, however large, meets in one task.
 
 With keep="first" a window is removed if an equal one begins earlier (by `order`, row, position); with keep="none" if an
 equal one begins anywhere else. Matches never cross documents; windows are judged on the input.
 
 Null texts are empty; texts shorter than `length` keep all bytes. Repeated rows are copies like any other. Rows are
-numbered by place once and saved with their numbers, which all later jobs read, so none has to number them alike again.
-A null `order` stands before all others.
+known by file and place in it, or by a number that is saved with them once, so that every job names them alike however
+the input is split. A null `order` stands before all others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.llm import anchors
 from quarryloom.llm import textbytes as tb
-from quarryloom.llm.storage import maybe_among, saved, temporary
+from quarryloom.llm.storage import file_row, maybe_among, saved, temporary
 
-LENGTH, HOT_RUNS, PIECE = 400, 128, 16
+LENGTH, HOT_RUNS = 400, 128
+#: Windows of the pieces into which the runs of an anchor with many of them are cut, ever smaller ones.
+PIECES = (16, 4)
+#: Windows by which passages of whole words are found: 51 words of prose are longer.
+PASSAGE_LENGTH = 256
 BLOCK_BYTES = 2 << 20
 _RUN = "ord long, rid long, s int, a int, e int"
 _FETCHED = f"key long, full long, {_RUN}, n long, data binary"
@@ -87,22 +91,6 @@ def _fetch(length: int, piece: int):
     return run
 
 
-def _windows(length: int):
-    """The single windows of wanted pieces."""
-
-    def run(batches):
-        for b in tb.slices(batches):
-            flat, offsets = tb.texts(b.column("text"))
-            prefix = tb.prefix_hash(flat)
-            for i, wanted in enumerate(b.column("wanted").to_pylist()):
-                p = np.concatenate([np.arange(w["s"], w["e"] + 1) for w in wanted])
-                n, order = (np.concatenate([np.full(w["e"] + 1 - w["s"], w[k]) for w in wanted]) for k in ("n", "ord"))
-                h = tb.span_hash(prefix, p + offsets[i], p + offsets[i] + length)
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(order), pa.array(np.full(len(p), b.column("rid")[i].as_py()), pa.int64()), pa.array(p, pa.int32()), _signed(n)], ["key", "ord", "rid", "s", "n"])
-
-    return run
-
-
 def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each pair of rows of two byte matrices."""
     differ = a != b
@@ -217,83 +205,124 @@ def _again(members: DataFrame, classes: DataFrame, on: list[str], keep_first: bo
     return members.join(many, on).where("rid != _rid OR s != _s").select("rid", "s", "e")
 
 
-def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot_runs: int = HOT_RUNS, piece: int = PIECE) -> DataFrame:
+def _one_of(keep_first: bool) -> Column:
+    """The first member of a class; any one where none is to stay, which needs no sort."""
+    columns = ("ord", "rid", "s", "a", "e")
+    return (F.min(F.struct(*columns)) if keep_first else F.struct(*(F.first(c).alias(c) for c in columns))).alias("first")
+
+
+def _fetched(texts: DataFrame, wanted: DataFrame, length: int, piece: int) -> DataFrame:
+    """wanted: key, the columns of a run, n, hot. See `_fetch`."""
+    listed = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ord", "s", "a", "e", "n", "hot")).alias("wanted"))
+    return saved(maybe_among(texts, "rid", wanted.select("rid"))[0].join(listed, "rid").mapInArrow(_fetch(length, piece), _FETCHED), "fetched")
+
+
+def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot_runs: int = HOT_RUNS, pieces: tuple[int, ...] = PIECES) -> DataFrame:
     """texts: rid (unique), ord (long), text. Returns rid, s, e: ranges of window starts whose windows are repeated."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     keep_first = keep == "first"
-    first = F.min(F.struct("ord", "rid", "s", "a", "e")).alias("first")
     runs = saved(texts.mapInArrow(_find_runs(length), f"key long, full long, {_RUN}"), "runs")
-    classes = runs.groupBy("key", "full").agg(F.count("*").alias("n"), first)
+    # Most anchors stand alone: the keys are counted first, so that few whole runs have to move.
+    often = saved(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    runs = maybe_among(runs, "key", often)[0]
+    classes = runs.groupBy("key", "full").agg(F.count("*").alias("n"), _one_of(keep_first))
     several = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     classes = saved(classes.join(several, "key", "left").where("n > 1 OR c IS NOT NULL"), "classes")
     out = _again(runs, classes, ["key", "full"], keep_first)
     wanted = classes.where("c > 1").select("key", "first.*", "n", (F.col("c") > hot_runs).alias("hot"))
-    listed = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ord", "s", "a", "e", "n", "hot")).alias("wanted"))
-    source = maybe_among(texts, "rid", wanted.select("rid"))[0].join(listed, "rid")
-    fetched = saved(source.mapInArrow(_fetch(length, piece), _FETCHED), "fetched")
+    fetched = _fetched(texts, wanted, length, pieces[0])
     blocks = fetched.where("data IS NOT NULL").repartition("key").sortWithinPartitions("key")
     out = out.unionByName(blocks.mapInArrow(_blocks(length, keep_first), "rid long, s int, e int"))
     if classes.where(F.col("c") > hot_runs).isEmpty():
         return out
-    pieces = fetched.where("data IS NULL")
-    kinds = pieces.groupBy("key", "full").agg(F.sum("n").alias("n"), first)
-    shared = kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    kinds = saved(kinds.join(shared, "key", "left").where("n > 1 OR c IS NOT NULL"), "pieces")
-    out = out.unionByName(_again(pieces, kinds, ["key", "full"], keep_first))
-    narrow = kinds.where("c > 1").select("first.*", "n")
-    listed = narrow.groupBy("rid").agg(F.collect_list(F.struct("ord", "s", "e", "n")).alias("wanted"))
-    single = maybe_among(texts, "rid", narrow.select("rid"))[0].join(listed, "rid").mapInArrow(_windows(length), "key long, ord long, rid long, s int, n long")
-    single = saved(single, "windows")
-    counted = single.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("ord", "rid", "s")).alias("first"))
-    return out.unionByName(_again(single.withColumn("e", F.col("s")), counted, ["key"], keep_first))
-
-
-def _cut(carried: list[str], length: int, as_text: bool):
+    found = fetched.where("data IS NULL")
+    for piece in (*pieces[1:], 1):
+        kinds = found.groupBy("key", "full").agg(F.sum("n").alias("n"), _one_of(keep_first))
+        shared = kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        kinds = saved(kinds.join(shared, "key", "left").where("n > 1 OR c IS NOT NULL"), "pieces")
+        out = out.unionByName(_again(found, kinds, ["key", "full"], keep_first))
+        found = _fetched(texts, kinds.where("c > 1").select("key", "first.*", "n", F.lit(True).alias("hot")), length, piece)
+    counted = found.groupBy("key").agg(F.sum("n").alias("n"), _one_of(keep_first))
+    return out.unionByName(_again(found, counted, ["key"], keep_first))
+
+
+def merged(ranges: list | None, length: int) -> list[list[int]]:
+    """The bytes that the windows of `ranges` cover, as maximal stretches."""
+    out: list[list[int]] = []
+    for r in sorted((r["s"], r["e"] + length) for r in ranges or ()):
+        if out and r[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], r[1])
+        else:
+            out.append([*r])
+    return out
+
+
+def whole_words(text: bytes, spans: list[list[int]], least: int) -> list[list[int]]:
+    """Those of `spans` that hold at least `least` whole words of `text`."""
+    out = []
+    for i, j in spans:
+        cut = text[i:j].split()
+        n = len(cut)
+        if n and i and not text[i - 1 : i].isspace() and not text[i : i + 1].isspace():
+            n -= 1
+        if n and j < len(text) and not text[j : j + 1].isspace() and not text[j - 1 : j].isspace():
+            n -= 1
+        if n >= least:
+            out.append([i, j])
+    return out
+
+
+def _cut(carried: list[str], length: int, as_text: bool, min_words: int):
     """Removes the covered bytes; where text is wanted, what is left of characters that were cut goes with them."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b in tb.slices(batches):
             kept, removed, spans = [], [], []
             for text, ranges in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                text, merged = text or b"", []
-                for r in sorted((r["s"], r["e"] + length) for r in ranges or ()):
-                    if merged and r[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r[1])
-                    else:
-                        merged.append([*r])
-                edges = [0, *(x for r in merged for x in r), len(text)]
+                text, held = text or b"", merged(ranges, length)
+                if min_words:
+                    held = whole_words(text, held, min_words)
+                edges = [0, *(x for r in held for x in r), len(text)]
                 kept.append(b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append(sum(j - i for i, j in merged))
-                spans.append([{"start": i, "end": j} for i, j in merged])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*carried, "kept", "n_removed", "spans"])
+                removed.append(sum(j - i for i, j in held))
+                spans.append([{"start": i, "end": j} for i, j in held])
+            texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts, pa.array(removed, pa.int64()), pa.array(spans, kind)], [*carried, "kept", "n_removed", "spans"])
 
     return run
 
 
-def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", columns: list[str] | None = None, as_text: bool = False, **options) -> DataFrame:
-    """Adds kept (the remaining bytes, or with as_text their characters), n_removed and spans (removed byte ranges) to `columns` of docs (all by default)."""
+def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", row: Column | None = None, columns: list[str] | None = None, as_text: bool = False, min_words: int = 0, length: int = LENGTH, **options) -> DataFrame:
+    """Adds kept (the remaining bytes, or with as_text their characters), n_removed and spans (removed byte ranges) to
+    `columns` of docs (all by default).
+
+    row: a number for each row that is the same however the rows are split and read, such as storage.file_row() for a
+    table read from files; without it the rows are numbered once and saved. min_words: only stretches with at least so
+    many whole words (between white space) are removed.
+    """
     from pyspark.sql import types as T
 
     columns = list(docs.columns if columns is None else columns)
     fields = {c: f"_c{i}" for i, c in enumerate(columns)}
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in fields.items()))
+    base = docs.select((F.monotonically_increasing_id() if row is None else row).alias("rid"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in fields.items()))
     with temporary(docs.sparkSession) as keep:
-        base = keep(base, "numbered")
-        ranges = repeated(base.select("rid", "ord", "text"), **options)
+        if row is None:
+            base = keep(base, "numbered")
+        ranges = repeated(base.select("rid", "ord", "text"), length=length, **options)
         ranges = keep(ranges.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
     base = base.drop("ord")
     touched, rest = maybe_among(base, "rid", ranges.select("rid"))
-    touched, rest = touched.join(ranges, "rid", "left"), rest.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+    base = touched.join(ranges, "rid", "left").unionByName(rest.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
     added = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, n_removed long, spans array<struct<start:long,end:long>>")
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in fields.items()] + added.fields)
-    out = touched.unionByName(rest).mapInArrow(_cut(list(fields.values()), options.get("length", LENGTH), as_text), schema)
-    return out.select(*(F.col(n).alias(c) for c, n in fields.items()), "kept", "n_removed", "spans")
+    out = base.mapInArrow(_cut(list(fields.values()), length, as_text, min_words), schema)
+    return out.select(*(F.col(n).alias(c) for c, n in fields.items()), *added.names)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that stand in a 400-byte string found twice, and the digest of the others."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup(docs, columns=["doc_id"], keep="none")
+    out = dedup(docs, columns=["doc_id"], keep="none", row=file_row())
     return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
