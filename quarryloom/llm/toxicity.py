@@ -2,11 +2,14 @@
 
 A document is a bag of sentences. The score of a sentence is the logistic of a bias and its words' weights; that of a
 document is the noisy-or of its sentences, so one offending sentence suffices. Weights are trained from document labels
-alone, on all labelled documents and their whole texts. Spark counts the documents of each word; words are candidates for a
-weight if they, or their beginnings, stand in `min_documents` training documents or more and with positives more often than
-chance allows. A sentence is then known by its candidates alone, so the driver gets how often each set of them stands in
-negative documents, and the sets of each positive one, equal ones once: no texts. Scoring is one map over all whole texts;
-sentences with high scores are returned with their places.
+alone, on whole texts. `train_documents` bounds the sample: half the places are for either label, in order of a hash of the
+id, and places that one label leaves free go to the other, so with no more labels than that all are learnt from.
+
+Spark counts the documents of each word; words are candidates for a weight if they, or their beginnings, stand in
+`min_documents` training documents or more and with positives more often than chance allows, the `features` best of them. A
+sentence is then known by its candidates alone, so the driver gets how often each set of them stands in negative documents,
+and the sets of each positive one, equal ones once: no texts. Scoring is one map over all whole texts; sentences with high
+scores are returned with their places.
 
 Null and empty texts have no sentences and score 0. Repeated rows score alike; extra columns pass through `score`, columns
 named score and sentences are replaced. Without positive labels all weights are 0. Rows whose id or label is null are not
@@ -25,6 +28,7 @@ from quarryloom.llm import textbytes as tb
 from quarryloom.llm.storage import saved, temporary
 
 MIN_DOCUMENTS, EPOCHS, FOLDS = 4, 150, 5
+TRAIN_DOCUMENTS, FEATURES = 16_000, 20_000
 #: Lengths in bytes of word beginnings that are features beside the word.
 PREFIXES = (4, 6)
 _LOWER = tb.lower_table()
@@ -159,10 +163,19 @@ def train(words: np.ndarray, weights: np.ndarray, bags: pa.Table, *, epochs: int
     return Model(words, weights, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", min_documents: int = MIN_DOCUMENTS, **options) -> Model:
-    """Trains on all labelled documents. Labels: doc_id, label (1 or 0); the greatest counts."""
+def sample(labels: DataFrame, size: int) -> DataFrame:
+    """At most `size` rows of (_id, _y): half of either label as far as there are, the rest of the other."""
+    has = {r["_y"]: r["count"] for r in labels.groupBy("_y").count().collect()}
+    ones = min(has.get(1, 0), max(size // 2, size - has.get(0, 0)))
+    take = lambda y, n: labels.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
+    return take(1, ones).unionByName(take(0, size - ones))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", min_documents: int = MIN_DOCUMENTS, train_documents: int = TRAIN_DOCUMENTS, features: int = FEATURES, **options) -> Model:
+    """Trains on at most `train_documents` labelled documents. Labels: doc_id, label (1 or 0); the greatest counts."""
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y")).where("_y IN (0, 1)")
-    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "_id").select("_y", "text")
+    chosen = sample(chosen, train_documents)
+    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("_y", "text")
     with temporary(docs.sparkSession):
         found = saved(found, "labelled")
         counts = saved(found.mapInArrow(_count, "word long, n long, positive long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")), "words")
@@ -172,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         # Only words whose share of positives is above the usual by more than chance allows can make a sentence offend.
         base = (whole.positive + 1) / (whole.n + 2)
         z = (F.col("positive") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
-        good = counts.where((F.col("word") != 0) & (F.col("n") >= min_documents) & (z > 3)).toArrow()
+        good = counts.where((F.col("word") != 0) & (F.col("n") >= min_documents) & (z > 3)).orderBy(z.desc(), "word").limit(features).toArrow()
         words, n, positive = (np.asarray(good.column(c)) for c in ("word", "n", "positive"))
         order = np.argsort(words.view(np.uint64))
         words, rate = words.view(np.uint64)[order], ((positive + 1) / (n + 2))[order]
