@@ -23,6 +23,22 @@ def removed(texts, length, keep_first):
     return data, flags
 
 
+def long_spans(data, flags, words):
+    """Of the flagged stretches of each text, those of at least so many whole words: (start, end)."""
+    out = []
+    for b, f in zip(data, flags, strict=True):
+        spans, at = [], 0
+        while (i := f.find(1, at)) >= 0:
+            j = f.find(0, i)
+            j = len(f) if j < 0 else j
+            whole = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", b) if i <= m.start() and m.end() <= j]
+            if len(whole) >= words:
+                spans.append((i, j))
+            at = j
+        out.append(spans)
+    return out
+
+
 def components(ids, texts, words, percent):
     sets = []
     for t in texts:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryloom.llm import bpe, decontaminate, html_text, license_scan, near_dedup, quality, suffix_dedup, toxicity, url_rules, warc
+from quarryloom.llm.storage import file_row, saved, temporary
 from tests.llm import brute
 
 
@@ -77,7 +78,7 @@ def test_decontamination_spans_and_removal(spark):
     assert [r.doc_id for r in decontaminate.remove(d, i, drop_above=0.5).orderBy("doc_id").collect()] == [2, 3]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_runs": 2, "piece": 8}, {"hot_runs": 1, "piece": 5}])
+@pytest.mark.parametrize("options", [{}, {"hot_runs": 2, "pieces": (8, 3)}, {"hot_runs": 1, "pieces": (5,)}])
 @pytest.mark.parametrize("keep", ["first", "none"])
 def test_suffix_dedup(spark, tmp_path, options, keep):
     random.seed(5)
@@ -117,6 +118,67 @@ def test_suffix_dedup_when_file_splits_change(spark, tmp_path, monkeypatch):
         assert bytes(got.kept[i]) == bytes(x for x, m in zip(b, f, strict=True) if not m)
 
 
+def passage_rows():
+    """Texts with passages of 30 to 150 words shared among some of them, and within one."""
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8)))
+    passages = [" ".join(word() for _ in range(n)) for n in (30, 50, 51, 55, 60, 80, 100, 150)]
+    rows = [" ".join([" ".join(word() for _ in range(40)), *([random.choice(passages)] if k % 3 else []), " ".join(word() for _ in range(40))]) for k in range(90)]
+    return rows + [f"{passages[3]} {word()} {passages[3]}", passages[4], None, "", rows[0], rows[1]]
+
+
+def test_registered_suffix_dedup(spark, tmp_path):
+    """op4 at its own lengths over several files, with splits that change between building and running it."""
+    rows = passage_rows()
+    table(spark, tmp_path, list(enumerate(rows)), "doc_id long, text string", parts=7).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    query = suffix_dedup.op4_suffix_dedup(spark, f"{tmp_path}/sf")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        got = {r.doc_id: r for r in query.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    data, flags = brute.removed(rows, 400, False)
+    assert len(got) == len(rows) and any(map(any, flags))
+    for i, (b, f) in enumerate(zip(data, flags, strict=True)):
+        kept = bytes(x for x, m in zip(b, f, strict=True) if not m)
+        spans = sum(1 for k, x in enumerate(f) if x and not (k and f[k - 1]))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(f), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_suffix_dedup_of_whole_words(spark, tmp_path):
+    rows = passage_rows()
+    d = table(spark, tmp_path, list(enumerate(rows)), "doc_id long, text string", parts=5)
+    got = {r.doc_id: r.kept for r in suffix_dedup.dedup(d, row=file_row(), length=256, min_words=51, as_text=True).collect()}
+    data, flags = brute.removed(rows, 256, True)
+    for i, (b, spans) in enumerate(zip(data, brute.long_spans(data, flags, 51), strict=True)):
+        assert got[i] == b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True)).decode()
+
+
+def test_tables_of_two_threads_stay_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    meet = Barrier(2)
+
+    def work(k):
+        with temporary(spark) as keep:
+            meet.wait()
+            mine, kept = saved(spark.range(k), "mine"), keep(spark.range(k + 10), "kept")
+            meet.wait()
+            if k == 2:
+                counts = mine.count(), kept.count()
+        meet.wait()
+        if k == 1:
+            counts = None, kept.count()
+        return counts
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, (1, 2))) == [(None, 11), (2, 12)]
+
+
 def test_suffix_dedup_documents(spark, docs, texts):
     got = suffix_dedup.dedup(docs, columns=["doc_id", "kept", "score"], as_text=True)
     assert got.count() == len(texts) + 2
@@ -185,6 +247,52 @@ def test_quality_drops_what_the_target_lacks(spark):
     assert got[got.doc_id < 100].kept.all() and not got[got.doc_id >= 100].kept.any()
 
 
+def test_quality_scores_against_a_plain_version(spark, sf_dir):
+    """The registered query's scores, by counters and crc32 of whole words; and its columns against the SQL."""
+    import collections
+    import math
+    import zlib
+
+    docs, labels = (pd.read_parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    good = sorted(set(labels[labels.quality == 1].doc_id), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[: quality.TRUSTED_DOCUMENTS]
+    size = quality.BUCKETS
+
+    def grams(text):
+        code = [zlib.crc32(w.encode()) for w in brute.SPACED.findall(text or "")]
+        return [c % size for c in code] + [size + (a * 31 + b) % size for a, b in zip(code, code[1:], strict=False)]
+
+    own = {i: grams(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    raw, target = collections.Counter(g for x in own.values() for g in x), collections.Counter(g for i in good for g in own.get(i, ()))
+    value = {}
+    for low in (0, size):
+        r_sum, t_sum = (sum(c[b] for b in range(low, low + size)) for c in (raw, target))
+        for b in range(low, low + size):
+            r = (raw[b] + 1) / (r_sum + size)
+            value[b] = math.log((target[b] + quality.PRIOR * r * size) / (t_sum + quality.PRIOR * size) / r)
+    got = quality.op1_quality(spark, sf_dir).toPandas().set_index("doc_id")
+    for i, x in own.items():
+        assert abs(got.score[i] - (sum(value[b] for b in x) / len(x) if x else 0)) < 1e-4
+        assert got.kept[i] == (not got.base_failed[i] and got.score[i] >= quality.THRESHOLD)
+
+
+@pytest.mark.parametrize("name", ["op1_quality", "op3_url_rules", "op5_warc"])
+def test_registered_queries_equal_sql(spark, sf_dir, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from quarryloom.llm import queries
+    from tests.test_queries import rows
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), con.sql(queries.ORACLE[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and rows(got, columns) == rows(want, columns)
+
+
 def plain_rule(url, rules):
     rest = url.partition("://")[2] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
@@ -229,6 +337,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.revisits(pages.where("false"), page_id="page_id", payload=F.col("html").cast("binary"), uri=F.col("url")).count() == 0
 
 
+def test_warc_append_and_overwrite(spark, tmp_path):
+    """Every append stays readable; overwriting leaves the new records alone; clashing columns change nothing."""
+    warc.register(spark)
+    path = str(tmp_path / "w")
+
+    def write(ids, mode):
+        pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i}", "mine", 1) for i in ids], "page_id long, url string, html string, payload string, record_type int")
+        warc.revisits(pages, page_id="page_id", payload=F.col("html").cast("binary"), uri=F.col("url")).write.format("warc").mode(mode).save(path)
+
+    ids = lambda: sorted(int(r.record_id.rpartition(":")[2]) for r in spark.read.format("warc").load(path).collect())
+    write(range(3), "append")
+    write(range(3, 6), "append")
+    assert ids() == [0, 1, 2, 3, 4, 5]
+    (tmp_path / "w" / "lost.warc.gz").write_bytes(b"of a lost attempt")
+    assert ids() == [0, 1, 2, 3, 4, 5]
+    write([7, 8], "overwrite")
+    assert ids() == [7, 8]
+    write([], "append")
+    assert ids() == [7, 8]
+
+
 def test_warc_reads_foreign_files(spark, tmp_path):
     import gzip
 
@@ -345,3 +474,87 @@ def test_license_scan_wrapped_header_and_two_notices_on_a_line(spark):
     rows = [(1, header), (2, "Licensed under CC BY 4.0. Some words. All rights reserved. More."), (3, "All rights reserved. Licensed under CC BY 4.0.")]
     got = {r.doc_id: [(f.line, f.license, f.exact) for f in r.findings] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [(2, "GPL-3.0-header", True)], 2: [(0, "CC-BY-4.0", True), (0, "proprietary", True)], 3: [(0, "proprietary", True), (0, "CC-BY-4.0", True)]}
+
+
+def exact_notices(text):
+    """Names of the templates whose words stand in the text, without those inside a longer one."""
+    own, found = license_scan.words(text or ""), []
+    for name, template in license_scan.TEMPLATES.items():
+        t = license_scan.words(template)
+        found += [(i, i + len(t), name) for i in range(len(own) - len(t) + 1) if own[i : i + len(t)] == t]
+    return sorted({n for a, b, n in found if not any((c, d) != (a, b) and c <= a and b <= d for c, d, _ in found)})
+
+
+def test_license_scan_against_a_plain_search(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: sorted({f.license for f in r.findings if f.exact}) for r in license_scan.scan(docs).collect()}
+    want = {r.doc_id: exact_notices(r.text) for r in docs.collect()}
+    assert got == want and any(want.values())
+    counted = {r.doc_id: r for r in license_scan.op6_license_scan(spark, sf_dir).collect()}
+    assert all(set(want[i]) <= set(r.licenses.split(",")) for i, r in counted.items() if want[i])
+
+
+def test_license_scan_of_whole_licences(spark):
+    """Full texts over several paragraphs, each in a long document, twice, altered, and beside others."""
+    names = ["MIT-full", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Apache-2.0-header"]
+    full = license_scan.TEMPLATES
+    rows = [(i, "intro words\n" * 40 + "Copyright (c) 2020 Someone\n\n" + full[n] + "\n\nmore text\n" * 60 + full[n]) for i, n in enumerate(names)]
+    rows += [(10, full["MIT-full"].replace("without limitation", "with limits")), (11, full["ISC"] + "\n\n" + full["BSD-3-Clause"]), (12, "word " * 200_000 + "\n" + full["MIT-full"]), (12, "All rights reserved."), (12, "All rights reserved.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, [(f.license, f.exact) for f in r.findings if f.license]) for r in license_scan.scan(d).collect()]
+    for i, n in enumerate(names):
+        assert got[i] == (i, [(n, True)] * 2)
+    assert got[6] == (10, [("MIT-full", False)]) and got[7] == (11, [("ISC", True), ("BSD-3-Clause", True)])
+    assert got[8] == (12, [("MIT-full", True)]) and got[9] == got[10] == (12, [("proprietary", True)])
+    assert license_scan.scan(d.where("false")).count() == 0
+
+
+def test_registered_decontamination(spark, sf_dir, tmp_path):
+    """op2 at its own window, and over many blocks of items with the documents saved between them."""
+    docs, items = (pd.read_parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = brute.contamination(list(docs.text), list(zip(items.item_id, items.text, strict=True)), 13)
+    got = decontaminate.op2_decontamination(spark, sf_dir).toPandas().set_index("doc_id")
+    for i, (n, hit, found) in zip(docs.doc_id, want, strict=True):
+        names = ",".join(sorted(map(str, found)))
+        assert tuple(got.loc[i, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]]) == (n, hit, len(found), hashlib.sha256(names.encode()).hexdigest(), hit > 0 and 20 * hit >= n)
+    many = decontaminate.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), block_chars=2500).toPandas().set_index("doc_id")
+    assert (many.n_hit == got.n_hit).all() and any(got.n_hit > 0)
+
+
+def test_registered_bpe(spark, sf_dir):
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    enc = bpe.encoding(*bpe.public_ranks())
+    got = bpe.op8_bpe(spark, sf_dir).toPandas().set_index("doc_id")
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = np.asarray(enc.encode_ordinary(t or ""), "<u4")
+        assert (got.n_tokens[i], got.ids_sha256[i], got.decoded_sha256[i]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_registered_toxicity(spark):
+    """Scores lie between 0 and 1, labels of the held-out fold are not read, and the held-out documents are told apart."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    labels = pd.read_parquet(f"{sf}/labels.parquet").groupby("doc_id").toxic.max()
+    got = toxicity.op10_toxicity(spark, sf).toPandas().set_index("doc_id")
+    assert all(got.held_out[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got.index)
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    held = [i for i in labels.index if i in got.index and got.held_out[i]]
+    right = sum(got.predicted[i] == labels[i] for i in held)
+    assert right >= 0.95 * len(held)
+
+
+def test_toxicity_sample_is_shared_out(spark):
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(100)], "_id long, _y int")
+    for size, ones, zeros in ((200, 30, 70), (40, 20, 20), (80, 30, 50), (100, 30, 70)):
+        got = [r._y for r in toxicity.sample(labels, size).collect()]
+        assert (sum(got), len(got) - sum(got)) == (ones, zeros)
+
+
+def test_toxicity_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "You wretch.", "mine", [1]), (1, "You wretch.", "mine", [1]), (2, None, None, None), (3, "x " * 300_000 + "wretch", "m", [])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string, sentences array<int>")
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -8.0)
+    got = toxicity.score(d, model)
+    assert got.columns == ["doc_id", "text", "score", "sentences"] and [round(r.score, 3) for r in got.orderBy("doc_id").collect()] == [0.0] * 4
+    assert toxicity.fit(d.where("false"), d.select("doc_id", F.lit(1).alias("toxic"))).bias == -8.0
