@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quarryloom.functions.graph import components
 from quarryloom.functions.tokens import WORD
-from quarryloom.operators.retrieval import _bm25, bm25_sql
+from quarryloom.operators.retrieval import _bm25
+from quarryloom.sources.shared import saved
 from quarryloom.sources.tables import table
 
-BANDS, NEAR, NEAR_IN_RESULTS = 4, 3, 8
+NEAR, NEAR_IN_RESULTS = 3, 8
+#: Where the blocks of bits of a print begin in either half, and how long they are.
+BLOCKS = [("hi", 0, 11), ("hi", 11, 11), ("hi", 22, 10), ("lo", 0, 11), ("lo", 11, 11), ("lo", 22, 10)]
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -33,38 +36,34 @@ def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 
 def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b, distance) of prints at most `near` bits apart. Equal prints are collapsed before the join on 16-bit bands, so
-    a large group of copies meets once; the pairs are of the smallest ids of the prints. Four bands find all pairs up to 3."""
-    kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i, (c, k) in enumerate((("lo", 0), ("lo", 1), ("hi", 0), ("hi", 1)))])
-    keyed = kinds.select("doc_id", "hi", "lo", F.explode(bands).alias("band"))
+    """(a, b, distance) of prints at most `near` bits apart. Equal prints are collapsed before the join, so a large group of
+    copies meets once; the pairs are of the smallest ids of the prints. Of six blocks of bits, `near` different bits leave
+    all but `near` blocks equal, so every choice of that many blocks is a key of 31 bits or more, if near is 3: no pair is
+    missed, and unlike prints seldom meet."""
+    if not 0 <= near < len(BLOCKS):
+        raise ValueError(f"near is less than {len(BLOCKS)}")
+    kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    block = [F.shiftrightunsigned(F.col(c), at).bitwiseAND(F.lit((1 << n) - 1)) for c, at, n in BLOCKS]
+
+    def key(chosen: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for k in chosen:
+            out = F.shiftleft(out, BLOCKS[k][2]).bitwiseOR(block[k])
+        return out
+
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), key(c).alias("v")) for i, c in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - near))])
+    keyed = kinds.select("doc_id", "hi", "lo", F.explode(keys).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     d = hamming((F.col("a.hi"), F.col("a.lo")), (F.col("b.hi"), F.col("b.lo")))
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= near).distinct()
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= near).distinct()
 
 
 def group_near(prints: DataFrame, near: int = NEAR) -> DataFrame:
-    """(doc_id, kept): the smallest id of each group of prints that near pairs connect stays. Labels spread over the pairs
-    of different prints until none changes."""
+    """(doc_id, kept): the smallest id of each group of prints that near pairs connect stays."""
     kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    pairs = near_pairs(prints, near).select("a", "b")
-    _set_checkpoints(prints)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    label = kinds.select("id", F.col("id").alias("label"))
-    changed = True
-    while changed:
-        least = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
-        new = label.join(least, label.id == least.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label")).checkpoint()
-        changed = not new.exceptAll(label).isEmpty()
-        label = new
-    return prints.join(kinds, ["hi", "lo"]).join(label, "id").select("doc_id", (F.col("doc_id") == F.col("label")).alias("kept"))
-
-
-def _set_checkpoints(df: DataFrame) -> None:
-    """Gives checkpoints a folder where the session has none yet; its own setting goes first."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    label = components(near_pairs(prints, near).select("a", "b"), saved)
+    named = kinds.join(label, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("label"))
+    return prints.join(named, ["hi", "lo"]).select("doc_id", (F.col("doc_id") == F.col("label")).alias("kept"))
 
 
 def post_dedup(results: DataFrame, near: int = NEAR_IN_RESULTS) -> DataFrame:
@@ -114,5 +113,6 @@ ORACLE = {
     "simhash": f"WITH {_SIM} SELECT * FROM sim",
     "hamming": f"WITH {_SIM}, p AS (SELECT s.*, source, lang FROM sim s JOIN documents d ON d.doc_id = s.doc_id), f AS (SELECT source, lang, min_by(hi, doc_id) AS h, min_by(lo, doc_id) AS l FROM p GROUP BY ALL) SELECT doc_id, (bit_count(xor(hi, h)) + bit_count(xor(lo, l)))::INT AS distance FROM p JOIN f ON f.source = p.source AND f.lang = p.lang",
     "dedup_lsh_pairs": f"WITH {_SIM}, k AS (SELECT hi, lo, min(doc_id) AS doc_id FROM sim GROUP BY ALL), p AS (SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM k a JOIN k b ON a.doc_id < b.doc_id) SELECT * FROM p WHERE distance <= 3",
+    "dedup_lsh": f"WITH RECURSIVE {_SIM}, k AS (SELECT hi, lo, min(doc_id) AS doc_id FROM sim GROUP BY ALL), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.doc_id <> b.doc_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3), r AS (SELECT doc_id AS a, doc_id AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT a, min(b) AS label FROM r GROUP BY a) SELECT s.doc_id, s.doc_id = label AS kept FROM sim s JOIN k ON k.hi = s.hi AND k.lo = s.lo JOIN g ON g.a = k.doc_id",
     "exact_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
 }

@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import words
+from quarryloom.operators.queryprep import _REQ, requests
 from quarryloom.operators.retrieval import _bm25, bm25_sql
+from quarryloom.sources.shared import new_path
 from quarryloom.sources.tables import ANSWERS_SQL, answers, table, turns
 
 GAIN, LOSS, WEAK, STRONG, DECAYED = 0.1, 0.15, 0.5, 0.8, 0.45
 
 
+#: Mastery in steps of .05: a right answer adds two, a wrong one takes three, within 0 and 20.
+UP, DOWN, FULL = 2, 3, 20
+#: The review intervals that doubling (to 30 at most) and halving reach from one day.
+INTERVALS = [1, 2, 3, 4, 6, 7, 8, 12, 14, 15, 16, 24, 28, 30]
+
+
 def mastery(df: DataFrame) -> DataFrame:
     """Folds each learner's answers on a concept in order of time: a right one adds .1, a wrong one takes .15, within 0 and 1;
-    the review interval doubles or halves within 1 and 30 days. The fold of a bounded walk is kept as the composition of
-    clamped shifts, so partial results could be merged; here one array per learner and concept is folded."""
-    ordered = df.groupBy("user_id", "concept").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "correct"))).alias("a"))
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(1).alias("days"))
-    step = lambda s, x: F.struct(F.round(F.when(x["correct"], F.least(F.lit(1.0), s["m"] + GAIN)).otherwise(F.greatest(F.lit(0.0), s["m"] - LOSS)), 6).alias("m"), F.when(x["correct"], F.least(F.lit(30), s["days"] * 2)).otherwise(F.greatest(F.lit(1), F.floor(s["days"] / 2).cast("int"))).alias("days"))
-    folded = ordered.withColumn("f", F.aggregate("a", start, step))
-    right = F.size(F.filter("a", lambda x: x["correct"]))
-    return folded.select("user_id", "concept", F.col("f.m").alias("mastery"), F.col("f.days").alias("interval_days"), F.size("a").alias("quiz_count"), right.alias("correct_count"), F.element_at("a", -1)["ts"].alias("last_reviewed"))
+    the review interval doubles or halves within 1 and 30 days. The answers of an hour are folded on their own, to a shift
+    with a lower and an upper bound and to a map of intervals; these few are then applied in order of time. So an array
+    holds what one learner answered on one concept in an hour, or one entry for each hour."""
+    part = df.groupBy("user_id", "concept", F.date_trunc("hour", "ts").alias("hour")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "correct"))), lambda x: x["correct"]).alias("a"), F.max("ts").alias("last"))
+    within = lambda x: F.greatest(F.lit(0), F.least(F.lit(FULL), x))
+    start = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(FULL).alias("high"), F.array(*map(F.lit, INTERVALS)).alias("days"))
+
+    def step(s: Column, ok: Column) -> Column:
+        by = F.when(ok, UP).otherwise(-DOWN)
+        days = F.transform(s["days"], lambda x: F.when(ok, F.least(F.lit(30), x * 2)).otherwise(F.greatest(F.lit(1), F.floor(x / 2).cast("int"))))
+        return F.struct((s["shift"] + by).alias("shift"), within(s["low"] + by).alias("low"), within(s["high"] + by).alias("high"), days.alias("days"))
+
+    part = part.withColumn("f", F.aggregate("a", start, step))
+    right = F.size(F.filter("a", lambda ok: ok))
+    whole = part.groupBy("user_id", "concept").agg(F.array_sort(F.collect_list(F.struct("hour", "f"))).alias("h"), F.sum(F.size("a")).cast("int").alias("quiz_count"), F.sum(right).cast("int").alias("correct_count"), F.max("last").alias("last_reviewed"))
+    known = F.array(*map(F.lit, INTERVALS))
+    apply = lambda s, x: F.struct(F.least(x["f"]["high"], F.greatest(x["f"]["low"], s["m"] + x["f"]["shift"])).alias("m"), F.element_at(x["f"]["days"], F.array_position(known, s["days"]).cast("int")).alias("days"))
+    folded = whole.withColumn("r", F.aggregate("h", F.struct(F.lit(0).alias("m"), F.lit(1).alias("days")), apply))
+    return folded.select("user_id", "concept", F.round(F.col("r.m") / FULL, 6).alias("mastery"), F.col("r.days").alias("interval_days"), "quiz_count", "correct_count", "last_reviewed")
 
 
 def decay(m: Column, idle_days: Column, interval: Column) -> Column:
@@ -79,20 +98,61 @@ def profile_rollup(spark, d):
     return a.join(side(f"mastery < {WEAK}", "weak"), "user_id", "left").join(side(f"mastery >= {STRONG}", "strong"), "user_id", "left")
 
 
+#: Topics of lessons, in the order in which they are looked for, and what tells a learner's preferences.
+TOPICS = [
+    "TCP|UDP|IP|HTTP|HTTPS|DNS|DHCP|ARP|ICMP|FTP|SMTP|POP3|IMAP|BGP|OSPF|RIP",
+    "三次握手|四次挥手|拥塞控制|流量控制|滑动窗口|慢启动|快速重传|快速恢复",
+    "子网掩码|路由|交换机|防火墙|NAT|VLAN|以太网|无线网络|WiFi",
+    "OSI|TCP/IP|网络层|运输层|应用层|链路层|物理层|数据报|分组",
+    "第[一二三四五六七八九十0-9]+章",
+]
+CONCISE, DETAILED = "简洁|简单|简短|brief|concise|不用太详细", "详细|详尽|展开|细致|detailed|elaborate|深入"
+EXAM, EXAMPLES = "考点|考试|重点|要点|exam|key.?point|应试", "举例|例子|示例|example|举个"
+#: Behind the user turns at hand, which speak of no lesson, one of these.
+LESSONS = [" 请详细解释 TCP 的三次握手？", " 考试重点是第三章的拥塞控制吗?", "", " 简单说说 DNS，举个例子", " 不用太详细，深入讲路由和 NAT", " What is UDP?"]
+
+
+def lessons(spark, d) -> DataFrame:
+    tail = F.element_at(F.array(*map(F.lit, LESSONS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(LESSONS))) + 1).cast("int"))
+    return turns(spark, d).withColumn("text", F.when(F.col("role") == "user", F.concat("text", tail)).otherwise(F.col("text")))
+
+
+def extracted(t: DataFrame) -> DataFrame:
+    """Per conversation: topics (ten at most, each once whatever its case), preferences and which of them contradict each
+    other, the first three questions, and a summary."""
+    listed = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    c = t.groupBy("conv_id").agg(listed("user").alias("u"), listed("assistant").alias("a"))
+    every = F.array_join(F.concat("u", "a"), " ")
+    found = F.concat(*[F.regexp_extract_all(every, F.lit(("(?i)" if n == 0 else "") + p), F.lit(0)) for n, p in enumerate(TOPICS)])
+    lower = F.transform("found", F.lower)
+    once = F.filter("found", lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    asked = F.filter("u", lambda x: F.rtrim(F.regexp_replace(x, r"\s+$", "")).rlike("[？?]$") & (F.length(x) > 5))
+    has = lambda p: F.array_join("u", " ").rlike(f"(?i){p}")
+    out = c.select("conv_id", "u", found.alias("found"), has(CONCISE).alias("concise"), has(DETAILED).alias("detailed"), has(EXAM).alias("exam"), has(EXAMPLES).alias("examples"))
+    out = out.withColumn("topics", F.slice(once, 1, 10)).withColumn("questions", F.slice(F.transform(asked, lambda x: F.substring(F.regexp_replace(x, r"^\s+|\s+$", ""), 1, 100)), 1, 3))
+    # Preferences that contradict each other are none.
+    detail = F.when(F.col("concise") & F.col("detailed"), None).when(F.col("concise"), "concise").when(F.col("detailed"), "detailed")
+    style = F.when(F.col("exam") & F.col("examples"), None).when(F.col("exam"), "exam_focused").when(F.col("examples"), "example_heavy")
+    conflicts = (F.col("concise") & F.col("detailed")).cast("int") + (F.col("exam") & F.col("examples")).cast("int")
+    summary = F.when(F.size("topics") > 0, F.concat(F.lit("讨论了"), F.array_join(F.slice("topics", 1, 3), ", "))).otherwise("")
+    return out.select("conv_id", "topics", detail.alias("detail_level"), style.alias("style"), conflicts.alias("conflicts"), "questions", summary.alias("summary"))
+
+
 def extract_learning(spark, d):
-    """Per conversation: long words of users' turns as topics, the first three questions, and a summary."""
-    t = turns(spark, d).where("role = 'user'")
-    topics = t.select("conv_id", F.explode(F.filter(words(F.col("text")), lambda w: F.length(w) >= 9)).alias("w")).groupBy("conv_id").agg(joined(F.slice(F.array_sort(F.collect_set("w")), 1, 5)).alias("topics"))
-    first = t.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("q")))), 1, 3).alias("q"), F.count("*").alias("n_questions"))
-    return first.join(topics, "conv_id", "left").select("conv_id", "n_questions", F.array_join(F.transform("q", lambda x: x["q"]), "|").alias("questions"), "topics")
+    e = extracted(lessons(spark, d))
+    return e.select("conv_id", F.array_join("topics", ",").alias("topics"), "detail_level", "style", F.array_join("questions", "|").alias("questions"), "summary")
 
 
-def extraction_confidence(spark, d):
-    """Confidence of what was extracted, and whether it may be written: gates at .2 for sessions and .65 for profiles."""
-    e = extract_learning(spark, d)
-    topics = F.size(F.filter(F.split(F.coalesce("topics", F.lit("")), ","), lambda x: F.length(x) > 0))
-    conf = F.round(F.least(F.lit(1.0), 0.1 + 0.1 * topics + 0.05 * F.least(F.col("n_questions"), F.lit(4))), 4)
-    return e.select("conv_id", conf.alias("confidence"), (conf >= 0.2).alias("write_session"), (conf >= 0.65).alias("write_profile"))
+def extraction_confidence(spark, d, session: float = 0.2, profile: float = 0.65):
+    """How sure an extraction is by its signals, less a quarter for each contradiction, and whether it may be written to the
+    session and, as preferences, to the profile."""
+    e = extracted(lessons(spark, d))
+    fields = F.col("detail_level").isNotNull().cast("int") + F.col("style").isNotNull().cast("int")
+    most = lambda c, n: F.least(c, F.lit(n))
+    some = (F.size("topics") + F.size("questions") + fields) > 0
+    score = 0.15 + most(F.size("topics"), 3) * 0.18 + most(F.size("questions"), 2) * 0.10 + (F.size("topics") > 0).cast("int") * 0.12 + most(fields, 2) * 0.24 - F.col("conflicts") * 0.25
+    confidence = F.when(some, F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 3)).otherwise(0.0)
+    return e.select("conv_id", confidence.alias("confidence"), (some & (confidence >= session)).alias("write_session"), ((F.col("conflicts") == 0) & (fields > 0) & (confidence >= profile)).alias("write_profile"))
 
 
 def pacing(spark, d):
@@ -283,16 +343,43 @@ def merge_preferences(spark, d):
     return kv.groupBy("user_id", "key").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
+#: Number words, kinds of questions and how a request says how hard they shall be.
+NUMBER_WORDS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
+COUNT = "([0-9]+|[一二两三四五六七八九十])\\s*道"
+KINDS = [("选择题", "选择题"), ("填空题", "填空题"), ("简答题", "简答题"), ("SQL题", "sql题|sql 题")]
+HARDNESS = [(1, "难度\\s*1|简单|基础"), (2, "难度\\s*2"), (3, "难度\\s*3|中等"), (4, "难度\\s*4|困难"), (5, "难度\\s*5")]
+NO_TOPIC = [
+    "[，。！？；,!?;]+", "解释|讲解|说明|分析|详细解释|详细介绍|为什么|原理|是什么|区别|对比|比较", "复习|总结|梳理|回顾|考点|重点|复习摘要|复习重点|考试复习|期末复习",
+    "出题|做题|练习|习题|刷题|测验|生成.*?题|来.*?道题|出.*?道题|题目", "判分|评分|批改|评估答案|帮我判|检查答案|我的答案是|请帮我判", COUNT, "选择题|填空题|简答题|sql题|SQL题", "难度\\s*[1-5]|基础|中等|困难|简单",
+]
+
+
 def request_slots(spark, d):
-    """How many questions of what kind and difficulty a turn asks for, with defaults."""
-    n = F.regexp_extract("text", r"([0-9]+)", 1).try_cast("int")
-    return turns(spark, d).where("role = 'user'").select("conv_id", "turn", F.least(F.coalesce(n, F.lit(5)), F.lit(20)).alias("count"), F.when(F.col("text").rlike("选择|choice|the"), "choice").when(F.col("text").rlike("填空|blank"), "fill_blank").otherwise("mixed").alias("kind"), F.when(F.col("text").rlike("难|hard|ing"), 4).when(F.col("text").rlike("简单|easy"), 2).otherwise(3).alias("difficulty"))
+    """How many questions of what kind and difficulty a request asks for, and on what: what is left of it without these."""
+    said = F.regexp_extract("text", COUNT, 1)
+    number = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
+    kind = level = None
+    for name, p in KINDS:
+        kind = F.when(F.col("text").rlike(f"(?i){p}"), name) if kind is None else kind.when(F.col("text").rlike(f"(?i){p}"), name)
+    for n, p in HARDNESS:
+        level = F.when(F.col("text").rlike(p), n) if level is None else level.when(F.col("text").rlike(p), n)
+    topic = F.col("text")
+    for p in NO_TOPIC:
+        topic = F.regexp_replace(topic, p, " ")
+    topic = F.regexp_replace(F.regexp_replace(topic, r"\s+", " "), "^[ ，。！？；,!?;：:]+|[ ，。！？；,!?;：:]+$", "")
+    whole = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 120)
+    return requests(spark, d).select("conv_id", "turn", F.coalesce(said.try_cast("int"), F.element_at(number, said)).alias("count"), kind.alias("kind"), level.alias("difficulty"), F.when(F.length(topic) > 0, topic).otherwise(whole).alias("topic"))
 
 
 def flashcards(spark, d):
-    """The first five lines of an assistant turn as cards: front, back (the rest of the line), tag."""
+    """The first five lines of an assistant turn as cards of front, back and tags, written as tab-separated text and read
+    again."""
     line = turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.slice(F.filter(F.split("text", r"[.\n]"), lambda x: F.length(F.trim(x)) > 0), 1, 5)).alias("pos", "l"))
-    return line.select("conv_id", "turn", "pos", F.substring(F.trim("l"), 1, 20).alias("front"), F.trim("l").alias("back"), F.lit("review").alias("tags"))
+    back = F.regexp_replace(F.trim("l"), r"\s+", " ")
+    cards = line.select("conv_id", "turn", "pos", F.substring(back, 1, 20).alias("front"), back.alias("back"), F.lit("review").alias("tags"))
+    path = new_path(spark, "cards")
+    cards.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return spark.read.schema(cards.schema).option("sep", "\t").option("header", True).csv(path)
 
 
 QUERIES = {
@@ -336,11 +423,26 @@ n0 AS (SELECT user_id, concept, a, last_reviewed, list_reduce(list_prepend({{'m'
   lambda s, x: {{'m': round(CASE WHEN x.m > 0 THEN least(1.0, s.m + 0.1) ELSE greatest(0.0, s.m - 0.15) END, 6)::DOUBLE, 'days': (CASE WHEN x.m > 0 THEN least(30, s.days * 2) ELSE greatest(1, s.days // 2) END)::INT}}) AS f FROM o),
 n1 AS (SELECT user_id, concept, f.m AS mastery, f.days AS interval_days, len(a)::INT AS quiz_count, len(list_filter(a, lambda c: c))::INT AS correct_count, (epoch(date_trunc('second', (SELECT max(ts) FROM answers))) - epoch(date_trunc('second', last_reviewed)))::BIGINT AS idle_seconds, round((epoch(date_trunc('second', (SELECT max(ts) FROM answers))) - epoch(date_trunc('second', last_reviewed))) / 86400, 6) AS idle_days FROM n0),
 nodes AS (SELECT *, CASE WHEN idle_days < 0.5 OR abs(mastery - round(mastery * exp(-idle_days / (2 * interval_days)), 3)) <= 0.01 THEN mastery ELSE round(mastery * exp(-idle_days / (2 * interval_days)), 3) END AS decayed FROM n1)"""
-_EXT = """t AS (SELECT * FROM conversations WHERE role = 'user'), tp AS (SELECT conv_id, list_sort(list(DISTINCT w))[1:5] AS topics FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM t) WHERE length(w) >= 9 GROUP BY 1),
-ex AS (SELECT q.conv_id, n_questions, questions, topics FROM (SELECT conv_id, count(*) AS n_questions, array_to_string(list(substr(text, 1, 30) ORDER BY turn)[1:3], '|') AS questions FROM t GROUP BY 1) q LEFT JOIN tp ON tp.conv_id = q.conv_id)"""
+_HAS = lambda p, name: f"regexp_matches(array_to_string(u, ' '), '(?i){p}') AS {name}"
+_EXT = f"""t AS (SELECT conv_id, turn, role, text || CASE WHEN role = 'user' THEN CASE (conv_id + turn) % {len(LESSONS)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LESSONS))} END ELSE '' END AS text FROM conversations),
+c AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'user'), []) AS u, coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS a FROM t GROUP BY conv_id),
+f AS (SELECT *, array_to_string(list_concat(u, a), ' ') AS every FROM c),
+x AS (SELECT conv_id, {' || '.join(f"regexp_extract_all(every, '{'(?i)' if n == 0 else ''}{p}')" for n, p in enumerate(TOPICS))} AS found FROM f),
+o AS (SELECT conv_id, unnest(found) AS w, generate_subscripts(found, 1) AS i FROM x),
+tp AS (SELECT conv_id, list(w ORDER BY i)[1:10] AS topics FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY conv_id, lower(w) ORDER BY i) = 1) GROUP BY conv_id),
+q AS (SELECT conv_id, list_transform(list_filter(u, lambda z: regexp_matches(z, '[？?]\\s*$') AND length(z) > 5), lambda z: substr(regexp_replace(z, '^\\s+|\\s+$', '', 'g'), 1, 100))[1:3] AS questions, {_HAS(CONCISE, 'concise')}, {_HAS(DETAILED, 'detailed')}, {_HAS(EXAM, 'exam')}, {_HAS(EXAMPLES, 'examples')} FROM f),
+ex AS (SELECT q.conv_id, coalesce(topics, []) AS topics, questions, CASE WHEN concise AND detailed THEN NULL WHEN concise THEN 'concise' WHEN detailed THEN 'detailed' END AS detail_level, CASE WHEN exam AND examples THEN NULL WHEN exam THEN 'exam_focused' WHEN examples THEN 'example_heavy' END AS style, (concise AND detailed)::INT + (exam AND examples)::INT AS conflicts FROM q LEFT JOIN tp ON tp.conv_id = q.conv_id),
+ef AS (SELECT *, (detail_level IS NOT NULL)::INT + (style IS NOT NULL)::INT AS fields FROM ex)"""
 _ONT = "ont AS (SELECT a.n_name AS concept, CASE WHEN b.n_nationkey < a.n_nationkey THEN 'prerequisite' ELSE 'subtopic' END AS relation, b.n_name AS target, b.n_nationkey AS pos FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name), nm AS (SELECT n_name AS target, round(avg(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END), 6) AS mastery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), onm AS (SELECT ont.*, mastery FROM ont LEFT JOIN nm ON nm.target = ont.target)"
 _QUIZ = "qz AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS no, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS question, trim(regexp_replace(coalesce(nx, 'none'), '\\s+', ' ', 'g'), ' ') AS answer FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE role = 'user'), gr AS (SELECT conv_id, no, CASE WHEN no % 4 = 0 THEN 0 WHEN no % 2 = 0 OR lower(question) = lower(answer) THEN 100 ELSE 60 END AS score FROM qz)"
 _SQ = f"{bm25_sql()}, h AS (SELECT *, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS bank FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30), hb AS (SELECT *, sum(bank) OVER (PARTITION BY query_id) AS n_bank FROM h), sq AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS pos, doc_id, CASE WHEN n_bank >= 3 THEN 'bank' ELSE 'general' END AS kind FROM hb WHERE n_bank < 3 OR bank = 1 QUALIFY pos <= 6)"
+def _topic_sql() -> str:
+    t = "text"
+    for p in NO_TOPIC:
+        t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({t}, '\\s+', ' ', 'g'), '^[ ，。！？；,!?;：:]+|[ ，。！？；,!?;：:]+$', '', 'g')"
+
+
 _FB = "fb AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'up' ELSE 'down' END AS rating, ts FROM events WHERE event_type IN ('click', 'error'))"
 ORACLE = {
     "mastery_update": f"WITH {_FOLD} SELECT user_id, concept, mastery, interval_days, quiz_count, correct_count FROM nodes",
@@ -351,8 +453,9 @@ ORACLE = {
     "mark_mastered": f"WITH {ANSWERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, concept ORDER BY ts, event_id) AS k FROM answers) SELECT user_id, concept, coalesce(max(CASE WHEN correct THEN k END) > max(CASE WHEN NOT correct THEN k END), false) AS mastered FROM r GROUP BY ALL HAVING count_if(NOT correct) > 0",
     "weak_concepts": f"WITH {ANSWERS_SQL}, w AS (SELECT * FROM answers WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200), c AS (SELECT user_id, concept, count(*) AS errors FROM w GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY errors DESC, concept) AS rank FROM c QUALIFY rank <= 20",
     "profile_rollup": f"WITH {_FOLD}, a AS (SELECT user_id, count(*) AS total, round(avg(correct::INT), 6) AS accuracy, max(event_id) AS last_event FROM answers GROUP BY 1) SELECT a.*, weak, strong FROM a LEFT JOIN (SELECT user_id, array_to_string(list_sort(list(concept))[1:15], ',') AS weak FROM nodes WHERE mastery < 0.5 GROUP BY 1) w ON w.user_id = a.user_id LEFT JOIN (SELECT user_id, array_to_string(list_sort(list(concept))[1:15], ',') AS strong FROM nodes WHERE mastery >= 0.8 GROUP BY 1) s ON s.user_id = a.user_id",
-    "extract_learning": f"WITH {_EXT} SELECT conv_id, n_questions, questions, array_to_string(topics, ',') AS topics FROM ex",
-    "extraction_confidence": f"WITH {_EXT}, c AS (SELECT conv_id, round(least(1.0::DOUBLE, 0.1::DOUBLE + 0.1::DOUBLE * coalesce(len(topics), 0) + 0.05::DOUBLE * least(n_questions, 4)), 4) AS confidence FROM ex) SELECT *, confidence >= 0.2 AS write_session, confidence >= 0.65 AS write_profile FROM c",
+    "extract_learning": f"WITH {_EXT} SELECT conv_id, array_to_string(topics, ',') AS topics, detail_level, style, array_to_string(questions, '|') AS questions, CASE WHEN len(topics) > 0 THEN '讨论了' || array_to_string(topics[1:3], ', ') ELSE '' END AS summary FROM ex",
+    "extraction_confidence": f"""WITH {_EXT}, k AS (SELECT conv_id, conflicts, fields, len(topics) + len(questions) + fields > 0 AS told, CASE WHEN len(topics) + len(questions) + fields > 0 THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.15::DOUBLE + least(len(topics), 3) * 0.18::DOUBLE + least(len(questions), 2) * 0.10::DOUBLE + (len(topics) > 0)::INT * 0.12::DOUBLE + fields * 0.24::DOUBLE - conflicts * 0.25::DOUBLE)), 3) ELSE 0 END AS confidence FROM ef)
+SELECT conv_id, confidence, told AND confidence >= 0.2 AS write_session, conflicts = 0 AND fields > 0 AND confidence >= 0.65 AS write_profile FROM k""",
     "pacing": f"WITH {ANSWERS_SQL}, l AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 2) SELECT user_id, CASE WHEN count(*) < 2 THEN 'steady' WHEN bool_and(correct) THEN 'faster' WHEN NOT bool_or(correct) THEN 'slower' ELSE 'steady' END AS pace FROM l GROUP BY 1",
     "turn_pacing": "SELECT conv_id, round(avg(CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 5 THEN 1 ELSE 0 END), 6) AS short_share, bool_or(regexp_matches(text, '(?i)why|how|explain|详细|为什么')) AS wants_depth FROM conversations WHERE role = 'user' GROUP BY 1",
     "review_recommendation": f"WITH {_FOLD}, i AS (SELECT user_id, min(idle_days) AS idle FROM nodes GROUP BY 1), f AS (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY decayed, concept) AS n FROM nodes WHERE decayed < 0.45) SELECT i.user_id, string_agg(concept, ',' ORDER BY n) AS concepts FROM i JOIN f ON f.user_id = i.user_id WHERE idle * 24 >= 1 AND n <= 5 GROUP BY 1",
@@ -374,6 +477,8 @@ ORACLE = {
     "memory_summary": f"WITH {_FOLD} SELECT u.user_id, weak, due, errors FROM (SELECT DISTINCT user_id FROM answers) u LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY concept) AS weak FROM nodes WHERE mastery < 0.5 GROUP BY 1) w ON w.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY concept) AS due FROM nodes WHERE idle_days >= interval_days GROUP BY 1) d ON d.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept || 'x' || c::VARCHAR, ',' ORDER BY concept) AS errors FROM (SELECT user_id, concept, count(*) AS c FROM answers WHERE NOT correct GROUP BY ALL) GROUP BY 1) e ON e.user_id = u.user_id",
     "tool_chains": "SELECT conv_id, substr(min_by(text, CASE WHEN role = 'user' THEN turn ELSE turn + 1000 END), 1, 200) AS question, coalesce(string_agg(CASE length(text) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'quiz' ELSE 'review' END, ',' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS tools FROM conversations GROUP BY 1",
     "merge_preferences": "WITH kv AS (SELECT user_id, ts, event_id, unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT user_id, ts, event_id, key, json_extract_string(props, '$.' || key) AS value FROM kv) SELECT user_id, key, value FROM v WHERE value IS NOT NULL AND value <> '' QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC, event_id DESC) = 1",
-    "request_slots": "SELECT conv_id, turn, least(coalesce(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS INT), 5), 20)::INT AS count, CASE WHEN regexp_matches(text, '选择|choice|the') THEN 'choice' WHEN regexp_matches(text, '填空|blank') THEN 'fill_blank' ELSE 'mixed' END AS kind, CASE WHEN regexp_matches(text, '难|hard|ing') THEN 4 WHEN regexp_matches(text, '简单|easy') THEN 2 ELSE 3 END AS difficulty FROM conversations WHERE role = 'user'",
-    "flashcard_export": "WITH l AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[.\\n]'), lambda x: length(trim(x, ' ')) > 0)[1:5] AS p FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, (generate_subscripts(p, 1) - 1)::INT AS pos, substr(trim(unnest(p), ' '), 1, 20) AS front, trim(unnest(p), ' ') AS back, 'review' AS tags FROM l",
+    "request_slots": f"""WITH {_REQ}, r AS (SELECT *, regexp_extract(text, '{COUNT}', 1) AS said, {_topic_sql()} AS topic FROM req)
+SELECT conv_id, turn, coalesce(TRY_CAST(nullif(said, '') AS INT), CASE said {' '.join(f"WHEN '{k}' THEN {v}" for k, v in NUMBER_WORDS.items())} END)::INT AS count, CASE {' '.join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, p in KINDS)} END AS kind,
+ CASE {' '.join(f"WHEN regexp_matches(text, '{p}') THEN {n}" for n, p in HARDNESS)} END AS difficulty, CASE WHEN length(topic) > 0 THEN topic ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 120) END AS topic FROM r""",
+    "flashcard_export": "WITH l AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[.\\n]'), lambda x: length(trim(x, ' ')) > 0)[1:5] AS p FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, (generate_subscripts(p, 1) - 1)::INT AS pos, substr(regexp_replace(trim(unnest(p), ' '), '\\s+', ' ', 'g'), 1, 20) AS front, regexp_replace(trim(unnest(p), ' '), '\\s+', ' ', 'g') AS back, 'review' AS tags FROM l",
 }

@@ -3,11 +3,15 @@ new one; writing over the old partition is left to the caller."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryloom.operators import bm25
 from quarryloom.operators.chunking import IMAGES_SQL, image_marks, images, split_window
+from quarryloom.operators.retrieval import TERMS_SQL
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 from quarryloom.streaming.runs import folder
 
@@ -75,10 +79,21 @@ def _lookup(spark, d):
     return get_by_ids(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), wanted).select("pos", "id", F.coalesce("source", F.lit("")).alias("source"))
 
 
+def delete_documents(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table without the rows of the documents `ids` (doc_id)."""
+    gone = ids.select("doc_id").distinct()
+    return {name: rows.join(gone, "doc_id", "left_anti") for name, rows in tables.items()}
+
+
 def _deleted(spark, d):
-    gone = chunks(spark, d).where("source = 'src2' AND lang = 'en'").select("doc_id")
-    left = split_window(table(spark, d, "documents")).join(gone, "doc_id", "left_anti")
-    return left.groupBy("doc_id").agg(F.count("*").alias("pieces"))
+    """Rows that the deletion of all English documents of a source leaves in each table that knows of them: chunks, postings,
+    images and the manifest."""
+    docs = table(spark, d, "documents")
+    pics = image_marks(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[IMAGE: ([^\]]+)\]"), F.lit(1))).alias("image_id"))
+    tables = {"chunks": split_window(docs), "postings": bm25.forward(docs).select("doc_id", F.explode("terms").alias("term")), "images": pics, "manifest": _latest_manifest(spark, d)}
+    left = delete_documents(docs.where("source = 'src2' AND lang = 'en'"), tables)
+    counts = [rows.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "doc_id", "n") for name, rows in left.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def list_documents(spark, d):
@@ -157,7 +172,9 @@ ORACLE = {
     "chunk_upsert": "SELECT doc_id AS id, length(text) AS size, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS run FROM documents WHERE doc_id % 3 = 0 OR lang IN ('en', 'fr')",
     "get_by_ids": "SELECT w.id * 7 % 1009 AS pos, w.id, coalesce(source, '') AS source FROM (SELECT DISTINCT doc_id * 2 AS id FROM labels) w LEFT JOIN documents d ON d.doc_id = w.id",
     "list_by_metadata": f"WITH {CHUNKS_SQL} SELECT doc_id, source FROM chunks WHERE source_type = 'slide' AND lang = 'fr'",
-    "delete_document": f"WITH {_P} SELECT doc_id, count(*) AS pieces FROM pieces WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src2' AND lang = 'en') GROUP BY 1",
+    "delete_document": f"""WITH {_F}, {_P}, {IMAGES_SQL}, gone AS (SELECT doc_id FROM documents WHERE source = 'src2' AND lang = 'en'),
+x AS (SELECT 'chunks' AS "table", doc_id FROM pieces UNION ALL SELECT 'postings', doc_id FROM (SELECT DISTINCT doc_id, unnest({TERMS_SQL}) FROM documents) UNION ALL SELECT 'images', doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[IMAGE: ([^\\]]+)\\]', 1)) FROM marked) UNION ALL SELECT 'manifest', doc_id FROM man)
+SELECT "table", doc_id, count(*) AS n FROM x WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY ALL""",
     "list_documents": f"WITH {CHUNKS_SQL}, {_P}, {IMAGES_SQL} SELECT c.doc_id, source_path, n_chunks, len(regexp_extract_all(m.text, '\\[IMAGE: [^\\]]+\\]'))::INT AS n_images FROM chunks c JOIN (SELECT doc_id, count(*) AS n_chunks FROM pieces GROUP BY 1) p ON p.doc_id = c.doc_id JOIN marked m ON m.doc_id = c.doc_id",
     "document_detail": f"WITH {_P} SELECT doc_id, string_agg(piece::VARCHAR, ',' ORDER BY piece) AS pieces FROM pieces GROUP BY 1",
     "collection_stats": f"WITH {_P} SELECT lang AS collection, count(*) AS chunks, count(DISTINCT p.doc_id) AS documents FROM pieces p JOIN documents d ON d.doc_id = p.doc_id GROUP BY 1",

@@ -41,11 +41,14 @@ def tool_chain(spark, d):
     return s.select("trace_id", F.array_join("a", ">").alias("chain"), F.array_join(F.array_distinct("a"), ">").alias("distinct_chain"))
 
 
-def linked_traces(spark, d):
-    """Other traces of the same kind in the same hour, at most five."""
+def linked_traces(spark, d, most: int = 5):
+    """Other traces of the same kind in the same hour, at most five: those among the first six of the hour, which are found
+    in parts of each hour first."""
     t = stages(spark, d).select("trace_id", "type", F.substring_index("trace_id", "_", -1).alias("hour")).distinct()
-    listed = t.groupBy("type", "hour").agg(F.array_sort(F.collect_set("trace_id")).alias("all"))
-    return t.join(listed, ["type", "hour"]).select("trace_id", F.array_join(F.slice(F.array_remove("all", F.col("trace_id")), 1, 5), ",").alias("linked"))
+    firsts = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("type", "hour", *by).orderBy("trace_id"))).where(F.col("n") <= most + 1).drop("n")
+    few = firsts(firsts(t.withColumn("part", F.pmod(F.xxhash64("trace_id"), F.lit(32))), "part"))
+    listed = few.groupBy("type", "hour").agg(F.array_sort(F.collect_list("trace_id")).alias("all"))
+    return t.join(listed, ["type", "hour"]).select("trace_id", F.array_join(F.slice(F.array_remove("all", F.col("trace_id")), 1, most), ",").alias("linked"))
 
 
 def memory_quality(spark, d):

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; only where none is set, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from quarryloom.sources.shared import new_path as folder
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,8 +18,8 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
 
 
 def drained(stream: DataFrame, name: str, mode: str, write=None) -> DataFrame:
-    """Runs the stream until its source is drained. In complete mode the last batch is the result, else all batches are.
-    `write(batch, batch_id, path)` may replace the plain write; a batch that is run again overwrites itself."""
+    """Runs the stream until its source is drained; its batches are the result. `write(batch, batch_id, path)` may replace
+    the plain write; a batch that is run again overwrites itself."""
     spark = stream.sparkSession
     path, schema = folder(spark, name), stream.schema
     last = []
@@ -39,5 +32,4 @@ def drained(stream: DataFrame, name: str, mode: str, write=None) -> DataFrame:
     query.awaitTermination()
     if not last:
         return spark.createDataFrame([], schema)
-    batches = [max(last)] if mode == "complete" else sorted(set(last))
-    return spark.read.parquet(*[f"{path}/{n}" for n in batches]) if write is None else spark.read.parquet(path)
+    return spark.read.parquet(*[f"{path}/{n}" for n in sorted(set(last))]) if write is None else spark.read.option("mergeSchema", True).parquet(path)

@@ -1,5 +1,6 @@
-"""Streaming jobs: counts, sessions, audits, running mastery, limits, breakers, expiring caches and ingestion. Window times are
-checked against batch SQL; state is one small row per key."""
+"""Streaming jobs: counts, sessions, audits, running mastery, limits, breakers, expiring caches and ingestion. Windows are
+given out once the watermark has passed them, and their state is freed then; other state is one small row per key, which a
+timer frees where it may expire."""
 
 from __future__ import annotations
 
@@ -8,8 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quarryloom.operators import bm25
+from quarryloom.operators.chunking import split_window
 from quarryloom.operators.evidence import HIGH_RISK, INJECTIONS, MEDIUM_RISK, SECRETS, filter_injection, redact, risk
 from quarryloom.operators.learner import GAIN, LOSS, ORACLE as LEARNER_SQL
+from quarryloom.operators.retrieval import TERMS_SQL
+from quarryloom.sources.shared import exists, new_path
 from quarryloom.streaming.runs import drained, source
 
 RATE, BURST = 20 / 60, 20
@@ -26,16 +31,16 @@ def counters(stream: DataFrame, size: str, slide: str | None = None) -> DataFram
 
 
 def stream_counters(spark, d):
-    return drained(counters(events(spark, d), "1 hour"), "counters", "complete").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
+    return drained(counters(events(spark, d), "1 hour"), "counters", "append").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
 
 
 def stream_sliding(spark, d):
-    return drained(counters(events(spark, d), "1 hour", "30 minutes"), "sliding", "complete").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
+    return drained(counters(events(spark, d), "1 hour", "30 minutes"), "sliding", "append").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
 
 
 def stream_sessions(spark, d):
     s = events(spark, d).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n_events"))
-    return drained(s, "sessions", "complete").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events")
+    return drained(s, "sessions", "append").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events")
 
 
 def stream_audit(spark, d):
@@ -117,7 +122,10 @@ def stream_breaker(spark, d):
 
 
 def cache_state(key, pdfs, state):
-    """A use is a hit if the entry was stored at most an hour ago; else it is stored anew."""
+    """A use is a hit if the entry was stored at most an hour ago; else it is stored anew. An entry that has expired goes."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     (stored,) = state.get if state.exists else (-1.0,)
     pdf = _in_order(pdfs, ["at", "event_id"])
     hits = []
@@ -126,29 +134,41 @@ def cache_state(key, pdfs, state):
         stored = stored if hit else at
         hits.append(hit)
     state.update((stored,))
+    # A timer cannot be set before the watermark, where the entry has expired for all that may still come.
+    state.setTimeoutTimestamp(int(max((stored + TTL_SECONDS) * 1000, state.getCurrentWatermarkMs()) + 1))
     yield pd.DataFrame({"event_id": pdf.event_id.to_numpy(), "hit": hits})
 
 
 def stream_cache_ttl(spark, d):
-    a = events(spark, d).select("event_id", F.floor("value").alias("entry"), F.unix_timestamp("ts").cast("double").alias("at"))
-    s = a.groupBy("entry").applyInPandasWithState(cache_state, "event_id long, hit boolean", "stored double", "append", GroupStateTimeout.NoTimeout)
+    a = events(spark, d).withWatermark("ts", "1 hour").select("ts", "event_id", F.floor("value").alias("entry"), F.unix_timestamp("ts").cast("double").alias("at"))
+    s = a.groupBy("entry").applyInPandasWithState(cache_state, "event_id long, hit boolean", "stored double", "append", GroupStateTimeout.EventTimeTimeout)
     return drained(s, "cache", "append")
 
 
 def stream_ingest(spark, d):
-    """New files once each: every batch keeps one document of each hash and language that no earlier batch has stored."""
-    s = source(spark, d, "documents", 2).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "lang")
-    done = []
+    """New files once each: every batch keeps one document of each hash and language that no earlier batch has stored, with
+    its chunks, and adds it to a stored index. What was stored before is read from the tables, so a restart repeats nothing;
+    a batch that is run again overwrites its own chunks and replaces its own documents in the index."""
+    s = source(spark, d, "documents", 2).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "lang")
+    index = new_path(spark, "stream-index")
 
     def write(batch, n, path):
-        new = batch.groupBy("file_hash", "lang").agg(F.min("doc_id").alias("doc_id"))
-        before = [f"{path}/batch={i}" for i in done if i < n]
-        if before:
-            new = new.join(batch.sparkSession.read.parquet(*before).select("file_hash", "lang"), ["file_hash", "lang"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={n}")
-        done.append(n)
-
-    return drained(s, "ingest", "append", write).groupBy("lang").agg(F.count("*").alias("documents"), F.countDistinct("file_hash").alias("hashes"))
+        spark = batch.sparkSession
+        new = batch.groupBy("file_hash", "lang").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("file_hash", "lang", "r.*")
+        if exists(spark, f"{path}/table=files"):
+            before = spark.read.parquet(f"{path}/table=files").where(F.col("batch") < n).select("file_hash", "lang")
+            new = new.join(before, ["file_hash", "lang"], "left_anti")
+        new.select("file_hash", "lang", "doc_id").write.mode("overwrite").parquet(f"{path}/table=files/batch={n}")
+        new = spark.read.parquet(f"{path}/table=files/batch={n}").join(batch.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
+        split_window(new).select("doc_id", "piece", "text").write.mode("overwrite").parquet(f"{path}/table=chunks/batch={n}")
+        (bm25.add if exists(spark, f"{index}/documents") else bm25.create)(new.select("doc_id", "text"), index)
+
+    out = drained(s, "ingest", "append", write)
+    files = out.where("table = 'files'").groupBy("lang").agg(F.count("*").alias("documents"), F.countDistinct("file_hash").alias("hashes"))
+    of = out.where("table = 'files'").select("doc_id", "lang")
+    pieces = out.where("table = 'chunks'").select("doc_id").join(of, "doc_id").groupBy("lang").agg(F.count("*").alias("chunks"))
+    posted = bm25.load(spark, index).join(of, "doc_id").groupBy("lang").agg(F.sum(F.size("terms")).alias("postings"))
+    return files.join(pieces, "lang").join(posted, "lang")
 
 
 QUERIES = {
@@ -169,10 +189,11 @@ _RED = f"substr({_RED}, 1, 2000)"
 for _p in INJECTIONS:
     _RED = f"regexp_replace({_RED}, '{_p}', '[FILTERED]', 'gi')"
 ORACLE = {
-    "stream_ingest": "SELECT lang, count(DISTINCT sha256(text)) AS documents, count(DISTINCT sha256(text)) AS hashes FROM documents GROUP BY 1",
-    "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, k",
-    "stream_counters": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "stream_sliding_counters": "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, value FROM events, (VALUES (0), (1)) v(k)) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY w.start, event_type",
+    "stream_ingest": f"""WITH f AS (SELECT sha256(text) AS file_hash, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL), t AS (SELECT f.lang, f.doc_id, text, file_hash FROM f JOIN documents d ON d.doc_id = f.doc_id)
+SELECT lang, count(*) AS documents, count(DISTINCT file_hash) AS hashes, sum(len(generate_series(0, greatest(length(text) - 1, 0), 800)))::BIGINT AS chunks, sum(len(list_distinct({TERMS_SQL})))::BIGINT AS postings FROM t GROUP BY lang""",
+    "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "stream_counters": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
+    "stream_sliding_counters": "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, value FROM events, (VALUES (0), (1)) v(k)) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY w.start, event_type",
     "stream_mastery": LEARNER_SQL["mastery_update"],
     "stream_audit": f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i){'|'.join(HIGH_RISK)}') THEN 'high' WHEN regexp_matches(text, '(?i){MEDIUM_RISK}') THEN 'medium' ELSE 'low' END AS risk, md5({_RED}) AS digest FROM conversations",
 }

@@ -245,3 +245,72 @@ def test_bucket_and_breaker_and_cache():
 
 def test_zero_vectors_have_no_angle(spark):
     assert one(spark, cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+
+
+def test_near_pairs_against_all_pairs(spark):
+    random.seed(6)
+    base = [random.getrandbits(64) for _ in range(12)]
+    prints = [(i, v) for i, v in enumerate(base)]
+    for k in range(60):
+        v = random.choice(base)
+        for b in random.sample(range(64), random.randint(0, 5)):
+            v ^= 1 << b
+        prints.append((100 + k, v))
+    df = spark.createDataFrame([(i, v >> 32, v & 0xFFFFFFFF) for i, v in prints], "doc_id long, hi long, lo long")
+    first = {}
+    for i, v in prints:
+        first[v] = min(i, first.get(v, i))
+    kinds = sorted((i, v) for v, i in first.items())
+    want = {(i, j, (v ^ w).bit_count()) for i, v in kinds for j, w in kinds if i < j and (v ^ w).bit_count() <= 3}
+    assert {tuple(r) for r in fingerprints.near_pairs(df).collect()} == want and want
+
+
+def test_cache_hits_against_a_plain_walk(spark, sf_dir):
+    e = pd.read_parquet(f"{sf_dir}/events.parquet")
+    e["at"] = e.ts.astype("datetime64[s]").astype("int64")
+    stored, want = {}, {}
+    for r in e.sort_values(["at", "event_id"]).itertuples():
+        k = math.floor(r.value)
+        hit = k in stored and r.at - stored[k] <= streams.TTL_SECONDS
+        if not hit:
+            stored[k] = r.at
+        want[r.event_id] = hit
+    got = {r.event_id: r.hit for r in streams.QUERIES["stream_cache_ttl"](spark, sf_dir).collect()}
+    assert got == want and any(want.values())
+
+
+def test_mastery_in_hours_equals_one_fold(spark):
+    """Hours folded on their own give what one walk over all answers gives, whatever hour they fall in."""
+    import datetime
+
+    random.seed(9)
+    rows = []
+    for user in range(20):
+        for k in range(random.randint(1, 60)):
+            rows.append((len(rows), user, "c", random.random() < random.choice([0.2, 0.5, 0.9]), datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=random.randint(0, 400))))
+    got = {r.user_id: r for r in learner.mastery(spark.createDataFrame(rows, "event_id long, user_id long, concept string, correct boolean, ts timestamp")).collect()}
+    for user in range(20):
+        m, days = 0.0, 1
+        own = sorted((r for r in rows if r[1] == user), key=lambda r: (r[4], r[0]))
+        for r in own:
+            m = round(min(1.0, m + 0.1) if r[3] else max(0.0, m - 0.15), 6)
+            days = min(30, days * 2) if r[3] else max(1, days // 2)
+        assert (got[user].mastery, got[user].interval_days, got[user].quiz_count) == (m, days, len(own))
+
+
+def test_aligned_answers_against_a_plain_version(spark, sf_dir):
+    import difflib
+
+    asked = learner.parse_quiz(learner.quiz_texts(spark, sf_dir)).toPandas()
+    got = {(r.conv_id, r.no): r.aligned for r in learner.QUERIES["align_answers"](spark, sf_dir).collect()}
+    for conv, q in asked.sort_values("no").groupby("conv_id"):
+        text = dict(zip(q.no, q.question, strict=True))
+        taken = {n for n in text if n % 3}
+        for n in sorted(text):
+            want = n if n % 3 else 0
+            if not want:
+                near = [(round(difflib.SequenceMatcher(None, text[n], t).ratio(), 6), -m) for m, t in text.items() if m not in taken]
+                if near and max(near)[0] >= 0.45:
+                    want = -max(near)[1]
+                    taken.add(want)
+            assert got[conv, n] == want
