@@ -18,6 +18,8 @@ from quarryloom.sources.shared import exists, new_path
 from quarryloom.streaming.runs import drained, source
 
 RATE, BURST = 20 / 60, 20
+#: The users at hand call about once a day, so their limit is met at two calls in two days.
+RATE_HERE, BURST_HERE = 1 / 86400, 2
 FAILURES, OPEN_SECONDS, TTL_SECONDS = 5, 30, 3600
 
 
@@ -73,25 +75,32 @@ def stream_mastery(spark, d):
     return rows.groupBy("user_id", "concept").agg(F.max_by(F.struct("mastery", "interval_days", "quiz_count", "correct_count"), "quiz_count").alias("r")).select("user_id", "concept", "r.*")
 
 
-def bucket_state(key, pdfs, state):
-    """Token bucket: 20 at most, refilled at 20 a minute."""
-    tokens, last = state.get if state.exists else (float(BURST), -1.0)
-    pdf = _in_order(pdfs, ["at", "event_id"])
-    allowed = []
-    for at in pdf["at"]:
-        tokens = min(float(BURST), tokens + (at - last) * RATE) if last >= 0 else tokens
-        last = at
-        ok = tokens >= 1
-        tokens -= ok
-        allowed.append(bool(ok))
-    state.update((tokens, last))
-    yield pd.DataFrame({"event_id": pdf.event_id.to_numpy(), "user_id": key[0], "allowed": allowed})
-
-
-def stream_rate_limit(spark, d):
-    """All events of a kind as requests of one caller, so that the limit is met."""
-    a = events(spark, d).select("event_id", F.pmod("user_id", F.lit(3)).alias("user_id"), F.unix_timestamp("ts").cast("double").alias("at"))
-    s = a.groupBy("user_id").applyInPandasWithState(bucket_state, "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+def limiter(rate: float, burst: float):
+    """A token bucket of `burst`, refilled by `rate` a second. A bucket that is full again is like a new one and goes."""
+
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, last = state.get if state.exists else (float(burst), -1.0)
+        pdf = _in_order(pdfs, ["at", "event_id"])
+        allowed = []
+        for at in pdf["at"]:
+            tokens = min(float(burst), tokens + (at - last) * rate) if last >= 0 else tokens
+            last = at
+            ok = tokens >= 1
+            tokens -= ok
+            allowed.append(bool(ok))
+        state.update((tokens, last))
+        state.setTimeoutTimestamp(int(max((last + (burst - tokens) / rate) * 1000, state.getCurrentWatermarkMs()) + 1))
+        yield pd.DataFrame({"event_id": pdf.event_id.to_numpy(), "user_id": key[0], "allowed": allowed})
+
+    return run
+
+
+def stream_rate_limit(spark, d, rate: float = RATE, burst: float = BURST):
+    a = events(spark, d).withWatermark("ts", "1 hour").select("ts", "event_id", "user_id", F.unix_timestamp("ts").cast("double").alias("at"))
+    s = a.groupBy("user_id").applyInPandasWithState(limiter(rate, burst), "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
     return drained(s, "limit", "append")
 
 
@@ -111,7 +120,10 @@ def breaker_state(key, pdfs, state):
             name, since = "open", at
         elif not bad:
             name = "closed"
-    state.update((name, failures, since))
+    if (name, failures) == ("closed", 0):
+        state.remove()  # as if there had been no call
+    else:
+        state.update((name, failures, since))
     yield pd.DataFrame({"event_id": pdf.event_id.to_numpy(), "state": out})
 
 
@@ -176,7 +188,7 @@ QUERIES = {
     "stream_sessions": stream_sessions,
     "stream_counters": stream_counters,
     "stream_sliding_counters": stream_sliding,
-    "stream_rate_limit": stream_rate_limit,
+    "stream_rate_limit": lambda s, d: stream_rate_limit(s, d, RATE_HERE, BURST_HERE),
     "stream_breaker": stream_breaker,
     "stream_mastery": stream_mastery,
     "stream_cache_ttl": stream_cache_ttl,

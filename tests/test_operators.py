@@ -217,9 +217,20 @@ def test_upsert_twice_is_once(spark):
 
 
 class State:
+    hasTimedOut = False
+
     def __init__(self):
         self.value = None
 
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, at):
+        self.until = at
+
+    def remove(self):
+        self.value = None
+
     @property
     def exists(self):
         return self.value is not None
@@ -235,9 +246,9 @@ class State:
 def test_bucket_and_breaker_and_cache():
     frame = lambda at, **c: pd.DataFrame({"event_id": range(len(at)), "at": at, **c})
     state = State()
-    got = next(streams.bucket_state((1,), [frame([0.0] * 22)], state)).allowed.tolist()
+    got = next(streams.limiter(streams.RATE, streams.BURST)((1,), [frame([0.0] * 22)], state)).allowed.tolist()
     assert got == [True] * 20 + [False] * 2
-    assert next(streams.bucket_state((1,), [frame([3.0, 3.0])], state)).allowed.tolist() == [True, False]
+    assert next(streams.limiter(streams.RATE, streams.BURST)((1,), [frame([3.0, 3.0])], state)).allowed.tolist() == [True, False]
     got = next(streams.breaker_state((1,), [frame([0.0, 1, 2, 3, 4, 5, 40, 41], bad=[True] * 5 + [False, True, False])], State())).state.tolist()
     assert got == ["closed"] * 5 + ["open", "half_open", "open"]
     assert next(streams.cache_state((1,), [frame([0.0, 10.0, 3600.0, 3601.0])], State())).hit.tolist() == [False, True, True, False]
@@ -314,3 +325,39 @@ def test_aligned_answers_against_a_plain_version(spark, sf_dir):
                     want = -max(near)[1]
                     taken.add(want)
             assert got[conv, n] == want
+
+
+def calls(sf_dir):
+    e = pd.read_parquet(f"{sf_dir}/events.parquet")
+    e["at"] = e.ts.astype("datetime64[s]").astype("int64")
+    return e.sort_values(["at", "event_id"])
+
+
+def test_rate_limit_against_a_plain_walk(spark, sf_dir):
+    held, want = {}, {}
+    for r in calls(sf_dir).itertuples():
+        tokens, last = held.get(r.user_id, (streams.BURST_HERE, r.at))
+        tokens = min(streams.BURST_HERE, tokens + (r.at - last) * streams.RATE_HERE)
+        want[r.event_id] = tokens >= 1
+        held[r.user_id] = (tokens - (tokens >= 1), r.at)
+    got = {r.event_id: r.allowed for r in streams.QUERIES["stream_rate_limit"](spark, sf_dir).collect()}
+    assert got == want and not all(want.values())
+
+
+def test_breaker_against_a_plain_walk(spark, sf_dir):
+    held, want = {}, {}
+    for r in calls(sf_dir).itertuples():
+        name, failures, since = held.get(r.user_id, ("closed", 0, 0))
+        if name == "open" and r.at - since >= streams.OPEN_SECONDS:
+            name = "half_open"
+        want[r.event_id] = name
+        if name != "open":
+            bad = r.value < 60
+            failures = failures + 1 if bad else 0
+            if bad and (name == "half_open" or failures >= streams.FAILURES):
+                name, since = "open", r.at
+            elif not bad:
+                name = "closed"
+        held[r.user_id] = (name, failures, since)
+    got = {r.event_id: r.state for r in streams.QUERIES["stream_breaker"](spark, sf_dir).collect()}
+    assert got == want
