@@ -323,9 +323,20 @@ def caption_join(spark, d):
     return image_marks(spark, d).join(refs, "doc_id", "left").select("doc_id", text.alias("text"))
 
 
+def preview(text: Column, size: int = 500) -> Column:
+    """The lines of a text that are no headings, in one."""
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    whole = F.array_join(lines, " ")
+    return F.when(F.length(whole) > size, F.concat(F.regexp_replace(F.substring(whole, 1, size), r"\s\S*$", ""), F.lit("..."))).otherwise(whole)
+
+
 def document_summary(spark, d):
+    """Title, summary, tags and number of chunks of each document. Even documents come with a summary of their own (here
+    their title), the others are given the beginning of their first chunk."""
     pieces = split_window(table(spark, d, "documents"))
-    return pieces.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), title(F.min_by("text", "piece")).alias("title"), F.substring(F.min_by("text", "piece"), 1, 200).alias("summary"))
+    first = pieces.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min_by("text", "piece").alias("t"))
+    own = F.when(F.col("doc_id") % 2 == 0, title(F.col("t")))
+    return first.select("doc_id", "n_chunks", title(F.col("t")).alias("title"), F.coalesce(own, preview(F.col("t"))).alias("summary"), F.array_join(tags(F.col("t")), "|").alias("tags"))
 
 
 def _prefixed(spark, d):
@@ -411,5 +422,7 @@ f AS (SELECT doc_id, line, t, CASE WHEN regexp_matches(t, '^#{1,6}\s') THEN leng
 SELECT doc_id, line::INT AS line, level::INT AS level, trim(regexp_replace(t, '^#+\s+', '')) AS title, (lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1)::INT AS end_line FROM f WHERE level IS NOT NULL""",
     "image_refs": f"WITH {IMAGES_SQL}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\[IMAGE: ([^\\]]+)\\]', 1)) AS image_id, generate_subscripts(regexp_extract_all(text, '\\[IMAGE: ([^\\]]+)\\]', 1), 1) - 1 AS pos FROM marked) SELECT doc_id, pos, r.image_id, page FROM r LEFT JOIN images i ON i.image_id = r.image_id",
     "caption_join": f"WITH {IMAGES_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '_1]', '_1] (page 1)') ELSE text END AS text FROM marked",
-    "document_summary": f"WITH {_windows_sql()} SELECT doc_id, count(*) AS n_chunks, {_title_sql('min_by(text, piece)')} AS title, substr(min_by(text, piece), 1, 200) AS summary FROM pieces GROUP BY doc_id",
+    "document_summary": f"""WITH {_windows_sql()}, f AS (SELECT doc_id, count(*) AS n_chunks, min_by(text, piece) AS text FROM pieces GROUP BY doc_id),
+p AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT starts_with(x, '#')), ' ') AS flat FROM f)
+SELECT doc_id, n_chunks, {_title_sql('text')} AS title, CASE WHEN doc_id % 2 = 0 THEN {_title_sql('text')} WHEN length(flat) > 500 THEN regexp_replace(substr(flat, 1, 500), '\\s\\S*$', '') || '...' ELSE flat END AS summary, array_to_string(list_sort(list_distinct(list_concat({', '.join(_TAG_SQL)})))[1:10], '|') AS tags FROM p""",
 }

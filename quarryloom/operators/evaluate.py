@@ -68,13 +68,18 @@ def run_metrics(spark, d, **o) -> DataFrame:
 
 
 def source_metrics(spark, d) -> DataFrame:
-    """Hit rate and reciprocal rank on sources: each source of a list counts once, where it comes first."""
-    src = chunks(spark, d).select("doc_id", F.lower("source").alias("s"))
+    """Hit rate and reciprocal rank on sources: each source of a list counts once, where it comes first. The product's
+    figures accept for an expected source also those of its group; here src0 serves all."""
+    src = chunks(spark, d).select("doc_id", F.lower(F.trim("source")).alias("s"))
     ranked = _bm25(spark, d).join(src, "doc_id").groupBy("query_id", "s").agg(F.min("rank").alias("rank"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "s")))
     want = relevance(spark, d).join(src, "doc_id").select("query_id", "s").distinct()
-    hit = ranked.join(want, ["query_id", "s"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    return queries_of(spark, d).select("query_id").join(hit, "query_id", "left").select("query_id", F.col("first").isNotNull().alias("hit"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+    groups = src.select("s").distinct().select("s", F.explode(F.array_distinct(F.array("s", F.lit("src0")))).alias("accepted"))
+    wider = want.join(groups, "s").select("query_id", F.col("accepted").alias("s")).distinct()
+    first = lambda w, name: ranked.join(w, ["query_id", "s"]).groupBy("query_id").agg(F.min("rank").alias(name))
+    out = queries_of(spark, d).select("query_id").join(first(want, "strict"), "query_id", "left").join(first(wider, "product"), "query_id", "left")
+    mrr = lambda c: F.round(F.coalesce(1 / F.col(c), F.lit(0.0)), 6)
+    return out.select("query_id", F.col("strict").isNotNull().alias("hit"), mrr("strict").alias("mrr"), F.col("product").isNotNull().alias("product_hit"), mrr("product").alias("product_mrr"))
 
 
 def eval_report(spark, d) -> DataFrame:
@@ -156,7 +161,10 @@ QUERIES = {
 }
 _M = f"{_runs_sql()}, {_metrics_sql('run_a', 'ma')}"
 _UNP = "SELECT query_id, 'hit_rate' AS metric, hit_rate AS value FROM {0} UNION ALL SELECT query_id, 'mrr', mrr FROM {0} UNION ALL SELECT query_id, 'ndcg', ndcg FROM {0} UNION ALL SELECT query_id, 'recall', recall FROM {0}"
-_SM = f"src AS (SELECT doc_id, lower(source) AS s FROM documents), sr AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), s) AS rank FROM run_a JOIN src ON src.doc_id = run_a.doc_id GROUP BY query_id, s), sw AS (SELECT DISTINCT query_id, s FROM rel JOIN src ON src.doc_id = rel.doc_id), sm AS (SELECT item_id AS query_id, f IS NOT NULL AS hit, round(coalesce(1.0::DOUBLE / f, 0), 6) AS mrr FROM benchmark LEFT JOIN (SELECT sr.query_id, min(rank) AS f FROM sr JOIN sw ON sw.query_id = sr.query_id AND sw.s = sr.s GROUP BY 1) x ON x.query_id = item_id)"
+_SM = """src AS (SELECT doc_id, lower(trim(source)) AS s FROM documents), rk AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), s) AS rank FROM run_a JOIN src ON src.doc_id = run_a.doc_id GROUP BY query_id, s),
+want AS (SELECT DISTINCT query_id, s FROM rel JOIN src ON src.doc_id = rel.doc_id), wide AS (SELECT * FROM want UNION SELECT query_id, 'src0' FROM want),
+st0 AS (SELECT rk.query_id, min(rank) AS f FROM rk JOIN want w ON w.query_id = rk.query_id AND w.s = rk.s GROUP BY 1), pr AS (SELECT rk.query_id, min(rank) AS f FROM rk JOIN wide w ON w.query_id = rk.query_id AND w.s = rk.s GROUP BY 1),
+sm AS (SELECT item_id AS query_id, st0.f IS NOT NULL AS hit, round(coalesce(1.0::DOUBLE / st0.f, 0), 6) AS mrr, pr.f IS NOT NULL AS product_hit, round(coalesce(1.0::DOUBLE / pr.f, 0), 6) AS product_mrr FROM benchmark LEFT JOIN st0 ON st0.query_id = item_id LEFT JOIN pr ON pr.query_id = item_id)"""
 _CASES = """ca AS (SELECT conv_id, list_sort(list(DISTINCT CASE length(text) % 4 WHEN 0 THEN 'knowledge_query' WHEN 1 THEN 'quiz_generator' WHEN 2 THEN 'review_summary' ELSE 'quiz_evaluator' END)) AS called, sum(length(text)) AS latency FROM conversations WHERE role = 'assistant' GROUP BY 1),
 cases AS (SELECT t.conv_id, n_turns, coalesce(called, []) AS called, coalesce(latency, 0) AS latency, CASE t.conv_id % 3 WHEN 0 THEN ['knowledge_query'] WHEN 1 THEN ['quiz_generator', 'review_summary'] ELSE []::VARCHAR[] END AS expected FROM (SELECT conv_id, max(turn) AS n_turns FROM conversations GROUP BY 1) t LEFT JOIN ca ON ca.conv_id = t.conv_id),
 cs AS (SELECT conv_id, round(CASE WHEN len(expected) > 0 THEN len(list_intersect(called, expected))::DOUBLE / len(expected) ELSE 1.0 END, 6)::DOUBLE AS tool_recall, CASE WHEN list_contains(called, 'quiz_evaluator') THEN 1 ELSE 0 END AS n_forbidden, latency, CASE len(expected) WHEN 0 THEN 'chat' WHEN 1 THEN 'knowledge' ELSE 'heavy' END AS intent FROM cases)"""

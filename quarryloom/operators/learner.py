@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import words
 from quarryloom.operators.queryprep import _REQ, requests
-from quarryloom.operators.retrieval import _bm25, bm25_sql
+from quarryloom.operators.retrieval import _bm25, bm25_sql, small
 from quarryloom.sources.shared import new_path
 from quarryloom.sources.tables import ANSWERS_SQL, answers, table, turns
 
@@ -169,22 +169,55 @@ def turn_pacing(spark, d):
     return t.groupBy("conv_id").agg(F.round(F.avg((n < 5).cast("int")), 6).alias("short_share"), F.max(F.col("text").rlike("(?i)why|how|explain|详细|为什么")).alias("wants_depth"))
 
 
+#: Messages that say nothing, and words of the course that make even a short one say something.
+GREETING = "^(你好|您好|hi|hello|hey|在吗|在不在|有人吗|嗨)$"
+COURSE = "tcp|udp|dns|ip|http|osi|三次握手|四次挥手|拥塞控制|流量控制|子网|crc|滑动窗口|路由|网络层|传输层|应用层"
+#: What learners say when they come back, by their number.
+MESSAGES = ["hi", "ok", "tcp", "please explain the third chapter", "", "你好"]
+
+
+def low_information(message: Column) -> Column:
+    text, compact = F.trim(message), F.regexp_replace(message, r"\s+", "")
+    return (F.length(text) == 0) | text.rlike(f"(?i){GREETING}") | ((F.length(compact) < 5) & ~message.rlike(f"(?i){COURSE}"))
+
+
 def review_recommendation(spark, d):
-    """Learners who paused for an hour or more, with their most faded concepts."""
+    """What learners are reminded of whose message says nothing: their most faded concepts, those that they get wrong most
+    often, and for how many whole days they have been away."""
     n = nodes(spark, d)
-    idle = n.groupBy("user_id").agg(F.min("idle_days").alias("idle_days"))
-    faded = top(n.where(F.col("decayed") < DECAYED), 5, ["user_id"], F.col("decayed"), F.col("concept"))
-    listed = faded.groupBy("user_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("n", "concept"))), lambda x: x["concept"])).alias("concepts"))
-    return idle.where(F.col("idle_days") * 24 >= 1).join(listed, "user_id").select("user_id", "concepts")
+    listed = lambda df, order: df.groupBy("user_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct(order, "concept"))), lambda x: x["concept"])).alias("l"))
+    faded = listed(top(n.where(F.col("decayed") < DECAYED), 5, ["user_id"], F.col("decayed"), F.col("concept")), "n").withColumnRenamed("l", "faded")
+    weak = listed(weak_concepts(spark, d).where("rank <= 3"), "rank").withColumnRenamed("l", "weak")
+    idle = n.groupBy("user_id").agg(F.floor(F.min("idle_seconds") / 86400).cast("int").alias("days"))
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.pmod("user_id", F.lit(len(MESSAGES))) + 1).cast("int"))
+    out = idle.join(faded, "user_id", "left").join(weak, "user_id", "left").withColumn("low", low_information(message))
+    some = F.col("faded").isNotNull() | F.col("weak").isNotNull() | (F.col("days") > 0)
+    reason = F.when(~F.col("low"), "message_not_low_information").when(some, "low_information_message_with_learning_signals").otherwise("no_decay_or_weak_signals")
+    shown = lambda c: F.when(F.col("low"), F.col(c))
+    return out.select("user_id", (F.col("low") & some).alias("triggered"), reason.alias("reason"), shown("faded").alias("faded"), shown("weak").alias("weak"), shown("days").alias("days"))
 
 
 def ontology(spark, d) -> DataFrame:
-    """Concepts are part types: a type's subtopics share its first word, prerequisites its last."""
+    """Concepts are nations: within a region, those before one are its prerequisites and those after it its subtopics;
+    nations of other regions that begin alike are confusable with it."""
     p = table(spark, d, "nation").select(F.col("n_name").alias("concept"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("pos"))
     a, b = p.alias("a"), p.alias("b")
-    edges = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.concept") != F.col("b.concept")))
-    relation = F.when(F.col("b.pos") < F.col("a.pos"), "prerequisite").otherwise("subtopic")
-    return edges.select(F.col("a.concept").alias("concept"), relation.alias("relation"), F.col("b.concept").alias("target"), F.col("b.pos").alias("pos"))
+    near = F.col("a.region") == F.col("b.region")
+    # Both sides are joined on a key that they share: the region, or the first letter.
+    by = lambda key: a.join(b, (key("a") == key("b")) & (F.col("a.concept") != F.col("b.concept")))
+    edges = by(lambda x: F.col(f"{x}.region")).select("a.concept", F.when(F.col("b.pos") < F.col("a.pos"), "prerequisite").otherwise("subtopic").alias("relation"), F.col("b.concept").alias("target"), F.col("b.pos").alias("pos"))
+    alike = by(lambda x: F.substring(f"{x}.concept", 1, 1)).where(~near).select("a.concept", F.lit("confusable").alias("relation"), F.col("b.concept").alias("target"), F.col("b.pos").alias("pos"))
+    return edges.unionByName(alike)
+
+
+def named_concepts(names: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(name, concept): the concept that is called as asked, whatever the case, else the first one that contains the name."""
+    n = names.select("name", F.lower(F.trim("name")).alias("key")).distinct()
+    c = concepts.select("concept", F.lower("concept").alias("full")).distinct()
+    exact = n.join(c, n.key == c.full).select("name", "concept")
+    # The concepts of an ontology are a few, and are counted.
+    part = n.join(exact, "name", "left_anti").join(small(c), (F.length("key") > 0) & F.contains(F.col("full"), F.col("key"))).groupBy("name").agg(F.min("concept").alias("concept"))
+    return exact.unionByName(part)
 
 
 def nation_mastery(spark, d) -> DataFrame:
@@ -194,13 +227,16 @@ def nation_mastery(spark, d) -> DataFrame:
 
 
 def concept_neighbors(spark, d):
+    """Neighbours of the concepts that are asked for by part of their names: the first four letters of every nation."""
     e = ontology(spark, d).join(nation_mastery(spark, d), "target", "left")
-    return e.select("concept", "relation", "target", "mastery", (F.coalesce("mastery", F.lit(0.4)) < WEAK).alias("weak"))
+    asked = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 4)).alias("name"))
+    named = named_concepts(asked, table(spark, d, "nation").select(F.col("n_name").alias("concept")))
+    return named.join(e, "concept").select("name", "concept", "relation", "target", "mastery", (F.coalesce("mastery", F.lit(0.4)) < WEAK).alias("weak"))
 
 
 def review_order(spark, d):
     """Prerequisites before subtopics, each once; the less known first (unknown counts as .4)."""
-    e = ontology(spark, d).join(nation_mastery(spark, d), "target", "left")
+    e = ontology(spark, d).where("relation <> 'confusable'").join(nation_mastery(spark, d), "target", "left")
     order = Window.partitionBy("concept").orderBy(F.coalesce("mastery", F.lit(0.4)), F.when(F.col("relation") == "prerequisite", 0).otherwise(1), "pos")
     return e.withColumn("place", F.row_number().over(order)).select("concept", "target", "place")
 
@@ -321,13 +357,15 @@ def compaction_split(spark, d, keep: int = 3):
 
 
 def memory_summary(spark, d):
-    """Per learner: weak concepts, due ones, and the last errors with how often each was repeated."""
+    """Per learner: the last three topics, weak concepts, due ones, and the errors with how often each was repeated."""
     n = nodes(spark, d)
+    last = top(n, 3, ["user_id"], F.desc("last_reviewed"), F.col("concept"))
+    topics = last.groupBy("user_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("n", "concept"))), lambda x: x["concept"])).alias("topics"))
     weak = n.where(F.col("mastery") < WEAK).groupBy("user_id").agg(joined(F.array_sort(F.collect_set("concept"))).alias("weak"))
     due = n.where("idle_days >= interval_days").groupBy("user_id").agg(joined(F.array_sort(F.collect_set("concept"))).alias("due"))
     err = answers(spark, d).where("NOT correct").groupBy("user_id", "concept").agg(F.count("*").alias("c")).groupBy("user_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("concept", "c"))), lambda x: F.concat(x["concept"], F.lit("x"), x["c"].cast("string")))).alias("errors"))
     users = answers(spark, d).select("user_id").distinct()
-    return users.join(weak, "user_id", "left").join(due, "user_id", "left").join(err, "user_id", "left")
+    return users.join(topics, "user_id", "left").join(weak, "user_id", "left").join(due, "user_id", "left").join(err, "user_id", "left")
 
 
 def tool_chains(spark, d):
@@ -421,7 +459,7 @@ QUERIES = {
 _FOLD = f"""{ANSWERS_SQL}, o AS (SELECT user_id, concept, list(correct ORDER BY ts, event_id) AS a, max(ts) AS last_reviewed FROM answers GROUP BY ALL),
 n0 AS (SELECT user_id, concept, a, last_reviewed, list_reduce(list_prepend({{'m': 0.0::DOUBLE, 'days': 1::INT}}, list_transform(a, lambda c: {{'m': (CASE WHEN c THEN 1.0 ELSE -1.0 END)::DOUBLE, 'days': 0::INT}})),
   lambda s, x: {{'m': round(CASE WHEN x.m > 0 THEN least(1.0, s.m + 0.1) ELSE greatest(0.0, s.m - 0.15) END, 6)::DOUBLE, 'days': (CASE WHEN x.m > 0 THEN least(30, s.days * 2) ELSE greatest(1, s.days // 2) END)::INT}}) AS f FROM o),
-n1 AS (SELECT user_id, concept, f.m AS mastery, f.days AS interval_days, len(a)::INT AS quiz_count, len(list_filter(a, lambda c: c))::INT AS correct_count, (epoch(date_trunc('second', (SELECT max(ts) FROM answers))) - epoch(date_trunc('second', last_reviewed)))::BIGINT AS idle_seconds, round((epoch(date_trunc('second', (SELECT max(ts) FROM answers))) - epoch(date_trunc('second', last_reviewed))) / 86400, 6) AS idle_days FROM n0),
+n1 AS (SELECT user_id, concept, f.m AS mastery, f.days AS interval_days, len(a)::INT AS quiz_count, last_reviewed, len(list_filter(a, lambda c: c))::INT AS correct_count, (epoch(date_trunc('second', (SELECT max(ts) FROM answers))) - epoch(date_trunc('second', last_reviewed)))::BIGINT AS idle_seconds, round((epoch(date_trunc('second', (SELECT max(ts) FROM answers))) - epoch(date_trunc('second', last_reviewed))) / 86400, 6) AS idle_days FROM n0),
 nodes AS (SELECT *, CASE WHEN idle_days < 0.5 OR abs(mastery - round(mastery * exp(-idle_days / (2 * interval_days)), 3)) <= 0.01 THEN mastery ELSE round(mastery * exp(-idle_days / (2 * interval_days)), 3) END AS decayed FROM n1)"""
 _HAS = lambda p, name: f"regexp_matches(array_to_string(u, ' '), '(?i){p}') AS {name}"
 _EXT = f"""t AS (SELECT conv_id, turn, role, text || CASE WHEN role = 'user' THEN CASE (conv_id + turn) % {len(LESSONS)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LESSONS))} END ELSE '' END AS text FROM conversations),
@@ -433,7 +471,7 @@ tp AS (SELECT conv_id, list(w ORDER BY i)[1:10] AS topics FROM (SELECT * FROM o
 q AS (SELECT conv_id, list_transform(list_filter(u, lambda z: regexp_matches(z, '[？?]\\s*$') AND length(z) > 5), lambda z: substr(regexp_replace(z, '^\\s+|\\s+$', '', 'g'), 1, 100))[1:3] AS questions, {_HAS(CONCISE, 'concise')}, {_HAS(DETAILED, 'detailed')}, {_HAS(EXAM, 'exam')}, {_HAS(EXAMPLES, 'examples')} FROM f),
 ex AS (SELECT q.conv_id, coalesce(topics, []) AS topics, questions, CASE WHEN concise AND detailed THEN NULL WHEN concise THEN 'concise' WHEN detailed THEN 'detailed' END AS detail_level, CASE WHEN exam AND examples THEN NULL WHEN exam THEN 'exam_focused' WHEN examples THEN 'example_heavy' END AS style, (concise AND detailed)::INT + (exam AND examples)::INT AS conflicts FROM q LEFT JOIN tp ON tp.conv_id = q.conv_id),
 ef AS (SELECT *, (detail_level IS NOT NULL)::INT + (style IS NOT NULL)::INT AS fields FROM ex)"""
-_ONT = "ont AS (SELECT a.n_name AS concept, CASE WHEN b.n_nationkey < a.n_nationkey THEN 'prerequisite' ELSE 'subtopic' END AS relation, b.n_name AS target, b.n_nationkey AS pos FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name), nm AS (SELECT n_name AS target, round(avg(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END), 6) AS mastery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), onm AS (SELECT ont.*, mastery FROM ont LEFT JOIN nm ON nm.target = ont.target)"
+_ONT = "ont AS (SELECT a.n_name AS concept, CASE WHEN b.n_nationkey < a.n_nationkey THEN 'prerequisite' ELSE 'subtopic' END AS relation, b.n_name AS target, b.n_nationkey AS pos FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name UNION ALL SELECT a.n_name, 'confusable', b.n_name, b.n_nationkey FROM nation a JOIN nation b ON left(a.n_name, 1) = left(b.n_name, 1) AND a.n_regionkey <> b.n_regionkey), nm AS (SELECT n_name AS target, round(avg(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END), 6) AS mastery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), onm AS (SELECT ont.*, mastery FROM ont LEFT JOIN nm ON nm.target = ont.target)"
 _QUIZ = "qz AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS no, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS question, trim(regexp_replace(coalesce(nx, 'none'), '\\s+', ' ', 'g'), ' ') AS answer FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE role = 'user'), gr AS (SELECT conv_id, no, CASE WHEN no % 4 = 0 THEN 0 WHEN no % 2 = 0 OR lower(question) = lower(answer) THEN 100 ELSE 60 END AS score FROM qz)"
 _SQ = f"{bm25_sql()}, h AS (SELECT *, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS bank FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30), hb AS (SELECT *, sum(bank) OVER (PARTITION BY query_id) AS n_bank FROM h), sq AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS pos, doc_id, CASE WHEN n_bank >= 3 THEN 'bank' ELSE 'general' END AS kind FROM hb WHERE n_bank < 3 OR bank = 1 QUALIFY pos <= 6)"
 def _topic_sql() -> str:
@@ -458,9 +496,14 @@ ORACLE = {
 SELECT conv_id, confidence, told AND confidence >= 0.2 AS write_session, conflicts = 0 AND fields > 0 AND confidence >= 0.65 AS write_profile FROM k""",
     "pacing": f"WITH {ANSWERS_SQL}, l AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 2) SELECT user_id, CASE WHEN count(*) < 2 THEN 'steady' WHEN bool_and(correct) THEN 'faster' WHEN NOT bool_or(correct) THEN 'slower' ELSE 'steady' END AS pace FROM l GROUP BY 1",
     "turn_pacing": "SELECT conv_id, round(avg(CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 5 THEN 1 ELSE 0 END), 6) AS short_share, bool_or(regexp_matches(text, '(?i)why|how|explain|详细|为什么')) AS wants_depth FROM conversations WHERE role = 'user' GROUP BY 1",
-    "review_recommendation": f"WITH {_FOLD}, i AS (SELECT user_id, min(idle_days) AS idle FROM nodes GROUP BY 1), f AS (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY decayed, concept) AS n FROM nodes WHERE decayed < 0.45) SELECT i.user_id, string_agg(concept, ',' ORDER BY n) AS concepts FROM i JOIN f ON f.user_id = i.user_id WHERE idle * 24 >= 1 AND n <= 5 GROUP BY 1",
-    "concept_neighbors": f"WITH {_ONT} SELECT concept, relation, target, mastery, coalesce(mastery, 0.4) < 0.5 AS weak FROM onm",
-    "review_order": f"WITH {_ONT} SELECT concept, target, row_number() OVER (PARTITION BY concept ORDER BY coalesce(mastery, 0.4), CASE relation WHEN 'prerequisite' THEN 0 ELSE 1 END, pos) AS place FROM onm",
+    "review_recommendation": f"""WITH {_FOLD}, i AS (SELECT user_id, floor(min(idle_seconds) / 86400)::INT AS days FROM nodes GROUP BY 1), f AS (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY decayed, concept) AS n FROM nodes WHERE decayed < 0.45 QUALIFY n <= 5),
+fl AS (SELECT user_id, string_agg(concept, ',' ORDER BY n) AS faded FROM f GROUP BY 1), w0 AS (SELECT * FROM answers WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200),
+w1 AS (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, concept) AS n FROM w0 GROUP BY user_id, concept QUALIFY n <= 3), wl AS (SELECT user_id, string_agg(concept, ',' ORDER BY n) AS weak FROM w1 GROUP BY 1),
+m AS (SELECT i.*, faded, weak, CASE i.user_id % {len(MESSAGES)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(MESSAGES))} END AS message FROM i LEFT JOIN fl ON fl.user_id = i.user_id LEFT JOIN wl ON wl.user_id = i.user_id),
+l AS (SELECT *, length(trim(message)) = 0 OR regexp_matches(trim(message), '(?i){GREETING}') OR (length(regexp_replace(message, '\\s+', '', 'g')) < 5 AND NOT regexp_matches(message, '(?i){COURSE}')) AS low, faded IS NOT NULL OR weak IS NOT NULL OR days > 0 AS has FROM m)
+SELECT user_id, low AND has AS triggered, CASE WHEN NOT low THEN 'message_not_low_information' WHEN has THEN 'low_information_message_with_learning_signals' ELSE 'no_decay_or_weak_signals' END AS reason, CASE WHEN low THEN faded END AS faded, CASE WHEN low THEN weak END AS weak, CASE WHEN low THEN days END AS days FROM l""",
+    "concept_neighbors": f"WITH {_ONT}, q AS (SELECT DISTINCT lower(left(n_name, 4)) AS name FROM nation), c AS (SELECT name, coalesce(min(CASE WHEN lower(n_name) = name THEN n_name END), min(n_name)) AS concept FROM q JOIN nation ON contains(lower(n_name), name) GROUP BY name) SELECT name, onm.concept, relation, target, mastery, coalesce(mastery, 0.4) < 0.5 AS weak FROM c JOIN onm ON onm.concept = c.concept",
+    "review_order": f"WITH {_ONT} SELECT concept, target, row_number() OVER (PARTITION BY concept ORDER BY coalesce(mastery, 0.4), CASE relation WHEN 'prerequisite' THEN 0 ELSE 1 END, pos) AS place FROM onm WHERE relation <> 'confusable'",
     "parse_quiz_blocks": f"WITH {_QUIZ} SELECT conv_id, no, question, answer FROM qz",
     "grade_exact": f"WITH {_QUIZ} SELECT * FROM gr",
     "grade_batch": f"WITH {_QUIZ}, b AS (SELECT conv_id, round_even(avg(score), 0)::INT AS score, array_to_string(list_sort(list(DISTINCT score)), ',') AS scores FROM gr GROUP BY 1) SELECT *, CASE WHEN score >= 90 THEN 'correct' WHEN score >= 60 THEN 'partial' ELSE 'incorrect' END AS verdict FROM b",
@@ -474,7 +517,7 @@ SELECT conv_id, confidence, told AND confidence >= 0.2 AS write_session, conflic
     "context_budget": "WITH t AS (SELECT conv_id, turn, floor(length(text) / 1.5)::BIGINT + 1 AS cost FROM conversations), u AS (SELECT *, row_number() OVER w AS n, sum(cost) OVER w AS used FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, cost, used FROM u WHERE (used <= 400 AND n <= 40) OR n = 1",
     "offload_long": "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 50) || '... [' || substr(sha256(text), 1, 12) || ']' ELSE text END AS text FROM conversations",
     "compaction_split": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 3 AS compact FROM conversations",
-    "memory_summary": f"WITH {_FOLD} SELECT u.user_id, weak, due, errors FROM (SELECT DISTINCT user_id FROM answers) u LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY concept) AS weak FROM nodes WHERE mastery < 0.5 GROUP BY 1) w ON w.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY concept) AS due FROM nodes WHERE idle_days >= interval_days GROUP BY 1) d ON d.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept || 'x' || c::VARCHAR, ',' ORDER BY concept) AS errors FROM (SELECT user_id, concept, count(*) AS c FROM answers WHERE NOT correct GROUP BY ALL) GROUP BY 1) e ON e.user_id = u.user_id",
+    "memory_summary": f"WITH {_FOLD} SELECT u.user_id, topics, weak, due, errors FROM (SELECT DISTINCT user_id FROM answers) u LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY n) AS topics FROM (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY last_reviewed DESC, concept) AS n FROM nodes QUALIFY n <= 3) GROUP BY 1) t ON t.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY concept) AS weak FROM nodes WHERE mastery < 0.5 GROUP BY 1) w ON w.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept, ',' ORDER BY concept) AS due FROM nodes WHERE idle_days >= interval_days GROUP BY 1) d ON d.user_id = u.user_id LEFT JOIN (SELECT user_id, string_agg(concept || 'x' || c::VARCHAR, ',' ORDER BY concept) AS errors FROM (SELECT user_id, concept, count(*) AS c FROM answers WHERE NOT correct GROUP BY ALL) GROUP BY 1) e ON e.user_id = u.user_id",
     "tool_chains": "SELECT conv_id, substr(min_by(text, CASE WHEN role = 'user' THEN turn ELSE turn + 1000 END), 1, 200) AS question, coalesce(string_agg(CASE length(text) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'quiz' ELSE 'review' END, ',' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS tools FROM conversations GROUP BY 1",
     "merge_preferences": "WITH kv AS (SELECT user_id, ts, event_id, unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT user_id, ts, event_id, key, json_extract_string(props, '$.' || key) AS value FROM kv) SELECT user_id, key, value FROM v WHERE value IS NOT NULL AND value <> '' QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC, event_id DESC) = 1",
     "request_slots": f"""WITH {_REQ}, r AS (SELECT *, regexp_extract(text, '{COUNT}', 1) AS said, {_topic_sql()} AS topic FROM req)

@@ -152,13 +152,16 @@ def semantic_cache(spark, d, least: float = CACHE_SIMILARITY):
     return asking.select("query_id").join(best, "query_id", "left").select("query_id", "entry", "score", F.col("entry").isNotNull().alias("hit"))
 
 
-def cache_evict(spark, d, keep: int = 500):
-    """Events as uses of cache entries (value in tens): the most recently used stay."""
-    used = table(spark, d, "events").groupBy(F.floor(F.col("value") * 10).alias("entry")).agg(F.max("ts").alias("last_use"), F.count("*").alias("uses"))
-    rank = F.row_number().over(Window.partitionBy(F.pmod("entry", F.lit(8))).orderBy(F.desc("last_use"), "entry"))
+def cache_evict(spark, d, keep: int = 500, invalid: str = "error"):
+    """Events as uses of cache entries (their kind and their value in tens): the entries of one collection are invalidated,
+    and of the others the most recently used stay. An entry's first use was a miss, the others were hits."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("collection"), F.floor(F.col("value") * 10).alias("entry"), "ts")
+    used = e.where(F.col("collection") != invalid).groupBy("collection", "entry").agg(F.max("ts").alias("last_use"), F.count("*").alias("uses"))
+    newest = [F.desc("last_use"), "collection", "entry"]
+    rank = F.row_number().over(Window.partitionBy(F.pmod("entry", F.lit(8))).orderBy(*newest))
     # The newest of each eighth hold the newest of all, so the last ranking sees a bounded number of rows.
     first = used.withColumn("n", rank).where(F.col("n") <= keep).drop("n")
-    return first.orderBy(F.desc("last_use"), "entry").limit(keep).select("entry", "uses")
+    return first.orderBy(*newest).limit(keep).select("collection", "entry", (F.col("uses") - 1).alias("hits"), F.lit(1).alias("misses"))
 
 
 def similar_questions(spark, d, most: int = 3):
@@ -303,7 +306,7 @@ SELECT conv_id, turn, intent, confidence, CASE WHEN intent = 'general_chat' THEN
     "focus_excerpt": f"WITH q AS (SELECT item_id AS doc_id, list_max(list_transform({_WORDS}, lambda w: {{'n': length(w), 'w': w}})).w AS term FROM benchmark), t AS (SELECT d.doc_id, d.text, coalesce(term, substr(source, 4, 9)) AS term FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id), a AS (SELECT *, instr(lower(text), lower(term)) AS pos FROM t) SELECT doc_id, CASE WHEN length(text) <= 420 THEN text WHEN pos > 0 AND length(term) > 0 THEN substr(text, greatest(pos - 210, 1), 420) ELSE substr(text, 1, 210) || ' ... ' || right(text, 210) END AS excerpt FROM a",
     "query_flags": "WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 6 AND before > 0 AS needs_rewrite, length(text) <= 200 AND NOT regexp_matches(text, '[?？]') AS fast_path FROM t WHERE role = 'user'",
     "semantic_cache_lookup": f"WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, e.vec_id AS entry, round(greatest(0.0, (1 + list_cosine_similarity(q.v, e.v)) / 2), 6) AS score FROM u q JOIN u e ON e.label = q.label JOIN events n ON n.event_id = e.vec_id WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0 AND n.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) = 1) SELECT vec_id AS query_id, entry, score, entry IS NOT NULL AS hit FROM embeddings LEFT JOIN (SELECT * FROM h WHERE 2 * score - 1 >= {CACHE_SIMILARITY_HERE}) h ON h.query_id = vec_id WHERE vec_id % 20 = 0",
-    "cache_evict": "SELECT floor(value * 10)::BIGINT AS entry, count(*) AS uses FROM events GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 500",
+    "cache_evict": "SELECT event_type AS collection, floor(value * 10)::BIGINT AS entry, count(*) - 1 AS hits, 1 AS misses FROM events WHERE event_type <> 'error' GROUP BY 1, 2 ORDER BY max(ts) DESC, 1, 2 LIMIT 500",
     "cache_exact_key": "SELECT md5(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, count(*) AS uses, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "similar_questions": f"WITH q AS (SELECT conv_id, turn, {_WORDS} AS w, conv_id % 5 AS user, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id DESC, turn DESC) AS n FROM conversations WHERE role = 'user'), s AS (SELECT a.user, a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS overlap FROM q a JOIN q b ON a.user = b.user AND b.n = 1 WHERE a.n BETWEEN 2 AND 101) SELECT user, conv_id, turn, overlap, row_number() OVER (PARTITION BY user ORDER BY overlap DESC, conv_id, turn) AS rank FROM s WHERE overlap > 0 QUALIFY rank <= 3",
     "search_sessions": "WITH f AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(min_by(text, turn)), '[\\p{L}\\p{N}_]+'))) AS word FROM conversations WHERE conv_id % 20 = 0 GROUP BY conv_id), has AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM conversations), h AS (SELECT f.conv_id AS query_id, has.conv_id, count(*) AS hits FROM has JOIN f ON f.word = has.word WHERE f.conv_id <> has.conv_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, conv_id) AS rank FROM h QUALIFY rank <= 5",
