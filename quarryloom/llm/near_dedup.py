@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.llm import textbytes as tb
-from quarryloom.llm.components import components
+from quarryloom.functions.graph import components
 from quarryloom.llm.storage import maybe_among, saved, temporary
+from quarryloom.sources.tables import table
 
 WORDS, PERCENT = 5, 80
 TREES, BRANCHES, DEPTH, LAST_DEPTH, SMALL = 5, 2, 3, 6, 24
@@ -235,7 +236,7 @@ def _confirm(likely: DataFrame, family: DataFrame, reps: DataFrame, texts: DataF
     first = saved(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
     if family.isEmpty():
         return first
-    component = components(first)
+    component = components(first, saved)
     named = family.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_centre = component.select(F.col("id").alias("centre"), F.col("component").alias("main"))
     named = named.join(of_centre, "centre", "left").withColumn("asking", F.col("component") != F.coalesce("main", "centre"))
@@ -255,26 +256,27 @@ def _confirm(likely: DataFrame, family: DataFrame, reps: DataFrame, texts: DataF
 def mark(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, **options) -> DataFrame:
     """A row for each row of docs: its id, n_shingles, component_id (smallest id reachable over links) and kept (whether
     that is its own id)."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = saved(texts.mapInArrow(_sketch(words), "id long, n long, mark binary, sig binary"), "sketches")
-    known = sketch.where("n > 0 AND id IS NOT NULL")
-    reps = saved(known.groupBy("mark").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
-    found = links(reps.select("id", "n", "sig"), texts, words=words, percent=percent, **options)
-    # Different texts under one id are one document, so their sets meet.
-    twice = known.groupBy("id").agg(F.min("mark").alias("m"), F.max("mark").alias("k")).where("m != k").select("id")
-    rep = reps.select("mark", F.col("id").alias("rep"))
-    same = known.select("id", "mark").join(twice, "id").join(rep, "mark").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
-    named = components(found.unionByName(same)).withColumnRenamed("id", "rep")
-    label = rep.join(named, "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("id", "n", "mark").join(label, "mark", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
+    with temporary(docs.sparkSession) as keep:
+        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        sketch = saved(texts.mapInArrow(_sketch(words), "id long, n long, mark binary, sig binary"), "sketches")
+        known = sketch.where("n > 0 AND id IS NOT NULL")
+        reps = saved(known.groupBy("mark").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+        found = links(reps.select("id", "n", "sig"), texts, words=words, percent=percent, **options)
+        # Different texts under one id are one document, so their sets meet.
+        twice = known.groupBy("id").agg(F.min("mark").alias("m"), F.max("mark").alias("k")).where("m != k").select("id")
+        rep = reps.select("mark", F.col("id").alias("rep"))
+        same = known.select("id", "mark").join(twice, "id").join(rep, "mark").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
+        named = components(found.unionByName(same), saved).withColumnRenamed("id", "rep")
+        label = rep.join(named, "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
+        out = sketch.select("id", "n", "mark").join(label, "mark", "left")
+        component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+        marked = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
+        return keep(marked, "marked")
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each component: that with the smallest id, once. Rows with a null id stay."""
-    with temporary(docs.sparkSession) as keep:
-        marked = keep(mark(docs, doc_id=doc_id, **options), "marked")
+    marked = mark(docs, doc_id=doc_id, **options)
     gone = marked.where("NOT kept").select(F.col(doc_id).alias("_gone")).distinct()
     again = marked.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_again"))
     maybe, rest = maybe_among(docs, doc_id, gone.unionByName(again.withColumnRenamed("_again", "_gone")))
@@ -286,5 +288,5 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under links of 0.8 on four-word shingles."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark(docs, words=4)

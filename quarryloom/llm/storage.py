@@ -3,25 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where none is set and all runs on one machine, as in tests, a temporary
-    folder takes its place; on a cluster, executors could not read it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from quarryloom.sources.shared import shared_folder
 
 
 def file_row() -> Column:
