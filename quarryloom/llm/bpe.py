@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.llm import textbytes as tb
+from quarryloom.sources.tables import table
 
-CHUNK_CHARS, OVERLAP_CHARS = 65536, 2048
+CHUNK_CHARS, OVERLAP_CHARS = 16384, 1024
 _encodings: dict = {}
 
 
@@ -155,7 +156,7 @@ def public_ranks() -> tuple[str, str]:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return encode(docs, *public_ranks(), with_decoded=True).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
