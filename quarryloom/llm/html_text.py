@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryloom.llm.storage import file_row, saved, temporary
+from quarryloom.sources.tables import table
 
 SUPPORT, LEAST_PAGES, CONTENT_SHARE = 0.5, 3, 0.7
 #: What text counts below elements of certain kinds, in weighing the elements of a template.
@@ -333,5 +334,5 @@ def extract(pages: DataFrame, *, url: str = "url", markup: str = "html", keep: l
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     return extract(pages, keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarryloom.sources.tables import table
+
 SALTS = 64
 CONTRACT_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 RESULTS = ["host", "path", "rule", "verdict"]
@@ -80,7 +82,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, winning rule and verdict of every page."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "action")])
     return judge(pages, spark.createDataFrame(CONTRACT_RULES, schema)).drop("url")
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith, WriterCommitMessage
 
 from quarryloom.llm.storage import maybe_among, saved, shared_folder
+from quarryloom.sources.tables import table
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
@@ -300,7 +301,7 @@ def revisits(pages: DataFrame, *, page_id: str, payload: Column, uri: Column, re
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page into archives and reads them back: payloads of responses, headers alone of revisits."""
     register(spark)
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
     records = revisits(pages, page_id="page_id", payload=F.col("html").cast("binary"), uri=F.col("url"))
     records.write.format("warc").mode("append").save(path)
