@@ -3,7 +3,8 @@
 A document is a bag of sentences. The score of a sentence is the logistic of a bias and its words' weights; that of a
 document is the noisy-or of its sentences, so one offending sentence suffices. Weights are trained from document labels
 alone, on whole texts. `train_documents` bounds the sample: half the places are for either label, in order of a hash of the
-id, and places that one label leaves free go to the other, so with no more labels than that all are learnt from.
+id, and places that one label leaves free go to the other, so with no more labels than that all are learnt from. Where there
+are more than four negative documents to a positive one, each counts less, as if there were four.
 
 Spark counts the documents of each word; words are candidates for a weight if they, or their beginnings, stand in
 `min_documents` training documents or more and with positives more often than chance allows, the `features` best of them. A
@@ -133,8 +134,9 @@ def _sets(shared):
     return run
 
 
-def train(words: np.ndarray, weights: np.ndarray, bags: pa.Table, *, epochs: int = EPOCHS) -> Model:
-    """Gradient ascent on the noisy-or likelihood from the given weights. bags: y, bag, c, as `_sets` gives them, equal ones summed."""
+def train(words: np.ndarray, weights: np.ndarray, bags: pa.Table, *, negative: float = 1.0, epochs: int = EPOCHS) -> Model:
+    """Gradient ascent on the noisy-or likelihood from the given weights. bags: y, bag, c, as `_sets` gives them, equal ones
+    summed; negative: what a negative document counts beside a positive one."""
     bag = bags.column("bag").combine_chunks()
     if isinstance(bag, pa.ChunkedArray):
         bag = pa.concat_arrays(bag.chunks) if bag.num_chunks else pa.array([], bag.type)
@@ -146,7 +148,7 @@ def train(words: np.ndarray, weights: np.ndarray, bags: pa.Table, *, epochs: int
     y, times = (np.asarray(bags.column(c)) for c in ("y", "c"))
     times = times[owner] * np.asarray(entries.field("n")).astype(float)
     positive = y[owner] == 1
-    absent = np.bincount(code[~positive], weights=times[~positive], minlength=len(sets))
+    absent = negative * np.bincount(code[~positive], weights=times[~positive], minlength=len(sets))
     code, owner, times = code[positive], owner[positive], times[positive]
     owner = np.unique(owner, return_inverse=True)[1]
     inside = np.asarray(entries.field("n"))[positive].astype(float)
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         if not len(words):
             return Model(words, weights, -6.0)
         sets = found.mapInArrow(_sets(docs.sparkSession.sparkContext.broadcast(words)), "y int, bag array<struct<s:binary,n:long>>, c long")
-        return train(words, weights, sets.groupBy("y", "bag").agg(F.sum("c").alias("c")).orderBy("y", "bag").toArrow(), **options)
+        return train(words, weights, sets.groupBy("y", "bag").agg(F.sum("c").alias("c")).orderBy("y", "bag").toArrow(), negative=min(1.0, 4 * whole.positive / (whole.n - whole.positive)), **options)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, sentence_score: float = 0.5) -> DataFrame:

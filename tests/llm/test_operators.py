@@ -406,6 +406,47 @@ def test_html_template_decides_inside_articles(spark):
     assert got[30] == "Site slogan Follow us daily Head 7 Text 7 Ring the desk End 7"
 
 
+def test_html_template_finds_the_content(spark):
+    """Without articles and listed classes the template of the host says where the text stands; a page alone on its host, read
+    without a template, keeps what varies around it."""
+    page = "<body><div class='k1'><a href='/{0}'>Teaser {0} of others</a> <a href='/x{0}'>and {0} more</a></div><div class='k2'><h1>Head {0}</h1><p>{1}</p><p>End {0}</p></div><div class='k3'>Offer {0} today</div></body>"
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(120))
+    rows = [(i, "http://a.org/", page.format(i, body(i)), "mine") for i in range(5)] + [(9, "http://b.org/", page.format(9, body(9)), "mine")]
+    # A very long page of the same host, one of another layout, and no page at all.
+    rows += [(20, "http://a.org/", page.format(20, " ".join(body(k) for k in range(1500))), "mine"), (21, "http://a.org/", "<p>Other {0} layout", "mine"), (22, "http://a.org/", None, "mine"), (22, "http://a.org/", None, "mine")]
+    got = [(r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)).collect()]
+    text = dict(got)
+    assert len(got) == len(rows) and text[3] == f"Head 3 {body(3)} End 3"
+    assert text[20].startswith("Head 20 word0x0 ") and text[20].endswith(" End 20")
+    assert text[9] == f"Teaser 9 of others and 9 more Head 9 {body(9)} End 9 Offer 9 today"
+    assert text[21] == "Other {0} layout" and text[22] == ""
+    assert html_text.slots(rows[3][2], set()) != text[3]
+
+
+def test_html_without_names(spark):
+    """The given pages with all telling elements and classes made into unnamed ones: the template still finds the text, which
+    no page gives away without it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    names = [("<article", "<div class='z1'"), ("</article>", "</div>"), ('<div class="ad"', "<div class='z2'"), ("<footer", "<div class='z3'"), ("</footer>", "</div>"), ("<nav", "<div class='z4'"), ("</nav>", "</div>")]
+    rows = []
+    for r in pages.itertuples():
+        page = r.html
+        for a, b in names:
+            page = page.replace(a, b)
+        rows.append((r.page_id, r.url, page))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    want = {r.page_id: html_text.slots(r.html, set()) for r in pages.itertuples()}
+    many = pages.groupby(pages.url.map(html_text.host_of)).page_id.transform("size") >= html_text.LEAST_PAGES
+    assert sum(many) > 200 and all(got[i] == want[i] for i in pages.page_id[many])
+    assert not any(html_text.slots(page, set()) == want[i] for i, _, page in rows)
+
+
+def test_html_host_of_many_pages(spark):
+    rows = [(i, "http://big.net/", f"<body><nav><a href='/'>Home</a></nav><article><h1>T{i}</h1><p>Text number {i}</p></article><footer>f {i}</footer></body>") for i in range(3000)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == {i: f"T{i} Text number {i}" for i in range(3000)}
+
+
 def test_html_against_the_given_pages(spark, sf_dir):
     import html
     import re
