@@ -411,6 +411,7 @@ ORACLE = {
 SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 1 THEN {_math_sql('x')} ELSE x END), '$') AS text FROM m""",
     "clean_rules": f"SELECT page_id, {_CLEAN_SQL} AS text FROM pages",
     "enrich_title": f"SELECT doc_id, {_title_sql('text')} AS title FROM documents",
+    "enrich_summary": "WITH s AS (SELECT doc_id, trim(array_to_string(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' '), ' ') AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 500 THEN substr(s, 1, 497) || '...' ELSE s END AS summary FROM s",
     "enrich_tags": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({', '.join(_TAG_SQL)})))[1:10], '|') AS tags FROM documents",
     "content_type": f"SELECT page_id, {_content_sql('html')} AS content_type FROM pages UNION ALL SELECT doc_id, {_content_sql('text')} FROM documents",
     "chapter": f"SELECT doc_id, trim(regexp_replace(regexp_extract(substr(text, 1, 300), '{CHAPTER}', 0), '\\s+', ' ', 'g')) AS chapter, CASE WHEN regexp_matches(substr(text, 1, 400), '(?i){HARD}') THEN 'hard' WHEN regexp_matches(substr(text, 1, 400), '(?i){MEDIUM}') THEN 'medium' ELSE 'basic' END AS difficulty, regexp_matches(text, '(?s)\\$\\$?.+?\\$\\$?') AS has_formula FROM documents",

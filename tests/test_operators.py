@@ -361,3 +361,56 @@ def test_breaker_against_a_plain_walk(spark, sf_dir):
         held[r.user_id] = (name, failures, since)
     got = {r.event_id: r.state for r in streams.QUERIES["stream_breaker"](spark, sf_dir).collect()}
     assert got == want
+
+
+def test_post_dedup_against_a_plain_walk(spark):
+    random.seed(12)
+    rows, want = [], {}
+    for q in range(6):
+        base = [random.getrandbits(64) for _ in range(4)]
+        held = []
+        for rank in range(1, 25):
+            v = random.choice(base)
+            for b in random.sample(range(64), random.randint(0, 14)):
+                v ^= 1 << b
+            rows.append((q, rank * 10, rank, v >> 32, v & 0xFFFFFFFF))
+            want[q, rank] = all((v ^ w).bit_count() > fingerprints.NEAR_IN_RESULTS for w in held)
+            held += [v] if want[q, rank] else []
+    random.shuffle(rows)
+    got = {(r.query_id, r["rank"]): r.kept for r in fingerprints.post_dedup(spark.createDataFrame(rows, "query_id long, doc_id long, rank int, hi long, lo long")).collect()}
+    assert got == want and not all(want.values())
+
+
+def test_split_semantic_against_a_plain_version(spark):
+    import numpy as np
+
+    random.seed(13)
+    docs = {i: [("w" * random.randint(1, 700), [random.gauss(0, 1), random.gauss(0, 1), 0.5]) for _ in range(random.randint(1, 12))] for i in range(12)}
+    rows = [(i, k, t, v) for i, ps in docs.items() for k, (t, v) in enumerate(ps)]
+    random.shuffle(rows)
+    got = {}
+    for r in chunking.split_semantic(spark.createDataFrame(rows, "doc_id long, pos int, text string, vector array<double>")).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    for i, ps in docs.items():
+        want, last = [], None
+        for text, v in ps:
+            near = last is not None and float(np.dot(v, last) / np.linalg.norm(v) / np.linalg.norm(last)) >= 0.5
+            if near and len(want[-1]) + len(text) + 1 <= 1500:
+                want[-1] += "\n" + text
+            else:
+                want.append(text)
+            last = v
+        assert got[i] == want
+
+
+def test_recursive_split_keeps_to_its_size():
+    """Pieces are as long as allowed at most, begin where they say, overlap by no more than asked, and end at the first
+    separator of the list that the text around them has."""
+    random.seed(14)
+    for _ in range(50):
+        text = "".join(random.choice(["ab ", "c. ", "d\n", "e\n\n", "f" * random.randint(1, 60)]) for _ in range(random.randint(1, 80)))
+        parts = chunking.recursive_parts(text, ("\n\n", "\n", "。", ". ", " "), 50)
+        assert "".join(p for _, p in parts) == text and all(len(p) <= 50 and text[s : s + len(p)] == p for s, p in parts)
+        pieces = list(chunking._merge(parts, 50, 15))
+        assert all(len(p) <= 50 and text[s : s + len(p)] == p for s, p in pieces)
+        assert all(0 <= a + len(p) - b <= 15 for (a, p), (b, _) in zip(pieces, pieces[1:], strict=False))
