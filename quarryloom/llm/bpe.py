@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarryloom.llm import textbytes as tb
 from quarryloom.sources.tables import table
 
-CHUNK_CHARS, OVERLAP_CHARS = 16384, 1024
+CHUNK_CHARS, OVERLAP_CHARS = 32768, 1024
 _encodings: dict = {}
 
 
