@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith, WriterCommitMessage
 
-from quarryloom.llm.storage import maybe_among, saved, shared_folder
+from quarryloom.llm.storage import maybe_among, saved, shared_folder, temporary
 from quarryloom.sources.tables import table
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -303,8 +303,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     pages = table(spark, sf_dir, "pages")
     path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
-    records = revisits(pages, page_id="page_id", payload=F.col("html").cast("binary"), uri=F.col("url"))
-    records.write.format("warc").mode("append").save(path)
+    with temporary(spark):
+        records = revisits(pages, page_id="page_id", payload=F.col("html").cast("binary"), uri=F.col("url"))
+        records.write.format("warc").mode("append").save(path)
     read = lambda payload: spark.read.format("warc").option("payload", payload).load(path)
     full = read("true").where("record_type = 'response'").select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     short = read("false").where("record_type = 'revisit'").select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
