@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
-from quarryloom.llm.storage import file_row, saved
+from quarryloom.llm.storage import file_row, saved, temporary
 
 #: Repeated passages of so many words or more are cut: "over 50 words".
 PASSAGE_WORDS = 51
@@ -88,8 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
+    """All stages over the documents of `sf_dir`. Of the tables between them the last one stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    *first, (name, stage), (_, last) = STAGES
+    with temporary(spark) as keep:
+        for k, f in first:
+            docs = saved(f(spark, docs, sf_dir), k.replace(" ", "-"))
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return last(spark, docs, sf_dir)
