@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryloom.operators import bm25
 from quarryloom.operators.retrieval import bm25_sql, queries_of
+from quarryloom.sources.shared import saved
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 
 #: Weights of the sources by task, how far to overfetch, and their order by evidence profile.
@@ -103,7 +104,8 @@ def chosen(spark, d) -> DataFrame:
 def filled(spark, d) -> DataFrame:
     """The chosen units, and where they are fewer than k those of a search over all sources that are not among them, source
     by source; late says which."""
-    have = chosen(spark, d).select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(0).alias("late"))
+    # Few rows that are read three times; what they come from is not to be searched as often.
+    have = saved(chosen(spark, d).select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(0).alias("late")), "units")
     lacking = tasks(spark, d).select("query_id", "k").join(have.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (F.col("k") - F.coalesce("n", F.lit(0))).alias("lacking")).where("lacking > 0")
     more = units(everywhere(spark, d)).join(have.select("query_id", "unit"), ["query_id", "unit"], "left_anti").join(lacking, "query_id")
     turn = F.array_position(F.array(*map(F.lit, FILLING)), F.col("source_type"))
