@@ -7,7 +7,7 @@ more and their ids joined in order. Decoding concatenates the bytes of the ids.
 
 Null texts count as empty, which have no ids. Rows keep their other columns, whatever their names; repeated rows stay
 repeated. A text is limited by what one row may hold, and a chunk pair that never resynchronises (one pre-token longer
-than the overlap) is merged into one piece, so ids never depend on the chunk size.
+than the overlap, such as a long run of white space) is merged into one piece, so ids never depend on the chunk size.
 """
 
 from __future__ import annotations
@@ -61,6 +61,16 @@ def stitch(spans: list[tuple[int, list[int], list[int]]], length: int) -> list[i
     return [0, *cuts, length]
 
 
+def whole_piece_ids(enc, pattern: str, piece: str) -> list[int]:
+    """Ids of a piece. A long one is pre-tokenised here, as the library's own pattern overflows the stack on a long run of
+    white space, and its pre-tokens go through the merge ranks one by one."""
+    if len(piece) <= CHUNK_CHARS:
+        return enc.encode_ordinary(piece)
+    import regex
+
+    return [i for m in regex.finditer(pattern, piece) for i in enc._encode_single_piece(m.group())]
+
+
 def _row(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
@@ -116,7 +126,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text",
     def encode_piece(batches):
         enc = encoding(ranks_path, pattern)
         for b in batches:
-            ids = pa.array([_row(enc.encode_ordinary(t)) for t in b.column("part").to_pylist()], pa.binary())
+            ids = pa.array([_row(whole_piece_ids(enc, pattern, t)) for t in b.column("part").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("start"), ids], ["_key", "start", "piece_ids"])
 
     cut_arrow = pa.schema([("_key", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("part", pa.string())])

@@ -12,7 +12,8 @@ footers, asides, forms; words for adverts, notices or comments in class, id or r
 innermost container of the template with most of the host's weight is the content. Inside it, the innermost element around
 all slots is the text proper: constant text around it is dropped, and so are its block children, and block elements with a
 class, id or role of their own at any depth, that hold no slot; elements named as boilerplate are dropped there too, unless
-that would leave no slot. Constant text beside a slot stays.
+that would leave no slot. Constant text beside a slot stays, and so do plain paragraphs, headings, lists, quotations and
+tables inside it, whose words are not mostly links: an article may close with the same line on every page.
 
 A page without the content element of its host's template, and a host with too few pages for a template, is read by its
 elements: the article or main element, else the body, without elements and classes named as boilerplate.
@@ -60,6 +61,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ARTICLE = frozenset({"article", "main"})
 #: Elements that hold one block of text and so are no containers of a whole text.
 BLOCKS = frozenset("html p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption address hr".split())
+#: Elements of running text, which an article may repeat on every page of its host.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 
 
 def host_of(url: str | None) -> str:
@@ -214,9 +217,22 @@ def _article(nodes: list[tuple[str, _Open | None]], template: set[int], root: _O
             x = x.parent
         for y in reversed(chain):
             unit = y.name not in INLINE and (y.parent is inner or bool(y.hints))
-            stays[y] = stays[y.parent] and (y in live or not unit)
+            stays[y] = stays[y.parent] and (y in live or not unit or own_words(y))
         return stays[chain[0] if chain else x]
 
+    linked, words = {}, {}  # characters of links, and of all text, of the blocks that hold no slot
+    for value, where in held:
+        link, y = False, where
+        while y is not None and y is not inner and y not in live:
+            link = link or y.name == "a"
+            words[y] = words.get(y, 0) + len(value.strip())
+            linked[y] = linked.get(y, 0) + link * len(value.strip())
+            y = y.parent
+
+    def own_words(y: _Open) -> bool:
+        """Whether a block without a slot is the article's own all the same: a plain block of text, not mostly links."""
+        return y.name in TEXT_BLOCKS and not y.hints and 2 * linked.get(y, 0) <= words.get(y, 0)
+
     return [value for value, where in held if where is None or is_text(where)]
 
 

@@ -87,37 +87,85 @@ def body(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
 
+class _Member:
+    """The plain bytes of the gzip member that a stream stands at, inflated as far as they are asked for."""
+
+    def __init__(self, stream):
+        self.stream, self.inflate, self.held = stream, zlib.decompressobj(31), b""
+
+    def more(self, size: int) -> bool:
+        """Inflates up to `size` bytes; whether there were any."""
+        while not self.inflate.eof and (chunk := self.inflate.unconsumed_tail or self.stream.read(4096 if size <= 4096 else 1 << 18)):
+            if data := self.inflate.decompress(chunk, size):
+                self.held += data
+                return True
+        return False
+
+    def head(self) -> bytes | None:
+        """The next record's header; line ends between records are passed over. None at the member's end."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            head, found, rest = self.held.partition(b"\r\n\r\n")
+            if found:
+                self.held = rest
+                return head
+            if not self.more(4096):
+                return None
+
+    def take(self, size: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        self.held = b""
+        while have < size and self.more(1 << 18):
+            parts.append(self.held)
+            have += len(self.held)
+            self.held = b""
+        data = b"".join(parts)
+        self.held = data[size:]
+        return data[:size]
+
+    def skip(self, size: int) -> None:
+        while size > len(self.held):
+            size -= len(self.held)
+            self.held = b""
+            if not self.more(1 << 18):
+                return
+        self.held = self.held[size:]
+
+    def close(self) -> None:
+        """Puts the stream at the first byte after the member."""
+        while not self.inflate.eof and self.more(1 << 18):
+            self.held = b""
+        self.stream.seek(self.stream.tell() - len(self.inflate.unused_data))
+
+
 def _gzip_records(stream, wanted):
-    """Records of concatenated gzip members, one each."""
+    """Records of concatenated gzip members of one or more each. A member that carries its length and holds one record is
+    jumped over as soon as the header shows that its payload is not wanted."""
     while True:
         start = stream.tell()
         first = stream.read(12)
         if len(first) < 12:
             return
-        size = None
+        size = plain = None
         if first[3] & 4:
             extra = stream.read(struct.unpack("<H", first[10:12])[0])
-            if extra[:2] == b"sl":
-                size = struct.unpack("<I", extra[4:8])[0]
+            if len(extra) >= 12 and extra[:2] == b"sl":
+                size, plain = struct.unpack("<II", extra[4:12])
         stream.seek(start)
-        inflate = zlib.decompressobj(31)
-        data = b""
-        while b"\r\n\r\n" not in data and not inflate.eof and (chunk := inflate.unconsumed_tail or stream.read(4096)):
-            data += inflate.decompress(chunk, 4096)
-        head, _, rest = data.partition(b"\r\n\r\n")
-        row = parse(head)
-        keep = wanted(row)
-        if keep == 2:
-            parts, have = [rest], len(rest)
-            while not inflate.eof and (chunk := inflate.unconsumed_tail or stream.read(1 << 18)):
-                parts.append(inflate.decompress(chunk))
-            row["payload"] = body(b"".join(parts)[: row["_length"]])
-        if keep:
-            yield row
+        member = _Member(stream)
+        while (head := member.head()) is not None:
+            row = parse(head)
+            keep = wanted(row)
+            if keep == 2:
+                row["payload"] = body(member.take(row["_length"]))
+            if keep:
+                yield row
+            if size is not None and (len(head) + row["_length"] + 8) & 0xFFFFFFFF == plain:
+                break
+            if keep != 2:
+                member.skip(row["_length"])
         if size is None:
-            while not inflate.eof and (chunk := inflate.unconsumed_tail or stream.read(1 << 18)):
-                inflate.decompress(chunk, 1 << 18)
-            stream.seek(stream.tell() - len(inflate.unused_data))
+            member.close()
         else:
             stream.seek(start + size)
 

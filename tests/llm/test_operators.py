@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarryloom.llm import bpe, decontaminate, html_text, license_scan, near_dedup, quality, suffix_dedup, toxicity, url_rules, warc
@@ -47,6 +48,25 @@ def test_bpe(spark, docs, texts):
     assert bpe.encode(docs, *bpe.public_ranks()).count() == len(texts) + 2
 
 
+@pytest.mark.parametrize("middle", [" ", "\n", "a", "\u3000\t"])
+def test_bpe_of_very_long_runs(spark, middle):
+    """A run without a boundary, far longer than the stack of the library's pattern allows."""
+    long = middle * (2_000_000 // len(middle))
+    texts = ["x " + long + "y", long, "one two\n" * 10000 + long + " z"]
+    enc = bpe.encoding(*bpe.public_ranks())
+    got = {r.doc_id: r for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *bpe.public_ranks(), with_decoded=True).collect()}
+    for i, t in enumerate(texts):
+        want = [x for m in regex.finditer(bpe.public_ranks()[1], t) for x in enc._encode_single_piece(m.group())]
+        assert bytes(got[i].ids) == np.asarray(want, "<u4").tobytes() and bytes(got[i].decoded) == t.encode()
+
+
+def test_bpe_pre_tokens_one_by_one_are_those_of_the_library(monkeypatch, texts):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 0)
+    enc = bpe.encoding(*bpe.public_ranks())
+    for t in [*filter(None, texts), " " * 5000 + "x", "\n\n x  " * 50, "don't  \t'll"]:
+        assert bpe.whole_piece_ids(enc, bpe.public_ranks()[1], t) == enc.encode_ordinary(t)
+
+
 def test_stitch_needs_a_common_boundary():
     assert bpe.stitch([(0, [], [90, 95]), (100, [93, 95], [])], 200) == [0, 95, 200]
     assert bpe.stitch([(0, [], [90]), (100, [93], [])], 200) == [0, 200]
@@ -368,9 +388,28 @@ def test_warc_reads_foreign_files(spark, tmp_path):
         parts.append(head + block)
     (tmp_path / "a.warc").write_bytes(b"".join(parts))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(parts)) + gzip.compress(parts[0] + parts[1]) + warc.member(parts[1] + parts[2], 6) + warc.member(parts[0], 6))
+    read = spark.read.format("warc").load(str(tmp_path))
+    assert sorted(bytes(r.payload) for r in read.collect()) == sorted([b"abc%d\n" % k for k in range(3)] * 2 + [b"abc%d\n" % k for k in (0, 1, 2, 0, 1, 1, 2, 0)])
+    assert read.where("record_id = 'urn:x:1'").count() == 5
+    assert read.where("record_id = 'urn:x:1' AND payload IS NOT NULL").count() == 5
+    assert spark.read.format("warc").option("payload", "false").load(str(tmp_path)).count() == 14
+
+
+def test_warc_members_of_many_and_long_records(spark, tmp_path):
+    """Records of all lengths in one gzip member, read with and without their payloads."""
+    import gzip
+
+    warc.register(spark)
+    parts, sizes = [], [0, 1, 5, 4096, 4095, 300_000, 2, 70_000, 0, 1_000_001, 3]
+    for k, n in enumerate(sizes):
+        head, block = warc.record({"record_id": f"urn:x:{k}", "record_type": "response" if k % 2 else "metadata", "target_uri": f"http://h/{k}", "refers_to": None, "payload_digest": "00" * 20, "payload_bytes": n, "payload": b"\r\n" * (n // 2) + b"x" * (n % 2)})
+        parts.append(head + block)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
     read = spark.read.format("warc").load(str(tmp_path))
-    assert sorted(bytes(r.payload) for r in read.collect()) == sorted([b"abc%d\n" % k for k in range(3)] * 2)
-    assert read.where("record_id = 'urn:x:1'").count() == 2
+    assert {r.record_id: len(r.payload or b"") for r in read.collect()} == {f"urn:x:{k}": n for k, n in enumerate(sizes)}
+    some = read.where("record_type = 'response'").select("record_id", F.length("payload").alias("n"))
+    assert {r.record_id: r.n for r in some.collect()} == {f"urn:x:{k}": n for k, n in enumerate(sizes) if k % 2}
 
 
 PAGE = "<!DOCTYPE html><html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><header>Site</header><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class=\"ad\">buy {0}</div>{1}<footer>&copy; h</footer></body></html>"
@@ -385,7 +424,7 @@ def test_html_extraction(spark):
     assert len(got) == len(rows)
     text = {r.page_id: r.text for r in got}
     assert text[3] == "Title & 3 One word 3. Two lines"
-    assert text[12] == "Head 2 Text 2"
+    assert text[12] == "Head 2 Text 2 Same on all pages"
     assert (text[20], text[21]) == ("", "") and text[22].startswith("lonely <tag>")
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -406,6 +445,14 @@ def test_html_template_decides_inside_articles(spark):
     assert got[30] == "Site slogan Follow us daily Head 7 Text 7 Ring the desk End 7"
 
 
+def test_html_constant_words_of_an_article_stay(spark):
+    """Lines that every article of a host ends with are its own; constant links, unnamed boxes and named boilerplate are not."""
+    page = "<body><article><h1>Head {0}</h1><p>Text {0} goes on</p><p>The editors stand by every word.</p><ul><li>Kept <a href='/'>as</a> list</li></ul><div>Ring us</div><p class='share'>Tell it</p><p><a href='/a'>More</a> <a href='/b'>news</a></p></article></body>"
+    rows = [(i, "http://a/", page.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Head {i} Text {i} goes on The editors stand by every word. Kept as list" for i in range(6)}
+
+
 def test_html_template_finds_the_content(spark):
     """Without articles and listed classes the template of the host says where the text stands; a page alone on its host, read
     without a template, keeps what varies around it."""
