@@ -20,8 +20,8 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def runs(flat: np.ndarray, offsets: np.ndarray, length: int):
-    """Stretches of windows of `length` bytes that share an anchor, the leftmost smallest gram hash inside the window.
+def runs(flat: np.ndarray, offsets: np.ndarray, length: int, size: int = GRAM):
+    """Stretches of windows of `length` bytes (or 64-bit codes) that share an anchor, the leftmost smallest hash of `size` of them inside the window.
 
     Returns text number, first and last window start (offsets in the text), anchor offset, anchor hash and the hash of
     all bytes that the windows cover. Equal windows have equal anchors at equal distances, in whatever text they stand.
@@ -30,9 +30,9 @@ def runs(flat: np.ndarray, offsets: np.ndarray, length: int):
     if len(flat) < length:
         return z, z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     prefix = tb.prefix_hash(flat)
-    at = np.arange(len(flat) - GRAM + 1)
-    gram = tb.span_hash(prefix, at, at + GRAM)
-    w = length - GRAM + 1
+    at = np.arange(len(flat) - size + 1)
+    gram = tb.span_hash(prefix, at, at + size)
+    w = length - size + 1
     # The position fills the low bits, so that a minimum tells where it stands and the leftmost of equal grams wins.
     low = np.uint64(max(1, int(len(flat)).bit_length()))
     mask = (np.uint64(1) << low) - np.uint64(1)

@@ -25,6 +25,8 @@ the input is split. A null `order` stands before all others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +40,8 @@ from quarryloom.sources.tables import table
 LENGTH, HOT_RUNS = 400, 128
 #: Windows of the pieces into which the runs of an anchor with many of them are cut, ever smaller ones.
 PIECES = (16, 4)
-#: Windows by which passages of whole words are found: 51 words of prose are longer.
-PASSAGE_LENGTH = 256
+#: Passages of "over 50 words" have so many at least. Words are compared as codes of so many bytes, and anchors are so many.
+PASSAGE_WORDS, WORD_BYTES, WORD_GRAM = 51, 8, 3
 BLOCK_BYTES = 2 << 20
 _RUN = "ord long, rid long, s int, a int, e int"
 _FETCHED = f"key long, full long, {_RUN}, n long, data binary"
@@ -49,22 +51,38 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
-def _find_runs(length: int):
+def symbols(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a column's texts are made of, bytes or the codes of words, and where each text begins."""
+    flat, offsets = tb.texts(column)
+    return (flat, offsets) if width == 1 else (flat.view(np.uint64), offsets // width)
+
+
+def word_codes(batches):
+    """Texts as the 64-bit hashes of their words, one after the other; (rid, ord, text) in and out."""
+    for b in tb.slices(batches):
+        flat, offsets = tb.texts(b.column("text"))
+        start, end, number = tb.words(flat, offsets, tb.NOT_SPACE)
+        codes = tb.span_hash(tb.prefix_hash(flat), start, end)
+        at = (tb.by_text(number, b.num_rows) * WORD_BYTES).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("ord"), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at), pa.py_buffer(codes)])], ["rid", "ord", "text"])
+
+
+def _find_runs(length: int, width: int):
     def run(batches):
         for b in tb.slices(batches):
-            n, s, e, a, gram, full = anchors.runs(*tb.texts(b.column("text")), length)
+            n, s, e, a, gram, full = anchors.runs(*symbols(b.column("text"), width), length, anchors.GRAM if width == 1 else WORD_GRAM)
             rid, order = (np.asarray(b.column(c).fill_null(0)) for c in ("rid", "ord"))
             yield pa.RecordBatch.from_arrays([_signed(gram), _signed(full), _signed(order[n]), _signed(rid[n]), *(pa.array(x, pa.int32()) for x in (s, a, e))], ["key", "full", "ord", "rid", "s", "a", "e"])
 
     return run
 
 
-def _fetch(length: int, piece: int):
+def _fetch(length: int, piece: int, width: int):
     """Bytes of each wanted run; for a run of a hot anchor the hashes of its pieces instead."""
 
     def run(batches):
         for b in tb.slices(batches):
-            flat, offsets = tb.texts(b.column("text"))
+            flat, offsets = symbols(b.column("text"), width)
             prefix = tb.prefix_hash(flat)
             out = {k: [] for k in ("key", "full", "ord", "rid", "s", "a", "e", "n", "data")}
             raw = flat.tobytes()
@@ -73,7 +91,7 @@ def _fetch(length: int, piece: int):
                 rid = b.column("rid")[i].as_py()
                 for w in wanted:
                     if not w["hot"]:
-                        rows = [(w["key"], 0, w["s"], w["e"], raw[at + w["s"] : at + w["e"] + length])]
+                        rows = [(w["key"], 0, w["s"], w["e"], raw[(at + w["s"]) * width : (at + w["e"] + length) * width])]
                     else:
                         # Pieces are cut at fixed distances from the anchor, so equal text is cut alike everywhere.
                         low, high = w["a"] - w["e"], w["a"] - w["s"]
@@ -112,9 +130,9 @@ def neighbour_match(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return best
 
 
-def repeated_windows(data: list[bytes], group: np.ndarray, s: np.ndarray, a: np.ndarray, e: np.ndarray, copies: np.ndarray, rank: np.ndarray, length: int, keep_first: bool):
+def repeated_windows(data: list[bytes], group: np.ndarray, s: np.ndarray, a: np.ndarray, e: np.ndarray, copies: np.ndarray, rank: np.ndarray, length: int, keep_first: bool, width: int = 1):
     """(run number, window start) of the windows of each run that have an earlier (or any other) equal one in its group.
-    rank orders the runs; copies: in how many places the run stands."""
+    rank orders the runs; copies: in how many places the run stands. Windows begin at multiples of `width` bytes."""
     flat = np.frombuffer(b"".join(data), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(x) for x in data])])
     room = np.concatenate([flat, np.zeros(length, np.uint8)])
@@ -126,11 +144,12 @@ def repeated_windows(data: list[bytes], group: np.ndarray, s: np.ndarray, a: np.
     lcp, lcs = np.minimum(neighbour_match(right, group), right_length), np.minimum(neighbour_match(left, group), left_length)
     # A window d bytes before the anchor needs d equal bytes on the left and the rest on the right.
     low, high = np.maximum(a - e, length - lcp), np.minimum(left_length, lcs)
-    size = np.maximum(high - low + 1, 0)
+    low, high = -(-low // width) * width, high // width * width
+    size = np.maximum((high - low) // width + 1, 0)
     run = np.repeat(np.arange(len(data)), size)
     if not len(run):
         return run, run
-    d = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size))
+    d = high[run] - width * (np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size))
     strings = np.lib.stride_tricks.sliding_window_view(room, length)
     out = []
     order0 = np.lexsort((d, group[run]))
@@ -158,15 +177,16 @@ def repeated_windows(data: list[bytes], group: np.ndarray, s: np.ndarray, a: np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _blocks(length: int, keep_first: bool):
+def _blocks(length: int, keep_first: bool, width: int):
     """Reads fetched runs sorted by anchor, a block of whole groups at a time."""
 
     def solve(pending: pa.Table):
         c = {k: np.asarray(pending.column(k).combine_chunks()) for k in ("key", "ord", "rid", "s", "a", "e", "n")}
-        s, a, e = (c[k].astype(np.int64) for k in "sae")
+        s, a, e = (c[k].astype(np.int64) * width for k in "sae")
         rank = np.empty(len(s), np.int64)
         rank[np.lexsort((s, c["rid"], c["ord"]))] = np.arange(len(s))
-        run, start = repeated_windows(pending.column("data").to_pylist(), c["key"], s, a, e, c["n"], rank, length, keep_first)
+        run, start = repeated_windows(pending.column("data").to_pylist(), c["key"], s, a, e, c["n"], rank, length * width, keep_first, width)
+        start = start // width
         order = np.lexsort((start, run))
         run, start = run[order], start[order]
         new = np.ones(len(run), bool)
@@ -212,18 +232,19 @@ def _one_of(keep_first: bool) -> Column:
     return (F.min(F.struct(*columns)) if keep_first else F.struct(*(F.first(c).alias(c) for c in columns))).alias("first")
 
 
-def _fetched(texts: DataFrame, wanted: DataFrame, length: int, piece: int) -> DataFrame:
+def _fetched(texts: DataFrame, wanted: DataFrame, length: int, piece: int, width: int) -> DataFrame:
     """wanted: key, the columns of a run, n, hot. See `_fetch`."""
     listed = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ord", "s", "a", "e", "n", "hot")).alias("wanted"))
-    return saved(maybe_among(texts, "rid", wanted.select("rid"))[0].join(listed, "rid").mapInArrow(_fetch(length, piece), _FETCHED), "fetched")
+    return saved(maybe_among(texts, "rid", wanted.select("rid"))[0].join(listed, "rid").mapInArrow(_fetch(length, piece, width), _FETCHED), "fetched")
 
 
-def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot_runs: int = HOT_RUNS, pieces: tuple[int, ...] = PIECES) -> DataFrame:
-    """texts: rid (unique), ord (long), text. Returns rid, s, e: ranges of window starts whose windows are repeated."""
+def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot_runs: int = HOT_RUNS, pieces: tuple[int, ...] = PIECES, width: int = 1) -> DataFrame:
+    """texts: rid (unique), ord (long), text. Returns rid, s, e: ranges of window starts whose windows are repeated. With
+    the `width` of word codes, texts are those of `word_codes` and length, s and e count words."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     keep_first = keep == "first"
-    runs = saved(texts.mapInArrow(_find_runs(length), f"key long, full long, {_RUN}"), "runs")
+    runs = saved(texts.mapInArrow(_find_runs(length, width), f"key long, full long, {_RUN}"), "runs")
     # Most anchors stand alone: the keys are counted first, so that few whole runs have to move.
     often = saved(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     runs = maybe_among(runs, "key", often)[0]
@@ -232,9 +253,9 @@ def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot
     classes = saved(classes.join(several, "key", "left").where("n > 1 OR c IS NOT NULL"), "classes")
     out = _again(runs, classes, ["key", "full"], keep_first)
     wanted = classes.where("c > 1").select("key", "first.*", "n", (F.col("c") > hot_runs).alias("hot"))
-    fetched = _fetched(texts, wanted, length, pieces[0])
+    fetched = _fetched(texts, wanted, length, pieces[0], width)
     blocks = fetched.where("data IS NOT NULL").repartition("key").sortWithinPartitions("key")
-    out = out.unionByName(blocks.mapInArrow(_blocks(length, keep_first), "rid long, s int, e int"))
+    out = out.unionByName(blocks.mapInArrow(_blocks(length, keep_first, width), "rid long, s int, e int"))
     if classes.where(F.col("c") > hot_runs).isEmpty():
         return out
     found = fetched.where("data IS NULL")
@@ -243,7 +264,7 @@ def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot
         shared = kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         kinds = saved(kinds.join(shared, "key", "left").where("n > 1 OR c IS NOT NULL"), "pieces")
         out = out.unionByName(_again(found, kinds, ["key", "full"], keep_first))
-        found = _fetched(texts, kinds.where("c > 1").select("key", "first.*", "n", F.lit(True).alias("hot")), length, piece)
+        found = _fetched(texts, kinds.where("c > 1").select("key", "first.*", "n", F.lit(True).alias("hot")), length, piece, width)
     counted = found.groupBy("key").agg(F.sum("n").alias("n"), _one_of(keep_first))
     return out.unionByName(_again(found, counted, ["key"], keep_first))
 
@@ -259,49 +280,40 @@ def merged(ranges: list | None, length: int) -> list[list[int]]:
     return out
 
 
-def whole_words(text: bytes, spans: list[list[int]], least: int) -> list[list[int]]:
-    """Those of `spans` that hold at least `least` whole words of `text`."""
-    out = []
-    for i, j in spans:
-        cut = text[i:j].split()
-        n = len(cut)
-        if n and i and not text[i - 1 : i].isspace() and not text[i : i + 1].isspace():
-            n -= 1
-        if n and j < len(text) and not text[j : j + 1].isspace() and not text[j - 1 : j].isspace():
-            n -= 1
-        if n >= least:
-            out.append([i, j])
-    return out
-
-
-def _cut(carried: list[str], length: int, as_text: bool, min_words: int):
-    """Removes the covered bytes; where text is wanted, what is left of characters that were cut goes with them."""
+def _cut(carried: list[str], length: int, as_text: bool, by_words: bool):
+    """Removes what the ranges cover, bytes or whole words with what stands between them; where text is wanted, what is
+    left of characters that were cut goes too. Passages are counted by their own ranges of words."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b in tb.slices(batches):
-            kept, removed, spans = [], [], []
-            for text, ranges in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("ranges").to_pylist(), strict=True):
+            kept, removed, spans, passages = [], [], [], []
+            for text, ranges, repeats in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("ranges").to_pylist(), b.column("repeats").to_pylist(), strict=True):
                 text, held = text or b"", merged(ranges, length)
-                if min_words:
-                    held = whole_words(text, held, min_words)
+                if by_words and held:
+                    start, end, _ = tb.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), tb.NOT_SPACE)
+                    held = [[int(start[i]), int(end[j - 1])] for i, j in held]
                 edges = [0, *(x for r in held for x in r), len(text)]
                 kept.append(b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(sum(j - i for i, j in held))
                 spans.append([{"start": i, "end": j} for i, j in held])
+                passages.append(len(merged(repeats, PASSAGE_WORDS)))
             texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts, pa.array(removed, pa.int64()), pa.array(spans, kind)], [*carried, "kept", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(passages, pa.int64())], [*carried, "kept", "n_removed", "spans", "n_passages"])
 
     return run
 
 
-def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", row: Column | None = None, columns: list[str] | None = None, as_text: bool = False, min_words: int = 0, length: int = LENGTH, **options) -> DataFrame:
+def dedup(
+    docs: DataFrame, *, order: str = "doc_id", text: str = "text", row: Column | None = None, columns: list[str] | None = None, as_text: bool = False, length: int = LENGTH, by_words: bool = False, count_passages: bool = False, **options
+) -> DataFrame:
     """Adds kept (the remaining bytes, or with as_text their characters), n_removed and spans (removed byte ranges) to
     `columns` of docs (all by default).
 
     row: a number for each row that is the same however the rows are split and read, such as storage.file_row() for a
-    table read from files; without it the rows are numbered once and saved. min_words: only stretches with at least so
-    many whole words (between white space) are removed.
+    table read from files; without it the rows are numbered once and saved. by_words: `length` counts words (between white
+    space), which are compared one by one whatever stands between them. count_passages: adds n_passages, the number of
+    stretches of over 50 words that `keep` would have removed by words; no byte is removed for them.
     """
     from pyspark.sql import types as T
 
@@ -311,19 +323,27 @@ def dedup(docs: DataFrame, *, order: str = "doc_id", text: str = "text", row: Co
     with temporary(docs.sparkSession) as keep:
         if row is None:
             base = keep(base, "numbered")
-        ranges = repeated(base.select("rid", "ord", "text"), length=length, **options)
-        ranges = keep(ranges.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
+        plain = base.select("rid", "ord", "text")
+        coded = plain.mapInArrow(word_codes, "rid long, ord long, text binary")
+        found = repeated(coded, length=length, width=WORD_BYTES, **options) if by_words else repeated(plain, length=length, **options)
+        kinds = {"ranges": found}
+        if count_passages:
+            kinds["repeats"] = repeated(coded, length=PASSAGE_WORDS, width=WORD_BYTES, **options)
+        whole = reduce(DataFrame.unionByName, (df.select("rid", *(F.struct("s", "e").alias(k) if k == name else F.lit(None).cast("struct<s:int,e:int>").alias(k) for k in ("ranges", "repeats"))) for name, df in kinds.items()))
+        ranges = keep(whole.groupBy("rid").agg(*(F.collect_list(k).alias(k) for k in ("ranges", "repeats"))), "ranges")
     base = base.drop("ord")
     touched, rest = maybe_among(base, "rid", ranges.select("rid"))
-    base = touched.join(ranges, "rid", "left").unionByName(rest.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
-    added = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, n_removed long, spans array<struct<start:long,end:long>>")
+    none = F.lit(None).cast(ranges.schema["ranges"].dataType)
+    base = touched.join(ranges, "rid", "left").unionByName(rest.withColumns({"ranges": none, "repeats": none}))
+    added = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, n_removed long, spans array<struct<start:long,end:long>>, n_passages long")
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in fields.items()] + added.fields)
-    out = base.mapInArrow(_cut(list(fields.values()), length, as_text, min_words), schema)
-    return out.select(*(F.col(n).alias(c) for c, n in fields.items()), *added.names)
+    out = base.mapInArrow(_cut(list(fields.values()), length, as_text, by_words), schema)
+    return out.select(*(F.col(n).alias(c) for c, n in fields.items()), *(c for c in added.names if c != "n_passages" or count_passages))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that stand in a 400-byte string found twice, and the digest of the others."""
+    """Bytes of every document that stand in a 400-byte string found twice, and the digest of the others; n_passages tells
+    of its repeated passages of over 50 words, which may be shorter than 400 bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup(docs, columns=["doc_id"], keep="none", row=file_row())
-    return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = dedup(docs, columns=["doc_id"], keep="none", row=file_row(), count_passages=True)
+    return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages")

@@ -66,9 +66,9 @@ def slices(batches, limit: int = SLICE_BYTES, column: str = "text"):
 
 
 def prefix_hash(flat: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] the weighted sum of the bytes i..j-1; `span_hash` turns it into a hash of those bytes."""
+    """S with S[j] - S[i] the weighted sum of the bytes (or 64-bit codes) i..j-1; `span_hash` turns it into their hash."""
     out = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(_CODES[flat] * powers(len(flat))[0], out=out[1:])
+    np.cumsum((_CODES[flat] if flat.dtype == np.uint8 else mix(flat)) * powers(len(flat))[0], out=out[1:])
     return out
 
 

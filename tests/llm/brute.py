@@ -23,20 +23,29 @@ def removed(texts, length, keep_first):
     return data, flags
 
 
-def long_spans(data, flags, words):
-    """Of the flagged stretches of each text, those of at least so many whole words: (start, end)."""
+def repeated_words(texts, length, keep_first):
+    """The bytes of each text, and the stretches of those words of it that stand in a window of `length` words found twice."""
+    seen = collections.defaultdict(list)
+    data = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    hit = [bytearray(len(p)) for p in places]
+    for i, (b, p) in enumerate(zip(data, places, strict=True)):
+        words = [b[x:y] for x, y in p]
+        for k in range(len(words) - length + 1):
+            seen[tuple(words[k : k + length])].append((i, k))
+    for found in seen.values():
+        if len(found) > 1:
+            for i, k in found[1:] if keep_first else found:
+                hit[i][k : k + length] = b"\x01" * length
     out = []
-    for b, f in zip(data, flags, strict=True):
+    for p, h in zip(places, hit, strict=True):
         spans, at = [], 0
-        while (i := f.find(1, at)) >= 0:
-            j = f.find(0, i)
-            j = len(f) if j < 0 else j
-            whole = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", b) if i <= m.start() and m.end() <= j]
-            if len(whole) >= words:
-                spans.append((i, j))
-            at = j
+        while (i := h.find(1, at)) >= 0:
+            j = h.find(0, i)
+            at = len(h) if j < 0 else j
+            spans.append((p[i][0], p[at - 1][1]))
         out.append(spans)
-    return out
+    return data, out
 
 
 def components(ids, texts, words, percent):

@@ -166,15 +166,29 @@ def test_registered_suffix_dedup(spark, tmp_path):
         kept = bytes(x for x, m in zip(b, f, strict=True) if not m)
         spans = sum(1 for k, x in enumerate(f) if x and not (k and f[k - 1]))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(f), spans, hashlib.sha256(kept).hexdigest())
+    assert [got[i].n_passages for i in range(len(rows))] == list(map(len, brute.repeated_words(rows, 51, False)[1]))
 
 
-def test_suffix_dedup_of_whole_words(spark, tmp_path):
+@pytest.mark.parametrize("options", [{}, {"hot_runs": 2, "pieces": (8, 3)}, {"hot_runs": 1, "pieces": (5,)}])
+@pytest.mark.parametrize("keep", ["first", "none"])
+def test_suffix_dedup_of_whole_words(spark, tmp_path, keep, options):
+    """Passages are told by their words, whatever stands between these and however short they are."""
+    random.seed(8)
     rows = passage_rows()
+    base = [[random.choice("a b cc ÿ to".split()) for _ in range(120)] for _ in range(4)]
+    for _ in range(60):
+        words = [random.choice("abcdefghijklm") for _ in range(random.randint(0, 30))]
+        for _ in range(random.randint(0, 2)):
+            k = random.randint(0, 100)
+            words += random.choice(base)[k : k + random.randint(0, 90)] + [random.choice("uvwxyz") for _ in range(random.randint(0, 9))]
+        rows.append("".join(w + random.choice([" ", "\n", " \t "]) for w in words))
+    rows += ["to " * 80, "to " * 50, "to " * 51, " ".join(f"{'x' * 90}{k}" for k in range(50))] * 2
     d = table(spark, tmp_path, list(enumerate(rows)), "doc_id long, text string", parts=5)
-    got = {r.doc_id: r.kept for r in suffix_dedup.dedup(d, row=file_row(), length=256, min_words=51, as_text=True).collect()}
-    data, flags = brute.removed(rows, 256, True)
-    for i, (b, spans) in enumerate(zip(data, brute.long_spans(data, flags, 51), strict=True)):
-        assert got[i] == b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True)).decode()
+    for words in (51, 9):
+        got = {r.doc_id: r for r in suffix_dedup.dedup(d, row=file_row(), length=words, by_words=True, as_text=True, keep=keep, **options).collect()}
+        for i, (b, spans) in enumerate(zip(*brute.repeated_words(rows, words, keep == "first"), strict=True)):
+            assert got[i].kept == b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True)).decode()
+            assert [(s.start, s.end) for s in got[i].spans] == spans
 
 
 def test_tables_of_two_threads_stay_apart(spark):

@@ -23,8 +23,7 @@ def test_every_stage_against_brute_force(spark, sf_dir):
     assert set(one.doc_id) <= base and set(one.doc_id) == set(verdict.doc_id)
     groups = brute.components(list(one.doc_id), list(one.text), 5, 80)
     assert set(two.doc_id) == {c for _, c in groups.values()}
-    data, flags = brute.removed(list(two.text), 256, True)
-    spans = brute.long_spans(data, flags, 51)
+    data, spans = brute.repeated_words(list(two.text), 51, True)
     want = {i: b"".join(b[x:y] for x, y in zip([0, *(e for _, e in s)], [*(f for f, _ in s), len(b)], strict=True)).decode("utf-8", "ignore") for i, b, s in zip(two.doc_id, data, spans, strict=True)}
     want = {i: t for (i, t), s in zip(want.items(), spans, strict=True) if t.strip() or not s}
     assert dict(zip(three.doc_id, three.text, strict=True)) == want and (three.n_chars == three.text.str.len()).all()
