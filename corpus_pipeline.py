@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from quarryloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
 from quarryloom.llm.storage import file_row, saved, temporary
 
-#: Repeated passages of so many words or more are cut: "over 50 words".
-PASSAGE_WORDS = 51
-
 
 def carried(docs: DataFrame):
     """docs with all columns but doc_id and text under names that no operator uses, and what gives the names back."""
@@ -47,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     inner, back = carried(docs)
     others = [c for c in inner.columns if c != "text"]
-    out = suffix_dedup.dedup(inner, columns=others, as_text=True, row=row_of(inner), length=suffix_dedup.PASSAGE_LENGTH, min_words=PASSAGE_WORDS)
+    out = suffix_dedup.dedup(inner, columns=others, as_text=True, row=row_of(inner), length=suffix_dedup.PASSAGE_WORDS, by_words=True)
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
