@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +27,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The paths that the innermost `temporary` of this thread has to delete.
+_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once and read back, so that later jobs neither repeat nor depend on what made them."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (mine := _open.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables saved inside, by the same thread, are deleted at the end, but for those saved by the function that this
+    gives: these go with the `temporary` around it, or stay if there is none."""
+    outer, mine = _open.get(), []
+    token = _open.set(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _open.set(outer)
+        try:
+            return saved(df, name)
+        finally:
+            _open.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        for path in mine:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder of this name."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

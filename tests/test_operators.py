@@ -414,3 +414,44 @@ def test_recursive_split_keeps_to_its_size():
         pieces = list(chunking._merge(parts, 50, 15))
         assert all(len(p) <= 50 and text[s : s + len(p)] == p for s, p in pieces)
         assert all(0 <= a + len(p) - b <= 15 for (a, p), (b, _) in zip(pieces, pieces[1:], strict=False))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_kept_is_the_plain_loop(spark, seed):
+    """Random graphs, rows of near copies that each know only their neighbours, and a hub."""
+    from quarryloom.operators import fingerprints
+    from quarryloom.sources.shared import temporary
+
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(300), rng.randrange(300)) for _ in range(400)} | {(1000 + k, 1000 + k + 1) for k in range(60)} | {(5000, 5001 + k) for k in range(100)} | {(6000 + k, 6000 + j) for k in range(12) for j in range(k)}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    kept = set()
+    for x in sorted(near):
+        if not near[x] & kept:
+            kept.add(x)
+    with temporary(spark):
+        dropped, rounds = fingerprints.first_kept(spark.createDataFrame(sorted(pairs), "a long, b long"))
+        assert {r.id for r in dropped.collect()} == set(near) - kept and rounds < 12
+
+
+def test_first_kept_of_a_long_row_takes_few_rounds(spark):
+    from quarryloom.operators import fingerprints
+    from quarryloom.sources.shared import temporary
+
+    with temporary(spark):
+        dropped, rounds = fingerprints.first_kept(spark.range(9999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert rounds == 1 and [r.id for r in dropped.orderBy("id").collect()] == list(range(1, 10000, 2))
+        nothing, rounds = fingerprints.first_kept(spark.createDataFrame([(1, 1)], "a long, b long"))
+        assert rounds == 0 and nothing.count() == 0
+
+
+def test_keep_first_keeps_copies_of_what_was_dropped(spark):
+    from quarryloom.operators import fingerprints
+
+    prints = spark.createDataFrame([(1, 0, 0), (2, 0, 0b111), (3, 0, 0b111111), (4, 0, 0), (5, 0, 0b111111), (6, 1 << 30, 0b11 << 20)], "doc_id long, hi long, lo long")
+    assert {r.doc_id for r in fingerprints.keep_first(prints).where("kept").collect()} == {1, 3, 6}
+    assert {r.doc_id for r in fingerprints.group_near(prints).where("kept").collect()} == {1, 6}
