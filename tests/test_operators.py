@@ -452,6 +452,6 @@ def test_first_kept_of_a_long_row_takes_few_rounds(spark):
 def test_keep_first_keeps_copies_of_what_was_dropped(spark):
     from quarryloom.operators import fingerprints
 
-    prints = spark.createDataFrame([(1, 0, 0), (2, 0, 0b111), (3, 0, 0b111111), (4, 0, 0), (5, 0, 0b111111), (6, 1 << 30, 0b11 << 20)], "doc_id long, hi long, lo long")
+    prints = spark.createDataFrame([(1, 0, 0), (2, 0, 0b111), (3, 0, 0b111111), (4, 0, 0), (5, 0, 0b111111), (6, 3 << 29, 0b11 << 20)], "doc_id long, hi long, lo long")
     assert {r.doc_id for r in fingerprints.keep_first(prints).where("kept").collect()} == {1, 3, 6}
     assert {r.doc_id for r in fingerprints.group_near(prints).where("kept").collect()} == {1, 6}
