@@ -2,8 +2,8 @@
 
 The index is split by document: a row holds a document's length and its terms with their counts. Searching needs no shuffle of
 postings: the terms of the queries go to every task in blocks of bounded size, each task scores its documents against them
-in small dense blocks and hands on its k best for each query, and these few are ranked together. Scores are exact; no
-term, document or candidate is left out.
+slice by slice and hands on its k best for each query once, at its end, and these few are ranked together. Scores are exact; no
+term, document or candidate is left out. For repeated searches there is an inverted form as well, see `blockmax`.
 
 A stored index is a folder of additions. Additions and removals are written beside what is there; a row counts unless its
 document was removed, or added again, later.
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import terms
-from quarryloom.sources.shared import exists
+from quarryloom.sources.shared import exists, saved, temporary
 
 K1, B = 1.5, 0.75
 #: Query terms that go to the tasks at once, and scores that a task holds at once.
@@ -124,18 +124,46 @@ def _document_counts(shared):
     return run
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k greatest finite entries of each column; ties go to the smaller id."""
-    if not score.size:
-        z = np.zeros(0, np.int64)
-        return z, z
-    least = np.partition(score, max(len(score) - k, 0), axis=0)[max(len(score) - k, 0)]
-    row, column = np.nonzero((score >= least) & np.isfinite(score))
-    order = np.lexsort((ids[row], -score[row, column], column))
-    row, column = row[order], column[order]
-    first = np.searchsorted(column, np.arange(score.shape[1]))
-    keep = np.arange(len(column)) - first[column] < k
-    return row[keep], column[keep]
+class Best:
+    """The k best of each query (and group) that one task has seen so far: at most twice as many rows are held."""
+
+    def __init__(self, k: int, columns: int):
+        self.k, self.parts, self.size, self.limit = k, [], 0, max(2 * k * columns, 1 << 16)
+
+    def add(self, *part: np.ndarray) -> None:
+        """part: query, group, id, score."""
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > self.limit:
+            kept = self.rows()
+            self.parts, self.size = [kept], len(kept[0])
+            # More groups than expected only raise what is held before the next round.
+            self.limit = max(self.limit, 2 * self.size)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        query, group, ids, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -score, group, query))
+        query, group, ids, score = query[order], group[order], ids[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (group[1:] != group[:-1])
+        first = np.flatnonzero(new)
+        keep = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < self.k
+        return query[keep], group[keep], ids[keep], score[keep]
+
+
+class Labels:
+    """Numbers for the values of a group column, in the order in which a task meets them."""
+
+    def __init__(self):
+        self.number: dict = {}
+
+    def of(self, column: pa.Array) -> np.ndarray:
+        return np.array([self.number.setdefault(v, len(self.number)) for v in column.to_pylist()], np.int64)
+
+    def take(self, numbers: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.array(list(self.number), kind).take(pa.array(numbers))
 
 
 def _score(shared, k: int, k1: float, b_: float, group: str | None, weigh: bool):
@@ -143,6 +171,7 @@ def _score(shared, k: int, k1: float, b_: float, group: str | None, weigh: bool)
         queries, words, idf, start, asking, average = shared.value
         known = pa.array(words, pa.string())
         size = np.diff(start)
+        held, labels, kind = Best(k, len(queries)), Labels(), None
         for whole in batches:
             step = max(1, HELD_SCORES // max(len(queries), 1))
             for low in range(0, whole.num_rows, step):
@@ -151,36 +180,53 @@ def _score(shared, k: int, k1: float, b_: float, group: str | None, weigh: bool)
                 tf = np.asarray(b.column("tfs").flatten(), dtype=float)[place]
                 dl = np.asarray(b.column("dl"), dtype=float)[row]
                 part = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * dl / average)) if weigh else np.ones(len(at))
-                # Every posting counts for each query that has its term.
+                # Every posting counts for each query that has its term; documents and queries that share none have no cell.
                 n = size[at]
                 which = asking[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 cell = np.repeat(row, n) * len(queries) + which
-                score = np.bincount(cell, weights=np.repeat(part, n), minlength=b.num_rows * len(queries)).reshape(b.num_rows, -1)
-                score = np.where(score > 0, np.round(score, 6), -np.inf)
+                if 8 * len(cell) < b.num_rows * len(queries):
+                    cell, inverse = np.unique(cell, return_inverse=True)
+                    score = np.bincount(inverse, weights=np.repeat(part, n), minlength=len(cell))
+                else:
+                    score = np.bincount(cell, weights=np.repeat(part, n), minlength=1)
+                    cell = np.flatnonzero(score)
+                    score = score[cell]
+                score = np.round(score, 6)
+                cell, score = cell[score > 0], score[score > 0]
+                row, query = cell // max(len(queries), 1), cell % max(len(queries), 1)
                 ids = np.asarray(b.column("doc_id"))
-                labels = b.column(group).dictionary_encode() if group else None
-                kinds = np.asarray(labels.indices.fill_null(len(labels.dictionary))) if group else np.zeros(b.num_rows, np.int64)
-                for g in np.unique(kinds):
-                    own = np.flatnonzero(kinds == g)
-                    r, c = best(score[own], ids[own], k)
-                    out = [pa.array(queries[c], pa.int64()), pa.array(ids[own][r], pa.int64()), pa.array(score[own][r, c])]
-                    if group:
-                        out.append(b.column(group).take(pa.array(own[r])))
-                    yield pa.RecordBatch.from_arrays(out, ["query_id", "doc_id", "score", *([group] if group else [])])
+                kinds = labels.of(b.column(group)) if group else np.zeros(b.num_rows, np.int64)
+                kind = b.schema.field(group).type if group else None
+                held.add(query, kinds[row], ids[row], score)
+        query, label, ids, score = held.rows()
+        if len(query):
+            out = [pa.array(queries[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(score)] + ([labels.take(label, kind)] if group else [])
+            yield pa.RecordBatch.from_arrays(out, ["query_id", "doc_id", "score", *([group] if group else [])])
 
     return run
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, *, k1: float = K1, b: float = B, group: str | None = None, tokens: Callable[[Column], Column] = terms, weigh: bool = True, asked_terms: int = ASKED_TERMS) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, k: int, *, k1: float = K1, b: float = B, group: str | None = None, tokens: Callable[[Column], Column] = terms, weigh: bool = True, asked_terms: int = ASKED_TERMS, stored: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query that have a term of it; with `group`, a column
     of the index, the k best of each group. queries: query_id, query. Ids are whole numbers; queries without terms and
     documents without text have no hits. Without `weigh` the score is how many of a query's different terms a document has.
-    tokens: how queries are cut into terms, as the texts of the index were."""
+    tokens: how queries are cut into terms, as the texts of the index were. The hits are a table of the
+    shared folder. stored: the index is read from files as it is, and need not be saved to be read twice."""
     spark = index.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where("query_id IS NOT NULL").distinct()
     blocks = max(1, -(-asked.count() // asked_terms))
     fields = [T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())] + ([index.schema[group]] if group else [])
-    out = None
+    with temporary(spark) as keep:
+        if not stored:
+            index = saved(index, "forward")  # counts and scores of each block of queries read it again
+        hits = _hits(asked, blocks, index, k, k1, b, group, weigh, T.StructType(fields))
+        order = Window.partitionBy("query_id", *([group] if group else [])).orderBy(F.desc("score"), "doc_id")
+        return keep(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "hits")
+
+
+def _hits(asked: DataFrame, blocks: int, index: DataFrame, k: int, k1: float, b: float, group: str | None, weigh: bool, schema: T.StructType) -> DataFrame:
+    """What the tasks hand on, for all blocks of queries."""
+    spark, out = index.sparkSession, None
     for n in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()
         ids, query = np.unique(np.asarray(block.column("query_id"), dtype=np.int64), return_inverse=True)
@@ -197,7 +243,6 @@ def search(queries: DataFrame, index: DataFrame, k: int, *, k1: float = K1, b: f
         df = np.array([counted[t]["n"] if t in counted else 0 for t in range(len(words))], float)
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         shared = sc.broadcast((ids, words.to_pylist(), idf, start, query[order], max(length / max(n_docs, 1), 1e-9)))
-        hits = index.select("doc_id", "dl", "terms", "tfs", *([group] if group else [])).mapInArrow(_score(shared, k, k1, b, group, weigh), T.StructType(fields))
+        hits = index.select("doc_id", "dl", "terms", "tfs", *([group] if group else [])).mapInArrow(_score(shared, k, k1, b, group, weigh), schema)
         out = hits if out is None else out.unionByName(hits)
-    order = Window.partitionBy("query_id", *([group] if group else [])).orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import cosine, dot, terms
-from quarryloom.operators import bm25
+from quarryloom.operators import blockmax, bm25
 from quarryloom.operators.bm25 import B, K1
 from quarryloom.sources.shared import new_path
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
@@ -52,6 +52,8 @@ def _unit(column: pa.ListArray) -> np.ndarray:
 def _nearest(shared, k: int, group: str | None):
     def run(batches):
         asking, q, kinds = shared.value
+        held = bm25.Best(k, len(asking))
+        of_group = {g: np.flatnonzero(kinds == g) for g in dict.fromkeys(kinds.tolist())}
         for whole in batches:
             step = max(1, bm25.HELD_SCORES // max(len(asking), 1))
             for low in range(0, whole.num_rows, step):
@@ -59,11 +61,15 @@ def _nearest(shared, k: int, group: str | None):
                 ids, v = np.asarray(b.column("vec_id")), _unit(b.column("embedding"))
                 labels = np.asarray(b.column(group).to_pylist(), dtype=object) if group else np.zeros(len(ids), object)
                 for g in dict.fromkeys(labels.tolist()):
-                    rows, columns = np.flatnonzero(labels == g), np.flatnonzero(kinds == g)
+                    rows, columns = np.flatnonzero(labels == g), of_group.get(g, ())
                     if len(columns):
                         score = np.round(np.maximum((1 + v[rows] @ q[columns].T) / 2, 0.0), 6)
-                        r, c = bm25.best(score, ids[rows], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(asking[columns[c]], pa.int64()), pa.array(ids[rows][r], pa.int64()), pa.array(score[r, c])], ["query_id", "doc_id", "score"])
+                        least = np.partition(score, max(len(rows) - k, 0), axis=0)[max(len(rows) - k, 0)]
+                        r, c = np.nonzero(score >= least)
+                        held.add(columns[c], np.zeros(len(c), np.int64), ids[rows[r]], score[r, c])
+        query, _, ids, score = held.rows()
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(asking[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -71,7 +77,7 @@ def _nearest(shared, k: int, group: str | None):
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, *, group: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest vectors of each query by score (1 + cosine) / 2; with `group`, a column
     of both, among those of the query's group. Exact: blocks of queries of bounded size go to every task, which multiplies
-    them with its vectors and hands on its k best for each query. queries: query_id, embedding; vectors: vec_id, embedding."""
+    them with its vectors and hands on its k best for each query once, at its end. queries: query_id, embedding; vectors: vec_id, embedding."""
     columns = [group] if group else []
     first = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select("query_id", "embedding", *columns)
     n, width = first.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
@@ -289,6 +295,23 @@ def bm25_remove(spark, d):
     return stored(spark, d, table(spark, d, "documents"), lambda path: bm25.remove(gone, path)).select("term", "df", "idf")
 
 
+def _postings(spark, d) -> str:
+    """The inverted index of the documents, as a folder: blocks of one language and of like lengths."""
+    path = new_path(spark, "postings")
+    blockmax.build(bm25.forward(table(spark, d, "documents"), carry=("lang",)), path, order=("lang", "dl"))
+    return path
+
+
+def bm25_stored_topk(spark, d):
+    """The ten best documents of each item, from stored postings alone."""
+    return blockmax.search(spark, queries_of(spark, d), _postings(spark, d), 10)[0]
+
+
+def bm25_blocks_read(spark, d):
+    """How many blocks of postings hold a term of each item, and how many of them its ten best documents take."""
+    return blockmax.search(spark, queries_of(spark, d), _postings(spark, d), 10)[1]
+
+
 def corpus_stats(spark, d):
     index = bm25.forward(table(spark, d, "documents"))
     size = index.agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_dl"), F.sum(F.size("terms")).alias("n_postings"))
@@ -304,6 +327,8 @@ QUERIES = {
     "bm25_add": bm25_add,
     "bm25_remove": bm25_remove,
     "bm25_topk": lambda s, d: _bm25(s, d),
+    "bm25_stored_topk": bm25_stored_topk,
+    "bm25_blocks_read": bm25_blocks_read,
     "bm25_with_text": bm25_with_text,
     "dense_topk": lambda s, d: _dense(s, d),
     "dense_topk_lsh": dense_lsh,
@@ -331,6 +356,7 @@ ORACLE = {
     "bm25_add": f"WITH {TF_SQL.replace('FROM documents', "FROM documents WHERE lang IN ('en', 'de')")} {_INDEX}",
     "bm25_remove": f"WITH {TF_SQL.replace('FROM documents', 'FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)')} {_INDEX}",
     "bm25_topk": f"WITH {BM25_TOP_SQL.replace('@k', '10')} SELECT * FROM sparse",
+    "bm25_stored_topk": f"WITH {BM25_TOP_SQL.replace('@k', '10')} SELECT * FROM sparse",
     "bm25_with_text": f"WITH {BM25_TOP_SQL.replace('@k', '10')} SELECT query_id, doc_id, score, rank, text FROM sparse JOIN documents USING (doc_id)",
     "dense_topk": f"WITH {DENSE_SQL.replace('@k', '10')} SELECT * FROM dense",
     "dense_topk_filtered": f"WITH {DENSE_SQL.replace('@k', '10')}, fused AS (SELECT * FROM dense_all WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) {_TOP}",

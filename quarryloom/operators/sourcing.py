@@ -64,23 +64,26 @@ def budgets(spark, d) -> DataFrame:
     return allocate_budget(normalize_weights(spark, d))
 
 
-def per_source(spark, d) -> DataFrame:
-    """Hits of each source, searched on its own, as many as its budget times its overfetch."""
-    index = bm25.forward(chunks(spark, d), carry=("source_type", "parent_id"))
-    budget = budgets(spark, d).withColumn("raw_k", F.col("budget") * F.greatest("overfetch", F.lit(1)))
-    most = budget.agg(F.coalesce(F.max("raw_k"), F.lit(1))).first()[0]
-    found = bm25.search(queries_of(spark, d), index, most, group="source_type").withColumnRenamed("rank", "source_rank")
-    parents = chunks(spark, d).select("doc_id", "parent_id")
-    return found.join(budget.select("query_id", "source_type", "budget", "raw_k"), ["query_id", "source_type"]).where("source_rank <= raw_k").join(parents, "doc_id")
+def found(spark, d) -> DataFrame:
+    """The best hits of each source, searched on its own, with their places in it; as many as any budget, overfetched, or
+    any list over all sources can use. One index and one search serve both, as what is best of all is best of its source."""
+    index = bm25.forward(chunks(spark, d), carry=("source_type",))
+    budget = budgets(spark, d).agg(F.coalesce(F.max(F.greatest(F.col("k"), F.col("budget") * F.greatest("overfetch", F.lit(1)))), F.lit(1))).first()[0]
+    hits = bm25.search(queries_of(spark, d), index, budget, group="source_type").withColumnRenamed("rank", "source_rank")
+    return hits.withColumn("parent_id", F.floor(F.col("doc_id") / 4))
 
 
-def everywhere(spark, d) -> DataFrame:
+def per_source(spark, d, hits: DataFrame | None = None) -> DataFrame:
+    """Hits of each source, as many as its budget times its overfetch."""
+    budget = budgets(spark, d).select("query_id", "source_type", "budget", (F.col("budget") * F.greatest("overfetch", F.lit(1))).alias("raw_k"))
+    return (found(spark, d) if hits is None else hits).join(budget, ["query_id", "source_type"]).where("source_rank <= raw_k")
+
+
+def everywhere(spark, d, hits: DataFrame | None = None) -> DataFrame:
     """Hits over all sources at once, as many as results are wanted, for queries that are not limited to some sources."""
-    index = bm25.forward(table(spark, d, "documents"))
     wanted = tasks(spark, d).where("NOT no_slides").select("query_id", "k")
-    most = wanted.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
-    found = bm25.search(queries_of(spark, d).join(wanted.select("query_id"), "query_id", "left_semi"), index, most)
-    return found.join(wanted, "query_id").where("rank <= k").join(chunks(spark, d).select("doc_id", "source_type", "parent_id"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return (found(spark, d) if hits is None else hits).join(wanted, "query_id").withColumn("rank", rank).where("rank <= k")
 
 
 def collapse(rows: DataFrame) -> DataFrame:
@@ -95,9 +98,9 @@ def units(rows: DataFrame) -> DataFrame:
     return parents.unionByName(flat)
 
 
-def chosen(spark, d) -> DataFrame:
+def chosen(spark, d, hits: DataFrame | None = None) -> DataFrame:
     """The best units of each source within its budget."""
-    ranked = units(per_source(spark, d)).withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source_type").orderBy(F.desc("score"), "unit")))
+    ranked = units(per_source(spark, d, hits)).withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source_type").orderBy(F.desc("score"), "unit")))
     return ranked.join(budgets(spark, d).select("query_id", "source_type", "budget", "k", "place"), ["query_id", "source_type"]).where("source_rank <= budget")
 
 
@@ -105,9 +108,10 @@ def filled(spark, d) -> DataFrame:
     """The chosen units, and where they are fewer than k those of a search over all sources that are not among them, source
     by source; late says which."""
     # Few rows that are read three times; what they come from is not to be searched as often.
-    have = saved(chosen(spark, d).select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(0).alias("late")), "units")
+    hits = found(spark, d)
+    have = saved(chosen(spark, d, hits).select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(0).alias("late")), "units")
     lacking = tasks(spark, d).select("query_id", "k").join(have.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (F.col("k") - F.coalesce("n", F.lit(0))).alias("lacking")).where("lacking > 0")
-    more = units(everywhere(spark, d)).join(have.select("query_id", "unit"), ["query_id", "unit"], "left_anti").join(lacking, "query_id")
+    more = units(everywhere(spark, d, hits)).join(have.select("query_id", "unit"), ["query_id", "unit"], "left_anti").join(lacking, "query_id")
     turn = F.array_position(F.array(*map(F.lit, FILLING)), F.col("source_type"))
     more = more.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(turn, F.desc("score"), "unit"))).where("n <= lacking")
     return have.unionByName(more.select("query_id", "unit", "source_type", "score", "support", "chunks", F.lit(1).alias("late")))
@@ -126,7 +130,8 @@ def coalesced(spark, d, rows: DataFrame) -> DataFrame:
 
 def coalesce_units(spark, d) -> DataFrame:
     """The units of the sources and those of a search over all of them, brought together."""
-    both = units(per_source(spark, d)).unionByName(units(everywhere(spark, d)))
+    hits = found(spark, d)
+    both = units(per_source(spark, d, hits)).unionByName(units(everywhere(spark, d, hits)))
     return coalesced(spark, d, both).select("query_id", "unit", "source_type", "body", "score", "support")
 
 

@@ -455,3 +455,56 @@ def test_keep_first_keeps_copies_of_what_was_dropped(spark):
     prints = spark.createDataFrame([(1, 0, 0), (2, 0, 0b111), (3, 0, 0b111111), (4, 0, 0), (5, 0, 0b111111), (6, 3 << 29, 0b11 << 20)], "doc_id long, hi long, lo long")
     assert {r.doc_id for r in fingerprints.keep_first(prints).where("kept").collect()} == {1, 3, 6}
     assert {r.doc_id for r in fingerprints.group_near(prints).where("kept").collect()} == {1, 6}
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_blockmax_skips_blocks_and_loses_no_hit(spark, tmp_path, k):
+    """Few documents speak of what is asked, most blocks cannot reach them; ties, k beyond the hits, and other averages."""
+    from quarryloom.operators import blockmax
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["common", "filler", "words", f"own{i % 7}"]) for _ in range(rng.randint(1, 40)))) for i in range(900)]
+    rows += [(1000 + i, "rare topic common " * 3) for i in range(4)] + [(2000, ""), (2001, "rare")]
+    queries = spark.createDataFrame([(1, "rare common"), (2, "own3 words"), (3, "absent"), (4, None), (5, "rare topic")], "query_id long, query string")
+    index = bm25.forward(spark.createDataFrame(rows, "doc_id long, text string"))
+    path = str(tmp_path / "p")
+    blockmax.build(index, path, block=8, order=("dl",))
+    for k1, b in ((1.5, 0.75), (0.9, 0.3)):
+        hits, report = blockmax.search(spark, queries, path, k, k1=k1, b=b)
+        want = bm25.search(queries, index, k, k1=k1, b=b)
+        key = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 5), r["rank"]) for r in df.collect())
+        assert key(hits) == key(want)
+        read = {r.query_id: (r.n_blocks, r.n_read) for r in report.collect()}
+        assert read[1][0] > 90 and read[1][1] < 20 and all(n <= m for m, n in read.values())
+
+
+def test_a_task_hands_on_its_best_once(spark):
+    """Rows handed on are at most queries x k x tasks, however many slices the tasks work in."""
+    rows = [(i, f"w{i % 50} w{i % 7} all") for i in range(4000)]
+    queries = spark.createDataFrame([(i, f"w{i % 50} all") for i in range(300)], "query_id long, query string")
+    index = bm25.forward(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).distinct()
+    held, bm25.HELD_SCORES = bm25.HELD_SCORES, 3000
+    try:
+        from pyspark.sql import types as T
+
+        assert bm25._hits(asked, 1, index, 10, 1.5, 0.75, None, True, T.StructType.fromDDL("query_id long, doc_id long, score double")).count() == 3000
+    finally:
+        bm25.HELD_SCORES = held
+
+
+def test_best_of_many_parts():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    best, rows = bm25.Best(3, 4), []
+    best.limit = 50
+    for _ in range(40):
+        part = (rng.integers(0, 4, 30), rng.integers(0, 3, 30), rng.integers(0, 1000, 30), np.round(rng.random(30), 1))
+        best.add(*part)
+        rows += list(zip(*(x.tolist() for x in part), strict=True))
+    want = []
+    for q in range(4):
+        for g in range(3):
+            want += sorted((r for r in rows if r[:2] == (q, g)), key=lambda r: (-r[3], r[2]))[:3]
+    assert list(zip(*(x.tolist() for x in best.rows()), strict=True)) == want
