@@ -50,6 +50,9 @@ def forward(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carr
     return base.mapInArrow(run, T.StructType(fields + added))
 
 
+#: What was removed and when; a run that removed nothing leaves a folder without files.
+GONE = "doc_id long, version int"
+
 # --- the stored form -------------------------------------------------------------------------------------------------
 
 
@@ -62,14 +65,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/documents")
     if not exists(spark, f"{path}/gone"):
         return rows.drop("version")
-    gone = spark.read.parquet(f"{path}/gone").groupBy("doc_id").agg(F.max("version").alias("gone"))
+    gone = spark.read.schema(GONE).parquet(f"{path}/gone").groupBy("doc_id").agg(F.max("version").alias("gone"))
     return rows.join(gone, "doc_id", "left").where("gone IS NULL OR version >= gone").drop("version", "gone")
 
 
 def _next(spark: SparkSession, path: str) -> int:
     last = spark.read.parquet(f"{path}/documents").agg(F.max("version")).first()[0]
     if exists(spark, f"{path}/gone"):
-        last = max(last, spark.read.parquet(f"{path}/gone").agg(F.max("version")).first()[0] or 0)
+        last = max(last, spark.read.schema(GONE).parquet(f"{path}/gone").agg(F.max("version")).first()[0] or 0)
     return last + 1
 
 

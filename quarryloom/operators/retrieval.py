@@ -4,7 +4,6 @@ results late, and every ranking ends with the id, so results are the same in any
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,25 +202,12 @@ def dense_filtered(spark, d):
     return _dense(spark, d, 10, table(spark, d, "embeddings").join(english, "vec_id", "left_semi"))
 
 
-def dense_lsh(spark, d, planes: int = 6, tables: int = 60):
-    """Approximate neighbours: sign patterns of random hyperplanes as join keys, then exact scores. The planes depend on
-    the width alone; the keys of an Arrow batch come from one matrix product. Recall against the exact form is tested."""
-    vectors = table(spark, d, "embeddings")
-
-    @F.pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        m = np.stack(v.to_numpy()).astype(float)
-        normal = np.random.default_rng(7).normal(size=(m.shape[1], tables * planes))
-        bits = (m @ normal > 0).reshape(len(m), tables, planes)
-        return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2)))
+def dense_ivf(spark, d):
+    """Approximate neighbours by an inverted file with product codes; see `ivf`. Recall against the exact form is tested."""
+    from quarryloom.operators import ivf  # that module ranks with this one's functions
 
-    keyed = vectors.select("vec_id", F.posexplode(keys("embedding")).alias("t", "key"))
-    asked = keyed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "t", "key")
-    pairs = keyed.join(small(asked), ["t", "key"]).select("query_id", F.col("vec_id").alias("doc_id")).distinct()
-    q = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    v = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"))
-    scored = pairs.join(q, "query_id").join(v, "doc_id").select("query_id", "doc_id", F.round((1 + cosine(F.col("qv"), F.col("dv"))) / 2, 6).alias("score"))
-    return top_k(scored, 10)
+    vectors = table(spark, d, "embeddings")
+    return ivf.search(query_vectors(spark, d), ivf.build(vectors), vectors, 10)
 
 
 def rerank_scores(spark, d):
@@ -331,7 +317,8 @@ QUERIES = {
     "bm25_blocks_read": bm25_blocks_read,
     "bm25_with_text": bm25_with_text,
     "dense_topk": lambda s, d: _dense(s, d),
-    "dense_topk_lsh": dense_lsh,
+    "dense_topk_ivf": dense_ivf,
+    "dense_topk_lsh": dense_ivf,
     "dense_topk_filtered": dense_filtered,
     "rrf": rrf_query,
     "rrf_weighted": rrf_weighted,

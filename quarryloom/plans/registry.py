@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from quarryloom.operators import chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store, traces
+from quarryloom.operators import asof, chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store, traces
 from quarryloom.streaming import streams
 
-_AREAS = [chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store, traces, streams]
+_AREAS = [asof, chunking, evaluate, evidence, fingerprints, learner, queryprep, retrieval, sourcing, store, traces, streams]
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 ORACLE = {k: v for area in _AREAS for k, v in area.ORACLE.items()}

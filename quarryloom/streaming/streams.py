@@ -1,13 +1,19 @@
 """Streaming jobs: counts, sessions, audits, running mastery, limits, breakers, expiring caches and ingestion. Windows are
-given out once the watermark has passed them, and their state is freed then; other state is one small row per key, which a
+given out once the watermark has passed them, and their state is freed then; the source ends with a row that lifts the
+watermark over all others, so that none is left out. Answers wait in buckets of time until the watermark has passed these.
+Entries and uses of a cache are two streams joined within a bound of time. Other state is one small row per key, which a
 timer frees where it may expire."""
 
 from __future__ import annotations
 
+import contextlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarryloom.operators import bm25
 from quarryloom.operators.chunking import split_window
@@ -15,7 +21,7 @@ from quarryloom.operators.evidence import HIGH_RISK, INJECTIONS, MEDIUM_RISK, SE
 from quarryloom.operators.learner import GAIN, LOSS, ORACLE as LEARNER_SQL
 from quarryloom.operators.retrieval import TERMS_SQL
 from quarryloom.sources.shared import exists, new_path
-from quarryloom.streaming.runs import drained, source
+from quarryloom.streaming.runs import closed, drained, source
 
 RATE, BURST = 20 / 60, 20
 #: The users at hand call about once a day, so their limit is met at two calls in two days.
@@ -23,8 +29,13 @@ RATE_HERE, BURST_HERE = 1 / 86400, 2
 FAILURES, OPEN_SECONDS, TTL_SECONDS = 5, 30, 3600
 
 
-def events(spark, d) -> DataFrame:
-    return source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark, d, files_per_trigger: int | None = None) -> DataFrame:
+    return source(spark, d, "events", files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def all_events(spark, d) -> DataFrame:
+    """The events, and the row after them."""
+    return closed(events(spark, d), spark, d, "events", "ts")
 
 
 def counters(stream: DataFrame, size: str, slide: str | None = None) -> DataFrame:
@@ -33,15 +44,15 @@ def counters(stream: DataFrame, size: str, slide: str | None = None) -> DataFram
 
 
 def stream_counters(spark, d):
-    return drained(counters(events(spark, d), "1 hour"), "counters", "append").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
+    return drained(counters(all_events(spark, d), "1 hour"), "counters", "append").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
 
 
 def stream_sliding(spark, d):
-    return drained(counters(events(spark, d), "1 hour", "30 minutes"), "sliding", "append").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
+    return drained(counters(all_events(spark, d), "1 hour", "30 minutes"), "sliding", "append").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
 
 
 def stream_sessions(spark, d):
-    s = events(spark, d).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n_events"))
+    s = all_events(spark, d).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n_events"))
     return drained(s, "sessions", "append").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events")
 
 
@@ -56,23 +67,106 @@ def _in_order(pdfs, by: list[str]) -> pd.DataFrame:
     return pd.concat(list(pdfs)).sort_values(by)
 
 
-def mastery_state(key, pdfs, state):
-    m, days, n, right = state.get if state.exists else (0.0, 1, 0, 0)
-    for ok in _in_order(pdfs, ["ts", "event_id"]).correct:
-        m = round(min(1.0, m + GAIN) if ok else max(0.0, m - LOSS), 6)
-        days = min(30, days * 2) if ok else max(1, days // 2)
-        n, right = n + 1, right + bool(ok)
-    state.update((m, days, n, right))
-    yield pd.DataFrame({"user_id": [key[0]], "concept": [key[1]], "mastery": [m], "interval_days": [days], "quiz_count": [n], "correct_count": [right]})
+#: Answers wait for the watermark in buckets of so many milliseconds.
+BUCKET_MS = 15 * 60 * 1000
+_ANSWER = np.dtype([("us", "<i8"), ("event_id", "<i8"), ("ok", "?")])
+
+
+class RunningMastery(StatefulProcessor):
+    """Mastery of one learner and concept, folded in order of time however the answers arrive.
+
+    A value holds the folded state; a map holds, by bucket of time, the answers that the watermark has not passed yet; a
+    list holds the outcomes of the last answers. Frames of a key are taken one by one and none is kept: a frame's answers go
+    to their buckets, and buckets that the watermark has passed are folded in order and removed. A timer at the end of the
+    first bucket left does the same when no more answers come, so what is held of a key are the answers of the watermark's
+    delay, and in memory those of one bucket."""
+
+    LAST = 5
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "m double, days int, n int, right int")
+        self.waiting = handle.getMapState("waiting", "bucket long", "answers binary")
+        self.outcomes = handle.getListState("outcomes", "ok boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            pdf = pdf[pdf.event_id.notna()]
+            if not len(pdf):  # the row that closes the source
+                continue
+            new = np.zeros(len(pdf), _ANSWER)
+            new["us"], new["event_id"], new["ok"] = pdf.us, pdf.event_id, pdf.correct.astype(bool)
+            bucket = new["us"] // (BUCKET_MS * 1000)
+            for b in np.unique(bucket):
+                at = (int(b),)
+                held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else b""
+                self.waiting.updateValue(at, (bytes(held) + new[bucket == b].tobytes(),))
+        yield from self._fold(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._fold(key, timerValues)
+
+    def _fold(self, key, timers):
+        passed = timers.getCurrentWatermarkInMs()
+        buckets = sorted(k[0] for k in self.waiting.keys())
+        due = [b for b in buckets if (b + 1) * BUCKET_MS <= passed]
+        if len(due) < len(buckets):
+            self.handle.registerTimer((buckets[len(due)] + 1) * BUCKET_MS)
+        if not due:
+            return
+        m, days, n, right = self.folded.get() if self.folded.exists() else (0.0, 1, 0, 0)
+        last = [r[0] for r in self.outcomes.get()] if self.outcomes.exists() else []
+        for b in due:
+            answers = np.sort(np.frombuffer(self.waiting.getValue((b,))[0], _ANSWER), order=["us", "event_id"])
+            for ok in answers["ok"].tolist():
+                m = round(min(1.0, m + GAIN) if ok else max(0.0, m - LOSS), 6)
+                days = min(30, days * 2) if ok else max(1, days // 2)
+            n, right = n + len(answers), right + int(answers["ok"].sum())
+            last = (last + answers["ok"].tolist()[-self.LAST :])[-self.LAST :]
+            self.waiting.removeKey((b,))
+        self.folded.update((m, days, n, right))
+        self.outcomes.put([(bool(x),) for x in last])
+        yield pd.DataFrame({"user_id": [key[0]], "concept": [key[1]], "mastery": [m], "interval_days": [days], "quiz_count": [n], "correct_count": [right], "last_right": [sum(last)]})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def rocksdb(spark):
+    """State with several variables and timers needs the state store that keeps them apart."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def running_mastery(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """stream: event_id, user_id, concept, correct, ts. A key's row each time answers of it have been folded."""
+    a = stream.withWatermark("ts", delay).select("ts", "event_id", "user_id", "concept", "correct", F.unix_micros("ts").alias("us"))
+    out = "user_id long, concept string, mastery double, interval_days int, quiz_count int, correct_count int, last_right int"
+    return a.groupBy("user_id", "concept").transformWithStateInPandas(RunningMastery(), out, "append", "EventTime")
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """Of the rows that a key has had, the one with the most answers."""
+    r = F.max_by(F.struct("mastery", "interval_days", "quiz_count", "correct_count"), "quiz_count").alias("r")
+    return rows.groupBy("user_id", "concept").agg(r).select("user_id", "concept", "r.*")
+
+
+def graded(e: DataFrame) -> DataFrame:
+    # The row after the events has a key of its own, and no answer.
+    return e.select("event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), F.coalesce("event_type", F.lit("")).alias("concept"), (F.col("value") > 100).alias("correct"), "ts")
 
 
 def stream_mastery(spark, d):
-    a = events(spark, d).select("event_id", "user_id", F.col("event_type").alias("concept"), (F.col("value") > 100).alias("correct"), "ts")
-    out = "user_id long, concept string, mastery double, interval_days int, quiz_count int, correct_count int"
-    s = a.groupBy("user_id", "concept").applyInPandasWithState(mastery_state, out, "m double, days int, n int, right int", "update", GroupStateTimeout.NoTimeout)
-    # Each batch gives a key's newest row; the one with the most answers is the last.
-    rows = drained(s, "mastery", "update")
-    return rows.groupBy("user_id", "concept").agg(F.max_by(F.struct("mastery", "interval_days", "quiz_count", "correct_count"), "quiz_count").alias("r")).select("user_id", "concept", "r.*")
+    with rocksdb(spark):
+        return newest(drained(running_mastery(graded(all_events(spark, d))), "mastery", "append"))
 
 
 def limiter(rate: float, burst: float):
@@ -157,25 +251,63 @@ def stream_cache_ttl(spark, d):
     return drained(s, "cache", "append")
 
 
-def stream_ingest(spark, d):
-    """New files once each: every batch keeps one document of each hash and language that no earlier batch has stored, with
-    its chunks, and adds it to a stored index. What was stored before is read from the tables, so a restart repeats nothing;
-    a batch that is run again overwrites its own chunks and replaces its own documents in the index."""
-    s = source(spark, d, "documents", 2).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "lang")
-    index = new_path(spark, "stream-index")
+def cache_uses(stores: DataFrame, uses: DataFrame, ttl: int = TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """(use_id, used, stored): each use of an entry with each store of it at most `ttl` seconds before; a use without any
+    has one row with null. stores: entry, stored; uses: use_id, entry, used. Both watermarks bound what the join holds:
+    a store leaves it once no use within its time can come, a use once no store before it can."""
+    s = stores.withWatermark("stored", delay).select(F.col("entry").alias("of"), "stored")
+    u = uses.withWatermark("used", delay)
+    fits = (F.col("entry") == F.col("of")) & (F.col("used") >= F.col("stored")) & (F.col("used") <= F.col("stored") + F.expr(f"INTERVAL {ttl} SECONDS"))
+    return u.join(s, fits, "leftOuter").select("use_id", "used", "stored")
+
+
+def stream_cache_join(spark, d):
+    """One event in four stores the entry that its value names, the others use one; a use is a hit if the entry was stored
+    in the hour before. Of several stores the last counts."""
+    # The row after the events has an entry of its own: the join takes rows without one out before the watermark sees them.
+    e = all_events(spark, d).withColumn("entry", F.coalesce(F.floor("value"), F.lit(-1)))
+    stores = e.where("event_id % 4 = 0 OR event_id IS NULL").select("entry", F.col("ts").alias("stored"))
+    uses = e.where("event_id % 4 <> 0 OR event_id IS NULL").select(F.col("event_id").alias("use_id"), "entry", F.col("ts").alias("used"))
+    found = drained(cache_uses(stores, uses), "cache", "append").where("use_id IS NOT NULL")
+    return found.groupBy("use_id").agg(F.max("stored").alias("stored")).select(F.col("use_id").alias("event_id"), F.col("stored").isNotNull().alias("hit"), F.date_format("stored", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("stored"))
+
+
+#: A file that comes again within this time is known; beyond it, it counts as new.
+KNOWN_FOR = "365 days"
+
+
+def ingest(files: DataFrame, index: str, path: str | None = None, known_for: str = KNOWN_FOR, progress: list | None = None, after=None) -> DataFrame:
+    """New files once each: of those with one hash and language the first that comes is stored with its chunks and added to
+    the index at `index`. What has been seen is bounded state, keyed by hash and language, that goes once the watermark is
+    `known_for` past it; no table of earlier batches is read. The checkpoint goes with `path`: a run that was stopped goes
+    on there, and a batch that is run again overwrites its own rows and replaces its own documents in the index. Files
+    later than the watermark are dropped, and counted in `progress`. files: doc_id, text, lang, arrived. after(batch) is
+    called when a batch has been stored."""
+    s = files.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "lang", "arrived")
+    s = s.withWatermark("arrived", known_for).dropDuplicatesWithinWatermark(["file_hash", "lang"])
 
     def write(batch, n, path):
         spark = batch.sparkSession
-        new = batch.groupBy("file_hash", "lang").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("file_hash", "lang", "r.*")
-        if exists(spark, f"{path}/table=files"):
-            before = spark.read.parquet(f"{path}/table=files").where(F.col("batch") < n).select("file_hash", "lang")
-            new = new.join(before, ["file_hash", "lang"], "left_anti")
-        new.select("file_hash", "lang", "doc_id").write.mode("overwrite").parquet(f"{path}/table=files/batch={n}")
-        new = spark.read.parquet(f"{path}/table=files/batch={n}").join(batch.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
-        split_window(new).select("doc_id", "piece", "text").write.mode("overwrite").parquet(f"{path}/table=chunks/batch={n}")
-        (bm25.add if exists(spark, f"{index}/documents") else bm25.create)(new.select("doc_id", "text"), index)
-
-    out = drained(s, "ingest", "append", write)
+        batch.write.mode("overwrite").parquet(f"{path}/table=files/batch={n}")
+        new = spark.read.schema(batch.schema).parquet(f"{path}/table=files/batch={n}")
+        split_window(new).withColumn("arrived", F.lit(None).cast("timestamp")).write.mode("overwrite").parquet(f"{path}/table=chunks/batch={n}")
+        if not new.isEmpty():
+            (bm25.add if exists(spark, f"{index}/documents") else bm25.create)(new.select("doc_id", "text"), index)
+        if after:
+            after(n)
+
+    return drained(s, "ingest", "append", write, path, progress)
+
+
+def late_rows(progress: list) -> int:
+    """Rows that came after the watermark had passed them, as a query reports them."""
+    return sum(o.numRowsDroppedByWatermark for p in progress for o in p.stateOperators)
+
+
+def stream_ingest(spark, d):
+    index = new_path(spark, "stream-index")
+    files = source(spark, d, "documents", 2).withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000)))
+    out = ingest(files, index)
     files = out.where("table = 'files'").groupBy("lang").agg(F.count("*").alias("documents"), F.countDistinct("file_hash").alias("hashes"))
     of = out.where("table = 'files'").select("doc_id", "lang")
     pieces = out.where("table = 'chunks'").select("doc_id").join(of, "doc_id").groupBy("lang").agg(F.count("*").alias("chunks"))
@@ -192,6 +324,7 @@ QUERIES = {
     "stream_breaker": stream_breaker,
     "stream_mastery": stream_mastery,
     "stream_cache_ttl": stream_cache_ttl,
+    "stream_cache_join": stream_cache_join,
     "stream_audit": stream_audit,
 }
 _RED = "text"
@@ -203,9 +336,10 @@ for _p in INJECTIONS:
 ORACLE = {
     "stream_ingest": f"""WITH f AS (SELECT sha256(text) AS file_hash, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL), t AS (SELECT f.lang, f.doc_id, text, file_hash FROM f JOIN documents d ON d.doc_id = f.doc_id)
 SELECT lang, count(*) AS documents, count(DISTINCT file_hash) AS hashes, sum(len(generate_series(0, greatest(length(text) - 1, 0), 800)))::BIGINT AS chunks, sum(len(list_distinct({TERMS_SQL})))::BIGINT AS postings FROM t GROUP BY lang""",
-    "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
-    "stream_counters": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
-    "stream_sliding_counters": "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, value FROM events, (VALUES (0), (1)) v(k)) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY w.start, event_type",
+    "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, k",
+    "stream_counters": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_sliding_counters": "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, value FROM events, (VALUES (0), (1)) v(k)) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY w.start, event_type",
+    "stream_cache_join": f"SELECT u.event_id, max(s.ts) IS NOT NULL AS hit, strftime(max(s.ts), '%Y-%m-%d %H:%M:%S.%f') AS stored FROM events u LEFT JOIN (SELECT * FROM events WHERE event_id % 4 = 0) s ON floor(s.value) = floor(u.value) AND s.ts <= u.ts AND s.ts >= u.ts - INTERVAL {TTL_SECONDS} SECOND WHERE u.event_id % 4 <> 0 GROUP BY u.event_id",
     "stream_mastery": LEARNER_SQL["mastery_update"],
     "stream_audit": f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i){'|'.join(HIGH_RISK)}') THEN 'high' WHEN regexp_matches(text, '(?i){MEDIUM_RISK}') THEN 'medium' ELSE 'low' END AS risk, md5({_RED}) AS digest FROM conversations",
 }
