@@ -52,19 +52,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def symbols(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a column's texts are made of, bytes or the codes of words, and where each text begins."""
+    """What a column's texts are made of, bytes or the 64-bit hashes of their words, and where each text begins."""
     flat, offsets = tb.texts(column)
-    return (flat, offsets) if width == 1 else (flat.view(np.uint64), offsets // width)
-
-
-def word_codes(batches):
-    """Texts as the 64-bit hashes of their words, one after the other; (rid, ord, text) in and out."""
-    for b in tb.slices(batches):
-        flat, offsets = tb.texts(b.column("text"))
-        start, end, number = tb.words(flat, offsets, tb.NOT_SPACE)
-        codes = tb.span_hash(tb.prefix_hash(flat), start, end)
-        at = (tb.by_text(number, b.num_rows) * WORD_BYTES).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("ord"), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at), pa.py_buffer(codes)])], ["rid", "ord", "text"])
+    if width == 1:
+        return flat, offsets
+    start, end, number = tb.words(flat, offsets, tb.NOT_SPACE)
+    return tb.span_hash(tb.prefix_hash(flat), start, end), tb.by_text(number, len(column))
 
 
 def _find_runs(length: int, width: int):
@@ -240,7 +233,7 @@ def _fetched(texts: DataFrame, wanted: DataFrame, length: int, piece: int, width
 
 def repeated(texts: DataFrame, *, length: int = LENGTH, keep: str = "first", hot_runs: int = HOT_RUNS, pieces: tuple[int, ...] = PIECES, width: int = 1) -> DataFrame:
     """texts: rid (unique), ord (long), text. Returns rid, s, e: ranges of window starts whose windows are repeated. With
-    the `width` of word codes, texts are those of `word_codes` and length, s and e count words."""
+    the `width` of word codes, length, s and e count words."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     keep_first = keep == "first"
@@ -324,11 +317,10 @@ def dedup(
         if row is None:
             base = keep(base, "numbered")
         plain = base.select("rid", "ord", "text")
-        coded = plain.mapInArrow(word_codes, "rid long, ord long, text binary")
-        found = repeated(coded, length=length, width=WORD_BYTES, **options) if by_words else repeated(plain, length=length, **options)
+        found = repeated(plain, length=length, width=WORD_BYTES, **options) if by_words else repeated(plain, length=length, **options)
         kinds = {"ranges": found}
         if count_passages:
-            kinds["repeats"] = repeated(coded, length=PASSAGE_WORDS, width=WORD_BYTES, **options)
+            kinds["repeats"] = repeated(plain, length=PASSAGE_WORDS, width=WORD_BYTES, **options)
         whole = reduce(DataFrame.unionByName, (df.select("rid", *(F.struct("s", "e").alias(k) if k == name else F.lit(None).cast("struct<s:int,e:int>").alias(k) for k in ("ranges", "repeats"))) for name, df in kinds.items()))
         ranges = keep(whole.groupBy("rid").agg(*(F.collect_list(k).alias(k) for k in ("ranges", "repeats"))), "ranges")
     base = base.drop("ord")
