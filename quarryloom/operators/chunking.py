@@ -69,50 +69,91 @@ def recursive_parts(text: str, separators: tuple[str, ...], size: int, start: in
     return out
 
 
-def split_recursive(docs: DataFrame, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", "。", ". ", " ")) -> DataFrame:
-    return _by_document(docs, lambda t: [(s, p) for s, p in _merge(recursive_parts(t, separators, size), size, overlap) if p.strip()])
+SEPARATORS = ("\n\n", "\n", "。", ". ", " ")
+TEXTBOOK_SEPARATORS = ("\n---\n", *SEPARATORS)
+
+
+def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, str]]:
+    return [(s, p) for s, p in _merge(recursive_parts(text, separators, size), size, overlap) if p.strip()]
+
+
+def split_recursive(docs: DataFrame, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    return _by_document(docs, lambda t: recursive_pieces(t, size, overlap, separators))
 
 
 def split_textbook(docs: DataFrame) -> DataFrame:
-    return split_recursive(docs, 1500, 300, ("\n---\n", "\n\n", "\n", "。", ". ", " "))
+    return split_recursive(docs, 1500, 300, TEXTBOOK_SEPARATORS)
+
 
+#: Headings of up to four marks, rules, formulas that are not cut, and the sizes of pieces.
+_CUTS = re.compile(r"^#{1,4}\s+.+$|^-{3,}$", re.M)
+_FORMULA = re.compile(r"\$\$.+?\$\$", re.S)
+STRUCTURE_SIZE, STRUCTURE_LEAST = 1200, 80
 
-_HEADING = re.compile(r"^(?:#{1,4}\s|---\s*$)", re.M)
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, str]:
+    """What is left of a stretch without white space around it, and where it begins."""
+    piece = text[start:end]
+    return start + len(piece) - len(piece.lstrip()), piece.strip()
 
-def structure(text: str, size: int = 1000, least: int = 80) -> list[tuple[int, str]]:
-    """Cuts at headings and rules; long pieces at blank lines outside of $$..$$; short ones join the piece before."""
-    cuts = sorted({0, *(m.start() for m in _HEADING.finditer(text)), len(text)})
+
+def structure(text: str, size: int = STRUCTURE_SIZE, least: int = STRUCTURE_LEAST) -> list[tuple[int, str]]:
+    """Cuts at headings and rules; a piece that is longer than `size` at every blank line outside of its $$..$$. Pieces
+    shorter than `least` are joined to the one after them, the last one to the one before, with a blank line between."""
+    cuts = [m.start() for m in _CUTS.finditer(text)]
+    if not cuts:
+        whole = [(0, text)]
+    else:
+        head = [trimmed(text, 0, cuts[0])] if cuts[0] else []
+        whole = head + [p for p in (trimmed(text, a, b) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)) if p[1]]
     parts: list[tuple[int, str]] = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        piece = text[a:b]
-        if len(piece) <= size:
-            parts.append((a, piece))
+    for start, piece in whole:
+        formulas = [m.span() for m in _FORMULA.finditer(piece)] if len(piece) > size else []
+        blanks = [m for m in re.finditer(r"\n\n+", piece) if not any(a <= m.start() < b for a, b in formulas)] if len(piece) > size else []
+        if not blanks:
+            parts.append((start, piece))
             continue
-        ends = [m.end() for m in re.finditer(r"\n\s*\n|\n", piece) if piece.count("$$", 0, m.start()) % 2 == 0]
-        at = 0
-        for k, e in enumerate([*ends, len(piece)]):
-            after = ends[k + 1] if k + 1 < len(ends) else len(piece)
-            if after - at > size or e == len(piece):
-                if e > at:
-                    parts.append((a + at, piece[at:e]))
-                at = e
-    out: list[tuple[int, str]] = []
-    for start, piece in parts:
-        if out and (len(piece.strip()) < least or len(out[-1][1].strip()) < least):
-            out[-1] = (out[-1][0], out[-1][1] + piece)
+        ends = [m.end() for m in blanks]
+        parts += [(start + at, p) for at, p in (trimmed(piece, a, b) for a, b in zip([0, *ends], [*ends, len(piece)], strict=True)) if p]
+    out = parts[:1]
+    for start, piece in parts[1:]:
+        if len(out[-1][1]) < least:
+            out[-1] = (out[-1][0], out[-1][1] + "\n\n" + piece)
         else:
             out.append((start, piece))
-    return out
+    if len(out) > 1 and len(out[-1][1]) < least:
+        start, piece = out.pop()
+        out[-1] = (out[-1][0], out[-1][1] + "\n\n" + piece)
+    return out or [(0, text)]
 
 
 def split_structure(docs: DataFrame) -> DataFrame:
     return _by_document(docs, structure)
 
 
-def split_semantic(paragraphs: DataFrame, least: float = 0.5, size: int = 1500) -> DataFrame:
-    """paragraphs: doc_id, pos, text, vector. A paragraph joins the piece before while its vector is near that of the last
-    one and the piece stays short. One document is one group, bounded by its row."""
+#: How like a paragraph has to be to the one before to join it, and the sizes of pieces.
+SEMANTIC_COSINE, SEMANTIC_SIZE, SEMANTIC_LEAST = 0.5, 1500, 100
+
+
+def semantic(texts: list[str], near: list[float], cosine: float = SEMANTIC_COSINE, size: int = SEMANTIC_SIZE, least: int = SEMANTIC_LEAST) -> list[str]:
+    """Pieces of paragraphs; near: the cosine of each with the one before. A paragraph joins the piece while it is near and
+    their lengths stay within `size`, and in any case a piece shorter than `least`; a short last piece joins the one before."""
+    out: list[list[str]] = []
+    total = 0
+    for k, text in enumerate(texts):
+        if out and ((near[k] >= cosine and total + len(text) <= size) or len("\n\n".join(out[-1])) < least):
+            out[-1].append(text)
+            total += len(text)
+        else:
+            out.append([text])
+            total = len(text)
+    if len(out) > 1 and len("\n\n".join(out[-1])) < least:
+        out[-2:] = [out[-2] + out[-1]]
+    return ["\n\n".join(x) for x in out]
+
+
+def split_semantic(paragraphs: DataFrame, cosine: float = SEMANTIC_COSINE, size: int = SEMANTIC_SIZE, least: int = SEMANTIC_LEAST) -> DataFrame:
+    """paragraphs: doc_id, pos, text, vector. See `semantic`; one document is one group, bounded by its row."""
 
     def run(pdf):
         import numpy as np
@@ -122,12 +163,7 @@ def split_semantic(paragraphs: DataFrame, least: float = 0.5, size: int = 1500)
         v = np.stack(pdf.vector.to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         near = np.concatenate([[0.0], (v[1:] * v[:-1]).sum(axis=1)])
-        out: list[str] = []
-        for k, text in enumerate(pdf.text):
-            if out and near[k] >= least and len(out[-1]) + len(text) + 1 <= size:
-                out[-1] += "\n" + text
-            else:
-                out.append(text)
+        out = semantic(pdf.text.tolist(), near.tolist(), cosine, size, least)
         return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "piece": range(len(out)), "text": out})
 
     return paragraphs.groupBy("doc_id").applyInPandas(run, "doc_id long, piece int, text string")
@@ -135,7 +171,7 @@ def split_semantic(paragraphs: DataFrame, least: float = 0.5, size: int = 1500)
 
 def paragraph_vectors(docs: DataFrame, width: int = 32) -> DataFrame:
     """Paragraphs with vectors of hashed letter counts, which need no model."""
-    para = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("length(trim(text)) > 0")
+    para = docs.select("doc_id", F.posexplode(F.split("text", r"\n{2,}")).alias("pos", "text")).select("doc_id", "pos", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("length(text) > 0")
     gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(F.col("text"), i, F.lit(2))), F.lit(width)))
     # One pass counts all buckets of a paragraph.
     tokens = para.select("doc_id", "pos", F.explode(gram).alias("g")).groupBy("doc_id", "pos", "g").count()
@@ -188,12 +224,23 @@ def summary(text: Column) -> Column:
 
 #: Capitalised phrases, identifiers and emphasised phrases. Word boundaries count all letters, not only those of ASCII.
 _AT, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-TAG_PATTERNS = [rf"{_AT}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*{_END}", rf"{_AT}[a-z]+(?:[A-Z][a-z]*)+{_END}|{_AT}[a-z]+_[a-z_]+{_END}", r"\*\*(.+?)\*\*"]
+TAG_PATTERNS = [rf"{_AT}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*{_END}", rf"{_AT}[a-z]+(?:[A-Z][a-z]*)+{_END}|{_AT}[a-z]+_[a-z_]+{_END}"]
+#: The four ways to emphasise words, in the order in which they are tried.
+EMPHASIS = [r"\*\*([^\n]+?)\*\*", r"\*([^\n]+?)\*", r"__([^\n]+?)__", r"_([^\n]+?)_"]
+
+
+def emphasised(mark: Column) -> Column:
+    """The words of an emphasis; what the first way that fits it as a whole has between its marks."""
+    out = F.lit("")
+    for p in reversed(EMPHASIS):
+        out = F.when(mark.rlike(f"^{p}$"), F.regexp_extract(mark, f"^{p}$", 1)).otherwise(out)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def tags(text: Column) -> Column:
-    found = [F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(1 if "(.+?)" in p else 0)), 1, 5) for p in TAG_PATTERNS]
-    return F.slice(F.array_sort(F.array_distinct(F.concat(*found))), 1, 10)
+    found = [F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(0)), 1, 5) for p in TAG_PATTERNS]
+    marks = F.slice(F.regexp_extract_all(text, F.lit("|".join(EMPHASIS)), F.lit(0)), 1, 5)
+    return F.slice(F.array_sort(F.array_distinct(F.concat(*found, F.transform(marks, emphasised)))), 1, 10)
 
 
 #: The words that tell what a chunk holds, in order, and how hard it is.
@@ -228,24 +275,51 @@ def detect_sections(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "line", "level", F.trim(F.regexp_replace("text", r"^#+\s+", "")).alias("title"), (end - 1).alias("end_line"))
 
 
-MATH_SYMBOLS = {"×": r"\times ", "÷": r"\div ", "≤": r"\leq ", "≥": r"\geq ", "≠": r"\neq ", "→": r"\rightarrow ", "∞": r"\infty ", "α": r"\alpha ", "β": r"\beta ", "π": r"\pi ", "∑": r"\sum ", "√": r"\sqrt "}
+#: Symbols and the commands that stand for them.
+MATH_SYMBOLS = {
+    "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon", "ζ": r"\zeta", "η": r"\eta", "θ": r"\theta", "ι": r"\iota", "κ": r"\kappa", "λ": r"\lambda", "μ": r"\mu",
+    "ν": r"\nu", "ξ": r"\xi", "π": r"\pi", "ρ": r"\rho", "σ": r"\sigma", "τ": r"\tau", "υ": r"\upsilon", "φ": r"\phi", "χ": r"\chi", "ψ": r"\psi", "ω": r"\omega",
+    "Γ": r"\Gamma", "Δ": r"\Delta", "Θ": r"\Theta", "Λ": r"\Lambda", "Ξ": r"\Xi", "Π": r"\Pi", "Σ": r"\Sigma", "Φ": r"\Phi", "Ψ": r"\Psi", "Ω": r"\Omega",
+    "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "≈": r"\approx", "≡": r"\equiv", "≪": r"\ll", "≫": r"\gg", "∝": r"\propto", "⊂": r"\subset", "⊃": r"\supset", "⊆": r"\subseteq", "⊇": r"\supseteq", "∈": r"\in", "∉": r"\notin", "∋": r"\ni",
+    "±": r"\pm", "∓": r"\mp", "×": r"\times", "÷": r"\div", "·": r"\cdot", "∗": r"\ast", "⊕": r"\oplus", "⊗": r"\otimes", "∧": r"\wedge", "∨": r"\vee", "¬": r"\neg",
+    "→": r"\rightarrow", "←": r"\leftarrow", "↔": r"\leftrightarrow", "⇒": r"\Rightarrow", "⇐": r"\Leftarrow", "⇔": r"\Leftrightarrow", "↑": r"\uparrow", "↓": r"\downarrow",
+    "∞": r"\infty", "∂": r"\partial", "∇": r"\nabla", "∅": r"\emptyset", "∀": r"\forall", "∃": r"\exists", "ℕ": r"\mathbb{N}", "ℤ": r"\mathbb{Z}", "ℚ": r"\mathbb{Q}", "ℝ": r"\mathbb{R}", "ℂ": r"\mathbb{C}",
+    "√": r"\sqrt", "∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∮": r"\oint",
+    "⁰": "^{0}", "¹": "^{1}", "²": "^{2}", "³": "^{3}", "⁴": "^{4}", "⁵": "^{5}", "⁶": "^{6}", "⁷": "^{7}", "⁸": "^{8}", "⁹": "^{9}", "ⁿ": "^{n}",
+    "₀": "_{0}", "₁": "_{1}", "₂": "_{2}", "₃": "_{3}", "₄": "_{4}", "₅": "_{5}", "₆": "_{6}", "₇": "_{7}", "₈": "_{8}", "₉": "_{9}",
+}
+#: A formula between dollars, of one or two; what stands in it stays.
+_DOLLARS = r"(?s)\$\$.*?\$\$|\$.*?\$"
 
 
 def normalize_math(text: Column) -> Column:
-    """Symbols become commands outside of $..$; the brackets of formulas become dollars."""
-    text = F.regexp_replace(F.regexp_replace(text, r"\\\(|\\\)", r"\$"), r"\\\[|\\\]", r"\$\$")
-    parts = F.split(text, r"\$", -1)
+    """Symbols become commands outside of $..$ and $$..$$; then the brackets of formulas become dollars, without the white
+    space inside them. So symbols between brackets are replaced."""
+    outside = F.split(text, _DOLLARS, -1)
+    formulas = F.concat(F.regexp_extract_all(text, F.lit(_DOLLARS), F.lit(0)), F.array(F.lit("")))
 
     def swap(x: Column) -> Column:
         for a, b in MATH_SYMBOLS.items():
             x = F.replace(x, F.lit(a), F.lit(b))
         return x
 
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, swap(x)).otherwise(x)), "$")
+    text = F.array_join(F.zip_with(F.transform(outside, swap), formulas, lambda x, y: F.concat(x, y)), "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\\\(\s*", r"\$"), r"\s*\\\)", r"\$")
+    return F.regexp_replace(F.regexp_replace(text, r"\\\[\s*", r"\$\$"), r"\s*\\\]", r"\$\$")
 
 
 # --- queries ---------------------------------------------------------------------------------------------------------
 
+#: Put into every text after its first 50 characters, as the texts at hand hold no formulas.
+FORMULAS = r" \(a × b\) ∈ γ $x × y$ \[ n₁ ≤ ∞² \] → $$p ≠ q$$ ≤ α "
+
+
+def structured(docs: DataFrame) -> DataFrame:
+    """Texts with a heading, blank lines for line ends, a rule, and a formula with a blank line in it."""
+    text = F.concat(F.lit("# Document "), F.col("doc_id"), F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\n---\n\nSo $$a +\n\nb$$ holds.\n\n## End\n\n"), F.substring("text", 1, 700), F.lit("\n\n"), F.substring("text", 1, 700), F.lit("\n\n$$c\n\nd$$\n"))
+    return docs.select("doc_id", text.alias("text"))
+
+
 def question_bank(spark, d) -> DataFrame:
     """Documents as question banks: each line is a question, begun in one of five ways; two of three have options, and every
     other one an explanation."""
@@ -349,11 +423,11 @@ def _docs(s, d):
 
 
 QUERIES = {
-    "split_structure": lambda s, d: split_structure(_docs(s, d)),
+    "split_structure": lambda s, d: split_structure(structured(_docs(s, d))),
     "split_recursive": lambda s, d: split_recursive(_docs(s, d)),
     "split_textbook": lambda s, d: split_textbook(_docs(s, d)),
     "split_window": lambda s, d: split_window(_docs(s, d)),
-    "split_semantic": lambda s, d: split_semantic(paragraph_vectors(_docs(s, d))),
+    "split_semantic": lambda s, d: split_semantic(paragraph_vectors(structured(_docs(s, d)))),
     "parent_child": lambda s, d: parent_child(_docs(s, d)),
     "chunk_id": lambda s, d: split_window(_docs(s, d)).select("doc_id", "piece", chunk_id(F.col("doc_id"), F.col("piece"), F.col("text")).alias("chunk_id")),
     "inherit_metadata": lambda s, d: split_window(_docs(s, d)).join(chunks(s, d).select("doc_id", "source_type", "source", "lang"), "doc_id").select("doc_id", "piece", F.coalesce("source_type", F.lit("textbook")).alias("source_type"), F.coalesce("source", F.lit("default")).alias("collection"), F.upper("lang").alias("label")),
@@ -366,7 +440,7 @@ QUERIES = {
     "chapter": lambda s, d: _docs(s, d).select("doc_id", F.trim(F.regexp_replace(F.regexp_extract(F.substring("text", 1, 300), CHAPTER, 0), r"\s+", " ")).alias("chapter"), difficulty(F.col("text")).alias("difficulty"), F.col("text").rlike(f"(?s){FORMULA}").alias("has_formula")),
     "context_prefix": lambda s, d: _prefixed(s, d).select("doc_id", "text", F.regexp_replace("text", r"^\[[^\]]*\] ", "").alias("stripped")),
     "detect_sections": lambda s, d: detect_sections(_docs(s, d).unionByName(_docs(s, d).select((-F.col("doc_id") - 1).alias("doc_id"), F.regexp_replace("text", "\n", "\n## ").alias("text"), "lang", "source", "n_chars"))),
-    "normalize_math": lambda s, d: _docs(s, d).select("doc_id", normalize_math(F.concat(F.substring("text", 1, 50), F.lit(r" \(a × b\) ≤ α "), F.substring("text", F.lit(51), F.greatest(F.length("text") - 50, F.lit(0))))).alias("text")),
+    "normalize_math": lambda s, d: _docs(s, d).select("doc_id", normalize_math(F.concat(F.substring("text", 1, 50), F.lit(FORMULAS), F.substring("text", F.lit(51), F.greatest(F.length("text") - 50, F.lit(0))))).alias("text")),
     "image_refs": image_refs,
     "caption_join": caption_join,
     "document_summary": document_summary,
@@ -398,7 +472,9 @@ for _p, _b in (("─{10,}.*?(?:Page [0-9]+|Footer|Section [0-9]+|©|Confidential
     _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '{_p}', '{_b}', '{'gis' if 'Page' in _p else 'gs'}')"
 # Accented letters become digits, so that the word boundaries of ASCII are those of all letters.
 _TAG_TEXT = "regexp_replace(text, '[À-ɏ]', '0', 'g')"
-_TAG_SQL = [f"regexp_extract_all({'text' if '(.+?)' in p else _TAG_TEXT}, '{p.replace(_AT, r'\b').replace(_END, r'\b')}', {1 if '(.+?)' in p else 0})[1:5]" for p in TAG_PATTERNS]
+_TAG_SQL = [f"regexp_extract_all({_TAG_TEXT}, '{p.replace(_AT, r'\b').replace(_END, r'\b')}')[1:5]" for p in TAG_PATTERNS]
+_EMPH_SQL = "".join(f" WHEN regexp_full_match(x, '{p}') THEN regexp_extract(x, '^{p}$', 1)" for p in EMPHASIS)
+_TAG_SQL.append(f"list_transform(regexp_extract_all(text, '{'|'.join(EMPHASIS)}')[1:5], lambda x: regexp_replace(CASE{_EMPH_SQL} ELSE '' END, '^\\s+|\\s+$', '', 'g'))")
 ORACLE = {
     "split_window": f"WITH {_windows_sql()} SELECT * FROM pieces",
     "parent_child": f"WITH {_windows_sql(2400, 2200).replace('piece,', 'parent,').replace('text FROM (', 'parent_text FROM (')} SELECT doc_id, parent, (k / 800)::INT AS child, substr(parent_text, k::INT + 1, 1000) AS text FROM (SELECT doc_id, parent, parent_text, unnest(generate_series(0, greatest(length(parent_text) - 1, 0), 800)) AS k FROM pieces)",
@@ -407,8 +483,10 @@ ORACLE = {
     "parse_questions": f"""WITH {BANK_SQL} SELECT doc_id, (no - 1)::INT AS index, body AS question, CASE WHEN no % 3 > 0 THEN 'A,B' ELSE '' END AS options, CASE WHEN no % 3 > 0 THEN a || '|' || b ELSE '' END AS choices, a AS answer,
  CASE WHEN no % 2 = 0 THEN 'see ' || b ELSE '' END AS explanation, CASE WHEN no % 3 > 0 THEN 'choice' WHEN regexp_matches(body, '_{{3,}}') THEN 'fill_blank' ELSE 'unknown' END AS question_type,
  CASE {' '.join(f"WHEN regexp_matches(lower(body || ' ' || a || ' ' || b), '{p}') THEN {n}" for n, p in reversed(LEVELS))} ELSE 3 END AS difficulty FROM parsed""",
-    "normalize_math": f"""WITH m AS (SELECT doc_id, string_split(substr(text, 1, 50) || ' $a × b$ ≤ α ' || substr(text, 51), '$') AS p FROM documents)
-SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 1 THEN {_math_sql('x')} ELSE x END), '$') AS text FROM m""",
+    "normalize_math": f"""WITH m AS (SELECT doc_id, substr(text, 1, 50) || '{FORMULAS}' || substr(text, 51) AS t FROM documents),
+p AS (SELECT doc_id, string_split_regex(t, '(?s)\\$\\$.*?\\$\\$|\\$.*?\\$') AS o, list_append(regexp_extract_all(t, '(?s)\\$\\$.*?\\$\\$|\\$.*?\\$'), '') AS f FROM m),
+s AS (SELECT doc_id, array_to_string(list_transform(o, lambda x, i: {_math_sql('x')} || f[i]), '') AS t FROM p)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\\\\\(\\s*', '$', 'g'), '\\s*\\\\\\)', '$', 'g'), '\\\\\\[\\s*', '$$', 'g'), '\\s*\\\\\\]', '$$', 'g') AS text FROM s""",
     "clean_rules": f"SELECT page_id, {_CLEAN_SQL} AS text FROM pages",
     "enrich_title": f"SELECT doc_id, {_title_sql('text')} AS title FROM documents",
     "enrich_summary": "WITH s AS (SELECT doc_id, trim(array_to_string(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' '), ' ') AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 500 THEN substr(s, 1, 497) || '...' ELSE s END AS summary FROM s",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of, small
+from quarryloom.sources.shared import new_path
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
 K = 10
@@ -144,8 +145,34 @@ def merge_evaluators(spark, d) -> DataFrame:
     return first.unionByName(second).groupBy("query_id", "metric").agg(F.max_by("value", "place").alias("value"))
 
 
+CASES_PER_FILE = 100
+EVAL_SET = "description string, test_cases array<struct<query_id: long, query: string, expected_ids: array<long>>>"
+
+
+def eval_set_files(spark, d) -> str:
+    """The items with their expected documents as nested JSON over several lines, up to a hundred cases a file; one more
+    file is damaged."""
+    expected = relevance(spark, d).groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("expected_ids"))
+    cases = queries_of(spark, d).join(expected, "query_id", "left").withColumn("file", F.floor(F.col("query_id") / CASES_PER_FILE).cast("int"))
+    whole = F.struct(F.lit("items").alias("description"), F.collect_list(F.struct("query_id", "query", F.coalesce("expected_ids", F.array().cast("array<long>")).alias("expected_ids"))).alias("test_cases"))
+    files = cases.groupBy("file").agg(F.to_json(whole, {"pretty": "true"}).alias("value"))
+    path = new_path(spark, "eval-set")
+    files.unionByName(spark.createDataFrame([(-1, '{"description": "cut off", "test_cases": [')], "file int, value string")).write.partitionBy("file").text(path)
+    return path
+
+
+def read_eval_sets(spark, path: str) -> DataFrame:
+    """(query_id, query, expected_ids) of all cases of the files that can be read."""
+    sets = spark.read.schema(EVAL_SET).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return sets.select(F.explode("test_cases").alias("c")).select("c.*")
+
+
+def eval_set_scan(spark, d) -> DataFrame:
+    return read_eval_sets(spark, eval_set_files(spark, d)).select("query_id", F.size("expected_ids").cast("long").alias("n_expected"), F.array_min("expected_ids").alias("first_expected"))
+
+
 QUERIES = {
-    "eval_set_scan": lambda s, d: queries_of(s, d).join(relevance(s, d), "query_id", "left").groupBy("query_id").agg(F.count("doc_id").alias("n_expected"), F.min("doc_id").alias("first_expected")),
+    "eval_set_scan": eval_set_scan,
     "hit_rate": lambda s, d: run_metrics(s, d).select("query_id", "hit_rate", "mrr"),
     "ndcg_at_k": lambda s, d: run_metrics(s, d).select("query_id", "ndcg"),
     "precision_at_k": lambda s, d: run_metrics(s, d).select("query_id", "precision", "recall"),

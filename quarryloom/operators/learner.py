@@ -162,11 +162,23 @@ def pacing(spark, d):
     return last.groupBy("user_id").agg(F.when(F.count("*") < 2, "steady").when(F.min(F.col("correct").cast("int")) == 1, "faster").when(F.max(F.col("correct").cast("int")) == 0, "slower").otherwise("steady").alias("pace"))
 
 
+#: What asks for depth, and under how many characters on average messages are a sign of doubt.
+DEPTH, SHORT_MESSAGE = "(?i)(为什么|底层|更深入|深入一点|原理|本质|机制)", 5
+#: What some learners say at last, by their number.
+LAST_WORDS = {0: "为什么?", 1: "ok", 2: "讲讲底层机制"}
+
+
 def turn_pacing(spark, d):
-    """By conversation: share of short user messages and whether depth was asked for."""
-    t = turns(spark, d).where("role = 'user'")
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0))
-    return t.groupBy("conv_id").agg(F.round(F.avg((n < 5).cast("int")), 6).alias("short_share"), F.max(F.col("text").rlike("(?i)why|how|explain|详细|为什么")).alias("wants_depth"))
+    """The pace of each conversation. Two last answers that are right or wrong alike decide; else the last two messages of
+    the user that say something: faster if one asks for depth, slower if they have under five characters on average."""
+    g = top(graded(spark, d), 2, ["conv_id"], F.desc("no")).groupBy("conv_id").agg(F.count("*").alias("n_answers"), F.min("score").alias("least"), F.max("score").alias("most"))
+    said = F.when(F.pmod("conv_id", F.lit(5)) < 3, F.element_at(F.create_map(*(F.lit(x) for kv in LAST_WORDS.items() for x in kv)), F.pmod("conv_id", F.lit(5)).cast("int")))
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    t = turns(spark, d).where("role = 'user'").withColumn("text", F.trim(F.when(newest <= 2, F.coalesce(said, "text")).otherwise(F.col("text")))).where("length(text) > 0")
+    last = top(t, 2, ["conv_id"], F.desc("turn")).groupBy("conv_id").agg(F.max(F.col("text").rlike(DEPTH)).alias("deep"), F.avg(F.length("text")).alias("mean"))
+    alike = F.coalesce(F.col("n_answers") == 2, F.lit(False))
+    pace = F.when(alike & (F.col("least") == 100), "accelerate").when(alike & (F.col("most") == 0), "decelerate").when(F.col("deep"), "accelerate").when(F.col("mean") < SHORT_MESSAGE, "decelerate").otherwise("normal")
+    return last.join(g, "conv_id", "left").select("conv_id", pace.alias("pace"), F.round("mean", 6).alias("mean_chars"))
 
 
 #: Messages that say nothing, and words of the course that make even a short one say something.
@@ -227,9 +239,11 @@ def nation_mastery(spark, d) -> DataFrame:
 
 
 def concept_neighbors(spark, d):
-    """Neighbours of the concepts that are asked for by part of their names: the first four letters of every nation."""
+    """Neighbours of the concepts that are asked for: nations by their whole names, by these in other case, and by the end of
+    the name alone."""
     e = ontology(spark, d).join(nation_mastery(spark, d), "target", "left")
-    asked = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 4)).alias("name"))
+    way = F.pmod("n_nationkey", F.lit(3))
+    asked = table(spark, d, "nation").select(F.when(way == 0, F.col("n_name")).when(way == 1, F.lower("n_name")).otherwise(F.lower(F.substring("n_name", 4, 100))).alias("name"))
     named = named_concepts(asked, table(spark, d, "nation").select(F.col("n_name").alias("concept")))
     return named.join(e, "concept").select("name", "concept", "relation", "target", "mastery", (F.coalesce("mastery", F.lit(0.4)) < WEAK).alias("weak"))
 
@@ -495,14 +509,17 @@ ORACLE = {
     "extraction_confidence": f"""WITH {_EXT}, k AS (SELECT conv_id, conflicts, fields, len(topics) + len(questions) + fields > 0 AS told, CASE WHEN len(topics) + len(questions) + fields > 0 THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.15::DOUBLE + least(len(topics), 3) * 0.18::DOUBLE + least(len(questions), 2) * 0.10::DOUBLE + (len(topics) > 0)::INT * 0.12::DOUBLE + fields * 0.24::DOUBLE - conflicts * 0.25::DOUBLE)), 3) ELSE 0 END AS confidence FROM ef)
 SELECT conv_id, confidence, told AND confidence >= 0.2 AS write_session, conflicts = 0 AND fields > 0 AND confidence >= 0.65 AS write_profile FROM k""",
     "pacing": f"WITH {ANSWERS_SQL}, l AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 2) SELECT user_id, CASE WHEN count(*) < 2 THEN 'steady' WHEN bool_and(correct) THEN 'faster' WHEN NOT bool_or(correct) THEN 'slower' ELSE 'steady' END AS pace FROM l GROUP BY 1",
-    "turn_pacing": "SELECT conv_id, round(avg(CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 5 THEN 1 ELSE 0 END), 6) AS short_share, bool_or(regexp_matches(text, '(?i)why|how|explain|详细|为什么')) AS wants_depth FROM conversations WHERE role = 'user' GROUP BY 1",
+    "turn_pacing": f"""WITH {_QUIZ}, g AS (SELECT conv_id, count(*) AS n, min(score) AS least, max(score) AS most FROM (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY no DESC) <= 2) GROUP BY 1),
+t AS (SELECT conv_id, turn, trim(CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2 THEN CASE conv_id % 5 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in LAST_WORDS.items())} ELSE text END ELSE text END, ' ') AS text FROM conversations WHERE role = 'user'),
+l AS (SELECT conv_id, bool_or(regexp_matches(text, '{DEPTH}')) AS deep, avg(length(text)) AS mean FROM (SELECT * FROM t WHERE length(text) > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY 1)
+SELECT l.conv_id, CASE WHEN n = 2 AND least = 100 THEN 'accelerate' WHEN n = 2 AND most = 0 THEN 'decelerate' WHEN deep THEN 'accelerate' WHEN mean < 5 THEN 'decelerate' ELSE 'normal' END AS pace, round(mean, 6) AS mean_chars FROM l LEFT JOIN g ON g.conv_id = l.conv_id""",
     "review_recommendation": f"""WITH {_FOLD}, i AS (SELECT user_id, floor(min(idle_seconds) / 86400)::INT AS days FROM nodes GROUP BY 1), f AS (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY decayed, concept) AS n FROM nodes WHERE decayed < 0.45 QUALIFY n <= 5),
 fl AS (SELECT user_id, string_agg(concept, ',' ORDER BY n) AS faded FROM f GROUP BY 1), w0 AS (SELECT * FROM answers WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200),
 w1 AS (SELECT user_id, concept, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, concept) AS n FROM w0 GROUP BY user_id, concept QUALIFY n <= 3), wl AS (SELECT user_id, string_agg(concept, ',' ORDER BY n) AS weak FROM w1 GROUP BY 1),
 m AS (SELECT i.*, faded, weak, CASE i.user_id % {len(MESSAGES)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(MESSAGES))} END AS message FROM i LEFT JOIN fl ON fl.user_id = i.user_id LEFT JOIN wl ON wl.user_id = i.user_id),
 l AS (SELECT *, length(trim(message)) = 0 OR regexp_matches(trim(message), '(?i){GREETING}') OR (length(regexp_replace(message, '\\s+', '', 'g')) < 5 AND NOT regexp_matches(message, '(?i){COURSE}')) AS low, faded IS NOT NULL OR weak IS NOT NULL OR days > 0 AS has FROM m)
 SELECT user_id, low AND has AS triggered, CASE WHEN NOT low THEN 'message_not_low_information' WHEN has THEN 'low_information_message_with_learning_signals' ELSE 'no_decay_or_weak_signals' END AS reason, CASE WHEN low THEN faded END AS faded, CASE WHEN low THEN weak END AS weak, CASE WHEN low THEN days END AS days FROM l""",
-    "concept_neighbors": f"WITH {_ONT}, q AS (SELECT DISTINCT lower(left(n_name, 4)) AS name FROM nation), c AS (SELECT name, coalesce(min(CASE WHEN lower(n_name) = name THEN n_name END), min(n_name)) AS concept FROM q JOIN nation ON contains(lower(n_name), name) GROUP BY name) SELECT name, onm.concept, relation, target, mastery, coalesce(mastery, 0.4) < 0.5 AS weak FROM c JOIN onm ON onm.concept = c.concept",
+    "concept_neighbors": f"WITH {_ONT}, q AS (SELECT DISTINCT CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) ELSE lower(substr(n_name, 4)) END AS name FROM nation), c AS (SELECT name, coalesce(min(CASE WHEN lower(n_name) = lower(name) THEN n_name END), min(n_name)) AS concept FROM q JOIN nation ON contains(lower(n_name), lower(name)) GROUP BY name) SELECT name, onm.concept, relation, target, mastery, coalesce(mastery, 0.4) < 0.5 AS weak FROM c JOIN onm ON onm.concept = c.concept",
     "review_order": f"WITH {_ONT} SELECT concept, target, row_number() OVER (PARTITION BY concept ORDER BY coalesce(mastery, 0.4), CASE relation WHEN 'prerequisite' THEN 0 ELSE 1 END, pos) AS place FROM onm WHERE relation <> 'confusable'",
     "parse_quiz_blocks": f"WITH {_QUIZ} SELECT conv_id, no, question, answer FROM qz",
     "grade_exact": f"WITH {_QUIZ} SELECT * FROM gr",

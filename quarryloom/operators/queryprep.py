@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import CHINESE_STOPWORDS, ENGLISH_STOPWORDS, WORD, normalised, words
 from quarryloom.operators import bm25
+from quarryloom.operators.evidence import INJECTIONS, filter_injection
 from quarryloom.operators.retrieval import dense_search, queries_of, small
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
@@ -97,13 +98,60 @@ def by_rules(text: Column, rules: list[tuple[str, str]], default: Column) -> Col
     return out.otherwise(default)
 
 
-def excerpt(text: Column, term: Column, size: int = 420) -> Column:
-    """A window around the first mention of the term, else the head and the tail."""
-    at = F.instr(F.lower(text), F.lower(term))
-    start = F.greatest(at - size // 2, F.lit(1))
-    around = F.substring(text, start, F.lit(size))
-    ends = F.concat(F.substring(text, 1, size // 2), F.lit(" ... "), F.substring(text, -(size // 2), size // 2))
-    return F.when(F.length(text) <= size, text).when((at > 0) & (F.length(term) > 0), around).otherwise(ends)
+#: Terms of a request, what is no term, and particles that are left out of Chinese ones.
+LATIN_TERM, NOT_CHINESE, PARTICLES = r"[A-Za-z0-9_+\-]{2,}", "[^\u4e00-\u9fff]+", "的了呢吗么"
+STOP_TERMS = "什么 多少 几点 哪个 哪些 为什么 为何 怎么 如何 一下 介绍 介绍一下 概述 简述 流程 原理 区别 对比 比较 讲解 说明 讲讲 讲一下 说一下 聊聊 请问 一下子 什么是 是多少".split()
+EXCERPT, EXCERPT_HEAD, EXCERPT_TAIL = 420, 231, 181
+
+
+def focus_terms(query: Column) -> Column:
+    """Terms of a request, the longest first: its Latin words in order, then stretches of four to two Chinese characters from
+    the end on; each once, whatever its case."""
+    chinese = F.translate(F.regexp_replace(query, NOT_CHINESE, ""), PARTICLES, "")
+    stop = F.array(*map(F.lit, STOP_TERMS))
+
+    def stretches(n: int) -> Column:
+        of = F.transform(F.sequence(F.length(chinese) - (n - 1), F.lit(1), F.lit(-1)), lambda at: F.substring(chinese, at, F.lit(n)))
+        return F.when(F.length(chinese) >= n, of).otherwise(F.array().cast("array<string>"))
+
+    found = F.concat(F.regexp_extract_all(query, F.lit(LATIN_TERM), F.lit(0)), F.filter(F.concat(*map(stretches, (4, 3, 2))), lambda t: ~F.array_contains(stop, t)))
+    lowered = F.transform(found, F.lower)
+    first = F.filter(F.transform(found, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))), lambda x: F.array_position(lowered, F.lower(x["t"])) == x["i"] + 1)
+    return F.transform(F.array_sort(first), lambda x: x["t"])
+
+
+def excerpt(text: Column, query: Column, size: int = EXCERPT) -> Column:
+    """A window around the first mention of the longest term of the request that the text has, with dots where it was cut;
+    without any, its head and its tail. Injections are taken out first, line ends become blanks."""
+    clean = F.trim(F.regexp_replace(filter_injection(text), r"\n", " "))
+    at = lambda c, t: F.instr(F.lower(c), F.lower(t))
+    found = F.transform(F.filter(focus_terms(query), lambda t: at(clean, t) > 0), lambda t: at(clean, t))
+    n, begun = F.length(clean), F.greatest(F.lit(0), F.get(found, F.lit(0)) - 1 - size // 2)
+    end = F.least(n, begun + size)
+    start = F.greatest(F.lit(0), end - size)
+    window = F.trim(F.substring(clean, start + 1, end - start))
+    around = F.concat(F.when(start > 0, "...").otherwise(""), window, F.when(end < n, "...").otherwise(""))
+    ends = F.concat(F.rtrim(F.substring(clean, 1, EXCERPT_HEAD)), F.lit("\n...\n"), F.ltrim(F.substring(clean, -EXCERPT_TAIL, EXCERPT_TAIL)))
+    return F.when(n <= size, clean).when(F.size(found) > 0, around).otherwise(ends)
+
+
+#: Requests that follow on what was said, those that can be answered at once, and those that cannot.
+FOLLOWS = "^(它|这个|那个|这些|那些|上面|前面|这里|那里|继续|再|然后|接着|那|其|该|这种|这一步|下一步|为什么|怎么|如何|过程呢|区别呢)"
+FOLLOWS_ANYWHERE = "(它|这个|那个|上面|前面|继续讲|继续说|再讲讲|再说说|展开讲|详细讲|过程呢|原理呢|区别呢)"
+FAST = "(解释|讲解|说明|介绍|介绍一下|概述|简述|流程|为什么|原理|区别|对比|比较|是什么|讲讲|讲一下|说一下|聊聊)"
+SLOW = "(总结|复习|考点|出题|练习|判分|批改|评估|生成|整理|梳理|同时|并且|以及|然后|先.*再|结合)"
+SHORT_FOLLOW, SHORT_PARTICLE, SHORT_FAST = 14, 32, 48
+
+
+def flags(query: Column, earlier: Column) -> tuple[Column, Column]:
+    """(needs rewriting, can be answered at once). Only a request with messages before it can follow on them: a short one
+    without a word for what is wanted, one that points back, or a short one that ends in a particle."""
+    q = F.trim(F.regexp_replace(query, r"\s+", " "))
+    follows = ((F.length(q) > 0) & (F.length(q) <= SHORT_FOLLOW) & ~q.rlike(FAST)) | q.rlike(FOLLOWS) | q.rlike(FOLLOWS_ANYWHERE) | (q.rlike("[呢吗么]$") & (F.length(q) <= SHORT_PARTICLE))
+    rewrite = (earlier > 0) & follows
+    hints = F.regexp_replace(q, "结合知识库|结合课件", "")
+    fast = (F.length(q) > 0) & (F.length(q) <= SHORT_FAST) & ~rewrite & ~hints.rlike(SLOW) & (q.rlike(FAST) | q.rlike("[?？]$"))
+    return rewrite, fast
 
 
 # --- queries ---------------------------------------------------------------------------------------------------------
@@ -226,17 +274,24 @@ def split_sequence(spark, d):
     return user_turns(spark, d).select("conv_id", "turn", F.posexplode(F.filter(parts, lambda p: F.length(p) > 0)).alias("pos", "segment"))
 
 
+#: What users ask by their place in the conversation; every seventh asks with their own words.
+MESSAGES = ["解释 TCP 的流程", "它呢", "继续讲", "总结一下考点", "Is UDP faster?", "先讲 TCP 再讲 UDP?"]
+
+
 def query_flags(spark, d):
     before = F.count("*").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    t = turns(spark, d).withColumn("before", before).where("role = 'user'")
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0))
-    return t.select("conv_id", "turn", ((n < 6) & (F.col("before") > 0)).alias("needs_rewrite"), ((F.length("text") <= 200) & ~F.col("text").rlike("[?？]")).alias("fast_path"))
+    place = F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(7))
+    said = F.coalesce(F.get(F.array(*map(F.lit, MESSAGES)), place.cast("int")), F.col("text"))
+    t = turns(spark, d).withColumn("before", before).where("role = 'user'").withColumn("text", said)
+    rewrite, fast = flags(F.col("text"), F.col("before"))
+    return t.select("conv_id", "turn", rewrite.alias("needs_rewrite"), fast.alias("fast_path"))
 
 
 def focus_excerpt(spark, d):
-    """Documents in the windows around the longest word of the item with the same number."""
-    q = queries_of(spark, d).select((F.col("query_id")).alias("doc_id"), F.array_max(F.transform(words(F.col("query")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("term"))
-    return table(spark, d, "documents").join(small(q), "doc_id", "left").select("doc_id", excerpt(F.col("text"), F.coalesce("term", F.substring("source", 4, 9))).alias("excerpt"))
+    """Documents in the windows around what the item with the same number asks for; documents without one are asked for by
+    their source."""
+    q = queries_of(spark, d).select(F.col("query_id").alias("doc_id"), "query")
+    return table(spark, d, "documents").join(small(q), "doc_id", "left").select("doc_id", excerpt(F.col("text"), F.coalesce("query", "source")).alias("excerpt"))
 
 
 def route_by_vector(spark, d, least: float = 0.75):
@@ -250,10 +305,25 @@ def route_by_vector(spark, d, least: float = 0.75):
     return best.select("vec_id", F.when(F.col("sim") >= least, F.col("label")).otherwise(-1).alias("label"), "sim")
 
 
-def topic_history(spark, d):
-    """Conversations with each of the ten most common words of the users' turns of more than five letters."""
-    has = user_turns(spark, d).select("conv_id", F.explode(F.filter(words(F.col("text")), lambda w: F.length(w) > 5)).alias("topic")).distinct()
-    return has.groupBy("topic").agg(F.count("*").alias("sessions"), F.max("conv_id").alias("last_conv")).orderBy(F.desc("sessions"), "topic").limit(10)
+def session_topics(spark, d) -> DataFrame:
+    """The topics of each conversation: the words of its user's turns of more than five letters."""
+    return user_turns(spark, d).select("conv_id", F.explode(F.filter(words(F.col("text")), lambda w: F.length(w) > 5)).alias("topic")).distinct()
+
+
+def topic_counts(spark, d):
+    """Conversations with each of the ten most common topics."""
+    return session_topics(spark, d).groupBy("topic").agg(F.count("*").alias("sessions"), F.max("conv_id").alias("last_conv")).orderBy(F.desc("sessions"), "topic").limit(10)
+
+
+def topic_history(spark, d, most: int = 10):
+    """The newest ten sessions of each user (number modulo five) in which a topic came up that contains the one asked for,
+    whatever its case; asked for are the first six letters, in upper case, of the ten most common topics."""
+    has = session_topics(spark, d)
+    asked = topic_counts(spark, d).select(F.upper(F.substring("topic", 1, 6)).alias("asked")).distinct()
+    # At most ten rows.
+    found = has.join(F.broadcast(asked), F.contains(F.lower("topic"), F.lower("asked"))).select("asked", "conv_id", F.pmod("conv_id", F.lit(5)).alias("user")).distinct()
+    place = F.row_number().over(Window.partitionBy("user", "asked").orderBy(F.desc("conv_id")))
+    return found.withColumn("place", place).where(F.col("place") <= most)
 
 
 QUERIES = {
@@ -275,6 +345,7 @@ QUERIES = {
     "similar_questions": similar_questions,
     "search_sessions": search_sessions,
     "topic_history": topic_history,
+    "topic_counts": topic_counts,
     "recent_sessions": lambda s, d: turns(s, d).groupBy(F.pmod("conv_id", F.lit(5)).alias("user"), "conv_id").agg(F.count("*").alias("n_turns")).withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("conv_id")))).where("rank <= 5"),
 }
 _STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOPWORDS)
@@ -290,6 +361,9 @@ def _plan_sql(text: str, what: int) -> str:
     return _rules_sql([((n, str(c))[what], p) for n, c, p in PLANS], asks, f"trim({text}, ' ')")
 
 
+_FILTERED = "substr(d.text, 1, 2000)"
+for _p in INJECTIONS:
+    _FILTERED = f"regexp_replace({_FILTERED}, '{_p}', '[FILTERED]', 'gi')"
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 ORACLE = {
     "parse_query_filters": f"WITH {_FQ} SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'collection=web' WHEN 1 THEN 'doc_type=pdf;tags=x,y,z' WHEN 2 THEN 'lang=en;source_path=/data' ELSE '' END AS filters, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS rest FROM fq",
@@ -303,13 +377,22 @@ ORACLE = {
 SELECT conv_id, turn, intent, confidence, CASE WHEN intent = 'general_chat' THEN 'pass_through' WHEN intent = 'knowledge_query' THEN 'advisory' WHEN confidence >= {FORCE} THEN 'force_tool' WHEN confidence >= {ADVISE} THEN 'advisory' ELSE 'pass_through' END AS mode, CASE WHEN len(s) > 1 THEN array_to_string(s, '>') ELSE '' END AS steps FROM p""",
     "split_sequence": f"WITH s AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', ' then '), '{SEQUENCE}'), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS p FROM conversations WHERE role = 'user') SELECT conv_id, turn, (generate_subscripts(p, 1) - 1)::INT AS pos, unnest(p) AS segment FROM s",
     "match_skill": f"WITH {_REQ} SELECT conv_id, turn, CASE {' '.join(f"WHEN contains(lower(text), '{t.lower()}') THEN '{k}'" for k, t in TRIGGERS)} END AS skill FROM req",
-    "focus_excerpt": f"WITH q AS (SELECT item_id AS doc_id, list_max(list_transform({_WORDS}, lambda w: {{'n': length(w), 'w': w}})).w AS term FROM benchmark), t AS (SELECT d.doc_id, d.text, coalesce(term, substr(source, 4, 9)) AS term FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id), a AS (SELECT *, instr(lower(text), lower(term)) AS pos FROM t) SELECT doc_id, CASE WHEN length(text) <= 420 THEN text WHEN pos > 0 AND length(term) > 0 THEN substr(text, greatest(pos - 210, 1), 420) ELSE substr(text, 1, 210) || ' ... ' || right(text, 210) END AS excerpt FROM a",
-    "query_flags": "WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 0)) < 6 AND before > 0 AS needs_rewrite, length(text) <= 200 AND NOT regexp_matches(text, '[?？]') AS fast_path FROM t WHERE role = 'user'",
+    "focus_excerpt": f"""WITH t AS (SELECT d.doc_id, trim(replace({_FILTERED}, chr(10), ' '), ' ') AS c, regexp_extract_all(coalesce(b.text, d.source), '{LATIN_TERM}') AS q FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id),
+w AS (SELECT doc_id, c, instr(lower(c), lower(x)) AS pos, length(x) AS n, i FROM (SELECT doc_id, c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM t)),
+f AS (SELECT doc_id, pos FROM w WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1),
+s AS (SELECT t.doc_id, c, pos, least(length(c), greatest(0, pos - 211) + 420) AS stop FROM t LEFT JOIN f ON f.doc_id = t.doc_id)
+SELECT doc_id, CASE WHEN length(c) <= 420 THEN c WHEN pos IS NOT NULL THEN CASE WHEN stop > 420 THEN '...' ELSE '' END || trim(substr(c, greatest(0, stop - 420) + 1, 420), ' ') || CASE WHEN stop < length(c) THEN '...' ELSE '' END
+ ELSE rtrim(substr(c, 1, 231), ' ') || chr(10) || '...' || chr(10) || ltrim(right(c, 181), ' ') END AS excerpt FROM s""",
+    "query_flags": f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations),
+q AS (SELECT conv_id, turn, before, trim(regexp_replace(CASE (conv_id * 3 + turn) % 7 {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MESSAGES))} ELSE text END, '\\s+', ' ', 'g'), ' ') AS q FROM t WHERE role = 'user'),
+r AS (SELECT *, before > 0 AND ((length(q) BETWEEN 1 AND 14 AND NOT regexp_matches(q, '{FAST}')) OR regexp_matches(q, '{FOLLOWS}') OR regexp_matches(q, '{FOLLOWS_ANYWHERE}') OR (length(q) <= 32 AND right(q, 1) IN ('呢', '吗', '么'))) AS needs_rewrite FROM q)
+SELECT conv_id, turn, needs_rewrite, length(q) BETWEEN 1 AND 48 AND NOT needs_rewrite AND NOT regexp_matches(replace(replace(q, '结合知识库', ''), '结合课件', ''), '{SLOW}') AND (regexp_matches(q, '{FAST}') OR right(q, 1) IN ('?', '？')) AS fast_path FROM r""",
     "semantic_cache_lookup": f"WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, e.vec_id AS entry, round(greatest(0.0, (1 + list_cosine_similarity(q.v, e.v)) / 2), 6) AS score FROM u q JOIN u e ON e.label = q.label JOIN events n ON n.event_id = e.vec_id WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0 AND n.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) = 1) SELECT vec_id AS query_id, entry, score, entry IS NOT NULL AS hit FROM embeddings LEFT JOIN (SELECT * FROM h WHERE 2 * score - 1 >= {CACHE_SIMILARITY_HERE}) h ON h.query_id = vec_id WHERE vec_id % 20 = 0",
     "cache_evict": "SELECT event_type AS collection, floor(value * 10)::BIGINT AS entry, count(*) - 1 AS hits, 1 AS misses FROM events WHERE event_type <> 'error' GROUP BY 1, 2 ORDER BY max(ts) DESC, 1, 2 LIMIT 500",
     "cache_exact_key": "SELECT md5(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, count(*) AS uses, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "similar_questions": f"WITH q AS (SELECT conv_id, turn, {_WORDS} AS w, conv_id % 5 AS user, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id DESC, turn DESC) AS n FROM conversations WHERE role = 'user'), s AS (SELECT a.user, a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS overlap FROM q a JOIN q b ON a.user = b.user AND b.n = 1 WHERE a.n BETWEEN 2 AND 101) SELECT user, conv_id, turn, overlap, row_number() OVER (PARTITION BY user ORDER BY overlap DESC, conv_id, turn) AS rank FROM s WHERE overlap > 0 QUALIFY rank <= 3",
     "search_sessions": "WITH f AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(min_by(text, turn)), '[\\p{L}\\p{N}_]+'))) AS word FROM conversations WHERE conv_id % 20 = 0 GROUP BY conv_id), has AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM conversations), h AS (SELECT f.conv_id AS query_id, has.conv_id, count(*) AS hits FROM has JOIN f ON f.word = has.word WHERE f.conv_id <> has.conv_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, conv_id) AS rank FROM h QUALIFY rank <= 5",
-    "topic_history": "SELECT topic, count(DISTINCT conv_id) AS sessions, max(conv_id) AS last_conv FROM (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS topic FROM conversations WHERE role = 'user') WHERE length(topic) > 5 GROUP BY topic ORDER BY sessions DESC, topic LIMIT 10",
+    "topic_history": "WITH h AS (SELECT DISTINCT conv_id, topic FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS topic FROM conversations WHERE role = 'user') WHERE length(topic) > 5), a AS (SELECT DISTINCT upper(substr(topic, 1, 6)) AS asked FROM (SELECT topic FROM h GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 10)), f AS (SELECT DISTINCT asked, conv_id, conv_id % 5 AS user FROM h JOIN a ON contains(topic, lower(asked))) SELECT *, row_number() OVER (PARTITION BY user, asked ORDER BY conv_id DESC) AS place FROM f QUALIFY place <= 10",
+    "topic_counts": "SELECT topic, count(DISTINCT conv_id) AS sessions, max(conv_id) AS last_conv FROM (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS topic FROM conversations WHERE role = 'user') WHERE length(topic) > 5 GROUP BY topic ORDER BY sessions DESC, topic LIMIT 10",
     "recent_sessions": "SELECT conv_id % 5 AS user, conv_id, count(*) AS n_turns, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id DESC) AS rank FROM conversations GROUP BY conv_id QUALIFY rank <= 5",
 }

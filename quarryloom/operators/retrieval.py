@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarryloom.functions.tokens import cosine, dot, terms
+from quarryloom.functions.lattice import segment
+from quarryloom.functions.tokens import dot, terms
 from quarryloom.operators import blockmax, bm25
 from quarryloom.operators.bm25 import B, K1
 from quarryloom.sources.shared import new_path
@@ -298,6 +299,21 @@ def bm25_blocks_read(spark, d):
     return blockmax.search(spark, queries_of(spark, d), _postings(spark, d), 10)[1]
 
 
+#: Letters of the texts at hand, which hold no Chinese, as Chinese characters.
+LETTERS, CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "的一是在不了有和人这中大为上个国我以要他时来用们生到"
+
+
+def segment_runs(spark, d):
+    """Texts as Chinese ones, letter by letter and without blanks, cut into words again: a sentence is a run, and the
+    dictionary holds the words that the texts have three times or more, with their counts."""
+    plain = F.regexp_replace(F.lower("text"), "[^a-z. ]", "")
+    docs = table(spark, d, "documents").select("doc_id", plain.alias("text"))
+    words = docs.select(F.explode(F.split("text", "[. ]+")).alias("w")).where("length(w) BETWEEN 2 AND 12").groupBy("w").agg(F.count("*").alias("freq")).where("freq >= 3")
+    chinese = lambda c: F.translate(F.regexp_replace(c, " ", ""), LETTERS, CHARACTERS)
+    cut = segment(docs.select("doc_id", chinese(F.col("text")).alias("text")), words.select(chinese(F.col("w")).alias("word"), "freq"))
+    return cut.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.sum(F.size("words")).alias("n_words"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "words"))), lambda x: F.array_join(x["words"], " ")), "|").cast("binary")).alias("digest"))
+
+
 def corpus_stats(spark, d):
     index = bm25.forward(table(spark, d, "documents"))
     size = index.agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_dl"), F.sum(F.size("terms")).alias("n_postings"))
@@ -307,6 +323,7 @@ def corpus_stats(spark, d):
 
 QUERIES = {
     "tokenize": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(terms(F.col("text")), " ").alias("terms")),
+    "segment_runs": segment_runs,
     "term_stats": lambda s, d: bm25.forward(table(s, d, "documents")).where("dl > 0").select("doc_id", F.col("dl").alias("doc_length"), F.size("terms").cast("long").alias("unique_terms"), F.array_max("tfs").cast("long").alias("max_tf")),
     "corpus_stats": corpus_stats,
     "bm25_index": lambda s, d: stored(s, d, table(s, d, "documents")),

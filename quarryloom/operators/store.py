@@ -1,5 +1,5 @@
-"""Keeping chunk stores: scans, manifests, upserts, lookups, deletion and counts. Each works on whole tables and returns the
-new one; writing over the old partition is left to the caller."""
+"""Keeping chunk stores: scans, manifests, upserts, lookups, deletion and counts. Upserts and deletions change stores on
+disk, partition by partition; see `sources.partitioned`."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from quarryloom.operators import bm25
 from quarryloom.operators.chunking import IMAGES_SQL, image_marks, images, split_window
 from quarryloom.operators.retrieval import TERMS_SQL
+from quarryloom.sources import partitioned
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 from quarryloom.streaming.runs import folder
 
@@ -68,10 +69,23 @@ def _latest_manifest(spark, d) -> DataFrame:
     return latest(manifest(spark, d), ["file_hash", "collection"], [F.desc("version"), F.col("doc_id")])
 
 
+def _upserted_manifest(spark, d):
+    """The manifest after two runs: what the second one says of a file replaces what the first one said, by collection."""
+    rows, path = manifest(spark, d).drop("doc_id"), folder(spark, "manifest")
+    run = lambda n: manifest(spark, d).where(F.col("version") == n).groupBy("file_hash", "collection").agg(F.min_by(F.struct("version", "status"), "doc_id").alias("r")).select("file_hash", "r.*", "collection")
+    partitioned.create(run(1), path, ["collection"])
+    partitioned.upsert(run(2), path, ["file_hash", "collection"], ["collection"])
+    return partitioned.read(spark, path, rows.schema).select("file_hash", "collection", "version", "status")
+
+
 def _upserted(spark, d):
-    docs = table(spark, d, "documents")
-    row = lambda q, mark: q.select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.lit(mark).alias("run"))
-    return upsert(row(docs.where("lang IN ('en', 'fr')"), "old"), row(docs.where("doc_id % 3 = 0"), "new"), "id")
+    """A chunk store by language of what an earlier run left, into which a new run is put."""
+    docs, path = table(spark, d, "documents"), folder(spark, "chunk-store")
+    row = lambda q, mark: q.select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.lit(mark).alias("run"), "lang")
+    old, new = row(docs.where("lang IN ('en', 'fr')"), "old"), row(docs.where("doc_id % 3 = 0"), "new")
+    partitioned.create(old, path, ["lang"])
+    partitioned.upsert(new, path, ["id"], ["lang"])
+    return partitioned.read(spark, path, new.schema).select("id", "size", "run")
 
 
 def _lookup(spark, d):
@@ -79,19 +93,29 @@ def _lookup(spark, d):
     return get_by_ids(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), wanted).select("pos", "id", F.coalesce("source", F.lit("")).alias("source"))
 
 
-def delete_documents(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every table without the rows of the documents `ids` (doc_id)."""
-    gone = ids.select("doc_id").distinct()
-    return {name: rows.join(gone, "doc_id", "left_anti") for name, rows in tables.items()}
+def delete_documents(ids: DataFrame, stores: dict[str, tuple[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Deletes the documents `ids` (doc_id) from stores by language (name: path and rows it was made from), of which only
+    the partitions that hold some of them are written anew; gives what is left of each, read from disk."""
+    out = {}
+    for name, (path, rows) in stores.items():
+        partitioned.remove(ids, path, ["doc_id"], ["lang"], rows.schema)
+        out[name] = partitioned.read(ids.sparkSession, path, rows.schema)
+    return out
 
 
 def _deleted(spark, d):
-    """Rows that the deletion of all English documents of a source leaves in each table that knows of them: chunks, postings,
+    """Rows that the deletion of all English documents of a source leaves in each store that knows of them: chunks, postings,
     images and the manifest."""
     docs = table(spark, d, "documents")
+    lang = docs.select("doc_id", "lang")
     pics = image_marks(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[IMAGE: ([^\]]+)\]"), F.lit(1))).alias("image_id"))
     tables = {"chunks": split_window(docs), "postings": bm25.forward(docs).select("doc_id", F.explode("terms").alias("term")), "images": pics, "manifest": _latest_manifest(spark, d)}
-    left = delete_documents(docs.where("source = 'src2' AND lang = 'en'"), tables)
+    stores = {}
+    for name, rows in tables.items():
+        rows, path = rows.join(lang, "doc_id"), folder(spark, f"store-{name}")
+        partitioned.create(rows, path, ["lang"])
+        stores[name] = (path, rows)
+    left = delete_documents(docs.where("source = 'src2' AND lang = 'en'"), stores)
     counts = [rows.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "doc_id", "n") for name, rows in left.items()]
     return reduce(DataFrame.unionByName, counts)
 
@@ -102,11 +126,26 @@ def list_documents(spark, d):
     return chunks(spark, d).select("doc_id", "source_path").join(pieces, "doc_id", "left").join(pics, "doc_id", "left")
 
 
-def json_lines(spark, d) -> DataFrame:
-    """Properties as lines of a trace file, every ninth damaged; the damaged ones are skipped."""
-    line = F.when(F.pmod("event_id", F.lit(9)) == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "stage": "'), F.col("event_type"), F.lit('"}')))
-    parsed = table(spark, d, "events").select(F.from_json(line, "id long, stage string").alias("r"))
-    return parsed.where("r.id IS NOT NULL").select("r.*")
+TRACE_LINES = "id long, stage string"
+
+
+def trace_file(spark, d) -> str:
+    """Events as lines of trace files, every ninth one damaged."""
+    line = F.when(F.pmod("event_id", F.lit(9)) == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("stage"))))
+    path = folder(spark, "traces")
+    table(spark, d, "events").select(line.alias("value")).write.text(path)
+    return path
+
+
+def read_lines(spark, path: str, schema: str = TRACE_LINES) -> DataFrame:
+    """The lines of JSON files that can be read; damaged ones are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def damaged_lines(spark, path: str) -> DataFrame:
+    """How many lines there are, how many of them cannot be read, and the last id that can."""
+    rows = spark.read.schema(TRACE_LINES + ", damaged string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged").json(path)
+    return rows.agg(F.count("*").alias("n_lines"), F.count("damaged").alias("n_damaged"), F.max("id").alias("last_id"))
 
 
 #: Keys whose values an audit log must not show.
@@ -147,7 +186,7 @@ QUERIES = {
     "infer_source_type": lambda s, d: chunks(s, d).select("doc_id", infer_source_type(F.col("source_path")).alias("source_type")),
     "infer_source_from_metadata": lambda s, d: chunks(s, d).select("doc_id", infer_source_from_metadata(F.when(F.col("doc_id") % 5 == 0, F.col("source_type")), F.col("source_path"), F.substring("text", 1, 60)).alias("source_type")),
     "skip_unchanged": lambda s, d: skip_unchanged(files(s, d), _latest_manifest(s, d)).select("doc_id", "collection"),
-    "manifest_upsert": lambda s, d: _latest_manifest(s, d).select("file_hash", "collection", "version", "status"),
+    "manifest_upsert": _upserted_manifest,
     "chunk_upsert": _upserted,
     "get_by_ids": _lookup,
     "list_by_metadata": lambda s, d: chunks(s, d).where("source_type = 'slide' AND lang = 'fr'").select("doc_id", "source"),
@@ -155,7 +194,8 @@ QUERIES = {
     "list_documents": list_documents,
     "document_detail": lambda s, d: split_window(table(s, d, "documents")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x.cast("string")), ",").alias("pieces")),
     "collection_stats": lambda s, d: split_window(table(s, d, "documents")).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id").groupBy(F.col("lang").alias("collection")).agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents")),
-    "trace_scan": json_lines,
+    "trace_scan": lambda s, d: read_lines(s, trace_file(s, d)),
+    "trace_scan_damaged": lambda s, d: damaged_lines(s, trace_file(s, d)),
     "image_index": lambda s, d: images(s, d).groupBy(F.substring_index("image_id", "_", 1).alias("collection")).agg(F.count("*").alias("n_images"), F.max("page").alias("last_page")),
     "trace_sink": json_sink,
     "audit_sink": audit_sink,
@@ -178,6 +218,7 @@ SELECT "table", doc_id, count(*) AS n FROM x WHERE doc_id NOT IN (SELECT doc_id
     "list_documents": f"WITH {CHUNKS_SQL}, {_P}, {IMAGES_SQL} SELECT c.doc_id, source_path, n_chunks, len(regexp_extract_all(m.text, '\\[IMAGE: [^\\]]+\\]'))::INT AS n_images FROM chunks c JOIN (SELECT doc_id, count(*) AS n_chunks FROM pieces GROUP BY 1) p ON p.doc_id = c.doc_id JOIN marked m ON m.doc_id = c.doc_id",
     "document_detail": f"WITH {_P} SELECT doc_id, string_agg(piece::VARCHAR, ',' ORDER BY piece) AS pieces FROM pieces GROUP BY 1",
     "collection_stats": f"WITH {_P} SELECT lang AS collection, count(*) AS chunks, count(DISTINCT p.doc_id) AS documents FROM pieces p JOIN documents d ON d.doc_id = p.doc_id GROUP BY 1",
+    "trace_scan_damaged": "SELECT count(*) AS n_lines, count_if(event_id % 9 = 0) AS n_damaged, max(CASE WHEN event_id % 9 <> 0 THEN event_id END) AS last_id FROM events",
     "trace_scan": "SELECT event_id AS id, event_type AS stage FROM events WHERE event_id % 9 <> 0",
     "image_index": f"WITH {IMAGES_SQL} SELECT string_split(image_id, '_')[1] AS collection, count(*) AS n_images, max(page) AS last_page FROM images GROUP BY 1",
     "audit_sink": "SELECT event_id, json_extract_string(props, '$.k') AS k, '***' AS api_key FROM events",

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quarryloom.operators.chunking import split_window
 from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of, term_frequencies
+from quarryloom.sources.shared import saved
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 
 
@@ -67,6 +68,27 @@ def span_durations(spark, d):
     return stages(spark, d).groupBy("type", "stage").agg(F.count("*").alias("n"), F.round(F.sum("elapsed_ms"), 2).alias("total_ms"), F.round(F.percentile("elapsed_ms", 0.5), 4).alias("p50"), F.round(F.percentile("elapsed_ms", 0.95), 4).alias("p95"))
 
 
+#: Size of quantile sketches: rank errors stay well below one in a hundred.
+SKETCH_K = 400
+
+
+def duration_sketches(rows: DataFrame) -> DataFrame:
+    """(type, stage, hour, n, sketch): a quantile sketch of the durations of each hour. An hour is added when it is over, and
+    none is ever read again for a later report; partial sketches of tasks are merged before they are shuffled."""
+    return rows.groupBy("type", "stage", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("elapsed_ms", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, at: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(type, stage, n, p50, p95, ...) from the sketches of any hours, without the durations."""
+    whole = sketches.groupBy("type", "stage").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return whole.select("type", "stage", "n", *(F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{round(q * 100)}") for q in at))
+
+
+def span_quantiles(spark, d):
+    """Quantiles of durations by type and stage, from stored sketches of hours."""
+    return merged_quantiles(saved(duration_sketches(stages(spark, d)), "sketches"))
+
+
 def ingest_report(spark, d):
     p = split_window(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return p.groupBy("source").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 5).alias("mean_chars"), F.countDistinct("doc_id").alias("documents"), (F.count("*") - F.countDistinct(F.md5(F.col("text").cast("binary")))).alias("repeated"))
@@ -114,6 +136,7 @@ QUERIES = {
     "call_stats": lambda s, d: stages(s, d).groupBy("source").agg(F.count_if(F.col("stage") == "view").alias("hits"), F.count_if(F.col("stage") != "view").alias("misses"), F.round(F.avg((F.col("stage") == "view").cast("int")), 6).alias("hit_rate")),
     "counters": lambda s, d: stages(s, d).cube("type", "stage").agg(F.count("*").alias("n")),
     "span_durations": span_durations,
+    "span_quantiles": span_quantiles,
     "ingest_report": ingest_report,
     "top_terms": top_terms,
     "ingest_quality": ingest_quality,
