@@ -824,3 +824,43 @@ def test_sketched_quantiles_have_small_rank_errors(spark):
         for q, x in ((0.5, r.p50), (0.95, r.p95)):
             assert abs(sum(y <= x for y in v) / len(v) - q) < 0.01
     rows.unpersist()
+
+
+def test_hybrid_chain_against_a_plain_version(spark):
+    """Diversity, threshold, near copies and falling back, in this order, for lists with ties, missing vectors and copies."""
+    import numpy as np
+
+    from quarryloom.operators import hybrid
+
+    random.seed(16)
+    rows = []
+    for q in range(40):
+        asked = None if q % 7 == 0 else [random.gauss(0, 1) for _ in range(4)]
+        copy = random.getrandbits(32)
+        for place in range(1, random.randint(1, 20) + 1):
+            second = None if random.random() < 0.2 else round(random.uniform(0.2, 0.69 if q % 5 == 0 else 0.99), 6)
+            hi = copy ^ (1 << random.randrange(32)) if random.random() < 0.4 else random.getrandbits(32)
+            rows.append((q, 1000 * q + place, place, second, asked, None if random.random() < 0.2 else [random.choice([-1.0, 0.0, 1.0]) for _ in range(4)], hi, copy & 255))
+    ranked = spark.createDataFrame(rows, "query_id long, doc_id long, place int, second double, qv array<double>, dv array<double>, hi long, lo long")
+    got = {}
+    for r in hybrid.finished(ranked.repartition(3)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.fell_back))
+    cos = lambda a, b: 0.0 if a is None or b is None or not any(a) or not any(b) else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    fell = set()
+    for q in range(40):
+        left, chosen = [r for r in rows if r[0] == q], []
+        if left[0][4] is None:
+            chosen = left
+        else:
+            while left and len(chosen) < 10:
+                value = lambda r: round(0.7 * cos(r[4], r[5]) - 0.3 * max([cos(r[5], c[5]) for c in chosen], default=0.0), 9)
+                best = max(left, key=lambda r: (value(r), -r[2]))
+                chosen.append(best)
+                left.remove(best)
+        kept = []
+        for r in chosen:
+            if r[3] is not None and r[3] >= 0.7 and all((r[6] ^ k[6]).bit_count() + (r[7] ^ k[7]).bit_count() > 8 for k in kept):
+                kept.append(r)
+        fell.add(not kept)
+        assert got[q] == [(r[1], not kept) for r in (kept or chosen)[:10]]
+    assert fell == {True, False}
