@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import words
-from quarryloom.operators.queryprep import _REQ, requests
-from quarryloom.operators.retrieval import _bm25, bm25_sql, small
+from quarryloom.operators.evidence import filter_injection
+from quarryloom.operators.queryprep import _FILTERED, _REQ, requests
+from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of, small
 from quarryloom.sources.shared import new_path
 from quarryloom.sources.tables import ANSWERS_SQL, answers, table, turns
 
@@ -23,25 +26,34 @@ INTERVALS = [1, 2, 3, 4, 6, 7, 8, 12, 14, 15, 16, 24, 28, 30]
 
 def mastery(df: DataFrame) -> DataFrame:
     """Folds each learner's answers on a concept in order of time: a right one adds .1, a wrong one takes .15, within 0 and 1;
-    the review interval doubles or halves within 1 and 30 days. The answers of an hour are folded on their own, to a shift
-    with a lower and an upper bound and to a map of intervals; these few are then applied in order of time. So an array
-    holds what one learner answered on one concept in an hour, or one entry for each hour."""
-    part = df.groupBy("user_id", "concept", F.date_trunc("hour", "ts").alias("hour")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "correct"))), lambda x: x["correct"]).alias("a"), F.max("ts").alias("last"))
+    the review interval doubles or halves within 1 and 30 days. The answers of a minute are folded on their own, to a shift
+    with a lower and an upper bound and to a map of intervals; such folds compose, so the minutes of a day become one, and
+    the days are then applied in order. An array holds what one learner answered on one concept in a minute, the minutes of
+    a day, or the days."""
     within = lambda x: F.greatest(F.lit(0), F.least(F.lit(FULL), x))
-    start = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(FULL).alias("high"), F.array(*map(F.lit, INTERVALS)).alias("days"))
+    known = F.array(*map(F.lit, INTERVALS))
+    nothing = F.struct(F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(FULL).alias("high"), known.alias("days"))
 
     def step(s: Column, ok: Column) -> Column:
         by = F.when(ok, UP).otherwise(-DOWN)
         days = F.transform(s["days"], lambda x: F.when(ok, F.least(F.lit(30), x * 2)).otherwise(F.greatest(F.lit(1), F.floor(x / 2).cast("int"))))
         return F.struct((s["shift"] + by).alias("shift"), within(s["low"] + by).alias("low"), within(s["high"] + by).alias("high"), days.alias("days"))
 
-    part = part.withColumn("f", F.aggregate("a", start, step))
-    right = F.size(F.filter("a", lambda ok: ok))
-    whole = part.groupBy("user_id", "concept").agg(F.array_sort(F.collect_list(F.struct("hour", "f"))).alias("h"), F.sum(F.size("a")).cast("int").alias("quiz_count"), F.sum(right).cast("int").alias("correct_count"), F.max("last").alias("last_reviewed"))
-    known = F.array(*map(F.lit, INTERVALS))
-    apply = lambda s, x: F.struct(F.least(x["f"]["high"], F.greatest(x["f"]["low"], s["m"] + x["f"]["shift"])).alias("m"), F.element_at(x["f"]["days"], F.array_position(known, s["days"]).cast("int")).alias("days"))
-    folded = whole.withColumn("r", F.aggregate("h", F.struct(F.lit(0).alias("m"), F.lit(1).alias("days")), apply))
-    return folded.select("user_id", "concept", F.round(F.col("r.m") / FULL, 6).alias("mastery"), F.col("r.days").alias("interval_days"), "quiz_count", "correct_count", "last_reviewed")
+    def then(s: Column, x: Column) -> Column:
+        f = x["f"]
+        bound = lambda c: F.least(f["high"], F.greatest(f["low"], c + f["shift"]))
+        days = F.transform(s["days"], lambda d: F.element_at(f["days"], F.array_position(known, d).cast("int")))
+        return F.struct((s["shift"] + f["shift"]).alias("shift"), bound(s["low"]).alias("low"), bound(s["high"]).alias("high"), days.alias("days"))
+
+    key = ["user_id", "concept"]
+    part = df.groupBy(*key, F.date_trunc("minute", "ts").alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "correct"))), lambda x: x["correct"]).alias("a"), F.max("ts").alias("last"))
+    part = part.select(*key, "at", F.aggregate("a", nothing, step).alias("f"), F.size("a").alias("n"), F.size(F.filter("a", lambda ok: ok)).alias("right"), "last")
+    for unit in ("day", None):
+        by = [F.date_trunc(unit, "at").alias("unit")] if unit else []
+        part = part.groupBy(*key, *by).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("h"), F.sum("n").cast("int").alias("n"), F.sum("right").cast("int").alias("right"), F.max("last").alias("last"))
+        part = part.select(*key, *([F.col("unit").alias("at")] if unit else []), F.aggregate("h", nothing, then).alias("f"), "n", "right", "last")
+    m = F.least(F.col("f.high"), F.greatest(F.col("f.low"), F.col("f.shift")))
+    return part.select(*key, F.round(m / FULL, 6).alias("mastery"), F.element_at("f.days", 1).alias("interval_days"), F.col("n").alias("quiz_count"), F.col("right").alias("correct_count"), F.col("last").alias("last_reviewed"))
 
 
 def decay(m: Column, idle_days: Column, interval: Column) -> Column:
@@ -273,28 +285,52 @@ def parse_quiz(df: DataFrame) -> DataFrame:
     return b.select("conv_id", F.regexp_extract("b", r"^([0-9]+)\.", 1).cast("int").alias("no"), F.trim(F.regexp_extract("b", r"^[0-9]+\. ([^\n]*)", 1)).alias("question"), F.trim(F.regexp_extract("b", r"\nAnswer: ([^\n]*)", 1)).alias("answer"))
 
 
-def align_answers(spark, d):
-    """Given answers (the same quiz, every third number missing) to questions: by number, else the most similar question of
-    .45 or more, each once. A conversation is one group of a few rows."""
-    import difflib
+#: What counts in comparing questions, and how like they have to be.
+QUESTION_TOKEN, ALIKE = r"[A-Za-z0-9\u4e00-\u9fff]+", 0.45
+
+
+def question_similarity(a: str, b: str) -> float:
+    """1 for questions of the same letters and digits, the ratio of lengths if one contains the other, else 0."""
+    if not a or not b:
+        return 0.0
+    return min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else 0.0
+
+
+def aligned(numbers: list[int | None], items: list[str], bundle: list[str]) -> list[int]:
+    """For each item the number of its question in the bundle (0: none), in order: by its own number, else the most similar
+    question that no item before it has taken, if that is similar enough; of equal ones the first."""
+    taken: set[int] = set()
+    out = []
+    for number, item in zip(numbers, items, strict=True):
+        if number is not None and 1 <= number <= len(bundle):
+            found = number
+        else:
+            best = max(((question_similarity(item, q), -n) for n, q in enumerate(bundle, 1) if n not in taken), default=(0.0, 0))
+            found = -best[1] if best[0] >= ALIKE else 0
+        if found:
+            taken.add(found)
+        out.append(found)
+    return out
+
 
-    q = parse_quiz(quiz_texts(spark, d)).select("conv_id", "no", "question", F.when(F.col("no") % 3 == 0, None).otherwise(F.col("no")).alias("given_no"))
+def given_answers(quiz: DataFrame) -> DataFrame:
+    """The same quiz as it is handed in: every third question without its number, of these every other one cut to two thirds
+    and every fourth put in other words."""
+    bare = F.col("no") % 3 == 0
+    part = F.substring("question", F.lit(1), F.ceil(F.length("question") * 2 / 3).cast("int"))
+    text = F.when(bare & (F.col("no") % 4 == 0), F.concat(F.lit("something else on "), F.reverse("question"))).when(bare & (F.col("no") % 2 == 0), part).otherwise(F.upper("question"))
+    return quiz.select("conv_id", "no", F.when(~bare, F.col("no")).alias("given_no"), text.alias("given"), "question")
+
+
+def align_answers(spark, d):
+    """Given answers to questions; see `aligned`. A conversation is one group of a few rows."""
+    letters = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(QUESTION_TOKEN), F.lit(0)), "")
+    q = given_answers(parse_quiz(quiz_texts(spark, d))).select("conv_id", "no", "given_no", letters("given").alias("item"), letters("question").alias("source"))
 
     def run(pdf):
         pdf = pdf.sort_values("no").reset_index(drop=True)
-        taken, out = set(), {}
-        for i, g in enumerate(pdf.given_no):
-            if g == g and g is not None:
-                out[i] = int(g)
-                taken.add(int(g))
-        for i in range(len(pdf)):
-            if i in out:
-                continue
-            best = max(((round(difflib.SequenceMatcher(None, pdf.question[i], pdf.question[j]).ratio(), 6), -int(pdf.no[j])) for j in range(len(pdf)) if int(pdf.no[j]) not in taken), default=(0, 0))
-            if best[0] >= 0.45:
-                out[i] = -best[1]
-                taken.add(-best[1])
-        return pdf.assign(aligned=[out.get(i, 0) for i in range(len(pdf))])[["conv_id", "no", "aligned"]]
+        numbers = [None if n is None or n != n else int(n) for n in pdf.given_no]
+        return pdf.assign(aligned=aligned(numbers, pdf["item"].tolist(), pdf["source"].tolist()))[["conv_id", "no", "aligned"]]
 
     return q.groupBy("conv_id").applyInPandas(run, "conv_id long, no int, aligned int")
 
@@ -329,10 +365,39 @@ def sample_questions(spark, d):
     return top(kept, 6, ["query_id"], F.desc("score"), F.col("doc_id"), name="pos").select("query_id", "pos", "doc_id", F.when(F.col("n_bank") >= 3, "bank").otherwise("general").alias("kind"))
 
 
+#: Questions made of what was found, by template, and how much of it they show.
+SNIPPET, TOPIC = 90, 80
+CHOICE = "关于 {t}，以下哪一项最符合课程资料中的描述？（第 {n} 题）\nA. {s}\nB. {t} 与该知识点无关\nC. {t} 只在物理层中使用\nD. {t} 不涉及任何状态或控制机制\nA\n课程证据指出：{s}"
+SHORT_ANSWER = "请简述 {t} 的一个核心知识点。（第 {n} 题）\n{s}\n可结合课程证据作答：{s}"
+
+
+def quiz_snippet(text: Column) -> Column:
+    """The first sentence, by the first kind of end that the text has, without injections; at most 90 characters."""
+    clean = F.trim(F.regexp_replace(filter_injection(text), r"\n", " "))
+    out = F.lit(None).cast("string")
+    for end in reversed(("。", "！", "？", ". ")):
+        head = F.trim(F.substring_index(clean, end, 1))
+        out = F.when(F.contains(clean, F.lit(end)) & (F.length(head) > 0), head).otherwise(out)
+    return F.substring(F.coalesce(out, clean), 1, SNIPPET)
+
+
+def filled_in(template: str, **values: Column) -> Column:
+    """A text with columns in its places."""
+    parts = re.split(r"\{(\w)\}", template)
+    return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+
+
 def fast_quiz(spark, d):
-    text = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
-    rows = sample_questions(spark, d).join(text, "doc_id").select("query_id", "pos", F.concat(F.col("pos"), F.lit(". "), F.col("t")).alias("line"))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("quiz"))
+    """Three questions on each query from its best hits, in turn if there are fewer: with four options for queries of even
+    numbers, else to be answered in words."""
+    text = table(spark, d, "documents").select("doc_id", quiz_snippet(F.col("text")).alias("snippet"))
+    hits = sample_questions(spark, d).join(text, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "snippet"))).alias("hits"))
+    topic = queries_of(spark, d).select("query_id", filter_injection(F.col("query"), TOPIC).alias("topic"))
+    q = hits.join(topic, "query_id").select("query_id", "topic", "hits", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    found = F.get("hits", ((F.col("n") - 1) % F.size("hits")).cast("int"))["snippet"]
+    s = F.when(F.length(found) > 0, found).otherwise(F.concat("topic", F.lit(" 的核心概念与适用场景")))
+    fill = lambda template: filled_in(template, t=F.col("topic"), n=F.col("n").cast("string"), s=s)
+    return q.select("query_id", F.col("n").alias("no"), F.when(F.col("query_id") % 2 == 0, fill(CHOICE)).otherwise(fill(SHORT_ANSWER)).alias("question"))
 
 
 def fast_summary(spark, d):
@@ -526,7 +591,13 @@ SELECT user_id, low AND has AS triggered, CASE WHEN NOT low THEN 'message_not_lo
     "grade_batch": f"WITH {_QUIZ}, b AS (SELECT conv_id, round_even(avg(score), 0)::INT AS score, array_to_string(list_sort(list(DISTINCT score)), ',') AS scores FROM gr GROUP BY 1) SELECT *, CASE WHEN score >= 90 THEN 'correct' WHEN score >= 60 THEN 'partial' ELSE 'incorrect' END AS verdict FROM b",
     "latest_outcomes": f"WITH {_QUIZ} SELECT conv_id, string_agg(score::VARCHAR, ',' ORDER BY no DESC) AS outcomes FROM (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY no DESC) <= 2) GROUP BY 1",
     "sample_questions": f"WITH {_SQ} SELECT * FROM sq",
-    "fast_quiz": f"WITH {_SQ} SELECT query_id, string_agg(pos::VARCHAR || '. ' || regexp_replace(text, '\\s+', ' ', 'g'), chr(10) ORDER BY pos) AS quiz FROM sq JOIN documents d ON d.doc_id = sq.doc_id GROUP BY 1",
+    "fast_quiz": f"""WITH {_SQ}, c AS (SELECT d.doc_id, trim(replace({_FILTERED}, chr(10), ' '), ' ') AS c FROM documents d),
+e AS (SELECT doc_id, c, CASE {' '.join(f"WHEN contains(c, '{x}') AND trim(string_split(c, '{x}')[1], ' ') <> '' THEN trim(string_split(c, '{x}')[1], ' ')" for x in ("。", "！", "？", ". "))} ELSE c END AS h FROM c),
+hh AS (SELECT query_id, list(substr(h, 1, 90) ORDER BY pos) AS hits FROM sq JOIN e ON e.doc_id = sq.doc_id GROUP BY 1),
+q AS (SELECT query_id, no, {_FILTERED.replace('d.text', 'b.text').replace('2000', '80')} AS t, hits[(no - 1) % len(hits) + 1] AS s FROM hh JOIN benchmark b ON b.item_id = query_id, (SELECT unnest(range(1, 4)) AS no)),
+f AS (SELECT query_id, no, t, CASE WHEN s <> '' THEN s ELSE t || ' 的核心概念与适用场景' END AS s FROM q)
+SELECT query_id, no, CASE WHEN query_id % 2 = 0 THEN '关于 ' || t || '，以下哪一项最符合课程资料中的描述？（第 ' || no || ' 题）' || chr(10) || 'A. ' || s || chr(10) || 'B. ' || t || ' 与该知识点无关' || chr(10) || 'C. ' || t || ' 只在物理层中使用' || chr(10) || 'D. ' || t || ' 不涉及任何状态或控制机制' || chr(10) || 'A' || chr(10) || '课程证据指出：' || s
+ ELSE '请简述 ' || t || ' 的一个核心知识点。（第 ' || no || ' 题）' || chr(10) || s || chr(10) || '可结合课程证据作答：' || s END AS question FROM f""",
     "fast_summary": f"WITH {bm25_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 5) SELECT query_id, 'Key points:' || chr(10) || string_agg('- ' || trim(regexp_split_to_array(text, '[.\\n]')[1], ' ') || ' (' || source || ')', chr(10) ORDER BY rank) AS summary FROM r JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1",
     "feedback_stats": f"WITH {_FB} SELECT user_id, count_if(rating = 'up')::BIGINT AS up, count_if(rating = 'down')::BIGINT AS down, round(avg((rating = 'up')::INT), 6) AS share FROM fb GROUP BY 1",
     "feedback_recent": f"WITH {_FB} SELECT event_id, user_id, rating FROM fb ORDER BY ts DESC, event_id DESC LIMIT 20",

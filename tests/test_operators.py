@@ -310,21 +310,33 @@ def test_mastery_in_hours_equals_one_fold(spark):
 
 
 def test_aligned_answers_against_a_plain_version(spark, sf_dir):
-    import difflib
+    import re
 
-    asked = learner.parse_quiz(learner.quiz_texts(spark, sf_dir)).toPandas()
+    asked = learner.given_answers(learner.parse_quiz(learner.quiz_texts(spark, sf_dir))).toPandas()
     got = {(r.conv_id, r.no): r.aligned for r in learner.QUERIES["align_answers"](spark, sf_dir).collect()}
+    letters = lambda t: "".join(re.findall("[A-Za-z0-9\u4e00-\u9fff]+", t.lower()))
+    kinds = set()
     for conv, q in asked.sort_values("no").groupby("conv_id"):
-        text = dict(zip(q.no, q.question, strict=True))
-        taken = {n for n in text if n % 3}
-        for n in sorted(text):
+        sources, used = [letters(t) for t in q.question], []
+        for n, given in zip(q.no, q.given, strict=True):
             want = n if n % 3 else 0
             if not want:
-                near = [(round(difflib.SequenceMatcher(None, text[n], t).ratio(), 6), -m) for m, t in text.items() if m not in taken]
-                if near and max(near)[0] >= 0.45:
-                    want = -max(near)[1]
-                    taken.add(want)
+                scores = []
+                for m, source in enumerate(sources, 1):
+                    a, b = sorted((letters(given), source), key=len)
+                    scores.append((len(a) / len(b) if a and a in b and m not in used else 0.0, -m))
+                want = -max(scores)[1] if max(scores)[0] >= 0.45 else 0
+                kinds.add(bool(want))
+            if want:
+                used.append(want)
             assert got[conv, n] == want
+    assert kinds == {True, False}
+
+
+def test_alignment_by_hand():
+    bundle = ["abcdef", "abc", "xyz"]
+    assert learner.aligned([2, None, None, None, 9], ["", "abcde", "abc", "zzz", "xyz"], bundle) == [2, 1, 0, 0, 3]
+    assert learner.question_similarity("", "a") == 0.0 and learner.question_similarity("ab", "abcd") == 0.5
 
 
 def calls(sf_dir):
