@@ -436,15 +436,18 @@ def compaction_split(spark, d, keep: int = 3):
 
 
 def memory_summary(spark, d):
-    """Per learner: the last three topics, weak concepts, due ones, and the errors with how often each was repeated."""
-    n = nodes(spark, d)
-    last = top(n, 3, ["user_id"], F.desc("last_reviewed"), F.col("concept"))
-    topics = last.groupBy("user_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("n", "concept"))), lambda x: x["concept"])).alias("topics"))
-    weak = n.where(F.col("mastery") < WEAK).groupBy("user_id").agg(joined(F.array_sort(F.collect_set("concept"))).alias("weak"))
-    due = n.where("idle_days >= interval_days").groupBy("user_id").agg(joined(F.array_sort(F.collect_set("concept"))).alias("due"))
-    err = answers(spark, d).where("NOT correct").groupBy("user_id", "concept").agg(F.count("*").alias("c")).groupBy("user_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("concept", "c"))), lambda x: F.concat(x["concept"], F.lit("x"), x["c"].cast("string")))).alias("errors"))
-    users = answers(spark, d).select("user_id").distinct()
-    return users.join(topics, "user_id", "left").join(weak, "user_id", "left").join(due, "user_id", "left").join(err, "user_id", "left")
+    """Per learner: the last three topics, weak concepts, due ones, and the errors with how often each was repeated; all from
+    one pass over the learner's concepts."""
+    n = nodes(spark, d).withColumn("wrong", F.col("quiz_count") - F.col("correct_count"))
+    listed = lambda which, what=F.col("concept"): F.array_sort(F.collect_list(F.when(which, what)))
+    found = n.groupBy("user_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.unix_micros("last_reviewed")).alias("at"), "concept"))), 1, 3).alias("topics"),
+        listed(F.col("mastery") < WEAK).alias("weak"),
+        listed(F.col("idle_days") >= F.col("interval_days")).alias("due"),
+        F.transform(listed(F.col("wrong") > 0, F.struct("concept", "wrong")), lambda x: F.concat(x["concept"], F.lit("x"), x["wrong"].cast("string"))).alias("errors"),
+    )
+    text = lambda c: F.when(F.size(c) > 0, joined(F.col(c)))
+    return found.select("user_id", joined(F.transform("topics", lambda x: x["concept"])).alias("topics"), text("weak").alias("weak"), text("due").alias("due"), text("errors").alias("errors"))
 
 
 def tool_chains(spark, d):
