@@ -29,9 +29,9 @@ from quarryloom.llm import textbytes as tb
 from quarryloom.sources.tables import table
 
 #: Texts are read in slabs of so many characters, and one blank-free stretch more. So many words and pairs are remembered.
-SLAB_CHARS, REMEMBERED_WORDS, REMEMBERED_CHARS, REMEMBERED_PAIRS = 1 << 16, 1 << 17, 48, 1 << 20
-#: Below this character the text stands for itself under NFC, and lower-casing looks at one character at a time.
-PLAIN_BELOW = "\u0300"
+SLAB_CHARS, REMEMBERED_WORDS, REMEMBERED_CHARS, REMEMBERED_PAIRS = 1 << 16, 1 << 18, 48, 1 << 20
+#: Below these characters the text stands for itself under NFC, and lower-casing looks at one character at a time.
+_BEYOND = re.compile("[\u0300-\U0010ffff]")
 _models: dict = {}
 
 
@@ -51,7 +51,7 @@ class WordBpe:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         of_char = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        symbol = {vocab[c]: chr(b + 1) for c, b in of_char.items()} | {vocab[c + end]: chr(b + 257) for c, b in of_char.items()}
+        symbol = {vocab[c]: chr(b) for c, b in of_char.items()} | {vocab[c + end]: chr(b + 256) for c, b in of_char.items()}
         self.base, self.parts, self.merged = len(symbol), {}, {}
         for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
@@ -73,14 +73,17 @@ class WordBpe:
         for t, (a, b) in self.parts.items():
             if a in whole and b in whole and self._apart(a, b, below=True):
                 whole.add(t)
+        # Strings are kept backwards: what ends at a place backwards begins there, and the longest is found first.
+        self.backwards = {symbol[t][::-1]: t for t in whole}
         self.longest_first = ahocorasick.Automaton()
-        for t in whole:
-            self.longest_first.add_word(symbol[t][::-1], t)
+        for backwards, t in self.backwards.items():
+            self.longest_first.add_word(backwards, t)
         self.longest_first.make_automaton()
         by_symbols = {symbol[t]: t for t in whole}
         self.shorter = {t: next((by_symbols[symbol[t][:n]] for n in range(len(symbol[t]) - 1, 0, -1) if symbol[t][:n] in by_symbols), None) for t in whole}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
         texts = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         strings = [texts.get(i, "").encode() + b" " * (i in texts) for i in range(max(texts) + 1)]
@@ -114,44 +117,56 @@ class WordBpe:
 
     def piece_ids(self, piece: str) -> array:
         """Ids of one piece, by backtracking."""
-        data = piece.encode()
+        data = piece.encode().decode("latin-1")
+        symbols = chr(ord(data[-1]) + 256) + data[-2::-1]
+        token = self.backwards.get(symbols)
+        if token is not None:
+            return array("I", (token,))
         n = len(data)
-        symbols = "".join(map(chr, [b + 1 for b in data[:-1]] + [data[-1] + 257]))
-        first, size, shorter = [None] * n, self.size, self.shorter
-        for end, token in self.longest_first.iter(symbols[::-1]):
-            at = n - 1 - end
-            if first[at] is None or size[first[at]] < size[token]:
-                first[at] = token
+        first, last = [None] * n, n - 1
+        for end, token in self.longest_first.iter(symbols):
+            if first[last - end] is None:
+                first[last - end] = token
+        size, shorter, known = self.size, self.shorter, self.pairs.get
         out, at, failed = array("I"), 0, bytearray(n + 1)
-        token = first[0]
+        token, before = first[0], None
         while at < n:
-            while token is not None and (failed[at + size[token]] or out and not self.compatible(out[-1], token)):
+            while token is not None:
+                if not failed[at + size[token]]:
+                    if before is None:
+                        break
+                    fits = known((before, token))
+                    if fits or fits is None and self.compatible(before, token):
+                        break
                 token = shorter[token]
             if token is None:
                 failed[at] = 1
                 token = out.pop()
                 at -= size[token]
-                token = shorter[token]
+                token, before = shorter[token], out[-1] if out else None
             else:
                 out.append(token)
                 at += size[token]
-                token = first[at] if at < n else None
+                before, token = token, first[at] if at < n else None
         return out
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text without special tokens, normalised. Texts of characters that later versions of Unicode
         cannot have changed are split here; the file's own normaliser and splitter see to the others."""
-        if not text or max(text) < PLAIN_BELOW:
+        if text.isascii() or not _BEYOND.search(text):
             return self.pattern.findall(text.lower())
         return [p for p, _ in self.splitter.pre_tokenize_str(self.own.normalizer.normalize_str(text))]
 
     def word(self, piece: str) -> bytes:
+        """Ids of a piece, which are remembered: the newest words in one table, those before in another, and no more."""
         known = self.words.get(piece)
         if known is None:
-            known = self.piece_ids(piece).tobytes()
+            known = self.words_before.get(piece)
+            if known is None:
+                known = self.piece_ids(piece).tobytes()
             if len(piece) <= REMEMBERED_CHARS:
                 if len(self.words) >= REMEMBERED_WORDS:
-                    self.words.clear()
+                    self.words, self.words_before = {}, self.words
                 self.words[piece] = known
         return known
 
