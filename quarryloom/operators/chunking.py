@@ -399,7 +399,8 @@ def caption_join(spark, d):
 
 def preview(text: Column, size: int = 500) -> Column:
     """The lines of a text that are no headings, in one."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    # F.trim alone would take the number of the line for the characters to trim.
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     whole = F.array_join(lines, " ")
     return F.when(F.length(whole) > size, F.concat(F.regexp_replace(F.substring(whole, 1, size), r"\s\S*$", ""), F.lit("..."))).otherwise(whole)
 

@@ -876,3 +876,10 @@ def test_hybrid_chain_against_a_plain_version(spark):
         fell.add(not kept)
         assert got[q] == [(r[1], not kept) for r in (kept or chosen)[:10]]
     assert fell == {True, False}
+
+
+def test_preview_trims_blanks_alone(spark):
+    """Digits that equal the number of their line stay."""
+    text = "100 apples cost 90\n  in row 11 \n# heading 2\n2 pears or 22"
+    got = spark.createDataFrame([(text,)], "text string").select(chunking.preview(F.col("text")).alias("p")).first().p
+    assert got == "100 apples cost 90 in row 11 2 pears or 22"
