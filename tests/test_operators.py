@@ -883,3 +883,39 @@ def test_preview_trims_blanks_alone(spark):
     text = "100 apples cost 90\n  in row 11 \n# heading 2\n2 pears or 22"
     got = spark.createDataFrame([(text,)], "text string").select(chunking.preview(F.col("text")).alias("p")).first().p
     assert got == "100 apples cost 90 in row 11 2 pears or 22"
+
+
+def test_lattice_cuts_all_runs_at_once_as_one_by_one(spark):
+    """Long runs, many equal paths, and a dictionary over several slices of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarryloom.functions import lattice
+
+    random.seed(16)
+    letters = "的一是在不了有和人"
+    words = {"".join(random.choice(letters) for _ in range(random.randint(1, 7))): random.choice([1, 2, 3, 3, 3, 40]) for _ in range(900)}
+    least = -math.log(sum(words.values()))
+    runs = ["".join(random.choice(letters) for _ in range(random.choice([1, 2, 30, 700]))) for _ in range(300)]
+    tree = lattice.Tree(pa.array(list(words)), np.array(list(words.values()), float), least)
+    share = {w: math.log(f) + least for w, f in words.items()}
+    code, size = lattice.characters(pa.array(runs))
+    step, at = tree.cut(code, size).tolist(), 0
+    for run in runs:
+        got, k = [], 0
+        while k < len(run):
+            got.append(run[k : k + step[at + k]])
+            k += step[at + k]
+        assert got == lattice.best_path(run, share, 7, least)
+        at += len(run)
+    texts = [(i, "a".join(runs[i : i + 3])) for i in range(0, 300, 3)] + [(900, None), (901, "")]
+    docs, before = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), lattice.HELD_CHARACTERS
+    lattice.HELD_CHARACTERS = 2000
+    try:
+        # Texts stay where they are: only the dictionary is shuffled.
+        cut = lattice.segment_texts(docs, spark.createDataFrame([*words.items()], "word string, freq long"))
+        assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: r.runs for r in cut.collect()}
+    finally:
+        lattice.HELD_CHARACTERS = before
+    assert got == {i: [lattice.best_path(x, share, 7, least) for x in t.split("a")] for i, t in texts if t}
