@@ -919,3 +919,20 @@ def test_lattice_cuts_all_runs_at_once_as_one_by_one(spark):
     finally:
         lattice.HELD_CHARACTERS = before
     assert got == {i: [lattice.best_path(x, share, 7, least) for x in t.split("a")] for i, t in texts if t}
+
+
+@pytest.mark.parametrize("ttl", [3600, 600])
+def test_last_store_of_each_use_over_batches(spark, tmp_path, ttl):
+    """Many stores of one entry in a stretch of time: one row a use, and no more than twice the input goes in."""
+    import datetime
+
+    random.seed(17)
+    at = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=k)
+    stores = sorted(((random.choice([0, 0, 0, 1, 2, None]), at(random.randint(0, 900))) for _ in range(300)), key=lambda r: r[1])
+    uses = sorted(((k, random.choice([0, 0, 0, 1, 2, 7, None]), at(random.randint(0, 900))) for k in range(400)), key=lambda r: r[2])
+    s = streamed(spark, tmp_path, [*stores, (-1, at(9000))], "entry long, stored timestamp", 3)
+    u = streamed(spark, tmp_path, [*uses, (None, -1, at(9000))], "use_id long, entry long, used timestamp", 5)
+    rows = streams.drained(streams.last_stores(s, u, ttl, "400 minutes"), "c", "append").where("use_id IS NOT NULL").collect()
+    want = {i: max((t for e, t in stores if e is not None and e == x and t <= used <= t + datetime.timedelta(seconds=ttl)), default=None) for i, x, used in uses}
+    assert len(rows) == len(uses) and {r.use_id: r.stored for r in rows} == want and None in want.values()
+    assert all(r.used == uses_at for r, uses_at in zip(sorted(rows, key=lambda r: r.use_id), (t for _, _, t in sorted(uses, key=lambda r: r[0])), strict=True))
