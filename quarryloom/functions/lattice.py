@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def rounded(x: np.ndarray) -> np.ndarray:
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of texts, one after the other, and how many each has."""
-    size = np.asarray(pa.compute.utf8_length(texts)).astype(np.int64)
+    size = np.asarray(pc.utf8_length(texts)).astype(np.int64)
     return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64), size
 
 
@@ -129,9 +130,9 @@ def _by_tree(shared):
         tree = shared.value
         for whole in batches:
             # Left out here, as a filter of the plan would find the runs twice.
-            whole = whole.filter(pa.compute.greater(pa.compute.list_value_length(whole.column("runs")), 0))
-            total = np.cumsum(np.asarray(pa.compute.list_value_length(whole.column("runs"))).astype(np.int64))
-            sizes = pa.compute.utf8_length(whole.column("runs").flatten())
+            whole = whole.filter(pc.greater(pc.list_value_length(whole.column("runs")), 0))
+            total = np.cumsum(np.asarray(pc.list_value_length(whole.column("runs"))).astype(np.int64))
+            sizes = pc.utf8_length(whole.column("runs").flatten())
             upto = np.append(0, np.cumsum(np.asarray(sizes).astype(np.int64)))[total]
             low = 0
             while low < whole.num_rows:
@@ -149,7 +150,7 @@ def _by_tree(shared):
                 starts = np.array([*starts, len(steps)], np.int64)
                 words = pa.array([text[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.string())
                 of_run = np.searchsorted(starts, np.append(0, np.cumsum(size)))
-                of_text = np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(b.column("runs"))).astype(np.int64)))
+                of_text = np.append(0, np.cumsum(np.asarray(pc.list_value_length(b.column("runs"))).astype(np.int64)))
                 cut = pa.ListArray.from_arrays(pa.array(of_run, pa.int32()), words)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), cut)], ["doc_id", "runs"])
 

@@ -936,3 +936,44 @@ def test_last_store_of_each_use_over_batches(spark, tmp_path, ttl):
     want = {i: max((t for e, t in stores if e is not None and e == x and t <= used <= t + datetime.timedelta(seconds=ttl)), default=None) for i, x, used in uses}
     assert len(rows) == len(uses) and {r.use_id: r.stored for r in rows} == want and None in want.values()
     assert all(r.used == uses_at for r, uses_at in zip(sorted(rows, key=lambda r: r.use_id), (t for _, _, t in sorted(uses, key=lambda r: r[0])), strict=True))
+
+
+def test_scoring_holds_no_more_for_a_larger_batch():
+    """A task's memory beside its batch: many documents that have terms of many queries, and the same scores by hand."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    words, docs, queries = 40, 3000, 100
+    asking = np.tile(np.arange(queries), words)  # every query has every term
+    shared = SimpleNamespace(value=(np.arange(queries), [f"w{k}" for k in range(words)], np.ones(words), np.arange(words + 1) * queries, asking, 40.0))
+    terms_ = pa.array([[f"w{k}" for k in range(words)]] * docs, pa.list_(pa.string()))
+    tfs = pa.array([[1 + d % 7] * words for d in range(docs)], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(docs), pa.int64()), pa.array([words] * docs, pa.int64()), terms_, tfs], ["doc_id", "dl", "terms", "tfs"])
+    tracemalloc.start()
+    try:
+        got = list(bm25._score(shared, 3, 1.5, 0.75, None, True)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150 << 20
+    assert got[0].column("doc_id").to_pylist() == [6, 13, 20] * queries
+    assert set(got[0].column("score").to_pylist()) == {round(words * 7 * 2.5 / 8.5, 6)}
+
+
+def test_slices_keep_every_row():
+    import numpy as np
+    import pyarrow as pa
+
+    held, bm25.HELD_TERMS = bm25.HELD_TERMS, 10
+    try:
+        size = [0, 3, 7, 11, 0, 0, 25, 1, 9, 1]
+        b = pa.RecordBatch.from_arrays([pa.array([None if n == 0 else ["x"] * n for n in size], pa.list_(pa.string())), pa.array(range(10))], ["terms", "id"])
+        parts = list(bm25.slices([b, b.slice(0, 0)], "terms"))
+    finally:
+        bm25.HELD_TERMS = held
+    assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(10)) and parts[-1].num_rows == 0
+    assert all(p.num_rows == 1 or len(p.column("terms").flatten()) <= 10 for p in parts)
+    assert list(bm25.cuts(np.array([1, 1, 1, 1]), 100, 3)) == [(0, 3), (3, 4)]
