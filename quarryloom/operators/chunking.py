@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarryloom.functions.tokens import dot
+from quarryloom.functions.tokens import HELD_LETTERS, cut_by_length, dot, letter_pairs
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table
 
 PIECES = "doc_id long, piece int, start int, text string"
@@ -169,15 +169,35 @@ def split_semantic(paragraphs: DataFrame, cosine: float = SEMANTIC_COSINE, size:
     return paragraphs.groupBy("doc_id").applyInPandas(run, "doc_id long, piece int, text string")
 
 
-def paragraph_vectors(docs: DataFrame, width: int = 32) -> DataFrame:
-    """Paragraphs with vectors of hashed letter counts, which need no model."""
-    para = docs.select("doc_id", F.posexplode(F.split("text", r"\n{2,}")).alias("pos", "text")).select("doc_id", "pos", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("length(text) > 0")
-    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(F.col("text"), i, F.lit(2))), F.lit(width)))
-    # One pass counts all buckets of a paragraph.
-    tokens = para.select("doc_id", "pos", F.explode(gram).alias("g")).groupBy("doc_id", "pos", "g").count()
-    vector = tokens.groupBy("doc_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("g", "count"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)).cast("double"))
-    return para.join(vector, ["doc_id", "pos"]).select("doc_id", "pos", "text", dense.alias("vector"))
+def split_semantic_texts(docs: DataFrame, width: int = 32) -> DataFrame:
+    """`split_semantic` of the paragraphs of texts, with vectors of hashed letter pairs, which need no model. A document's
+    paragraphs never leave its row; a task works on stretches of bounded size."""
+    import numpy as np
+    import pyarrow as pa
+
+    trimmed_parts = F.transform(F.split("text", r"\n{2,}"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+    def run(batches):
+        known: dict[int, int] = {}
+        for b in batches:
+            ids, rows = b.column("doc_id"), b.column("p").to_pylist()
+            for low, high in cut_by_length(["".join(x) for x in rows], HELD_LETTERS):
+                number, n = [], [len(x) for x in rows[low:high]]
+                texts = [t for x in rows[low:high] for t in x]
+                # A single letter stands for itself, like a pair.
+                v = letter_pairs(texts, width, 42, known, single=True)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                near, at, out, places = np.append(0.0, (v[1:] * v[:-1]).sum(axis=1)).tolist(), 0, [], []
+                for k, size in enumerate(n):
+                    found = semantic(texts[at : at + size], near[at : at + size])
+                    at += size
+                    number += [k] * len(found)
+                    places += range(len(found))
+                    out += found
+                taken = ids.slice(low, high - low).take(pa.array(number, pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken, pa.array(places, pa.int32()), pa.array(out, pa.string())], ["doc_id", "piece", "text"])
+
+    return docs.select("doc_id", F.filter(trimmed_parts, lambda x: F.length(x) > 0).alias("p")).where("size(p) > 0").mapInArrow(run, "doc_id long, piece int, text string")
 
 
 def parent_child(docs: DataFrame) -> DataFrame:
@@ -428,7 +448,7 @@ QUERIES = {
     "split_recursive": lambda s, d: split_recursive(_docs(s, d)),
     "split_textbook": lambda s, d: split_textbook(_docs(s, d)),
     "split_window": lambda s, d: split_window(_docs(s, d)),
-    "split_semantic": lambda s, d: split_semantic(paragraph_vectors(structured(_docs(s, d)))),
+    "split_semantic": lambda s, d: split_semantic_texts(structured(_docs(s, d))),
     "parent_child": lambda s, d: parent_child(_docs(s, d)),
     "chunk_id": lambda s, d: split_window(_docs(s, d)).select("doc_id", "piece", chunk_id(F.col("doc_id"), F.col("piece"), F.col("text")).alias("chunk_id")),
     "inherit_metadata": lambda s, d: split_window(_docs(s, d)).join(chunks(s, d).select("doc_id", "source_type", "source", "lang"), "doc_id").select("doc_id", "piece", F.coalesce("source_type", F.lit("textbook")).alias("source_type"), F.coalesce("source", F.lit("default")).alias("collection"), F.upper("lang").alias("label")),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -689,6 +690,33 @@ def test_inverted_file_hands_on_candidates_of_blocks_not_of_tasks(spark, monkeyp
     assert handed[2] <= 3 * 150 * 200 and many == one
 
 
+def test_split_semantic_texts_without_shuffle(spark):
+    """Vectors and pieces of whole texts against counts pair by pair, and no row meets another."""
+    import numpy as np
+    import xxhash
+
+    random.seed(5)
+    letters = "ab \tß水𝄞"
+    para = lambda: "".join(random.choices(letters, k=random.choice([1, 2, 60, 700])))
+    docs = [(i, "\n\n".join(para() for _ in range(random.randint(1, 9)))) for i in range(25)] + [(90, ""), (91, None), (92, "x\n\n\n\n \n\ny")]
+    found = chunking.split_semantic_texts(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    want = {}
+    for i, text in docs:
+        parts = [p for p in (x.strip(" \t\n\x0b\f\r") for x in re.split(r"\n{2,}", text or "")) if p]
+        v = np.zeros((len(parts), 32))
+        for row, p in zip(v, parts, strict=True):
+            for k in range(max(len(p) - 1, 1)):
+                row[xxhash.xxh64_intdigest(p[k : k + 2], seed=42) % 32] += 1
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        if parts:
+            want[i] = chunking.semantic(parts, [0.0, *(v[1:] * v[:-1]).sum(axis=1)])
+    assert got == want
+
+
 def structure_plain(text):
     """The structure rule line by line."""
     segments, held = [], []
