@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryloom.functions.tokens import HELD_LETTERS, cut_by_length, letter_pairs
 from quarryloom.operators import chunking
 
 PIECES = "piece int, start int, text string"
@@ -40,15 +41,11 @@ WIDTH = 32
 
 
 def _vectors(texts: pd.Series) -> pd.Series:
-    import xxhash
-
-    out = []
-    for t in texts:
-        v = np.zeros(WIDTH)
-        for k in range(max(len(t or "") - 1, 0)):
-            v[xxhash.xxh64_intdigest(t[k : k + 2]) % WIDTH] += 1
-        out.append((v / max(np.linalg.norm(v), 1e-12)).tolist())
-    return pd.Series(out)
+    whole, known, out = [t or "" for t in texts], {}, []
+    for low, high in cut_by_length(whole, HELD_LETTERS):
+        v = letter_pairs(whole[low:high], WIDTH, 0, known)
+        out += (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).tolist()
+    return pd.Series(out, dtype=object)
 
 
 def register(spark: SparkSession) -> None:

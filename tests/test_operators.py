@@ -717,6 +717,24 @@ def test_split_semantic_texts_without_shuffle(spark):
     assert got == want
 
 
+def test_embed_hashes_each_pair_once(monkeypatch):
+    import numpy as np
+    import xxhash
+
+    from quarryloom.functions import tables
+
+    plain, calls = xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *a, **o: calls.append(a) or plain(*a, **o))
+    texts = ["abc水" * 20_000, "", None, "x", "ab"]
+    got = tables._vectors(pd.Series(texts))
+    assert len(calls) <= 5  # ab, bc, c水, 水a and ab again
+    for t, v in zip(texts, got, strict=True):
+        want = np.zeros(tables.WIDTH)
+        for k in range(max(len(t or "") - 1, 0)):
+            want[plain(t[k : k + 2]) % tables.WIDTH] += 1
+        assert v == (want / max(np.linalg.norm(want), 1e-12)).tolist()
+
+
 def structure_plain(text):
     """The structure rule line by line."""
     segments, held = [], []
