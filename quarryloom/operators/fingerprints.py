@@ -87,9 +87,10 @@ def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
 
 def group_near(prints: DataFrame, near: int = NEAR) -> DataFrame:
     """(doc_id, kept): the smallest id of each group of prints that near pairs connect stays."""
-    kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     with temporary(prints.sparkSession) as keep:
+        prints = keep(prints, "prints")  # pairs, kinds and the result read them again
         label = keep(components(near_pairs(prints, near).select("a", "b"), saved), "components")
+    kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     named = kinds.join(label, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("label"))
     return prints.join(named, ["hi", "lo"]).select("doc_id", (F.col("doc_id") == F.col("label")).alias("kept"))
 
@@ -138,9 +139,10 @@ def keep_first(prints: DataFrame, near: int = NEAR) -> DataFrame:
     """(doc_id, kept): in order of ids, a document stays unless one that stayed is at most `near` bits away. So, unlike in
     `group_near`, a near copy of a dropped document stays if nothing else that stayed is near it. Equal prints are one
     node: their first document stands for all."""
-    kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     with temporary(prints.sparkSession) as keep:
+        prints = keep(prints, "prints")  # pairs, kinds and the result read them again
         dropped = keep(first_kept(near_pairs(prints, near))[0], "dropped")
+    kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     named = kinds.join(dropped.withColumn("gone", F.lit(True)), "id", "left").select("hi", "lo", F.when(F.col("gone").isNull(), F.col("id")).alias("stays"))
     return prints.join(named, ["hi", "lo"]).select("doc_id", F.coalesce(F.col("doc_id") == F.col("stays"), F.lit(False)).alias("kept"))
 

@@ -735,6 +735,30 @@ def test_embed_hashes_each_pair_once(monkeypatch):
         assert v == (want / max(np.linalg.norm(want), 1e-12)).tolist()
 
 
+def test_conflicts_and_evaluators_search_once(spark, sf_dir, monkeypatch):
+    calls = []
+    for module, name in ((evidence, "_bm25"), (evaluate, "_bm25"), (evaluate, "relevance")):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, plain=plain, name=name, **o: calls.append(name) or plain(*a, **o))
+    evidence.all_conflicts(spark, sf_dir)
+    assert calls == ["_bm25"]
+    evaluate.merge_evaluators(spark, sf_dir)
+    assert sorted(calls[1:]) == ["_bm25", "relevance"]
+
+
+@pytest.mark.parametrize("kept", [fingerprints.group_near, fingerprints.keep_first])
+def test_prints_are_made_once(spark, kept):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    prints = spark.createDataFrame([(i, i * 37 % 11, i % 3) for i in range(40)], "doc_id long, hi long, lo long").mapInPandas(counted, "doc_id long, hi long, lo long")
+    assert kept(prints).count() == 40 and made.value == 40
+
+
 def structure_plain(text):
     """The structure rule line by line."""
     segments, held = [], []
