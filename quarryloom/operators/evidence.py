@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.functions.tokens import WORD, cosine, jaccard, words
-from quarryloom.operators.retrieval import DENSE_SQL, _bm25, bm25_sql, dense_search
+from quarryloom.operators.retrieval import DENSE_SQL, _bm25, bm25_sql, dense_search, small
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
 #: Patterns of attacks, injections and secrets.
@@ -86,11 +86,13 @@ def grounding(answer: Column, evidence: Column, citations: Column) -> Column:
 # --- queries ---------------------------------------------------------------------------------------------------------
 
 
-def claims(spark, d) -> DataFrame:
-    """Documents that end with two statements of their own: a limit for their language, and what their source is."""
+def claims(spark, d, hits: DataFrame | None = None) -> DataFrame:
+    """Documents, or those of `hits` alone, that end with two statements of their own: a limit for their language, and what their source is."""
     first = F.trim(F.get(F.split("text", r"[.\n]", 2), F.lit(0)))
     stated = F.concat("text", F.lit("\nThe limit for "), "lang", F.lit(" 等于 "), F.pmod("n_chars", F.lit(5)).cast("string"), F.lit(" MB\n"), "source", F.lit(" 是指 "), first)
-    return table(spark, d, "documents").select("doc_id", stated.alias("text"))
+    docs = table(spark, d, "documents")
+    docs = docs if hits is None else docs.join(small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    return docs.select("doc_id", stated.alias("text"))
 
 
 def number_facts(texts: DataFrame) -> DataFrame:
@@ -111,10 +113,10 @@ each AS (SELECT doc_id, p, unnest(range((len(p) - 1) // 4)) AS j FROM cut WHERE
 facts AS (SELECT doc_id, right(regexp_replace(right(array_to_string(list_filter(p[1:4 * j + 1], lambda x, i: (i - 1) % 4 < 2), ''), 20), '\\s+', '', 'g'), 15) AS key, p[4 * j + 3] AS value, p[4 * j + 4] AS unit FROM each)"""
 
 
-def numeric_conflicts(spark, d) -> DataFrame:
-    """Keys that two results of a query give different numbers for; at most the top 30 of a query are compared."""
-    hits = _bm25(spark, d, 30).select("query_id", "doc_id")
-    f = number_facts(claims(spark, d)).groupBy("doc_id", "key").agg(F.collect_set("value").alias("v"))
+def numeric_conflicts(spark, d, hits: DataFrame | None = None) -> DataFrame:
+    """Keys that two results of a query give different numbers for; at most the top 30 of a query, its hits, are compared."""
+    hits = (_bm25(spark, d, 30) if hits is None else hits).select("query_id", "doc_id")
+    f = number_facts(claims(spark, d, hits)).groupBy("doc_id", "key").agg(F.collect_set("value").alias("v"))
     own = hits.join(f, "doc_id")
     a, b = own.alias("a"), own.alias("b")
     both = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
@@ -128,11 +130,12 @@ def definitions(texts: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", F.col("x.term").alias("term")).agg(F.trim(F.max_by("x.body", "n")).alias("body"))
 
 
-def definition_conflicts(spark, d) -> DataFrame:
+def definition_conflicts(spark, d, hits: DataFrame | None = None) -> DataFrame:
     """Terms that two of a query's 30 best results define with other words: they share fewer than half of those of the
     longer definition."""
     w = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    own = _bm25(spark, d, 30).select("query_id", "doc_id").join(definitions(claims(spark, d)).withColumn("w", w(F.col("body"))), "doc_id")
+    hits = (_bm25(spark, d, 30) if hits is None else hits).select("query_id", "doc_id")
+    own = hits.join(definitions(claims(spark, d, hits)).withColumn("w", w(F.col("body"))), "doc_id")
     a, b = own.alias("a"), own.alias("b")
     both = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.body") != F.col("b.body")))
     share = F.size(F.array_intersect("a.w", "b.w")) < 0.5 * F.greatest(F.size("a.w"), F.size("b.w"))
@@ -153,17 +156,20 @@ def semantic_conflicts(spark, d, near: float = 0.90, apart: float = 0.35) -> Dat
     return scored.where((F.col("sim") >= near) & (F.col("jac") <= apart)).select("query_id", "a", "b", F.round(F.col("sim") * (1 - F.col("jac")), 2).alias("confidence"))
 
 
-def all_conflicts(spark, d) -> DataFrame:
+def all_conflicts(spark, d, hits: DataFrame | None = None) -> DataFrame:
+    """Both kinds of conflicts among the same hits, which one search gives."""
+    hits = _bm25(spark, d, 30) if hits is None else hits
     cols = ["query_id", "a", "b", "confidence"]
-    every = numeric_conflicts(spark, d).select(*cols).unionByName(definition_conflicts(spark, d).select(*cols))
+    every = numeric_conflicts(spark, d, hits).select(*cols).unionByName(definition_conflicts(spark, d, hits).select(*cols))
     return every.groupBy("query_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("confidence"))
 
 
 def trust_ranking(spark, d) -> DataFrame:
     """Results in order of trust: those without conflicts first, then score less .15 for each conflict."""
-    c = all_conflicts(spark, d)
+    hits = _bm25(spark, d, 30)
+    c = all_conflicts(spark, d, hits)
     counts = c.select("query_id", F.explode(F.array("a", "b")).alias("doc_id")).groupBy("query_id", "doc_id").agg(F.count("*").alias("n_conflicts"))
-    ranked = _bm25(spark, d).join(counts, ["query_id", "doc_id"], "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)))
+    ranked = hits.where("rank <= 10").join(counts, ["query_id", "doc_id"], "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)))
     trust = F.round(F.col("score") - 0.15 * F.col("n_conflicts"), 6)
     order = Window.partitionBy("query_id").orderBy(F.col("n_conflicts") > 0, F.desc("trust"), "doc_id")
     return ranked.withColumn("trust", trust).withColumn("place", F.row_number().over(order)).select("query_id", "doc_id", "n_conflicts", "trust", "place")
