@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryloom.operators.retrieval import _bm25, bm25_sql, queries_of, small
-from quarryloom.sources.shared import new_path
+from quarryloom.sources.shared import new_path, saved
 from quarryloom.sources.tables import CHUNKS_SQL, chunks, table, turns
 
 K = 10
@@ -68,13 +68,13 @@ def run_metrics(spark, d, **o) -> DataFrame:
     return metrics(_bm25(spark, d, K, **o), relevance(spark, d), queries_of(spark, d))
 
 
-def source_metrics(spark, d) -> DataFrame:
+def source_metrics(spark, d, hits: DataFrame | None = None, relevant: DataFrame | None = None) -> DataFrame:
     """Hit rate and reciprocal rank on sources: each source of a list counts once, where it comes first. The product's
     figures accept for an expected source also those of its group; here src0 serves all."""
     src = chunks(spark, d).select("doc_id", F.lower(F.trim("source")).alias("s"))
-    ranked = _bm25(spark, d).join(src, "doc_id").groupBy("query_id", "s").agg(F.min("rank").alias("rank"))
+    ranked = (_bm25(spark, d) if hits is None else hits).join(src, "doc_id").groupBy("query_id", "s").agg(F.min("rank").alias("rank"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "s")))
-    want = relevance(spark, d).join(src, "doc_id").select("query_id", "s").distinct()
+    want = (relevance(spark, d) if relevant is None else relevant).join(src, "doc_id").select("query_id", "s").distinct()
     groups = src.select("s").distinct().select("s", F.explode(F.array_distinct(F.array("s", F.lit("src0")))).alias("accepted"))
     wider = want.join(groups, "s").select("query_id", F.col("accepted").alias("s")).distinct()
     first = lambda w, name: ranked.join(w, ["query_id", "s"]).groupBy("query_id").agg(F.min("rank").alias(name))
@@ -140,8 +140,9 @@ def eval_history(spark, d) -> DataFrame:
 
 def merge_evaluators(spark, d) -> DataFrame:
     """Metrics of several evaluators; where two give one of the same name, the later wins."""
-    first = run_metrics(spark, d).unpivot("query_id", ["hit_rate", "mrr", "ndcg"], "metric", "value").withColumn("place", F.lit(0))
-    second = source_metrics(spark, d).select("query_id", F.lit("mrr").alias("metric"), F.col("mrr").alias("value"), F.lit(1).alias("place"))
+    hits, relevant = _bm25(spark, d, K), saved(relevance(spark, d), "relevant")  # both evaluators judge the same
+    first = metrics(hits, relevant, queries_of(spark, d)).unpivot("query_id", ["hit_rate", "mrr", "ndcg"], "metric", "value").withColumn("place", F.lit(0))
+    second = source_metrics(spark, d, hits, relevant).select("query_id", F.lit("mrr").alias("metric"), F.col("mrr").alias("value"), F.lit(1).alias("place"))
     return first.unionByName(second).groupBy("query_id", "metric").agg(F.max_by("value", "place").alias("value"))
 
 
