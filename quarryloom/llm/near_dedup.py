@@ -37,6 +37,8 @@ WORDS, PERCENT = 5, 80
 TREES, BRANCHES, DEPTH, LAST_DEPTH, SMALL = 5, 2, 3, 6, 24
 BINS = 128
 BLOCK_SHINGLES = 400_000
+#: Bits, at most a million rows that are broadcast, that tell the documents whose sets are compared from others.
+NEEDED_BITS = 1 << 26
 _LOWER = tb.lower_table()
 
 
@@ -230,7 +232,8 @@ def links(reps: DataFrame, texts: DataFrame, *, words: int, percent: int, trees:
 def _confirm(likely: DataFrame, family: DataFrame, reps: DataFrame, texts: DataFrame, *, words: int, percent: int) -> DataFrame:
     """Links among the likely pairs, then between members outside their family's component and the family."""
     needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(family.select("id")).distinct()
-    some = maybe_among(texts, "id", needed)[0].join(needed, "id")
+    # The joins below leave out the few sets that are not needed, so texts are not shuffled to find these.
+    some = maybe_among(texts, "id", needed, NEEDED_BITS)[0]
     shingled = saved(some.mapInArrow(_shingled(words), "id long, shingles binary"), "sets")
     side = lambda k: shingled.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"))
     first = saved(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
