@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryloom.sources.shared import sorted_in
+
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Every node ties its larger (or its smaller) neighbours to its smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    tied = both.join(least, "a")
+    tied = both.join(sorted_in(least), "a")
     tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b")))
     return tied.where("a != b").distinct()
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from quarryloom.llm import textbytes as tb
 from quarryloom.functions.graph import components
 from quarryloom.llm.storage import maybe_among, saved, temporary
+from quarryloom.sources.shared import sorted_in
 from quarryloom.sources.tables import table
 
 WORDS, PERCENT = 5, 80
@@ -194,7 +195,7 @@ def candidates(reps: DataFrame, *, trees: int, branches: int, depth: int, last_d
             rows = rows.select("id", "node").distinct()
         rows = rows.select("id", "node")
         full = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        rows = saved(rows.join(full, "node"), "nodes")
+        rows = saved(rows.join(sorted_in(full), "node"), "nodes")
         ids = F.array_sort(F.collect_set("id"))
         few = rows.where(F.col("n") <= small).groupBy("node").agg(ids.alias("ids"))
         all_pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -202,23 +203,23 @@ def candidates(reps: DataFrame, *, trees: int, branches: int, depth: int, last_d
         pairs = found if pairs is None else pairs.unionByName(found)
         rows = rows.where(F.col("n") > small).select("id", "node")
         if level < last_depth:
-            rows = rows.join(reps.select("id", "sig"), "id")
+            rows = rows.join(sorted_in(reps.select("id", "sig")), "id")
     share = rows.groupBy("id").agg(F.count("*").alias("share"))
-    known = saved(rows.join(share, "id"), "large")
+    known = saved(rows.join(sorted_in(share), "id"), "large")
     centre = known.groupBy("node").agg(F.max(F.struct("share", "id")).alias("c"))
-    family = known.join(centre, "node").select(F.col("c.id").alias("centre"), F.col("c.share").alias("weight"), "id").distinct()
+    family = known.join(sorted_in(centre), "node").select(F.col("c.id").alias("centre"), F.col("c.share").alias("weight"), "id").distinct()
     family = saved(family, "families")
     # A centre that is a member of a weightier family brings its own members there.
     for _ in range(2):
         above = family.groupBy("id").agg(F.max(F.struct("weight", "centre")).alias("top")).select(F.col("id").alias("centre"), F.col("top.centre").alias("new"), F.col("top.weight").alias("new_weight"))
-        family = family.join(above, "centre").select(F.col("new").alias("centre"), F.col("new_weight").alias("weight"), "id").distinct()
+        family = family.join(sorted_in(above), "centre").select(F.col("new").alias("centre"), F.col("new_weight").alias("weight"), "id").distinct()
     return pairs, saved(family.select("centre", "id"), "families")
 
 
 def links(reps: DataFrame, texts: DataFrame, *, words: int, percent: int, trees: int = TREES, branches: int = BRANCHES, depth: int = DEPTH, last_depth: int = LAST_DEPTH, small: int = SMALL) -> DataFrame:
     """(a, b) of linked sets, enough of them to connect what is connected. reps: id, n, sig; texts: id, text."""
     spark = reps.sparkSession
-    side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
+    side = lambda k: sorted_in(reps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")))
     with temporary(spark) as keep:
         pairs, family = candidates(reps, trees=trees, branches=branches, depth=depth, last_depth=last_depth, small=small)
         family = keep(family, "families")
@@ -235,17 +236,17 @@ def _confirm(likely: DataFrame, family: DataFrame, reps: DataFrame, texts: DataF
     # The joins below leave out the few sets that are not needed, so texts are not shuffled to find these.
     some = maybe_among(texts, "id", needed, NEEDED_BITS)[0]
     shingled = saved(some.mapInArrow(_shingled(words), "id long, shingles binary"), "sets")
-    side = lambda k: shingled.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"))
+    side = lambda k: sorted_in(shingled.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")))
     first = saved(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
     if family.isEmpty():
         return first
     component = components(first, saved)
-    named = family.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = family.join(sorted_in(component), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_centre = component.select(F.col("id").alias("centre"), F.col("component").alias("main"))
-    named = named.join(of_centre, "centre", "left").withColumn("asking", F.col("component") != F.coalesce("main", "centre"))
-    named = saved(named.select("centre", "id", "component", "asking").join(reps.select("id", "n"), "id"), "members")
+    named = named.join(sorted_in(of_centre), "centre", "left").withColumn("asking", F.col("component") != F.coalesce("main", "centre"))
+    named = saved(named.select("centre", "id", "component", "asking").join(sorted_in(reps.select("id", "n")), "id"), "members")
     size = named.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("all_blocks"), F.ceil(F.sum(F.when(F.col("asking"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).alias("ask_blocks")).where("ask_blocks > 0")
-    named = named.join(size, "centre").join(shingled, "id")
+    named = named.join(size, "centre").join(sorted_in(shingled), "id")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     columns = ["centre", "x", "y", "id", "component", "asking", "shingles"]
@@ -268,10 +269,10 @@ def mark(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
         # Different texts under one id are one document, so their sets meet.
         twice = known.groupBy("id").agg(F.min("mark").alias("m"), F.max("mark").alias("k")).where("m != k").select("id")
         rep = reps.select("mark", F.col("id").alias("rep"))
-        same = known.select("id", "mark").join(twice, "id").join(rep, "mark").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
+        same = known.select("id", "mark").join(sorted_in(twice), "id").join(sorted_in(rep), "mark").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
         named = components(found.unionByName(same), saved).withColumnRenamed("id", "rep")
-        label = rep.join(named, "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
-        out = sketch.select("id", "n", "mark").join(label, "mark", "left")
+        label = rep.join(sorted_in(named), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
+        out = sketch.select("id", "n", "mark").join(sorted_in(label), "mark", "left")
         component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
         marked = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
         return keep(marked, "marked")
@@ -283,9 +284,9 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     gone = marked.where("NOT kept").select(F.col(doc_id).alias("_gone")).distinct()
     again = marked.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_again"))
     maybe, rest = maybe_among(docs, doc_id, gone.unionByName(again.withColumnRenamed("_again", "_gone")))
-    left = maybe.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    once = left.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
-    first = left.join(again, F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id])
+    left = maybe.join(sorted_in(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    once = left.join(sorted_in(again), F.col(doc_id) == F.col("_again"), "left_anti")
+    first = left.join(sorted_in(again), F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id])
     return rest.unionByName(once).unionByName(first)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -238,6 +239,18 @@ def test_near_dedup_keeps_one_of_each(spark, docs, texts):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_near_dedup_sends_no_growing_table_to_the_driver(spark, docs):
+    """Whatever size Spark takes its tables for, only bitmaps and the sizes of families are broadcast."""
+    history = spark._jsparkSession.sharedState().statusStore()
+    before = history.executionsCount()
+    near_dedup.dedup(docs, words=4, small=2).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = history.executionsList(before, 10_000)
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
+    keys = {re.sub(r"#\d+L?", "", k) for p in plans for k in re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\n]*)\]", p)}
+    assert any("SortMergeJoin" in p for p in plans) and "_word" in keys and keys <= {"_word", "centre"}
+
+
 def test_near_dedup_large_family(spark, tmp_path):
     """More near copies than a node may hold, so that centres and blocks do the work."""
     random.seed(2)
