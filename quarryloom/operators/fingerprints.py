@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quarryloom.functions.graph import components
 from quarryloom.functions.tokens import WORD
 from quarryloom.operators.retrieval import _bm25
-from quarryloom.sources.shared import saved, temporary
+from quarryloom.sources.shared import saved, sorted_in, temporary
 from quarryloom.sources.tables import table
 
 NEAR, NEAR_IN_RESULTS = 3, 8
@@ -82,7 +82,7 @@ def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
     keyed = kinds.select("doc_id", "hi", "lo", F.explode(keys).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     d = hamming((F.col("a.hi"), F.col("a.lo")), (F.col("b.hi"), F.col("b.lo")))
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= near).distinct()
+    return a.join(sorted_in(b), (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= near).distinct()
 
 
 def group_near(prints: DataFrame, near: int = NEAR) -> DataFrame:
@@ -91,8 +91,8 @@ def group_near(prints: DataFrame, near: int = NEAR) -> DataFrame:
         prints = keep(prints, "prints")  # pairs, kinds and the result read them again
         label = keep(components(near_pairs(prints, near).select("a", "b"), saved), "components")
     kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    named = kinds.join(label, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("label"))
-    return prints.join(named, ["hi", "lo"]).select("doc_id", (F.col("doc_id") == F.col("label")).alias("kept"))
+    named = kinds.join(sorted_in(label), "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("label"))
+    return prints.join(sorted_in(named), ["hi", "lo"]).select("doc_id", (F.col("doc_id") == F.col("label")).alias("kept"))
 
 
 def _alternate(edges: DataFrame, heads: DataFrame) -> tuple[DataFrame, int]:
@@ -107,8 +107,8 @@ def _alternate(edges: DataFrame, heads: DataFrame) -> tuple[DataFrame, int]:
             break
         before, doublings = now, doublings + 1
         ahead = way.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("odd").alias("more"))
-        way = saved(way.join(ahead, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("odd").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("odd")), "ways")
-    return way.join(heads.select(F.col("id").alias("to")), "to").select("id", (F.col("odd") == 0).alias("kept")), doublings
+        way = saved(way.join(sorted_in(ahead), "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("odd").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("odd")), "ways")
+    return way.join(sorted_in(heads.select(F.col("id").alias("to"))), "to").select("id", (F.col("odd") == 0).alias("kept")), doublings
 
 
 def first_kept(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -123,14 +123,14 @@ def first_kept(edges: DataFrame) -> tuple[DataFrame, int]:
     dropped, rounds = None, 0
     while not edges.isEmpty():
         rounds += 1
-        heads = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti")
+        heads = edges.select(F.col("a").alias("id")).distinct().join(sorted_in(edges.select(F.col("b").alias("id"))), "id", "left_anti")
         heads = saved(heads, "heads")
         along, _ = _alternate(edges, heads)
         kept = saved(heads.unionByName(along.where("kept").select("id")), "kept")
-        gone = saved(edges.join(kept.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
+        gone = saved(edges.join(sorted_in(kept.select(F.col("id").alias("a"))), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         decided = kept.unionByName(gone)
-        edges = edges.join(decided.select(F.col("id").alias("a")), "a", "left_anti").join(decided.select(F.col("id").alias("b")), "b", "left_anti")
+        edges = edges.join(sorted_in(decided.select(F.col("id").alias("a"))), "a", "left_anti").join(sorted_in(decided.select(F.col("id").alias("b"))), "b", "left_anti")
         edges = saved(edges, "edges")
     return (edges.select(F.col("a").alias("id")) if dropped is None else dropped), rounds
 
@@ -143,8 +143,8 @@ def keep_first(prints: DataFrame, near: int = NEAR) -> DataFrame:
         prints = keep(prints, "prints")  # pairs, kinds and the result read them again
         dropped = keep(first_kept(near_pairs(prints, near))[0], "dropped")
     kinds = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    named = kinds.join(dropped.withColumn("gone", F.lit(True)), "id", "left").select("hi", "lo", F.when(F.col("gone").isNull(), F.col("id")).alias("stays"))
-    return prints.join(named, ["hi", "lo"]).select("doc_id", F.coalesce(F.col("doc_id") == F.col("stays"), F.lit(False)).alias("kept"))
+    named = kinds.join(sorted_in(dropped.withColumn("gone", F.lit(True))), "id", "left").select("hi", "lo", F.when(F.col("gone").isNull(), F.col("id")).alias("stays"))
+    return prints.join(sorted_in(named), ["hi", "lo"]).select("doc_id", F.coalesce(F.col("doc_id") == F.col("stays"), F.lit(False)).alias("kept"))
 
 
 def post_dedup(results: DataFrame, near: int = NEAR_IN_RESULTS) -> DataFrame:

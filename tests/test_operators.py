@@ -759,6 +759,17 @@ def test_prints_are_made_once(spark, kept):
     assert kept(prints).count() == 40 and made.value == 40
 
 
+@pytest.mark.parametrize("kept", [fingerprints.group_near, fingerprints.keep_first])
+def test_no_side_of_near_prints_goes_through_the_driver(spark, kept):
+    history = spark._jsparkSession.sharedState().statusStore()
+    before = history.executionsCount()
+    kept(spark.createDataFrame([(i, i * 37 % 11, i % 3) for i in range(40)], "doc_id long, hi long, lo long")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = history.executionsList(before, 10_000)
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def structure_plain(text):
     """The structure rule line by line."""
     segments, held = [], []
