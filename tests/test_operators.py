@@ -587,6 +587,60 @@ def test_running_mastery_over_many_batches(spark, tmp_path, monkeypatch):
     assert got == {tuple(r) for r in batch.select("user_id", "concept", "mastery", "interval_days", "quiz_count", "correct_count").collect()} and len(got) == 6
 
 
+class Kept:
+    """A state variable in memory, of any kind, that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls.append(name)
+            if name in ("update", "put"):
+                self.held[()] = a[0]
+            elif name == "updateValue":
+                self.held[a[0]] = a[1]
+            elif name in ("clear", "removeKey"):
+                self.held.pop(a[0] if a else (), None)
+            else:
+                return {"exists": lambda: () in self.held, "get": lambda: self.held[()], "keys": lambda: list(self.held), "containsKey": lambda: a[0] in self.held, "getValue": lambda: self.held[a[0]]}[name]()
+
+        return call
+
+
+@pytest.mark.parametrize("few", [4096, 7, 0])
+def test_running_mastery_calls_the_state_seldom(monkeypatch, few):
+    """Answers far apart in time, in frames and batches out of order: the same as one fold, whether they are few or many."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(streams, "FEW_ANSWERS", few, raising=False)
+    random.seed(few)
+    calls, timers = [], []
+    handle = SimpleNamespace(getValueState=lambda *a: Kept(calls), getMapState=lambda *a: Kept(calls), getListState=lambda *a: Kept(calls), registerTimer=timers.append)
+    job = streams.RunningMastery()
+    job.init(handle)
+    answers = [(k, k * 3_600_000_000 + random.randrange(1_800_000_000), random.random() < 0.6) for k in range(90)]
+    late = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    out = []
+    for low in (0, 30, 60):
+        part = answers[low : low + 30]
+        random.shuffle(part)
+        frames = [pd.DataFrame(part[i : i + 10], columns=["event_id", "us", "correct"]) for i in (0, 10, 20)]
+        out += job.handleInputRows((1, "c"), iter(frames), late((low - 5) * 3_600_000))
+        out += job.handleExpiredTimer((1, "c"), late((low + 20) * 3_600_000), None)
+    assert timers[-1] > 80 * 3_600_000
+    out += job.handleExpiredTimer((1, "c"), late(1000 * 3_600_000), None)
+    m, days = 0.0, 1
+    for _, _, ok in answers:
+        m = round(min(1.0, m + learner.GAIN) if ok else max(0.0, m - learner.LOSS), 6)
+        days = min(30, days * 2) if ok else max(1, days // 2)
+    right = [ok for _, _, ok in answers]
+    assert out[-1].values.tolist() == [[1, "c", m, days, 90, sum(right), sum(right[-5:])]]
+    assert not job.waiting.held and not getattr(job, "few", job.waiting).held
+    if few > 90:
+        assert len(calls) < 90
+
+
 def test_cache_join_over_batches_equals_the_batch_form(spark, tmp_path):
     import datetime
 
